@@ -1,0 +1 @@
+"""Landing-directory ingestion with Structured Streaming."""
