@@ -176,9 +176,10 @@ def rt_windows(targets: DataFrame, settings: ExtractionSettings) -> DataFrame:
     """RT coordinates in seconds and half widths that leave a gap between close peaks."""
     factor = 60.0 if settings.rt_unit == "min" else 1.0
     a, b = F.col("peak_a_rt") * factor, F.col("peak_b_rt") * factor
-    half = F.least(F.lit(float(settings.rt_half_window_sec)), F.abs(b - a) * 0.4)
+    gap = F.abs(b - a)
+    half = F.when(gap.isNotNull(), F.least(F.lit(float(settings.rt_half_window_sec)), gap * 0.4))
     return (
-        targets.withColumn("rt_separation_sec", F.abs(b - a))
+        targets.withColumn("rt_separation_sec", gap)
         .withColumn("peak_a_rt_window_start", a - half)
         .withColumn("peak_a_rt_window_end", a + half)
         .withColumn("peak_b_rt_window_start", b - half)

@@ -31,6 +31,7 @@ from ..operators.dia import (
     rt_windows,
 )
 from ..params import ExtractionSettings, PairThresholds
+from ..session import work_partitions
 
 SIDES = ("peak_a", "peak_b")
 SIDE_FIELDS = (
@@ -141,7 +142,7 @@ def precursor_traces(sides: DataFrame, run: Ms2Run, s: ExtractionSettings) -> Da
     points = (
         carrier.unionByName(spine)
         .unionByName(hits)
-        .repartition("row_id")
+        .repartition(work_partitions(run.peaks.sparkSession), "row_id")
         .groupBy("row_id", "side", "scan", "rt")
         .agg(F.sum("it").alias("it"), F.first("facts", ignorenulls=True).alias("facts"))
     )
@@ -302,7 +303,8 @@ def side_evidence(traces: DataFrame, run: Ms2Run, s: ExtractionSettings) -> Data
     )
     exploded = centres.select(
         "row_id", "side", "trace", "chosen", "f", F.size("centres").alias("n_centres"),
-        F.explode(bands).alias("b"),
+        # Outer, because the plain form re-evaluates the array in an inferred filter.
+        F.explode_outer(bands).alias("b"),
     )
     first = F.col("b.idx") == -1
     keyed = exploded.select(
@@ -321,7 +323,7 @@ def side_evidence(traces: DataFrame, run: Ms2Run, s: ExtractionSettings) -> Data
     points = (
         band_join(keyed, run.peaks, mz_bin_width(tol, unit))
         .where((F.col("idx") == -1) | F.col("p_scan").isNotNull())
-        .repartition("row_id")
+        .repartition(work_partitions(run.peaks.sparkSession), "row_id")
         .groupBy("row_id", "side", "idx", "centre", "p_scan")
         .agg(F.sum("p_it").alias("it"), F.first("side_row", ignorenulls=True).alias("side_row"))
     )

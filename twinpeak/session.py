@@ -20,6 +20,14 @@ def build_session(app: str = "twinpeak", **conf) -> SparkSession:
     return builder.getOrCreate()
 
 
+def work_partitions(spark: SparkSession) -> int:
+    """Partition count for exchanges that feed CPU-heavy array work.
+
+    Passed explicitly, because by-size coalescing would pack such rows into few tasks.
+    """
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder the session names.
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import work_partitions
+
 # Isolation-window centre assigned to each event type.
 WINDOW_CENTRES = {"click": 312.0, "error": 324.0, "purchase": 336.0, "signup": 348.0, "view": 360.0}
 WINDOW_HALF_WIDTH = 7.0
@@ -51,7 +53,7 @@ def spectrum_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("b", F.col("a") + F.col("gap"))
     # The join key's own partitioning: free under a shuffled join, and it spreads the
     # comparison work when the other side is small enough to be broadcast.
-    left = left.repartition("b")
+    left = left.repartition(work_partitions(spark), "b")
     right = s.select(
         F.col("vec_id").alias("b"),
         F.col("label").alias("label_b"),
