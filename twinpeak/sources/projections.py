@@ -167,3 +167,79 @@ def pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("test_id"),
         F.when(k % 11 != 0, ((k * 37) % 1000) / F.lit(1000.0)).alias("p"),
     )
+
+
+def result_expressions(variant: int) -> dict[str, str]:
+    """SQL expressions (any dialect) that turn an ``orders`` row into a result-table row.
+
+    Two variants stand for two processing runs: every seventh row changes status and
+    every sixth changes its first spectrum. Customers repeat, so target keys repeat.
+    """
+    k, g = "o_orderkey", "o_custkey"
+    h = f"({k} + CASE WHEN {variant} = 1 AND {k} % 7 = 0 THEN 1 ELSE 0 END)"
+    m = f"({k} + CASE WHEN {variant} = 1 AND {k} % 6 = 0 THEN 1 ELSE 0 END)"
+    scored = f"{h} % 5 < 3"
+
+    def text(expr: str) -> str:
+        return f"concat('', {expr})"
+
+    def when_scored(expr: str) -> str:
+        return f"CASE WHEN {scored} THEN {text(expr)} ELSE '' END"
+
+    def choice(*values: str) -> str:
+        arms = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values))
+        return f"CASE {h} % 5 {arms} END"
+
+    return {
+        "row_no": k,
+        "Compound_ID": text(f"'C', {g} % 700"),
+        "SGC ID for Component": text(f"'S', {g} % 50"),
+        "SGC ID for Pool": text(f"'P', {g} % 10"),
+        "MZ": text(f"280 + {g} % 120"),
+        "Peak1": f"CASE WHEN {g} % 13 = 0 THEN '' ELSE {text(f'{g} % 40')} END",
+        "Peak2": f"CASE WHEN {g} % 6 = 0 THEN '' ELSE {text(f'{g} % 40 + 1 + {g} % 3')} END",
+        "enantiomer_pair_status": choice(
+            "candidate_enantiomer_pair", "ms2_not_similar", "insufficient_ms2_evidence",
+            "not_evaluable", "not_evaluated",
+        ),
+        "enantiomer_pair_reason": choice(
+            "similar", "cosine<0.7", "matched_peaks<6", "one_or_both_ms2_spectra_are_empty",
+            "two_peak_retention_times_required",
+        ),
+        "ms2_diagnostic_status": choice(
+            "supported_same_compound", "conflicting_spectra", "insufficient_evidence",
+            "not_evaluable", "not_attempted",
+        ),
+        "ms2_issue_codes": f"CASE WHEN {k} % 10 = 3 THEN 'NO_ACQUIRED_DIA_WINDOW' ELSE '' END",
+        "ms2_cosine": when_scored(f"({h} * 7) % 101 / 100.0e0"),
+        "ms2_entropy_similarity": when_scored(f"({h} * 3) % 101 / 100.0e0"),
+        "ms2_matched_peaks": when_scored(f"({h} * 3) % 15"),
+        "peak_a_fragment_count": when_scored(f"({h} * 5) % 20 + 1"),
+        "peak_b_fragment_count": when_scored(f"({h} * 11) % 20 + 1"),
+        "peak_a_candidate_fragment_count": text(f"100 + {k} % 50"),
+        "peak_b_candidate_fragment_count": text(f"100 + {k} % 30"),
+        "peak_a_explained_intensity": when_scored(f"({h} * 13) % 100 / 100.0e0"),
+        "peak_b_explained_intensity": when_scored(f"({h} * 17) % 100 / 100.0e0"),
+        "peak_a_MS2": f"CASE WHEN {h} % 5 = 4 OR ({h} % 5 = 3 AND {k} % 2 = 0) THEN '' "
+        f"ELSE {text(f'{chr(39)}100,{chr(39)}, 1 + {m} % 9')} END",
+        "peak_b_MS2": f"CASE WHEN {h} % 5 >= 3 THEN '' ELSE {text(f'{chr(39)}100,{chr(39)}, 1 + {k} % 8')} END",
+        "peak_a_quality_flags": f"CASE {k} % 9 WHEN 0 THEN 'no_precursor_signal' WHEN 1 THEN 'no_fragments' ELSE 'ok' END",
+        "peak_b_quality_flags": "'ok'",
+        "dia_window_match_count": f"CASE WHEN {k} % 10 = 3 THEN '' WHEN {k} % 4 = 0 THEN '2' ELSE '1' END",
+        "dia_window_center": text(f"300 + 12 * ({g} % 5)"),
+        "rt_separation_sec": text(f"{g} % 60"),
+        "peak_a_apex_rt": text(f"({g} % 40) * 60 + {k} % 9 - 2"),
+        "peak_a_rt_window_start": text(f"({g} % 40) * 60 - 10"),
+        "peak_a_rt_window_end": text(f"({g} % 40) * 60 + 10"),
+        "peak_b_apex_rt": text(f"({g} % 40 + 1 + {g} % 3) * 60 + {k} % 11 - 10"),
+        "peak_b_rt_window_start": text(f"({g} % 40 + 1 + {g} % 3) * 60 - 10"),
+        "peak_b_rt_window_end": text(f"({g} % 40 + 1 + {g} % 3) * 60 + 10"),
+        "ml_diagnostic_status": f"CASE {k} % 4 WHEN 0 THEN 'supported_same_compound' "
+        f"WHEN 1 THEN 'conflicting_spectra' WHEN 2 THEN 'insufficient_evidence' ELSE 'not_evaluable' END",
+    }
+
+
+def result_rows(spark: SparkSession, sf_dir: str, variant: int = 0) -> DataFrame:
+    """orders -> a text result table, as a result CSV would be read."""
+    exprs = result_expressions(variant)
+    return table(spark, sf_dir, "orders").selectExpr(*[f"{e} AS `{n}`" for n, e in exprs.items()])

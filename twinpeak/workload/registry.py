@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evidence, ms1
+from . import evidence, ms1, review
 
-MODULES = (evidence, ms1)
+MODULES = (evidence, ms1, review)
 
 
 def _all() -> dict:
