@@ -3,6 +3,7 @@
 Rows are first collapsed to distinct values, then split at approximate quantiles. Each
 bucket is scanned on its own; bucket totals (a fixed, small number of rows) give the
 offsets. A heavy value is one row after the collapse, so it cannot make a heavy bucket.
+Every function takes ``by``: independent groups, each with its own buckets.
 """
 
 from __future__ import annotations
@@ -14,94 +15,98 @@ from pyspark.sql import functions as F
 BUCKETS = 256
 
 
-def distinct_totals(df: DataFrame, key: Column, **measures: Column) -> DataFrame:
-    """(k, measures…) summed per distinct key value; NULL keys are dropped."""
+def _over(by, *order) -> W:
+    window = W.partitionBy(*by) if by else W.partitionBy()
+    return window.orderBy(*order) if order else window
+
+
+def distinct_totals(df: DataFrame, key: Column, by=(), **measures: Column) -> DataFrame:
+    """(by…, k, measures…) summed per distinct key value; NULL keys are dropped."""
     return (
-        df.select(key.cast("double").alias("k"), *[m.alias(n) for n, m in measures.items()])
+        df.select(*by, key.cast("double").alias("k"), *[m.alias(n) for n, m in measures.items()])
         .where(F.col("k").isNotNull())
-        .groupBy("k")
+        .groupBy(*by, "k")
         .agg(*[F.sum(n).alias(n) for n in measures])
     )
 
 
-def _bucketed(totals: DataFrame, buckets: int) -> DataFrame:
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = totals.agg(F.percentile_approx("k", F.array(*[F.lit(p) for p in probs]), 10_000).alias("cuts"))
-    # One row; bounded by the bucket count whatever the table holds.
-    joined = totals.crossJoin(F.broadcast(cuts))
-    # Binary search would need a UDF; array_position on sorted cuts is a native scan.
-    bucket = F.size(F.filter("cuts", lambda c: c <= F.col("k")))
-    return joined.withColumn("bucket", F.coalesce(bucket, F.lit(0))).drop("cuts")
+def bucketed(totals: DataFrame, by=(), buckets: int = BUCKETS) -> DataFrame:
+    """Add ``bucket``: how many of the group's quantile cuts lie at or below ``k``."""
+    probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    cuts = F.percentile_approx("k", probs, 10_000).alias("cuts")
+    if by:
+        joined = totals.join(totals.groupBy(*by).agg(cuts), list(by))
+    else:
+        joined = totals.crossJoin(F.broadcast(totals.agg(cuts)))  # exactly one row
+    return joined.withColumn(
+        "bucket", F.coalesce(F.size(F.filter("cuts", lambda c: c <= F.col("k"))), F.lit(0))
+    ).drop("cuts")
+
+
+def _attach(rows: DataFrame, small: DataFrame, by) -> DataFrame:
+    """Join a per-bucket table; broadcast it when its size is fixed by the bucket count."""
+    return rows.join(small if by else F.broadcast(small), [*by, "bucket"])
 
 
 def running_totals(
-    totals: DataFrame, measures: list[str], descending: bool = False, buckets: int = BUCKETS
+    totals: DataFrame, measures: list[str], descending: bool = False, by=(), buckets: int = BUCKETS
 ) -> DataFrame:
-    """Add ``cum_<m>`` (inclusive running sums in key order) and ``all_<m>`` (grand totals)."""
-    rows = _bucketed(totals, buckets)
+    """Add ``cum_<m>`` (inclusive running sums in key order) and ``all_<m>`` (group totals)."""
+    rows = bucketed(totals, by, buckets)
     order = F.col("bucket").desc() if descending else F.col("bucket")
-    before = W.orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    whole = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    before = _over(by, order).rowsBetween(W.unboundedPreceding, -1)
+    whole = _over(by).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     offsets = (
-        rows.groupBy("bucket")
+        rows.groupBy(*by, "bucket")
         .agg(*[F.sum(m).alias(m) for m in measures])
         .select(
+            *by,
             "bucket",
             *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"off_{m}") for m in measures],
             *[F.sum(m).over(whole).alias(f"all_{m}") for m in measures],
         )
     )
-    inside = (
-        W.partitionBy("bucket")
-        .orderBy(F.col("k").desc() if descending else F.col("k"))
-        .rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
+    key = F.col("k").desc() if descending else F.col("k")
+    inside = _over([*by, "bucket"], key).rowsBetween(W.unboundedPreceding, W.currentRow)
     return (
-        rows.join(F.broadcast(offsets), "bucket")
-        .withColumns(
-            {f"cum_{m}": F.col(f"off_{m}") + F.sum(m).over(inside) for m in measures}
-        )
+        _attach(rows, offsets, by)
+        .withColumns({f"cum_{m}": F.col(f"off_{m}") + F.sum(m).over(inside) for m in measures})
         .drop(*[f"off_{m}" for m in measures])
     )
 
 
-def running_min_from_right(rows: DataFrame, value: str) -> DataFrame:
+def running_min_from_right(rows: DataFrame, value: str, by=()) -> DataFrame:
     """Add ``suffix_min``: the least ``value`` at this key or any larger one.
 
     ``rows`` must already carry ``bucket`` and ``k``.
     """
-    after = W.orderBy(F.col("bucket").desc()).rowsBetween(W.unboundedPreceding, -1)
-    later = rows.groupBy("bucket").agg(F.min(value).alias("m")).select(
-        "bucket", F.min("m").over(after).alias("later")
-    )
-    inside = (
-        W.partitionBy("bucket").orderBy(F.col("k").desc()).rowsBetween(W.unboundedPreceding, 0)
+    after = _over(by, F.col("bucket").desc()).rowsBetween(W.unboundedPreceding, -1)
+    later = rows.groupBy(*by, "bucket").agg(F.min(value).alias("m")).select(
+        *by, "bucket", F.min("m").over(after).alias("later")
     )
+    inside = _over([*by, "bucket"], F.col("k").desc()).rowsBetween(W.unboundedPreceding, 0)
     return (
-        rows.join(F.broadcast(later), "bucket")
+        _attach(rows, later, by)
         .withColumn("suffix_min", F.least(F.min(value).over(inside), F.col("later")))
         .drop("later")
     )
 
 
-def previous_in_order(rows: DataFrame, columns: list[str], descending: bool = False) -> DataFrame:
-    """Add ``prev_<c>`` of the preceding key across bucket borders.
-
-    The last row of each bucket is looked up from a table of at most one row per bucket.
-    """
-    direction = F.col("k").desc() if descending else F.col("k")
-    inside = W.partitionBy("bucket").orderBy(direction)
-    edge = (F.min if descending else F.max)(F.struct("k", *columns))
+def previous_in_order(
+    rows: DataFrame, columns: list[str], descending: bool = False, by=()
+) -> DataFrame:
+    """Add ``prev_<c>`` of the preceding key, also across bucket borders."""
+    key = F.col("k").desc() if descending else F.col("k")
     order = F.col("bucket").desc() if descending else F.col("bucket")
-    last = rows.groupBy("bucket").agg(edge.alias("e")).select(
-        "bucket", F.lag("e").over(W.orderBy(order)).alias("e")
+    edge = (F.min if descending else F.max)(F.struct("k", *columns))
+    last = rows.groupBy(*by, "bucket").agg(edge.alias("e")).select(
+        *by, "bucket", F.lag("e").over(_over(by, order)).alias("e")
     )
+    inside = _over([*by, "bucket"], key)
     return (
-        rows.join(F.broadcast(last), "bucket")
+        _attach(rows, last, by)
         .withColumns(
-            {
-                f"prev_{c}": F.coalesce(F.lag(c).over(inside), F.col(f"e.{c}")) for c in columns
-            }
+            {f"prev_{c}": F.coalesce(F.lag(c).over(inside), F.col(f"e.{c}")) for c in columns}
         )
         .drop("e")
     )

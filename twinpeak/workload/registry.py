@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evidence, ms1, review
+from . import evidence, models, ms1, review
 
-MODULES = (evidence, ms1, review)
+MODULES = (evidence, ms1, review, models)
 
 
 def _all() -> dict:
