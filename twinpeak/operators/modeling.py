@@ -292,7 +292,9 @@ class FitState:
         slopes = self.trial[1:]
         loss = loss + 0.5 * self.inverse_c * float(slopes @ slopes)
         if self.loss is not None:
-            if loss > self.loss - 1e-4 * self.scale * self.slope:
+            # Distributed sums round differently from run to run; allow for that much.
+            slack = 1e-13 * max(1.0, abs(self.loss))
+            if loss > self.loss - 1e-4 * self.scale * self.slope + slack:
                 self.scale *= 0.5
                 self.halvings += 1
                 if self.halvings >= 40:
@@ -375,14 +377,23 @@ def fit_logistic(
             betas = spark.createDataFrame(rows, f"{fold} {kind}, fit int, w1 double, w0 double, {names}")
             joined = design.join(F.broadcast(betas), fold)  # at most folds x configurations rows
             w = F.when(F.col("y") == 1, F.col("w1")).otherwise(F.col("w0"))
-            z = _logit([F.col(f"b{i}") for i in range(dim)], x)
-            flat = joined.select("fit", w.alias("w"), z.alias("z"), "y", *[f"x{i}" for i in range(1, dim)])
+            z = _logit([F.col(f"b{i}") for i in range(dim)], x[1:])
             p = sigmoid(F.col("z"))
-            sums = {"w": F.col("w"), "loss": F.col("w") * log_loss(F.col("z"), F.col("y"))}
+            features = [f"x{i}" for i in range(1, dim)]
+            flat = joined.select("fit", w.alias("w"), z.alias("z"), "y", *features)
+            flat = flat.select(
+                "fit",
+                "w",
+                (F.col("w") * log_loss(F.col("z"), F.col("y"))).alias("loss"),
+                (F.col("w") * (p - F.col("y"))).alias("r"),
+                (F.col("w") * p * (1 - p)).alias("q"),
+                *features,
+            )
+            sums = {"w": F.col("w"), "loss": F.col("loss")}
             for i in range(dim):
-                sums[f"g{i}"] = F.col("w") * (p - F.col("y")) * x[i]
+                sums[f"g{i}"] = F.col("r") * x[i]
                 for j in range(i + 1):
-                    sums[f"h{i}_{j}"] = F.col("w") * p * (1 - p) * x[i] * x[j]
+                    sums[f"h{i}_{j}"] = F.col("q") * x[i] * x[j]
             out = flat.groupBy("fit").agg(*[F.sum(v).alias(k) for k, v in sums.items()]).collect()
             by_id = {i: k for k, i in ids.items()}
             for r in out:

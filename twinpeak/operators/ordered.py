@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import durable
+
 BUCKETS = 256
 
 
@@ -31,7 +33,11 @@ def distinct_totals(df: DataFrame, key: Column, by=(), **measures: Column) -> Da
 
 
 def bucketed(totals: DataFrame, by=(), buckets: int = BUCKETS) -> DataFrame:
-    """Add ``bucket``: how many of the group's quantile cuts lie at or below ``k``."""
+    """Add ``bucket``: how many of the group's quantile cuts lie at or below ``k``.
+
+    The collapsed table is read several times from here on, so it is cut off first.
+    """
+    totals = durable(totals)
     probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     cuts = F.percentile_approx("k", probs, 10_000).alias("cuts")
     if by:

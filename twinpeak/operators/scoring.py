@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import f_half, safe_divide
+from ..session import durable
 from .ordered import distinct_totals, previous_in_order, running_totals
 
 MIN_SPECIFICITY_TARGET = 0.95
@@ -67,7 +68,11 @@ def score_totals(df: DataFrame, by=()) -> DataFrame:
 
 def pr_curve(df: DataFrame, by=()) -> DataFrame:
     """Precision/recall points with tied scores grouped, from the highest score down."""
-    run = running_totals(score_totals(df, by), ["pos", "neg"], descending=True, by=by)
+    return pr_points(score_totals(df, by), by)
+
+
+def pr_points(totals: DataFrame, by=()) -> DataFrame:
+    run = running_totals(totals, ["pos", "neg"], descending=True, by=by)
     points = run.select(
         *by,
         "bucket",
@@ -121,7 +126,7 @@ def binary_metrics(df: DataFrame, threshold: float = 0.5, bins: int = 10) -> Dat
 
     Distinct scores are the only input of every part, so duplicates cost nothing.
     """
-    totals = score_totals(df)
+    totals = durable(score_totals(df))
     n = F.col("pos") + F.col("neg")
     k = F.col("k")
     hit = k >= threshold
@@ -142,7 +147,7 @@ def binary_metrics(df: DataFrame, threshold: float = 0.5, bins: int = 10) -> Dat
     ece = per_bin.agg(
         (F.sum(F.col("n") * F.col("gap")) / F.sum("n")).alias("expected_calibration_error")
     )
-    areas = curve_areas(pr_curve(df))
+    areas = curve_areas(pr_points(totals))
     # Three one-row tables side by side.
     return (
         with_rates(head)
@@ -318,7 +323,7 @@ def group_bootstrap(
     """
     if iterations < 1 or not 0 < confidence < 1:
         raise ValueError("iterations must be positive and confidence in (0, 1)")
-    cells = score_totals(df, ["grp"])
+    cells = durable(score_totals(df, ["grp"]))
     draws = bootstrap_draws(df.sparkSession, cells, iterations, seed)
     by = ["iteration"]
     reps = cells.join(draws, "grp").groupBy("iteration", "k").agg(

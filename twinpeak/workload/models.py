@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spectra
 from ..operators import modeling, scoring, shadow
+from ..session import durable
 from . import sqltext as sql
 from .evidence import r6, scored_pairs
 
@@ -232,7 +233,7 @@ SPECIFICITY_SQL = sql.with_ctes(
 
 
 def conflict_cutoff(spark, d):
-    rows = scored(spark, d)
+    rows = durable(scored(spark, d))
     support = scoring.support_cutoff(rows).select(F.col("threshold").alias("support_threshold"))
     return scoring.conflict_cutoff(rows, support).select(
         "support_threshold", r6("negative_capture"), "conflict_threshold"
@@ -372,7 +373,7 @@ SCALER_SQL = sql.with_ctes(
 
 
 def logistic_fit(spark, d):
-    rows = examples(spark, d).withColumn("fold", F.col("batch_id").cast("string"))
+    rows = durable(examples(spark, d)).withColumn("fold", F.col("batch_id").cast("string"))
     models = modeling.fit_logistic(
         rows.select("fold", "label", *modeling.FEATURES), [(1.0, None), (1.0, "balanced"), (0.01, None)]
     )
@@ -490,7 +491,8 @@ UNTRAINED_SQL = sql.with_ctes(
 
 
 def shadow_transitions(spark, d):
-    out = shadow.apply_model(_text_rows(spark, d), _artifact())
+    # A stored prediction table, as the review step reads one.
+    out = durable(shadow.apply_model(_text_rows(spark, d), _artifact()))
     queue = shadow.disagreements(out)
     return queue.groupBy(
         "comparison_baseline_status", "comparison_v2_normalized_status", "comparison_candidate_status"
