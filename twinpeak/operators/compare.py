@@ -58,6 +58,41 @@ def number_of(df: DataFrame, prefix: str = ""):
     return lambda name: number(text(name))
 
 
+def with_numbers(df: DataFrame, names) -> tuple[DataFrame, object]:
+    """Parse the named text cells once into helper columns; returns (df, name -> column).
+
+    Kept as own columns so that expressions using a value many times do not parse it
+    many times.
+    """
+    text = text_of(df)
+    typed = df.withColumns({f"_n_{n}": number(text(n)) for n in names})
+    return typed, lambda name: F.col(f"_n_{name}")
+
+
+def drop_numbers(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith("_n_")])
+
+
+# Text cells the review views read as numbers.
+VIEW_NUMBERS = (
+    "rt_separation_sec", "ms2_cosine", "ms2_matched_peaks", "dia_window_match_count", "MZ",
+    "Peak1", "Peak2",
+    *[
+        f"{side}_{name}"
+        for side in ("peak_a", "peak_b")
+        for name in (
+            "apex_rt", "rt_window_start", "rt_window_end", "fragment_count",
+            "candidate_fragment_count",
+        )
+    ],
+)
+SCORE_NUMBERS = (
+    "ms2_cosine", "ms2_matched_peaks", "ms2_entropy_similarity", "dia_window_match_count",
+    "peak_a_explained_intensity", "peak_b_explained_intensity", "peak_a_fragment_count",
+    "peak_b_fragment_count",
+)
+
+
 def _occurrence(df: DataFrame, order: str, text) -> DataFrame:
     """Number repeated keys 1, 2, … in row order, and keep the row as one struct.
 
@@ -207,9 +242,8 @@ def compare_runs(
     return queue, summary
 
 
-def similarity_from_text(df: DataFrame) -> Column:
+def similarity_from_text(num, text) -> Column:
     """Similarity struct rebuilt from result scalars; NULL cosine means no comparison."""
-    num, text = number_of(df), text_of(df)
 
     def count(side):
         stated = num(f"{side}_fragment_count")
@@ -242,7 +276,8 @@ def annotate_results(
     kept = kept.withColumns({c: F.lit("") for c in blank})
     if preserve:
         return kept
-    text, num = text_of(results), number_of(results)
+    text = text_of(results)
+    kept, num = with_numbers(kept, SCORE_NUMBERS)
     ref = rules.ms1_reference(F.nullif(text("Peak1"), F.lit("")), F.nullif(text("Peak2"), F.lit("")))
     d = rules.ms2_diagnosis(
         F.col("_sim"),
@@ -254,7 +289,7 @@ def annotate_results(
         thresholds,
     )
     out = (
-        kept.withColumn("_sim", similarity_from_text(results))
+        kept.withColumn("_sim", similarity_from_text(num, text))
         .withColumn("_d", d)
         .withColumn("ms1_reference_status", ref["status"])
         .withColumn("ms1_reference_issue_codes", ref["issue"])
@@ -263,7 +298,7 @@ def annotate_results(
         .withColumn("ms2_review_priority", F.col("_d.priority"))
         .drop("_sim", "_d")
     )
-    return mark_shared_targets(out).drop("_issues")
+    return mark_shared_targets(drop_numbers(out)).drop("_issues")
 
 
 def mark_shared_targets(rows: DataFrame) -> DataFrame:

@@ -62,7 +62,6 @@ def routed_sides(targets: DataFrame, run: Ms2Run, s: ExtractionSettings) -> Data
         s,
     )
     routed = route_targets(ready, run.windows, s.dia_iso_win)
-    hit = F.try_element_at("hits", F.lit(1))
     sides = F.array(
         *[
             F.struct(
@@ -73,9 +72,13 @@ def routed_sides(targets: DataFrame, run: Ms2Run, s: ExtractionSettings) -> Data
             for side in SIDES
         ]
     )
-    rows = routed.select(
-        "row_id", "raw_id", "mz", "match_count", hit.alias("hit"), F.explode(sides).alias("s")
-    )
+    return open_sides(routed.withColumn("s", F.explode(sides)), s)
+
+
+def open_sides(routed: DataFrame, s: ExtractionSettings) -> DataFrame:
+    """Clamp each routed row's RT window ``s`` and m/z band to its nearest DIA window."""
+    hit = F.try_element_at("hits", F.lit(1))
+    rows = routed.select("row_id", "raw_id", "mz", "match_count", hit.alias("hit"), "s")
     lo, hi = clamped_band(
         F.col("mz"), *s.precursor_tolerance, F.col("hit.mz_min"), F.col("hit.mz_max")
     )

@@ -28,6 +28,15 @@ def work_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a plain scan over the cluster when it has fewer splits than work partitions.
+
+    A scan that already has enough splits is returned as it is, without a shuffle.
+    """
+    wanted = work_partitions(scan.sparkSession)
+    return scan if scan.rdd.getNumPartitions() >= wanted else scan.repartition(wanted)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder the session names.
 

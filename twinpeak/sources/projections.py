@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import work_partitions
+from ..session import spread, work_partitions
 
 # Isolation-window centre assigned to each event type.
 WINDOW_CENTRES = {"click": 312.0, "error": 324.0, "purchase": 336.0, "signup": 348.0, "view": 360.0}
@@ -242,4 +242,5 @@ def result_expressions(variant: int) -> dict[str, str]:
 def result_rows(spark: SparkSession, sf_dir: str, variant: int = 0) -> DataFrame:
     """orders -> a text result table, as a result CSV would be read."""
     exprs = result_expressions(variant)
-    return table(spark, sf_dir, "orders").selectExpr(*[f"{e} AS `{n}`" for n, e in exprs.items()])
+    keys = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
+    return keys.selectExpr(*[f"{e} AS `{n}`" for n, e in exprs.items()])

@@ -202,8 +202,8 @@ COVERAGE_SQL = sql.with_ctes(
 
 
 def ms2_views(spark, d):
-    rows = _annotated(spark, d)
-    views = rules.ms2_views(compare.text_of(rows), compare.number_of(rows))
+    rows, num = compare.with_numbers(_annotated(spark, d), compare.VIEW_NUMBERS)
+    views = rules.ms2_views(compare.text_of(rows), num)
     return unnest(rows, ["row_no"], views).groupBy(F.col("p").alias("view")).agg(
         F.count("*").alias("rows"), F.sum("row_no").cast("bigint").alias("id_sum")
     )
