@@ -40,7 +40,7 @@ def ms1_run(scans: DataFrame) -> ms1.Ms1Run:
 def result_table(results: DataFrame) -> DataFrame:
     """Result rows as exchange text: typed helper columns dropped, spectra as text."""
     plain = analyze.with_spectrum_text(results).drop("mz", "peak_a_rt", "peak_b_rt")
-    return sinks.as_text_table(plain)
+    return sinks.as_text_table(tables.expand_source(plain))
 
 
 def analyze_files(
@@ -78,11 +78,11 @@ def annotate_files(
     targets = table.select(
         F.col("row_no").alias("row_id"), F.lit(stem(raw)).alias("raw_id"),
         tables.number(F.col(f"`{mz_column}`")).alias("mz"),
-        *[F.col(f"`{c}`") for c in table.columns if c != "row_no"],
+        tables.source_struct(table),
     )
     run = ms1_run(rawscans.read_raw(spark, [raw]))
     out = durable(ms1.annotate_targets(targets, run, settings))
-    text = sinks.as_text_table(out.drop("mz"))
+    text = sinks.as_text_table(tables.expand_source(out.drop("mz")))
     sinks.write_table(text, output)
     if review_output:
         sinks.write_table(text.where("auto_manual_review_required = 'true'"), review_output)
@@ -211,7 +211,7 @@ def _run_group(spark, jobs, mode, config_path, mz_column, peak_a, peak_b) -> dic
         rows = table.select(
             (F.col("row_no") + F.lit(i << 40)).alias("row_id"), F.lit(stem(job["raw"])).alias("raw_id"),
             F.lit(i).alias("job"), *[c.alias(n) for n, c in typed.items()],
-            *[F.col(f"`{c}`") for c in table.columns if c not in ("row_no", "sample_id")],
+            tables.source_struct(table),
         )
         targets = rows if targets is None else targets.unionByName(rows, allowMissingColumns=True)
     if targets is None:
@@ -233,7 +233,10 @@ def _run_group(spark, jobs, mode, config_path, mz_column, peak_a, peak_b) -> dic
     counts: dict[int, dict] = {}
     for r in results.groupBy("job", name).count().collect():
         counts.setdefault(r["job"], {})[r[name]] = r["count"]
-    table = result_table(results) if mode != "ms1" else sinks.as_text_table(results.drop("mz"))
+    if mode == "ms1":
+        table = sinks.as_text_table(tables.expand_source(results.drop("mz")))
+    else:
+        table = result_table(results)
     for i, job in jobs:
         if i in out:
             continue

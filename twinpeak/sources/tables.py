@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import number
@@ -61,20 +61,33 @@ def require_columns(df: DataFrame, names) -> None:
         raise ValueError(f"table is missing required column(s): {', '.join(missing)}")
 
 
+def source_struct(table: DataFrame) -> Column:
+    """The untouched text cells as one struct, so typed names cannot clash with headers."""
+    return F.struct(*[F.col(f"`{c}`") for c in table.columns if c != "row_no"]).alias("source")
+
+
 def to_targets(
     table: DataFrame, raw_id: str, mz: str = "MZ", peak_a: str = "Peak1", peak_b: str = "Peak2"
 ) -> DataFrame:
-    """Typed target rows beside the untouched text columns."""
+    """Typed target rows (row_id, raw_id, mz, peak_a_rt, peak_b_rt) beside their ``source``."""
     columns = {"mz": mz, "peak_a_rt": peak_a, "peak_b_rt": peak_b}
     typed = {k: number(F.col(f"`{resolve_column(table, v)}`")) for k, v in columns.items()}
     return table.select(
         F.col("row_no").alias("row_id"),
         F.lit(raw_id).alias("raw_id"),
         *[c.alias(k) for k, c in typed.items()],
-        *[F.col(f"`{c}`") for c in table.columns if c != "row_no"],
+        source_struct(table),
     )
 
 
+def expand_source(df: DataFrame) -> DataFrame:
+    """Source columns first, then results; a result replaces a source column of its name."""
+    others = [c for c in df.columns if c != "source"]
+    taken = {c.lower() for c in others}
+    names = [n for n in df.schema["source"].dataType.names if n.lower() not in taken]
+    return df.select(*[F.col(f"source.`{n}`").alias(n) for n in names], *[F.col(c) for c in others])
+
+
 def peak_files(folder: str) -> list[str]:
     return _listing(folder, (".csv", ".xlsx"))
 
