@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import trace as tr
 from ..functions.scalars import let, mz_bounds
 from ..params import PeakPickSettings
-from ..session import work_partitions
+from ..session import durable, work_partitions
 from .dia import bins, mz_bin_width
 
 
@@ -265,9 +265,15 @@ CALL_FIELDS = (
 def annotate_targets(
     targets: DataFrame, run: Ms1Run, c: PeakPickSettings = PeakPickSettings()
 ) -> DataFrame:
-    """Target rows plus automatic MS1 columns; each distinct (raw, m/z) is picked once."""
-    calls = pick_peaks(traces(targets, run, c.eic_ppm), c).select(
-        "raw_id", "mz", F.struct(*CALL_FIELDS).alias("call")
+    """Target rows plus automatic MS1 columns; each distinct (raw, m/z) is picked once.
+
+    The calls are cut off before use: a filter on an automatic column would otherwise be
+    pushed down with a copy of the whole picking expression.
+    """
+    calls = durable(
+        pick_peaks(traces(targets, run, c.eic_ppm), c).select(
+            "raw_id", "mz", F.struct(*CALL_FIELDS).alias("call")
+        )
     )
     joined = targets.join(calls, ["raw_id", "mz"], "left")
     return joined.select(*targets.columns, *[v.alias(k) for k, v in auto_columns().items()])

@@ -31,7 +31,7 @@ from ..operators.dia import (
     rt_windows,
 )
 from ..params import ExtractionSettings, PairThresholds
-from ..session import work_partitions
+from ..session import durable, work_partitions
 
 SIDES = ("peak_a", "peak_b")
 SIDE_FIELDS = (
@@ -427,6 +427,9 @@ def analyze_pairs(
     pair = pivot.withColumn("sim", F.when(~no_window, sim)).withColumn(
         "ps", F.when(~no_window, rules.pair_status(F.col("sim"), thresholds))
     )
+    # Scored pairs are small and everything after is cheap rules. Cutting here keeps a
+    # filter on a result column from being pushed down with copies of the comparison.
+    pair = durable(pair)
     joined = rt_windows(targets, s).join(pair, "row_id", "left")
     one_rt = F.col("peak_a_rt").isNull() | F.col("peak_b_rt").isNull()
     any_rt = F.col("peak_a_rt").isNotNull() | F.col("peak_b_rt").isNotNull()

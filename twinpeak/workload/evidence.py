@@ -560,3 +560,59 @@ QUERIES = {
     "analyze_pairs": (analyze_pairs, ANALYZE_SQL),
     "analyze_status_counts": (analyze_status_counts, ANALYZE_STATUS_SQL),
 }
+
+
+# ---- sweep and two-stage mode --------------------------------------------------------
+
+
+def sensitivity_sweep(spark, d):
+    from ..plans.jobs import sensitivity_sweep as sweep
+
+    variants = [
+        ("min_fragment_correlation", v, SETTINGS.varied(min_fragment_correlation=v)) for v in (0.5, 0.9)
+    ]
+    return sweep(proj.targets(spark, d), ms2_run(spark, d), variants).select(
+        "varied_value", "enantiomer_pair_status", "rows", "both_ms2_spectra"
+    )
+
+
+def _sweep_sql(value: float) -> str:
+    ctes = [c.replace("r > 0.9::DOUBLE", f"r > {value}::DOUBLE") for c in sql.ANALYZE_CTES]
+    return sql.with_ctes(
+        *ctes,
+        select=f"""SELECT {value}::DOUBLE AS varied_value, status AS enantiomer_pair_status, count(*) AS rows,
+        count(*) FILTER (kept_a > 0 AND kept_b > 0) AS both_ms2_spectra FROM final GROUP BY status""",
+    )
+
+
+SWEEP_SQL = f"SELECT * FROM ({_sweep_sql(0.5)}) UNION ALL SELECT * FROM ({_sweep_sql(0.9)})"
+
+
+def two_stage_analysis(spark, d):
+    """MS1 picks supply the two RTs of the MS2 stage, on the same target rows.
+
+    MS1 traces come from one projection and MS2 scans from another, so RTs are folded
+    into the MS2 time axis; the second stage then runs unchanged.
+    """
+    from ..operators import ms1
+    from .ms1 import LEGACY
+
+    calls = ms1.annotate_targets(
+        proj.ms1_targets(spark, d), ms1.run_from_peaks(proj.ms1_peaks(spark, d)), LEGACY
+    )
+    k = F.col("target_id")
+    targets = calls.select(
+        k.alias("row_id"), F.lit("events").alias("raw_id"),
+        (F.lit(312.0) + F.lit(12.0) * (k % 5)).alias("mz"),
+        (F.col("auto_peak1_rt_min") % 11).alias("peak_a_rt"),
+        (F.col("auto_peak2_rt_min") % 11).alias("peak_b_rt"),
+    )
+    return plan.analyze_pairs(targets, ms2_run(spark, d), SETTINGS).groupBy(
+        "ms2_diagnostic_status", "chromatographic_status"
+    ).agg(F.count("*").alias("rows"))
+
+
+QUERIES |= {
+    "sensitivity_sweep": (sensitivity_sweep, SWEEP_SQL),
+    "two_stage_analysis": (two_stage_analysis, None),
+}

@@ -412,3 +412,91 @@ QUERIES = {
     "ms1_review_candidates": (review_candidates, None),
     "ms1_scan_interval": (scan_interval, SCAN_INTERVAL_SQL),
 }
+
+
+# ---- tuning --------------------------------------------------------------------------
+
+
+def _tuned_rows(spark, d, config):
+    run, targets = run_and_targets(spark, d)
+    k = F.col("target_id")
+    reviewed = targets.select(
+        "*", ((k % 250) / F.lit(10.0)).alias("peak1"),
+        F.when(k % 4 != 0, (k % 250) / F.lit(10.0) + F.lit(0.15)).alias("peak2"),
+    )
+    from ..plans import tuning
+
+    rows = tuning.reviewed_rows(reviewed, ms1.traces(targets, run, 3.0), config)
+    return tuning.with_quality(rows, tuning.LEGACY_QUALITY), tuning
+
+
+def tune_two_class(spark, d):
+    rows, tuning = _tuned_rows(spark, d, LEGACY)
+    return tuning.two_class_metrics(rows).select(
+        "max_valley_ratio", "min_resolution", "min_second_peak_ratio", "tp", "fp", "tn", "fn",
+        r6("balanced_accuracy"), r6("precision"),
+    )
+
+
+_TUNE = """
+qg AS (SELECT v, r, s FROM (SELECT unnest([0.5, 0.7, 0.85, 1.0]::DOUBLE[]) AS v) CROSS JOIN (SELECT unnest([0.0, 0.5, 1.0]::DOUBLE[]) AS r)
+  CROSS JOIN (SELECT unnest([0.05, 0.1, 0.2, 0.3]::DOUBLE[]) AS s)),
+tq AS (SELECT c.*, qg.v, qg.r, qg.s, c.target_id % 4 <> 0 AS truth, (c.target_id % 250) / 10.0::DOUBLE AS p1,
+    (c.target_id % 250) / 10.0::DOUBLE + 0.15::DOUBLE AS p2,
+    coalesce(status = 'double_peak' AND valley_ratio <= v AND (r <= 0 OR coalesce(resolution >= r, false)) AND lo / hi >= s, false) AS dbl
+  FROM call c CROSS JOIN qg)
+"""
+TUNE_SQL = sql.with_ctes(
+    M1, picks_sql("", LEGACY), _TUNE,
+    """tm2 AS (SELECT v, r, s, count(*) FILTER (dbl AND truth) AS tp, count(*) FILTER (dbl AND NOT truth) AS fp,
+      count(*) FILTER (NOT dbl AND NOT truth) AS tn, count(*) FILTER (NOT dbl AND truth) AS fn FROM tq GROUP BY v, r, s)""",
+    select="""SELECT v AS max_valley_ratio, r AS min_resolution, s AS min_second_peak_ratio, tp, fp, tn, fn,
+    round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS balanced_accuracy,
+    round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 6) AS precision FROM tm2""",
+)
+
+
+def tune_rt_aware(spark, d):
+    rows, tuning = _tuned_rows(spark, d, LEGACY)
+    return tuning.rt_aware_metrics(rows, 2.0).select(
+        "max_valley_ratio", "min_resolution", "min_second_peak_ratio", "rows", "correct", "mislocalized",
+        "close_double_rows", r6("macro_recall"), r6("double_peak_recall"),
+    )
+
+
+TUNE_RT_SQL = sql.with_ctes(
+    M1, picks_sql("", LEGACY), _TUNE,
+    """tj AS (SELECT *, CASE WHEN truth THEN 'double_peak' ELSE 'single_peak' END AS t,
+      CASE WHEN dbl THEN 'double_peak' WHEN status = 'single_peak' THEN 'single_peak' WHEN m1 IS NULL THEN 'no_peak' ELSE 'ambiguous' END AS c,
+      least(greatest(abs(m1 - p1), abs(m2 - p2)), greatest(abs(m1 - p2), abs(m2 - p1))) <= 2.0 AS both_ok, abs(m1 - p1) <= 2.0 AS one_ok FROM tq)""",
+    "tk AS (SELECT *, t = c AND CASE WHEN truth THEN both_ok ELSE one_ok END AS ok FROM tj)",
+    select="""SELECT v AS max_valley_ratio, r AS min_resolution, s AS min_second_peak_ratio, count(*) AS rows, count(*) FILTER (ok) AS correct,
+    count(*) FILTER (t = c AND NOT ok) AS mislocalized, count(*) FILTER (truth AND abs(p2 - p1) * 60 <= 12.0) AS close_double_rows,
+    round((count(*) FILTER (ok AND truth) / count(*) FILTER (truth) + count(*) FILTER (ok AND NOT truth) / count(*) FILTER (NOT truth)) / 2, 6) AS macro_recall,
+    round(count(*) FILTER (ok AND truth) / count(*) FILTER (truth), 6) AS double_peak_recall FROM tk GROUP BY v, r, s""",
+)
+
+
+def tune_rt_error(spark, d):
+    rows, tuning = _tuned_rows(spark, d, LEGACY)
+    chosen = rows.where("q.max_valley_ratio = 1.0 AND q.min_resolution = 0.0 AND q.min_second_peak_ratio = 0.05")
+    out = tuning.rt_error_summary(chosen)
+    return out.select(
+        "positive_rows", "predicted_double_rows", F.coalesce("both_rt_within_0_1_min", F.lit(0)).alias("within"),
+        r6("median_worst_rt_error_min"), r6("p90_worst_rt_error_min"),
+    )
+
+
+TUNE_ERROR_SQL = sql.with_ctes(
+    M1, picks_sql("", LEGACY), _TUNE,
+    """te AS (SELECT list(greatest(abs(m1 - p1), abs(m2 - p2)) ORDER BY greatest(abs(m1 - p1), abs(m2 - p2))) FILTER (dbl) AS e, count(*) AS n
+      FROM tq WHERE truth AND v = 1.0 AND r = 0.0 AND s = 0.05::DOUBLE)""",
+    select="""SELECT n AS positive_rows, CAST(len(e) AS BIGINT) AS predicted_double_rows,
+    CAST(len(list_filter(e, lambda x: x <= 0.1::DOUBLE)) AS BIGINT) AS within,
+    round(e[len(e) // 2 + 1], 6) AS median_worst_rt_error_min, round(e[CAST(floor(0.9::DOUBLE * (len(e) - 1)) AS INT) + 1], 6) AS p90_worst_rt_error_min FROM te""",
+)
+QUERIES |= {
+    "tune_two_class": (tune_two_class, TUNE_SQL),
+    "tune_rt_aware": (tune_rt_aware, TUNE_RT_SQL),
+    "tune_rt_error": (tune_rt_error, TUNE_ERROR_SQL),
+}
