@@ -194,14 +194,23 @@ def clamped_band(
     return F.greatest(mz_min, lo), F.least(mz_max, hi)
 
 
+def unmatched_key() -> Column:
+    """A negative key spread by (row_id, side): real bins and scans are never negative.
+
+    Outer-join rows without a key would otherwise all hash to one partition.
+    """
+    return -1 - F.pmod(F.xxhash64("row_id", "side"), F.lit(4096))
+
+
 def band_join(bands: DataFrame, peaks: DataFrame, width: float) -> DataFrame:
     """Join (raw_id, win, mz_lo, mz_hi, rt_lo, rt_hi, …) bands to centroids in them.
 
-    Rows with ``mz_lo`` NULL are carried through unmatched.
+    Rows with ``mz_lo`` NULL are carried through unmatched, under a salted key.
     """
     keyed = bands.withColumn(
         "rt_bin", F.explode_outer(bins(F.col("rt_lo"), F.col("rt_hi"), RT_BIN_SEC))
     ).withColumn("mz_bin", F.explode_outer(bins(F.col("mz_lo"), F.col("mz_hi"), width)))
+    keyed = keyed.withColumn("mz_bin", F.coalesce("mz_bin", unmatched_key()))
     p = peaks.select(
         "raw_id",
         "win",

@@ -29,6 +29,7 @@ from ..operators.dia import (
     route_targets,
     rt_join,
     rt_windows,
+    unmatched_key,
 )
 from ..params import ExtractionSettings, PairThresholds
 from ..session import durable, work_partitions
@@ -169,6 +170,7 @@ def candidate_centres(traces: DataFrame, run: Ms2Run, s: ExtractionSettings) ->
         F.col("f.win").alias("win"),
         F.explode_outer("chosen").alias("scan"),
     )
+    wanted = wanted.withColumn("scan", F.coalesce("scan", unmatched_key().cast("int")))
     joined = wanted.join(run.spectra, ["raw_id", "win", "scan"], "left")
     below = F.filter(
         F.coalesce(F.col("peaks"), F.array().cast(spectra.SPECTRUM_TYPE)),
