@@ -10,6 +10,7 @@ from ..functions import rules
 from ..functions.scalars import has_value, number
 from ..functions.spectra import parse_fragments
 from ..params import PairThresholds
+from ..session import durable
 
 # Columns that identify one target across two runs.
 KEY_COLUMNS = (
@@ -197,7 +198,9 @@ def compare_runs(
     order: str = "row_no",
 ) -> tuple[DataFrame, DataFrame]:
     """(queue, summary) of two result tables; the summary is one row."""
-    changed = _changes(pair_runs(baseline, candidate, order))
+    # Cut once: queue and summary both read it, and the change flags become plain columns
+    # instead of long expressions the optimizer would derive constraints from.
+    changed = durable(_changes(pair_runs(baseline, candidate, order)))
     hit = F.col("matched")
     queued = hit & (F.col("status_changed") | (F.lit(not status_changes_only) & F.col("evidence_changed")))
     cand_num, base_num = number_of(changed, "cand"), number_of(changed, "base")

@@ -293,7 +293,7 @@ def sensitivity_sweep(targets: DataFrame, run: dia.Ms2Run, variants: list[tuple]
 
 def review_manifest(annotated: DataFrame, context: dict) -> DataFrame:
     """One manifest row per target with identity, evidence and its review views."""
-    annotated, num = compare.with_numbers(annotated, compare.VIEW_NUMBERS)
+    annotated, num = compare.with_numbers(durable(annotated), compare.VIEW_NUMBERS)
     text = compare.text_of(annotated)
     views = rules.ms2_views(text, num)
     lower, upper = context.get("window_lower"), context.get("window_upper")
@@ -318,7 +318,7 @@ def review_manifest(annotated: DataFrame, context: dict) -> DataFrame:
     all_views = F.array_distinct(
         F.array_compact(F.concat(views, F.array(F.nullif(coverage, F.lit("")))))
     )
-    return annotated.select(
+    manifest = annotated.select(
         uid.alias("target_uid"),
         F.lit(context.get("dataset_id", "")).alias("dataset_id"),
         F.lit(context.get("standard_id", "")).alias("standard_id"),
@@ -342,11 +342,14 @@ def review_manifest(annotated: DataFrame, context: dict) -> DataFrame:
         F.concat_ws("/", F.lit("svg"), F.concat(folder_component(text("Compound_ID")), F.lit("_"), uid, F.lit(".svg"))).alias("svg_asset_path"),
         all_views.alias("views"),
     )
+    # Cut, so that no later step reasons over or copies the view expression.
+    return durable(manifest)
 
 
 def view_index(manifest: DataFrame) -> DataFrame:
     """(view, target_uid, svg path): a table instead of a tree of linked files."""
-    return manifest.select(F.explode("views").alias("view"), "target_uid", "svg_asset_path")
+    rows = manifest.select(F.explode_outer("views").alias("view"), "target_uid", "svg_asset_path")
+    return rows.where(F.col("view").isNotNull())
 
 
 def build_report(annotated: DataFrame, output: str, title: str = "MS2 review", max_spectra: int = 0) -> dict:
