@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import number
+from ..session import durable
 
 
 def read_table(spark: SparkSession, path: str, keep_blank: bool = False) -> DataFrame:
@@ -28,10 +29,13 @@ def _clean(raw: DataFrame, keep_blank: bool) -> DataFrame:
     cells = F.array(*[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in raw.columns])
     rows = raw if keep_blank else raw.where(F.exists(cells, lambda v: F.trim(v) != ""))
     named = [c for c in raw.columns if not c.startswith("_c")]
-    return rows.select(
+    cleaned = rows.select(
         *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in named],
         F.monotonically_increasing_id().alias("row_no"),
     )
+    # Cut: the blank-row test names every column, and on a wide table the optimizer would
+    # derive a combinatorial number of constraints from it. It also fixes the row numbers.
+    return durable(cleaned)
 
 
 def _read_spreadsheet(spark: SparkSession, path: str, keep_blank: bool) -> DataFrame:
