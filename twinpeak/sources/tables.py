@@ -27,15 +27,16 @@ def read_table(spark: SparkSession, path: str, keep_blank: bool = False) -> Data
 
 def _clean(raw: DataFrame, keep_blank: bool) -> DataFrame:
     cells = F.array(*[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in raw.columns])
-    rows = raw if keep_blank else raw.where(F.exists(cells, lambda v: F.trim(v) != ""))
+    filled = F.lit(True) if keep_blank else F.exists(cells, lambda v: F.trim(v) != "")
     named = [c for c in raw.columns if not c.startswith("_c")]
-    cleaned = rows.select(
+    cleaned = raw.select(
         *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in named],
+        filled.alias("_filled"),
         F.monotonically_increasing_id().alias("row_no"),
     )
     # Cut: the blank-row test names every column, and on a wide table the optimizer would
     # derive a combinatorial number of constraints from it. It also fixes the row numbers.
-    return durable(cleaned)
+    return durable(cleaned).where("_filled").drop("_filled")
 
 
 def _read_spreadsheet(spark: SparkSession, path: str, keep_blank: bool) -> DataFrame:
