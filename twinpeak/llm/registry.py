@@ -1,7 +1,9 @@
 """Corpus queries: name -> (Spark callable, SQL text or None)."""
 
-from . import exact_dedup
+from . import exact_dedup, mixing, secrets
 
 QUERIES = {
+    "op2_source_mixing": (mixing.op2, mixing.SQL),
     "op6_exact_dedup": (exact_dedup.op6, exact_dedup.SQL),
+    "op9_secret_scans": (secrets.op9, secrets.SQL),
 }
