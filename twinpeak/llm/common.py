@@ -15,8 +15,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Stands for a missing doc_id in join keys; keys always hold a fingerprint of the text too.
 NO_ID = -(2**63)
-#: Copies that a hot key's small side is dealt out to.
-SALTS = 32
 #: A key is hot when it holds at least one row in so many; so there are at most as many hot keys.
 HOT_SHARE = 1000
 
@@ -87,15 +85,6 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
 
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
     """Keys holding at least 1/HOT_SHARE of the rows: at most HOT_SHARE rows, safe to broadcast."""
-    counts = stored(df.groupBy(key).count().filter("count > 1"))
-    floor = max(2, df.count() // HOT_SHARE)
+    counts = stored(df.groupBy(key).count())
+    floor = max(2, (counts.agg(F.sum("count")).first()[0] or 0) // HOT_SHARE)
     return counts.filter(F.col("count") >= floor).select(key, F.lit(True).alias("_hot"))
-
-
-def salted_join(many: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame, hot_key: str, spread: Column) -> DataFrame:
-    """Inner join of many rows per key with one row per key; hot keys are dealt to SALTS tasks."""
-    salt = F.when(F.col("_hot"), F.pmod(spread, F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    left = many.join(F.broadcast(hot), hot_key, "left").withColumn("_salt", salt).drop("_hot")
-    right = one.join(F.broadcast(hot), hot_key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return left.join(right, [*keys, "_salt"]).drop("_salt")

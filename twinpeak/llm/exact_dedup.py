@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, documents, hot_keys, lower_ascii, numbered, salted_join, stored
+from .common import NO_ID, documents, hot_keys, lower_ascii, numbered, stored
 
 KEY = ["_id", "_len", "_hash"]
 
@@ -32,12 +32,17 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cut = F.when(F.col("_len") == 0, F.array(F.lit(""))).otherwise(cut)
     blocks = rows.select(*KEY, F.posexplode(cut).alias("_pos", "_block")).withColumn("_print", F.xxhash64("_block"))
     hot = hot_keys(blocks, "_print")
-    # the content is moved once to choose each block's first place, which stands for it from then on
-    first = blocks.groupBy("_print", "_block").agg(F.min(F.struct(*KEY, "_pos")).alias("_first"))
+    # a block's first place stands for it from then on
+    firsts = lambda some: some.groupBy("_print", "_block").agg(F.min(F.struct(*KEY, "_pos")).alias("_first"))
+    cold = blocks.join(F.broadcast(hot), "_print", "left_anti")
+    warm = blocks.join(F.broadcast(hot), "_print", "left_semi")
+    # hot blocks (HOT_SHARE fingerprints at most) stay where they are; of the others, each side
+    # moves once, and the join reads the grouped side where grouping left it
     placed = stored(
-        salted_join(blocks, first, ["_print", "_block"], hot, "_print", F.xxhash64(*KEY)).select(
-            *KEY, "_pos", F.struct("_first.*").alias("_first")
-        ).distinct()
+        cold.join(firsts(cold), ["_print", "_block"])
+        .unionByName(warm.join(F.broadcast(firsts(warm)), ["_print", "_block"]))
+        .select(*KEY, "_pos", "_first")
+        .distinct()
     )
     flat = placed.select(*KEY, "_pos", *[F.col(f"_first.{c}").alias(f"f{c}") for c in (*KEY, "_pos")])
     names = numbered(flat.select("f_id", "f_len", "f_hash", "f_pos").distinct(), ["f_id", "f_len", "f_hash", "f_pos"], "_name")
