@@ -1,10 +1,11 @@
 """Corpus queries: name -> (Spark callable, SQL text or None)."""
 
-from . import exact_dedup, mixing, quality_rules, secrets
+from . import exact_dedup, language_id, mixing, quality_rules, secrets
 
 QUERIES = {
     "op2_source_mixing": (mixing.op2, mixing.SQL),
     "op6_exact_dedup": (exact_dedup.op6, exact_dedup.SQL),
     "op7_quality_rules": (quality_rules.op7, quality_rules.SQL),
     "op9_secret_scans": (secrets.op9, secrets.SQL),
+    "op10_language_id": (language_id.op10, None),
 }
