@@ -1,12 +1,13 @@
 """Corpus queries: name -> (Spark callable, SQL text or None)."""
 
-from . import exact_dedup, language_id, mixing, quality_classifier, quality_rules, secrets
+from . import exact_dedup, language_id, line_dedup, mixing, quality_classifier, quality_rules, secrets
 
 QUERIES = {
     "op2_source_mixing": (mixing.op2, mixing.SQL),
     "op5_quality_classifier": (quality_classifier.op5, None),
     "op6_exact_dedup": (exact_dedup.op6, exact_dedup.SQL),
     "op7_quality_rules": (quality_rules.op7, quality_rules.SQL),
+    "op8_line_dedup": (line_dedup.op8, line_dedup.SQL),
     "op9_secret_scans": (secrets.op9, secrets.SQL),
     "op10_language_id": (language_id.op10, None),
 }
