@@ -1,9 +1,10 @@
 """Corpus queries: name -> (Spark callable, SQL text or None)."""
 
-from . import exact_dedup, jaccard_join, language_id, line_dedup, mixing, quality_classifier, quality_rules, secrets
+from . import exact_dedup, jaccard_join, language_id, line_dedup, mixing, quality_classifier, quality_rules, secrets, substring_dedup
 
 QUERIES = {
     "op2_source_mixing": (mixing.op2, mixing.SQL),
+    "op3_substring_dedup": (substring_dedup.op3, None),
     "op4_ngram_jaccard_join": (jaccard_join.op4, jaccard_join.SQL),
     "op5_quality_classifier": (quality_classifier.op5, None),
     "op6_exact_dedup": (exact_dedup.op6, exact_dedup.SQL),
