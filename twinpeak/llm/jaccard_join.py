@@ -375,7 +375,7 @@ def exact_links(members: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id.
+    """One row per input row: doc_id, n_shingles, component_id, and _text_print of the text.
 
     component_id is the smallest doc_id that links reach. Texts without words, and null ones, have
     an empty set and link with nothing, not even with each other. Repeated rows and ids are fine;
@@ -407,12 +407,25 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     least = named.groupBy("_root").agg(F.min("_least").alias("component_id"))
     ids = stored(named.join(least, "_root").select("_print", "component_id"))
     # empty sets have no class; they keep out of the join, where they would share a key
-    full = sets.filter("_print is not null").join(ids, "_print").select("doc_id", "n_shingles", "component_id")
-    return full.unionByName(sets.filter("_print is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    full = sets.filter("_print is not null").join(ids, "_print").select("doc_id", "n_shingles", "component_id", "_text_print")
+    return full.unionByName(sets.filter("_print is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "_text_print"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each group, with all its columns: that of the smallest id, then fingerprint.
+
+    Rows without words all stay, but for repeated ones.
+    """
+    groups = similar_groups(docs).withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID)))
+    groups = stored(groups)
+    full = groups.filter("n_shingles > 0").groupBy(F.coalesce("component_id", F.lit(NO_ID))).agg(F.min(F.struct("_id", "_text_print")).alias("_row"))
+    stay = full.select("_row.*").unionByName(groups.filter("n_shingles = 0").select("_id", "_text_print")).distinct()
+    keyed = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(NO_ID)), "_text_print": F.xxhash64(F.coalesce("text", F.lit("")))})
+    return keyed.join(stored(stay).hint("merge"), ["_id", "_text_print"], "left_semi").dropDuplicates(["_id", "_text_print"]).select(*docs.columns)
 
 
 def op4(spark, sf_dir):
-    return similar_groups(documents(spark, sf_dir))
+    return similar_groups(documents(spark, sf_dir)).drop("_text_print")
 
 
 SQL = f"""

@@ -1,8 +1,9 @@
 """Corpus queries: name -> (Spark callable, SQL text or None)."""
 
-from . import exact_dedup, jaccard_join, language_id, line_dedup, mixing, quality_classifier, quality_rules, secrets, substring_dedup
+from . import exact_dedup, jaccard_join, language_id, line_dedup, mixing, quality_classifier, quality_rules, secrets, sentencepieces, substring_dedup
 
 QUERIES = {
+    "op1_sentencepiece": (sentencepieces.op1, None),
     "op2_source_mixing": (mixing.op2, mixing.SQL),
     "op3_substring_dedup": (substring_dedup.op3, None),
     "op4_ngram_jaccard_join": (jaccard_join.op4, jaccard_join.SQL),
