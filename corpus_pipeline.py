@@ -20,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of line runs cut (8); documents that lose every line go."""
-    return line_dedup.keep_first_lines(docs)
+    """Later copies of line runs cut (8), n_chars as the text is now; documents that lose every line go."""
+    return line_dedup.keep_first_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

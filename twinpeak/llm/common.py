@@ -41,6 +41,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def carried(docs: DataFrame, **keys: Column) -> DataFrame:
+    """The rows packed into _doc, beside key columns whose names can't clash with theirs."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *[e.alias(k) for k, e in keys.items()])
+
+
 def let(value: Column, body) -> Column:
     """Bind an array expression once for a lambda that reads it many times."""
     return F.transform(F.array(value), body)[0]

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, documents, stored, work_partitions
+from .common import NO_ID, carried, documents, stored, work_partitions
 from .components import components
 
 #: Words of a shingle, and the threshold as percent of the union.
@@ -420,8 +420,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     groups = stored(groups)
     full = groups.filter("n_shingles > 0").groupBy(F.coalesce("component_id", F.lit(NO_ID))).agg(F.min(F.struct("_id", "_text_print")).alias("_row"))
     stay = full.select("_row.*").unionByName(groups.filter("n_shingles = 0").select("_id", "_text_print")).distinct()
-    keyed = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(NO_ID)), "_text_print": F.xxhash64(F.coalesce("text", F.lit("")))})
-    return keyed.join(stored(stay).hint("merge"), ["_id", "_text_print"], "left_semi").dropDuplicates(["_id", "_text_print"]).select(*docs.columns)
+    keyed = carried(docs, _id=F.coalesce("doc_id", F.lit(NO_ID)), _text_print=F.xxhash64(F.coalesce("text", F.lit(""))))
+    return keyed.join(stored(stay).hint("merge"), ["_id", "_text_print"], "left_semi").dropDuplicates(["_id", "_text_print"]).select("_doc.*")
 
 
 def op4(spark, sf_dir):

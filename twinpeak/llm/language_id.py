@@ -144,18 +144,18 @@ def sample_windows(docs: DataFrame, id_col: str, text_col: str, label_col: str)
 
     Documents are the first by a hash of their id, windows lie anywhere in the text.
     """
-    fit = docs.filter(~held_out(F.col(id_col)) & F.col(label_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    ids = fit.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label"), F.xxhash64(F.col(id_col), F.lit(1)).alias("_h"))
-    first = Window.partitionBy("_label").orderBy("_h", "_id")
-    ids = ids.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= DOCS_PER_LANG)
-    ids = stored(ids.select("_id").distinct())
-    size = F.length(F.encode(F.col(text_col), "utf-8"))
-    spot = lambda j: F.pmod(F.xxhash64(F.col(id_col), j), F.greatest(size - SPAN + 1, F.lit(1))).cast("int")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
+    rows = rows.filter(~held_out(F.col("id")) & F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    first = Window.partitionBy("label").orderBy("_h", "id")
+    ids = rows.select("id", "label", F.xxhash64("id", F.lit(1)).alias("_h")).withColumn("_n", F.row_number().over(first))
+    ids = stored(ids.filter(F.col("_n") <= DOCS_PER_LANG).select("id").distinct())
+    size = F.octet_length("text")
+    spot = lambda j: F.pmod(F.xxhash64("id", j), F.greatest(size - SPAN + 1, F.lit(1))).cast("int")
     windows = F.transform(
-        F.sequence(F.lit(1), F.lit(WINDOWS_PER_DOC)), lambda j: F.substring(F.encode(F.col(text_col), "utf-8"), spot(j) + 1, F.lit(SPAN))
+        F.sequence(F.lit(1), F.lit(WINDOWS_PER_DOC)), lambda j: F.substring(F.encode("text", "utf-8"), spot(j) + 1, F.lit(SPAN))
     )
-    rows = fit.join(ids, F.col(id_col) == F.col("_id"), "left_semi")
-    return rows.select(F.col(label_col).alias("label"), F.col(id_col).alias("id"), F.explode(windows).alias("window"))
+    # at most DOCS_PER_LANG ids a label; rows that repeat an id bring the same windows
+    return rows.join(ids, "id", "left_semi").select("label", "id", F.explode(windows).alias("window"))
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Network | None:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, WORD, documents, let, numbered, stored
+from .common import NO_ID, WORD, carried, documents, let, numbered, stored
 
 #: Fewest words of a run that is worth deleting.
 MIN_WORDS = 5
@@ -25,14 +25,13 @@ KEY = ["_id", "_print"]
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.withColumns({
-        "_id": F.coalesce(F.col(id_col), F.lit(NO_ID)), "_print": F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))),
-    })
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return carried(docs, _id=F.coalesce(F.col(id_col), F.lit(NO_ID)), _print=F.xxhash64(text))
 
 
 def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Lines that hold a word: key, _pos among all lines, _ord among these, 128-bit _line, _words."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(F.col(f"_doc.{text_col}"), F.lit(""))
     parts = let(F.split(text, "\n", -1), lambda x: F.transform(x, lambda s, i: F.struct(i.alias("_pos"), s.alias("_text"))))
     full = F.filter(parts, lambda p: p["_text"].rlike(WORD))
     rows = _keyed(docs, id_col, text_col).select(*KEY, F.posexplode(full).alias("_ord", "_row"))
@@ -107,26 +106,31 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
 
     Lines are compared as they are. Lines without a word stay where they are and don't end a run.
     Null text stays null and has no lines. Rows that repeat an id and text are one document, so
-    they don't delete each other. Extra columns are kept. An empty table stays empty.
+    they don't delete each other. Extra columns are kept, but for ones named n_lines or n_removed.
+    An empty table stays empty.
     """
     gone = repeated_later(docs, min_words, id_col, text_col).groupBy(*KEY).agg(F.collect_set("_pos").alias("_gone"))
-    lines = F.split(F.col(text_col), "\n", -1)
+    text = F.col(f"_doc.{text_col}")
 
     def left(x):
         kept = F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone"))
         return F.array_join(F.transform(kept, lambda i: x[i]), "\n")
 
-    cut = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(let(lines, left))
-    filled = F.size(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1), lambda s: s.rlike(WORD))).cast("long")
+    cut = F.when(F.col("_gone").isNull(), text).otherwise(let(F.split(text, "\n", -1), left))
+    filled = F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda s: s.rlike(WORD))
     joined = _keyed(docs, id_col, text_col).join(stored(gone), KEY, "left")
-    return joined.withColumns(
-        {"n_lines": filled, "n_removed": F.coalesce(F.size(F.col("_gone")), F.lit(0)).cast("long"), text_col: cut}
-    ).withColumn("n_removed", F.greatest("n_removed", F.lit(0))).select(*docs.columns, "n_lines", "n_removed")
+    named = [F.col(f"_new.`{c}`").alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return joined.select(
+        F.col("_doc").withField(text_col, cut).alias("_new"), F.size(filled).cast("long").alias("n_lines"),
+        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"),
+    ).select(*named, "n_lines", "n_removed")
 
 
 def keep_first_lines(docs: DataFrame) -> DataFrame:
     """Documents with later copies cut out; those that had words and lost all of them go."""
-    return dedup_lines(docs).filter("n_removed = 0 or n_removed < n_lines").select(*docs.columns)
+    packed = carried(docs, doc_id=F.col("doc_id"), text=F.col("text"))
+    left = dedup_lines(packed).filter("n_removed = 0 or n_removed < n_lines")
+    return left.select(F.col("_doc").withField("text", F.col("text")).alias("_doc")).select("_doc.*")
 
 
 def op8(spark, sf_dir):

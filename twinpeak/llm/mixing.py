@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, documents, numbered, stored, word_count
+from .common import NO_ID, carried, documents, numbered, stored, word_count
 
 #: The weights of the contract.
 WEIGHTS = (5, 2, 1)
@@ -115,11 +115,12 @@ def mix(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str =
         .groupBy(*keys)
         .agg(F.sum("repeats").alias("_sum"), F.count(F.lit(1)).alias("_alike"))
     )
-    keyed = docs.withColumns({
-        "_id": F.coalesce(F.col(id_col), F.lit(NO_ID)),
-        "_source": F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n")),
-        "_print": F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))),
-    })
+    keyed = carried(
+        docs,
+        _id=F.coalesce(F.col(id_col), F.lit(NO_ID)),
+        _source=F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n")),
+        _print=F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))),
+    )
     # rows alike in id, source and text share what they were given
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1)))
     times = F.floor(F.col("_sum") / F.col("_alike")) + F.when(place <= F.col("_sum") % F.col("_alike"), 1).otherwise(0)
@@ -128,7 +129,7 @@ def mix(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str =
         .withColumn("_times", times)
         .filter("_times > 0")
         .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
-        .select(*docs.columns)
+        .select("_doc.*")
     )
 
 
