@@ -106,7 +106,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
 
     Lines are compared as they are. Lines without a word stay where they are and don't end a run.
     Null text stays null and has no lines. Rows that repeat an id and text are one document, so
-    they don't delete each other. Extra columns are kept, but for ones named n_lines or n_removed.
+    they don't delete each other. A run that overlaps its own later copy is cut to what comes before. Extra columns are kept, but for ones named n_lines or n_removed.
     An empty table stays empty.
     """
     gone = repeated_later(docs, min_words, id_col, text_col).groupBy(*KEY).agg(F.collect_set("_pos").alias("_gone"))
