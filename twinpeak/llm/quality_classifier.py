@@ -53,7 +53,7 @@ def models(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: s
     Each task adds up its own part of the corpus first.
     """
     trusted = good.select(F.col(id_col).alias("_id"), F.lit(True).alias("_good")).distinct()
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(trusted, "_id", "left").select("_text", "_good")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(trusted.hint("merge"), "_id", "left").select("_text", "_good")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, sums = Grams(), np.zeros((2, BUCKETS), np.int64)
