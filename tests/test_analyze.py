@@ -252,8 +252,8 @@ def test_files_end_to_end(spark, tmp_path):
     out = str(tmp_path / "result")
     side = jobs.analyze_files(spark, table, [raw], out, ExtractionSettings(rt_half_window_sec=8.0))
     assert side["status_counts"] == {"candidate_enantiomer_pair": 1, "not_evaluated": 1}
-    assert side["dia_window_provenance"]["raw_bounds_window_count"] == 1
-    assert side["provenance_layers"]["raw_observed"]["scan_counts"] == {"ms1": 6, "ms2": 6}
+    assert side["windows"]["with_raw_bounds"] == 1
+    assert side["raw"]["scan_counts"] == {"ms1": 6, "ms2": 6}
     assert len(side["inputs"]) == 2 and os.path.exists(out + ".metadata.json")
     rows = {r["Compound_ID"]: r for r in tables.read_table(spark, out).collect()}
     assert rows["A"]["ms2_matched_peaks"] == "6" and rows["A"]["peak_a_MS2"].startswith("100,3000;")
@@ -292,3 +292,33 @@ def test_manifest_preparation_needs_a_unique_raw_file(spark, tmp_path):
 def test_sweep_variants_are_distinct():
     variants = jobs.sweep_settings()
     assert len(variants) == len({repr(v[2]) for v in variants}) == 19
+
+
+def test_start_tags_may_end_in_any_white_space(spark, tmp_path):
+    """Newlines and tabs after the tag name, nested scans, and longer names are all told apart."""
+    peaks = '<peaks precision="32" byteOrder="network">Q5YAAEPIAAA=</peaks>'
+    text = (
+        f'<mzXML><scan num="1" msLevel="1" retentionTime="PT1S">{peaks}'
+        f'<scan\n num="2" msLevel="2" retentionTime="PT2S"><precursorMz>300</precursorMz>{peaks}</scan></scan>\n'
+        f'<scan\tnum="3" msLevel="2" retentionTime="PT3S"><scanOrigin parentFileID="x"/><precursorMz>310</precursorMz>{peaks}</scan></mzXML>'
+    )
+    path = tmp_path / "tags.mzXML"
+    path.write_text(text)
+    found = {r.scan_no: (r.ms_level, r.win) for r in rawscans.read_raw(spark, [str(path)]).collect()}
+    assert found == {1: (1, None), 2: (2, 300.0), 3: (2, 310.0)}
+
+
+def test_rows_are_numbered_densely_over_many_files(spark, tmp_path):
+    for i in range(130):
+        (tmp_path / f"part-{i:03}.csv").write_text(f"Compound_ID,MZ\nc{i},1\nd{i},2\n")
+    rows = tables.read_table(spark, str(tmp_path)).collect()
+    assert sorted(r.row_no for r in rows) == list(range(260))
+
+
+def test_two_raw_files_give_labelled_ordered_rows(spark, tmp_path):
+    first, table = write_case(tmp_path)
+    second, _ = write_case(tmp_path, "run_B01")
+    out = str(tmp_path / "both")
+    jobs.analyze_files(spark, table, [first, second], out, ExtractionSettings(rt_half_window_sec=8.0))
+    rows = tables.read_table(spark, out).orderBy("row_no").collect()
+    assert [(r["raw_file"], r["Compound_ID"]) for r in rows] == [("run_A01", "A"), ("run_A01", "B"), ("run_B01", "A"), ("run_B01", "B")]

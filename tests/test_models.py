@@ -1,4 +1,5 @@
 import math
+import hashlib
 import random
 
 import numpy as np
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinpeak.operators import compare, effects, modeling, scoring, shadow
-from twinpeak.plans import acquisition, contracts, training
+from twinpeak.plans import contracts, training
 
 FEATURE_DDL = ", ".join(f"{f} double" for f in modeling.FEATURES)
 EXAMPLE = f"row_id string, compound_id string, batch_id string, label int, {FEATURE_DDL}"
@@ -100,22 +101,34 @@ def test_bootstrap_equals_a_direct_resampling(spark):
     df = spark.createDataFrame(rows, "grp string, label int, score double")
     got = {r.metric: r for r in scoring.group_bootstrap(df, iterations=40, seed=3).collect()}
     groups = sorted({g for g, _, _ in rows})
-    draw = random.Random(3)
+
+    def draw(i, j):
+        return groups[int(hashlib.md5(f"3:{i}:{j}".encode()).hexdigest()[:13], 16) % len(groups)]
+
     recalls, briers = [], []
-    for _ in range(40):
-        pick = [draw.choice(groups) for _ in groups]
+    for i in range(-1, 40):
+        pick = [draw(i, j) for j in range(len(groups))] if i >= 0 else groups
         sample = [r for g in pick for r in rows if r[0] == g]
         if len({r[1] for r in sample}) < 2:
             continue
         pos = [r for r in sample if r[1] == 1]
         recalls.append(sum(r[2] >= 0.5 for r in pos) / len(pos))
         briers.append(sum((r[2] - r[1]) ** 2 for r in sample) / len(sample))
+    assert (got["recall"].estimate, got["brier_score"].estimate) == pytest.approx((recalls.pop(0), briers.pop(0)))
     for name, values in (("recall", recalls), ("brier_score", briers)):
         assert got[name].lower == pytest.approx(np.percentile(values, 2.5))
         assert got[name].upper == pytest.approx(np.percentile(values, 97.5))
         assert got[name].successful_iterations == len(values)
 
 
+def test_bootstrap_needs_both_classes_and_two_groups(spark):
+    schema = "grp string, label int, score double"
+    with pytest.raises(Exception, match="both classes"):
+        scoring.group_bootstrap(spark.createDataFrame([("a", 1, 0.5), ("b", 1, 0.4)], schema), iterations=3).collect()
+    with pytest.raises(ValueError, match="two groups"):
+        scoring.group_bootstrap(spark.createDataFrame([("a", 1, 0.5), ("a", 0, 0.4)], schema), iterations=3)
+
+
 def examples(spark, rows):
     return spark.createDataFrame(rows, EXAMPLE)
 
@@ -254,15 +267,3 @@ def test_preserve_mode_keeps_supplied_diagnostics(spark):
     df = spark.createDataFrame([(0, "kept", "mine")], "row_no long, ms2_diagnostic_status string, manual_notes string")
     r = compare.annotate_results(df, preserve=True).first()
     assert (r.ms2_diagnostic_status, r.manual_notes, r.manual_reviewer, r.review_row) == ("kept", "mine", "", 1)
-
-
-def test_acquisition_reconciliation():
-    observed = {"observed_values": {"windowWideness": [{"value": "15.0", "count": 2}], "collisionEnergy": [{"value": "35.0", "count": 2}],
-                                    "activationMethod": [{"value": "HCD", "count": 2}]}}
-    method = {"profile_id": "p", "acquisition": {"dia": {"nominal_isolation_width_mz": 20, "stepped_hcd_percent": [20, 30],
-              "activation_method": "HCD", "files_per_sample": 3}}, "processing_reference": {"min_chromatographic_correlation": 0.9}}
-    out = acquisition.reconcile(observed, method, {"min_fragment_correlation": 0.9}, [{"lower": 395.5, "upper": 410.5}])
-    assert {"RAW_VS_REFERENCE_DIA_WIDTH_DIFFER", "RAW_VS_REFERENCE_COLLISION_ENERGY_DIFFER",
-            "REFERENCE_THREE_DIA_FILES_CURRENT_INPUT_ONE"} <= set(out["issue_codes"])
-    assert "CHROMATOGRAPHIC_CORRELATION_0_9" in out["matches"]
-    assert acquisition.reconcile({}, {})["status"] == "metadata_unavailable"

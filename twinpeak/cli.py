@@ -70,7 +70,7 @@ def build_parser() -> argparse.ArgumentParser:
 def main(argv=None, spark=None) -> dict:
     from . import sinks
     from .operators import compare, shadow
-    from .plans import acquisition, contracts, jobs, training, tuning
+    from .plans import contracts, jobs, training, tuning
     from .sources import rawscans, tables
 
     args = build_parser().parse_args(argv)
@@ -98,26 +98,19 @@ def main(argv=None, spark=None) -> dict:
         return jobs.build_report(rows, args.output, max_spectra=args.max_spectra)
     if name == "export-review":
         side = tables.read_json(args.sidecar) if args.sidecar else {}
-        layers = side.get("provenance_layers", {})
-        method = tables.read_json(args.method_profile) if args.method_profile else layers.get("reference_method", {})
-        windows = side.get("dia_window_provenance", {})
-        settled = acquisition.reconcile(
-            layers.get("raw_observed", {}), method, side.get("parameters"),
-            [{"lower": windows.get("lower"), "upper": windows.get("upper")}],
-        )
+        method = tables.read_json(args.method_profile) if args.method_profile else side.get("method", {})
+        windows = side.get("windows", {})
         t = {k: v for k, v in side.get("parameters", {}).items() if k in PairThresholds.__dataclass_fields__}
         rows = compare.annotate_results(tables.read_table(spark, args.input), PairThresholds(**t))
         context = {
             "dataset_id": args.dataset_id, "window_lower": windows.get("lower"), "window_upper": windows.get("upper"),
             "config_hash": training.canonical_sha256({"parameters": side.get("parameters", {}), "method": method})[:10],
-            "method_profile_id": method.get("profile_id", ""), "reconciliation_status": settled["status"],
-            "issue_codes": settled["issue_codes"],
+            "method_profile_id": method.get("profile_id", ""),
         }
         manifest = jobs.review_manifest(rows, context)
         sinks.write_table(sinks.as_text_table(manifest), os.path.join(args.output, "target_manifest"))
         sinks.write_table(jobs.view_index(manifest), os.path.join(args.output, "view_index"))
-        sinks.write_json(settled, os.path.join(args.output, "acquisition_reconciliation.json"))
-        return {"output": args.output, "reconciliation": settled["status"]}
+        return {"output": args.output}
     if name == "compare":
         base, cand = (tables.read_table(spark, p) for p in (args.baseline, args.candidate))
         queue, summary = compare.compare_runs(base, cand, args.status_changes_only)

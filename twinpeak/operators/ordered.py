@@ -1,8 +1,8 @@
 """Ordered prefix sums over a whole table without a single-task window.
 
 Rows are first collapsed to distinct values, then split at approximate quantiles. Each
-bucket is scanned on its own; bucket totals (a fixed, small number of rows) give the
-offsets. A heavy value is one row after the collapse, so it cannot make a heavy bucket.
+bucket is scanned on its own; bucket totals (a few rows, by the number of distinct values) give
+the offsets. A heavy value is one row after the collapse, so it cannot make a heavy bucket.
 Every function takes ``by``: independent groups, each with its own buckets.
 """
 
@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..session import durable
 
-BUCKETS = 256
+#: Distinct values that a bucket holds about, and the most buckets that one list of cuts has.
+PER_BUCKET, MOST_CUTS = 4096, 1 << 16
 
 
 def _over(by, *order) -> W:
@@ -32,12 +33,14 @@ def distinct_totals(df: DataFrame, key: Column, by=(), **measures: Column) -> Da
     )
 
 
-def bucketed(totals: DataFrame, by=(), buckets: int = BUCKETS) -> DataFrame:
+def bucketed(totals: DataFrame, by=(), buckets: int | None = None) -> DataFrame:
     """Add ``bucket``: how many of the group's quantile cuts lie at or below ``k``.
 
     The collapsed table is read several times from here on, so it is cut off first.
     """
     totals = durable(totals)
+    if buckets is None:
+        buckets = min(MOST_CUTS, max(2, totals.count() // PER_BUCKET))
     probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     cuts = F.percentile_approx("k", probs, 10_000).alias("cuts")
     if by:
@@ -55,7 +58,7 @@ def _attach(rows: DataFrame, small: DataFrame, by) -> DataFrame:
 
 
 def running_totals(
-    totals: DataFrame, measures: list[str], descending: bool = False, by=(), buckets: int = BUCKETS
+    totals: DataFrame, measures: list[str], descending: bool = False, by=(), buckets: int | None = None
 ) -> DataFrame:
     """Add ``cum_<m>`` (inclusive running sums in key order) and ``all_<m>`` (group totals)."""
     rows = bucketed(totals, by, buckets)
@@ -116,3 +119,13 @@ def previous_in_order(
         )
         .drop("e")
     )
+
+
+def dense_numbers(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Numbers from 0 in the order of unique rows: range partitions, each counted on its own."""
+    ranged = durable(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
+    starts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    within = F.row_number().over(W.partitionBy("part").orderBy(*order)) - 1
+    return ranged.join(F.broadcast(starts), "part").withColumn(name, F.col("start") + within).drop("part", "start")

@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import random
-from collections import Counter
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import f_half, safe_divide
 from ..session import durable
-from .ordered import distinct_totals, previous_in_order, running_totals
+from .ordered import dense_numbers, distinct_totals, previous_in_order, running_totals
 
 MIN_SPECIFICITY_TARGET = 0.95
-MAX_EXACT_GROUPS = 10_000
 BOOTSTRAP_METRICS = (
     "precision", "recall", "specificity", "pr_auc", "average_precision", "f0_5",
     "brier_score", "expected_calibration_error",
@@ -278,45 +274,32 @@ def status_truth_counts(df: DataFrame) -> DataFrame:
     )
 
 
-def bootstrap_draws(spark, groups: DataFrame, iterations: int, seed: int) -> DataFrame:
-    """(iteration, grp, weight) for whole-group resampling.
+def bootstrap_draws(groups: DataFrame, iterations: int, seed: int) -> DataFrame:
+    """(iteration, grp, weight) for whole-group resampling, by one rule at every size.
 
-    Up to ``MAX_EXACT_GROUPS`` groups the draws are one seeded sequence over the sorted
-    groups. Beyond it each (group, iteration) gets an independent Poisson(1) weight from
-    a hash: no draw table, no join, the same interval in the limit.
+    Groups are numbered densely in order; draw j of iteration i takes the group whose number is
+    a hash of (seed, i, j) modulo their count. Iteration -1 has every group once: the estimate.
     """
-    names = groups.select("grp").distinct()
-    head = [r.grp for r in names.limit(MAX_EXACT_GROUPS + 1).collect()]
-    if len(head) <= MAX_EXACT_GROUPS:
-        ordered = sorted(head)
-        if len(ordered) < 2:
-            raise ValueError("grouped bootstrap needs at least two groups")
-        rng = random.Random(seed)
-        rows = []
-        for i in range(iterations):
-            drawn = Counter(rng.choice(ordered) for _ in ordered)
-            rows.extend((i, g, w) for g, w in drawn.items())
-        kind = names.schema["grp"].dataType.simpleString()
-        return spark.createDataFrame(rows, f"iteration int, grp {kind}, weight int")
-    uniform = (F.pmod(F.xxhash64("grp", "iteration", F.lit(seed)), F.lit(1 << 53)) + 0.5) / float(1 << 53)
-    tail, weight, density = 1.0, F.lit(0), 0.36787944117144233
-    cumulative = 0.0
-    for count in range(0, 12):
-        cumulative += density
-        weight = weight + F.when(uniform > cumulative, 1).otherwise(0)
-        density = density * tail / (count + 1)
-    return (
-        names.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-        .withColumn("weight", weight)
-        .where("weight > 0")
+    spark = groups.sparkSession
+    names = durable(dense_numbers(groups.select("grp").where("grp IS NOT NULL").distinct(), ["grp"], "g"))
+    n = names.count()
+    if n < 2:
+        raise ValueError("grouped bootstrap needs at least two groups")
+    cells = spark.range(0, iterations * n).select(
+        F.floor(F.col("id") / n).cast("long").alias("iteration"), (F.col("id") % n).alias("j")
     )
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(seed), "iteration", "j").cast("binary")), 1, 13)
+    drawn = cells.select("iteration", (F.conv(digits, 16, 10).cast("long") % n).alias("g"))
+    weights = drawn.groupBy("iteration", "g").agg(F.count("*").alias("weight"))
+    whole = names.select(F.lit(-1).cast("long").alias("iteration"), "g", F.lit(1).cast("long").alias("weight"))
+    return weights.unionByName(whole).join(names, "g").select("iteration", "grp", "weight")
 
 
 def group_bootstrap(
     df: DataFrame, threshold: float = 0.5, iterations: int = 1000, seed: int = 20260129,
     confidence: float = 0.95, bins: int = 10,
 ) -> DataFrame:
-    """(metric, lower, upper, successful_iterations) of eight metrics.
+    """(metric, estimate, lower, upper, successful_iterations) of eight metrics.
 
     ``df``: grp, label, score. Rows collapse to (group, score) counts before resampling,
     and to (iteration, score) counts right after; replicates of one class are skipped.
@@ -324,13 +307,13 @@ def group_bootstrap(
     if iterations < 1 or not 0 < confidence < 1:
         raise ValueError("iterations must be positive and confidence in (0, 1)")
     cells = durable(score_totals(df, ["grp"]))
-    draws = bootstrap_draws(df.sparkSession, cells, iterations, seed)
+    draws = bootstrap_draws(cells, iterations, seed)
     by = ["iteration"]
     reps = cells.join(draws, "grp").groupBy("iteration", "k").agg(
         F.sum(F.col("pos") * F.col("weight")).alias("pos"),
         F.sum(F.col("neg") * F.col("weight")).alias("neg"),
     )
-    run = running_totals(reps, ["pos", "neg"], descending=True, by=by, buckets=16)
+    run = running_totals(reps, ["pos", "neg"], descending=True, by=by)
     points = run.withColumns(
         {
             "recall": safe_divide(F.col("cum_pos"), F.col("all_pos")),
@@ -366,6 +349,7 @@ def group_bootstrap(
     usable = with_rates(per.where((F.col("tp") + F.col("fn") > 0) & (F.col("tn") + F.col("fp") > 0)))
     tail = (1 - confidence) / 2
     stacked = usable.select(
+        "iteration",
         F.explode(
             F.array(
                 *[
@@ -375,10 +359,18 @@ def group_bootstrap(
             )
         ).alias("m")
     )
-    return stacked.groupBy("m.metric").agg(
-        F.percentile("m.v", F.lit(tail)).alias("lower"),
-        F.percentile("m.v", F.lit(1 - tail)).alias("upper"),
-        F.count("*").alias("successful_iterations"),
+    replicate = F.when(F.col("iteration") >= 0, F.col("m.v"))
+    found = stacked.groupBy("m.metric").agg(
+        F.max(F.when(F.col("iteration") < 0, F.col("m.v"))).alias("estimate"),
+        F.percentile(replicate, F.lit(tail)).alias("lower"),
+        F.percentile(replicate, F.lit(1 - tail)).alias("upper"),
+        F.count(replicate).alias("successful_iterations"),
+    )
+    # a row for every metric, so that a table of one class is an error and not an empty result
+    every = df.sparkSession.createDataFrame([(m,) for m in BOOTSTRAP_METRICS], "metric string")
+    fault = F.when(F.col("estimate").isNull(), F.raise_error(F.lit("the bootstrap needs both classes"))).when(
+        F.col("successful_iterations") == 0, F.raise_error(F.lit("no replicate has both classes"))
     )
+    return every.join(found, "metric", "left").withColumn("estimate", F.coalesce(fault.cast("double"), "estimate"))
 
 

@@ -37,6 +37,11 @@ def ms1_run(scans: DataFrame) -> ms1.Ms1Run:
     return ms1.run_from_scans(rawscans.ms1_scans(scans))
 
 
+def in_row_order(results: DataFrame) -> DataFrame:
+    """Rows as the peak table has them, one raw file after the other; part files follow on."""
+    return results.repartitionByRange("row_id").sortWithinPartitions("row_id")
+
+
 def result_table(results: DataFrame) -> DataFrame:
     """Result rows as exchange text: typed helper columns dropped, spectra as text."""
     plain = analyze.with_spectrum_text(results).drop("mz", "peak_a_rt", "peak_b_rt")
@@ -59,7 +64,8 @@ def analyze_files(
     for i, more in enumerate(frames[1:], 1):
         targets = targets.unionByName(more.withColumn("row_id", F.col("row_id") + F.lit(i << 40)))
     results = durable(analyze.analyze_pairs(targets, run, settings, thresholds))
-    sinks.write_table(result_table(results), output)
+    shown = results.withColumn("raw_file", F.col("raw_id")) if len(raws) > 1 else results
+    sinks.write_table(result_table(in_row_order(shown)), output)
     sidecar = sinks.run_sidecar(
         results, run.windows, settings, thresholds, rawscans.acquisition_attributes(spark, raws),
         method, sinks.file_fingerprints(spark, [peaklist, *raws]), time.perf_counter() - started,
@@ -82,7 +88,7 @@ def annotate_files(
     )
     run = ms1_run(rawscans.read_raw(spark, [raw]))
     out = durable(ms1.annotate_targets(targets, run, settings))
-    text = sinks.as_text_table(tables.expand_source(out.drop("mz")))
+    text = sinks.as_text_table(tables.expand_source(in_row_order(out).drop("mz")))
     sinks.write_table(text, output)
     if review_output:
         sinks.write_table(text.where("auto_manual_review_required = 'true'"), review_output)
@@ -233,10 +239,8 @@ def _run_group(spark, jobs, mode, config_path, mz_column, peak_a, peak_b) -> dic
     counts: dict[int, dict] = {}
     for r in results.groupBy("job", name).count().collect():
         counts.setdefault(r["job"], {})[r[name]] = r["count"]
-    if mode == "ms1":
-        table = sinks.as_text_table(tables.expand_source(results.drop("mz")))
-    else:
-        table = result_table(results)
+    ordered = in_row_order(results)
+    table = sinks.as_text_table(tables.expand_source(ordered.drop("mz"))) if mode == "ms1" else result_table(ordered)
     for i, job in jobs:
         if i in out:
             continue
@@ -335,8 +339,8 @@ def review_manifest(annotated: DataFrame, context: dict) -> DataFrame:
         rules.spectrum_availability(text("peak_a_MS2"), text("peak_b_MS2")).alias("spectrum_availability"),
         *[text(c).alias(c) for c in copied],
         F.lit(context.get("method_profile_id", "")).alias("method_profile_id"),
-        F.lit(context.get("reconciliation_status", "")).alias("acquisition_reconciliation_status"),
-        F.lit(";".join(context.get("issue_codes", []))).alias("acquisition_issue_codes"),
+        F.lit("").alias("acquisition_reconciliation_status"),
+        F.lit("").alias("acquisition_issue_codes"),
         F.lit(str(context.get("rt_half_window_sec", ""))).alias("rt_half_window_sec"),
         F.lit(context.get("fragment_correlation_mode", "")).alias("fragment_correlation_mode"),
         F.concat_ws("/", F.lit("svg"), F.concat(folder_component(text("Compound_ID")), F.lit("_"), uid, F.lit(".svg"))).alias("svg_asset_path"),

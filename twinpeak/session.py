@@ -1,11 +1,15 @@
-"""Session helpers: settings a job wants, and durable cut points."""
+"""Session helpers: settings a job wants, shipping the package, and durable cut points."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+PACKAGE = os.path.dirname(os.path.abspath(__file__))
+
 
 def build_session(app: str = "twinpeak", **conf) -> SparkSession:
     builder = (
@@ -17,7 +21,28 @@ def build_session(app: str = "twinpeak", **conf) -> SparkSession:
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return prepare(builder.getOrCreate())
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """What every session needs once: the package on its workers, and a shared folder.
+
+    A local session that names no folder gets one; a cluster must name its own.
+    """
+    context = spark.sparkContext
+    if not getattr(context, "_twinpeak_shipped", False):
+        archive = os.path.join(tempfile.mkdtemp(prefix="twinpeak-ship-"), "twinpeak.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for folder, _, names in os.walk(PACKAGE):
+                for name in names:
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        out.write(full, os.path.join("twinpeak", os.path.relpath(full, PACKAGE)))
+        context.addPyFile(archive)
+        context._twinpeak_shipped = True
+    if spark.conf.get("spark.checkpoint.dir", None) is None and context.master.startswith("local["):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="twinpeak-shared-"))
+    return spark
 
 
 def work_partitions(spark: SparkSession) -> int:
@@ -38,18 +63,12 @@ def spread(scan: DataFrame) -> DataFrame:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder the session names.
-
-    A private temporary folder is used only by a local-mode session with none set; a
-    cluster without a checkpoint folder keeps its lineage instead.
-    """
+    """Cut lineage through the shared checkpoint folder, which the session must name."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
-                return df
-            folder = tempfile.mkdtemp(prefix="twinpeak-checkpoint-")
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

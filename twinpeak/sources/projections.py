@@ -15,6 +15,8 @@ from ..session import spread, work_partitions
 WINDOW_CENTRES = {"click": 312.0, "error": 324.0, "purchase": 336.0, "signup": 348.0, "view": 360.0}
 WINDOW_HALF_WIDTH = 7.0
 PAIR_OFFSETS = (1, 2, 3, 4)
+# Least intensity of a strong component.
+STRONG = 2000.0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """embeddings -> one fragment spectrum per vector (vec_id, label, peaks)."""
+    """embeddings -> one fragment spectrum per vector (vec_id, label, peaks).
+
+    Every fifth vector keeps its strong components only, so that spectra differ in length.
+    """
     vec = F.col("vec_id")
-    dims = F.when(vec % 5 == 0, F.slice("embedding", 1, 10)).otherwise(F.col("embedding"))
-    dims = dims.cast("array<double>")
+    dims = F.col("embedding").cast("array<double>")
+    floor = F.when(vec % 5 == 0, F.lit(STRONG)).otherwise(F.lit(0.0))
 
     def peak(e, i):
         shift = F.when((vec % 4).isin(1, 2), (vec * (i + 1)) % 7).otherwise(F.lit(0))
@@ -38,7 +43,7 @@ def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.struct(mz.alias("mz"), (1000.0 * F.pow(10.0 * F.abs(e), 2.0)).alias("it"))
 
     return table(spark, sf_dir, "embeddings").select(
-        "vec_id", "label", F.transform(dims, peak).alias("peaks")
+        "vec_id", "label", F.filter(F.transform(dims, peak), lambda p: p["it"] >= floor).alias("peaks")
     )
 
 

@@ -129,14 +129,17 @@ def _attribute(text: Column, name: str) -> Column:
 
 
 def _records(spark: SparkSession, paths, tag: str, prefix: str) -> DataFrame:
-    """(raw_id, head, body): one row per element start tag, body up to its own end tag."""
+    """(raw_id, head, body): one row per element start tag, body up to the next start or end tag.
+
+    Text is read from end tag to end tag, and each piece is cut at its start tags, whatever white
+    space follows the name; longer names are other elements.
+    """
     name = f"{prefix}:{tag}" if prefix else tag
-    rows = spark.read.option("lineSep", f"<{name} ").text(paths)
+    rows = spark.read.option("lineSep", f"</{name}>").text(paths)
     stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)\.[^./]+$", 1)
-    return rows.select(
-        stem.alias("raw_id"),
-        F.substring_index("value", ">", 1).alias("head"),
-        F.substring_index("value", f"</{name}>", 1).alias("body"),
+    starts = F.filter(F.split("value", rf"<{name}(?=[\s/>])"), lambda _, i: i > 0)
+    return rows.select(stem.alias("raw_id"), F.explode(starts).alias("body")).select(
+        "raw_id", F.substring_index("body", ">", 1).alias("head"), "body"
     )
 
 

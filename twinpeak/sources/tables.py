@@ -6,6 +6,7 @@ import json
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import number
@@ -36,7 +37,21 @@ def _clean(raw: DataFrame, keep_blank: bool) -> DataFrame:
     )
     # Cut: the blank-row test names every column, and on a wide table the optimizer would
     # derive a combinatorial number of constraints from it. It also fixes the row numbers.
-    return durable(cleaned).where("_filled").drop("_filled")
+    return _densely_numbered(durable(cleaned)).where("_filled").drop("_filled")
+
+
+def _densely_numbered(rows: DataFrame) -> DataFrame:
+    """Turn (partition, place) numbers into 0, 1, 2 ... in file order.
+
+    Only one count per partition is gathered for the offsets.
+    """
+    part = F.shiftright("row_no", 33)
+    counts = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.col("row_no").bitwiseAND(F.lit((1 << 33) - 1))
+    joined = rows.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return joined.withColumn("row_no", F.col("_start") + place).drop("_part", "_start")
 
 
 def _read_spreadsheet(spark: SparkSession, path: str, keep_blank: bool) -> DataFrame:

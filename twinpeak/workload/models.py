@@ -512,11 +512,40 @@ TRANSITIONS_SQL = sql.with_ctes(
 
 def group_bootstrap(spark, d):
     rows = scored(spark, d).withColumnRenamed("compound_id", "grp")
-    return scoring.group_bootstrap(rows, 0.3, iterations=50, seed=7).select(
-        "metric", r6("lower"), r6("upper"), "successful_iterations"
+    return scoring.group_bootstrap(rows, 0.3, seed=7).select(
+        "metric", r6("estimate"), r6("lower"), r6("upper"), "successful_iterations"
     )
 
 
+_METRIC_ROWS = " UNION ALL ".join(f"SELECT i, '{m}' AS metric, {m} AS v FROM mt" for m in scoring.BOOTSTRAP_METRICS)
+BOOTSTRAP_SQL = sql.with_ctes(
+    *_EX,
+    """gp AS (SELECT compound_id AS grp, row_number() OVER (ORDER BY compound_id) - 1 AS g, count(*) OVER () AS n
+      FROM (SELECT DISTINCT compound_id FROM sc WHERE score IS NOT NULL))""",
+    "it AS (SELECT n, unnest(range(1000)) AS i FROM (SELECT DISTINCT n FROM gp))",
+    "dj AS (SELECT n, i, unnest(range(n)) AS j FROM it)",
+    """bw AS (SELECT i, ('0x' || substr(md5('7:' || i || ':' || j), 1, 13))::BIGINT % n AS g, count(*) AS w FROM dj GROUP BY ALL
+      UNION ALL SELECT -1, g, 1 FROM gp)""",
+    "ce AS (SELECT compound_id AS grp, score, sum(label) AS p, count(*) - sum(label) AS q FROM sc WHERE score IS NOT NULL GROUP BY ALL)",
+    "tt AS (SELECT i, score, sum(p * w) AS p, sum(q * w) AS q FROM ce JOIN gp USING (grp) JOIN bw USING (g) GROUP BY i, score)",
+    """cv AS (SELECT *, sum(p) OVER w AS cp, sum(q) OVER w AS cq, sum(p) OVER (PARTITION BY i) AS ap FROM tt
+      WINDOW w AS (PARTITION BY i ORDER BY score DESC ROWS UNBOUNDED PRECEDING))""",
+    "pr AS (SELECT *, coalesce(cp / nullif(ap, 0), 0) AS recall, coalesce(cp / nullif(cp + cq, 0), 0) AS precision FROM cv)",
+    """pv AS (SELECT *, coalesce(lag(recall) OVER w, 0) AS r0, coalesce(lag(precision) OVER w, 1) AS p0 FROM pr
+      WINDOW w AS (PARTITION BY i ORDER BY score DESC))""",
+    """bn AS (SELECT i, least(floor(score * 10), 9) AS b, sum(p + q) AS n, abs(sum(score * (p + q)) - sum(p)) AS gap FROM tt GROUP BY ALL)""",
+    "ec AS (SELECT i, sum(gap) / sum(n) AS expected_calibration_error FROM bn GROUP BY i)",
+    """cm AS (SELECT i, coalesce(sum(p) FILTER (score >= 0.3::DOUBLE), 0) AS tp, coalesce(sum(q) FILTER (score >= 0.3::DOUBLE), 0) AS fp,
+      coalesce(sum(q) FILTER (score < 0.3::DOUBLE), 0) AS tn, coalesce(sum(p) FILTER (score < 0.3::DOUBLE), 0) AS fn,
+      sum(p * (1 - score) * (1 - score) + q * score * score) / sum(p + q) AS brier_score,
+      sum((recall - r0) * precision) AS average_precision, sum((recall - r0) * (precision + p0) / 2) AS pr_auc FROM pv GROUP BY i)""",
+    f"mt AS (SELECT *, {_RATES} FROM cm JOIN ec USING (i) WHERE tp + fn > 0 AND tn + fp > 0)",
+    f"ms AS ({_METRIC_ROWS})",
+    select="""SELECT metric, round(max(v) FILTER (i < 0), 6) AS estimate, round(quantile_cont(v, 0.025) FILTER (i >= 0), 6) AS lower,
+    round(quantile_cont(v, 0.975) FILTER (i >= 0), 6) AS upper, count(*) FILTER (i >= 0) AS successful_iterations FROM ms GROUP BY metric""",
+)
+
+
 QUERIES = {
     "ml_features": (ml_features, FEATURES_SQL),
     "threshold_grid": (threshold_grid, GRID_SQL),
@@ -540,5 +569,5 @@ QUERIES = {
     "shadow_apply": (shadow_apply, SHADOW_SQL),
     "shadow_untrained": (shadow_untrained, UNTRAINED_SQL),
     "shadow_disagreements": (shadow_transitions, TRANSITIONS_SQL),
-    "group_bootstrap": (group_bootstrap, None),
+    "group_bootstrap": (group_bootstrap, BOOTSTRAP_SQL),
 }

@@ -12,7 +12,7 @@ spec AS (
          1000.0::DOUBLE * power(10.0::DOUBLE * abs(e::DOUBLE), 2) AS it
   FROM (SELECT vec_id, label, unnest(embedding) AS e,
                unnest(range(len(embedding))) AS i FROM embeddings)
-  WHERE vec_id % 5 <> 0 OR i < 10),
+  WHERE vec_id % 5 <> 0 OR 1000.0::DOUBLE * power(10.0::DOUBLE * abs(e::DOUBLE), 2) >= 2000.0::DOUBLE),
 prep AS (
   SELECT vec_id, mz, it,
          row_number() OVER (PARTITION BY vec_id ORDER BY mz, it) - 1 AS idx
