@@ -240,25 +240,45 @@ def isolation_violations(folds: DataFrame, keys=("fold",)) -> DataFrame:
     )
 
 
+def fold_cover(examples: DataFrame, folds: DataFrame) -> DataFrame:
+    """(times, rows): how often rows are validated over all folds; a partition has times = 1 only.
+
+    Counts with multiplicity, so a fold that is missing or repeated shows at once.
+    """
+    held = folds.where("role = 'validation'").groupBy("row_id").agg(F.count("*").alias("times"))
+    return (
+        examples.select("row_id").join(held, "row_id", "left")
+        .groupBy(F.coalesce("times", F.lit(0)).alias("times")).agg(F.count("*").alias("rows"))
+    )
+
+
 # ---- logistic regression -------------------------------------------------------------
 
 
-def scaler(examples: DataFrame, by=()) -> DataFrame:
-    """Population mean and SD of each feature; a constant feature scales by one."""
+def _scales() -> list[Column]:
     def sd(name):
         spread = F.stddev_pop(name)
         return F.when((F.max(name) == F.min(name)) | (spread == 0), 1.0).otherwise(spread)
 
-    return examples.groupBy(*by).agg(
-        *[F.avg(f).alias(f"mean_{f}") for f in FEATURES],
-        *[sd(f).alias(f"sd_{f}") for f in FEATURES],
-    )
+    return [*[F.avg(f).alias(f"mean_{f}") for f in FEATURES], *[sd(f).alias(f"sd_{f}") for f in FEATURES]]
+
+
+def _ranges() -> list[Column]:
+    return [*[F.min(f).alias(f"min_{f}") for f in FEATURES], *[F.max(f).alias(f"max_{f}") for f in FEATURES]]
+
+
+def scaler(examples: DataFrame, by=()) -> DataFrame:
+    """Population mean and SD of each feature; a constant feature scales by one."""
+    return examples.groupBy(*by).agg(*_scales())
 
 
 def feature_ranges(examples: DataFrame) -> DataFrame:
-    return examples.agg(
-        *[F.min(f).alias(f"min_{f}") for f in FEATURES], *[F.max(f).alias(f"max_{f}") for f in FEATURES]
-    )
+    return examples.agg(*_ranges())
+
+
+def feature_statistics(examples: DataFrame) -> DataFrame:
+    """Scales and ranges of all features in one pass."""
+    return examples.agg(*_scales(), *_ranges())
 
 
 def scaled(rows: DataFrame) -> list[Column]:

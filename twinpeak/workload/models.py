@@ -292,14 +292,23 @@ STATUS_TRUTH_SQL = sql.with_ctes(
 )
 
 
+def _batches(rows: DataFrame) -> list:
+    return sorted(r.batch_id for r in rows.select("batch_id").distinct().collect())
+
+
+def _folds(spark, d) -> DataFrame:
+    rows = durable(examples(spark, d))
+    return modeling.leave_one_batch_out(rows, _batches(rows))
+
+
 def lobo_folds(spark, d):
-    return modeling.leave_one_batch_out(examples(spark, d), [0, 1, 2, 3]).select("row_id", "fold", "role")
+    return _folds(spark, d).select("row_id", "fold", "role")
 
 
 _LOBO = """
 fo AS (SELECT e.row_id, f AS fold, CASE WHEN e.batch_id = f THEN 'validation'
   WHEN EXISTS (SELECT 1 FROM ex v WHERE v.batch_id = f AND v.compound_id = e.compound_id) THEN 'purged' ELSE 'train' END AS role
-  FROM ex e CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS f))
+  FROM ex e CROSS JOIN (SELECT DISTINCT batch_id AS f FROM ex))
 """
 LOBO_SQL = sql.with_ctes(*_EX, _LOBO, select="SELECT row_id, fold, role FROM fo")
 
@@ -317,7 +326,8 @@ LOCKED_SQL = sql.with_ctes(
 
 def _nested(spark, d):
     development = modeling.locked_split(examples(spark, d), 3).where("role = 'development'").drop("role")
-    return modeling.nested_folds(development, [0, 1, 2])
+    development = durable(development)
+    return modeling.nested_folds(development, _batches(development))
 
 
 def nested_folds(spark, d):
@@ -329,7 +339,8 @@ def nested_folds(spark, d):
 NESTED_SQL = sql.with_ctes(
     *_EX, _LOBO,
     "dev AS (SELECT e.* FROM ex e JOIN fo ON fo.row_id = e.row_id AND fo.fold = 3 AND fo.role = 'train')",
-    """pl AS (SELECT o, i FROM (SELECT unnest([NULL, 0, 1, 2]) AS o) CROSS JOIN (SELECT unnest([0, 1, 2]) AS i) WHERE o IS NULL OR o <> i)""",
+    "ba AS (SELECT DISTINCT batch_id AS i FROM dev)",
+    """pl AS (SELECT o, i FROM (SELECT i AS o FROM ba UNION ALL SELECT NULL) CROSS JOIN ba WHERE o IS NULL OR o <> i)""",
     """tr AS (SELECT d.*, o, i FROM dev d CROSS JOIN pl WHERE o IS NULL OR (d.batch_id <> o
       AND NOT EXISTS (SELECT 1 FROM dev v WHERE v.batch_id = o AND v.compound_id = d.compound_id)))""",
     """ro AS (SELECT t.*, CASE WHEN t.batch_id = i THEN 'validation'
@@ -340,8 +351,10 @@ NESTED_SQL = sql.with_ctes(
 
 
 def fold_leaks(spark, d):
-    folds = modeling.leave_one_batch_out(examples(spark, d), [0, 1, 2, 3])
-    found = modeling.isolation_violations(folds)
+    # Every second fold is spoilt: its purged compounds go back to training.
+    folds = _folds(spark, d)
+    spoilt = F.when((F.col("fold") % 2 == 0) & (F.col("role") == "purged"), "train").otherwise(F.col("role"))
+    found = modeling.isolation_violations(folds.withColumn("role", spoilt))
     return folds.groupBy("fold").agg(F.count_if(F.col("role") == "purged").alias("purged")).join(
         found.groupBy("fold").agg(F.count("*").alias("leaks")), "fold", "left"
     ).select("fold", "purged", F.coalesce("leaks", F.lit(0)).alias("leaks"))
@@ -349,14 +362,32 @@ def fold_leaks(spark, d):
 
 LEAKS_SQL = sql.with_ctes(
     *_EX, _LOBO,
-    select="SELECT fold, count(*) FILTER (role = 'purged') AS purged, CAST(0 AS BIGINT) AS leaks FROM fo GROUP BY fold",
+    """sp AS (SELECT fold, compound_id, batch_id, CASE WHEN fold % 2 = 0 AND role = 'purged' THEN 'train' ELSE role END AS r
+      FROM fo JOIN ex USING (row_id))""",
+    """lk AS (SELECT fold FROM sp WHERE r IN ('train', 'validation') GROUP BY fold, compound_id HAVING count(DISTINCT r) = 2
+      UNION ALL SELECT fold FROM sp WHERE r IN ('train', 'validation') GROUP BY fold, batch_id HAVING count(DISTINCT r) = 2)""",
+    select="""SELECT fold, count(*) FILTER (role = 'purged') AS purged, (SELECT count(*) FROM lk WHERE lk.fold = fo.fold) AS leaks
+    FROM fo GROUP BY fold""",
+)
+
+
+def fold_cover(spark, d):
+    # One prepared fault of each kind: fold 1 is missing, fold 0 comes twice.
+    folds = durable(_folds(spark, d))
+    faulty = folds.where("fold != 1").unionByName(folds.where("fold = 0"))
+    return modeling.fold_cover(folds.where("fold = 0"), faulty)
+
+
+COVER_SQL = sql.with_ctes(
+    *_EX, _LOBO,
+    "fl AS (SELECT * FROM fo WHERE fold <> 1 UNION ALL SELECT * FROM fo WHERE fold = 0)",
+    "hv AS (SELECT row_id, count(*) FILTER (role = 'validation') AS times FROM fl GROUP BY row_id)",
+    select="SELECT times, count(*) AS rows FROM hv GROUP BY times",
 )
 
 
 def scaler(spark, d):
-    row = modeling.scaler(examples(spark, d))
-    ranges = modeling.feature_ranges(examples(spark, d))
-    both = row.crossJoin(F.broadcast(ranges))  # one row each
+    both = modeling.feature_statistics(examples(spark, d))
     return both.select(*[r6(c) for c in both.columns])
 
 
@@ -563,6 +594,7 @@ QUERIES = {
     "locked_split": (locked_split, LOCKED_SQL),
     "nested_folds": (nested_folds, NESTED_SQL),
     "fold_leaks": (fold_leaks, LEAKS_SQL),
+    "fold_cover": (fold_cover, COVER_SQL),
     "feature_scaler": (scaler, SCALER_SQL),
     "logistic_fit": (logistic_fit, None),
     "logistic_scores": (logistic_scores, LOGISTIC_SQL),
