@@ -128,25 +128,39 @@ def _attribute(text: Column, name: str) -> Column:
     return F.nullif(value, F.lit(""))
 
 
-def _records(spark: SparkSession, paths, tag: str, prefix: str) -> DataFrame:
-    """(raw_id, head, body): one row per element start tag, body up to the next start or end tag.
+def _name(tag: str, prefix: str) -> str:
+    return f"{prefix}:{tag}" if prefix else tag
 
-    Text is read from end tag to end tag, and each piece is cut at its start tags, whatever white
-    space follows the name; longer names are other elements.
-    """
-    name = f"{prefix}:{tag}" if prefix else tag
-    rows = spark.read.option("lineSep", f"</{name}>").text(paths)
+
+def _file_text(spark: SparkSession, paths, tag: str, prefix: str) -> DataFrame:
+    """(raw_id, value): a file's text from end tag to end tag, so that a file is many tasks."""
+    rows = spark.read.option("lineSep", f"</{_name(tag, prefix)}>").text(paths)
     stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)\.[^./]+$", 1)
-    starts = F.filter(F.split("value", rf"<{name}(?=[\s/>])"), lambda _, i: i > 0)
-    return rows.select(stem.alias("raw_id"), F.explode(starts).alias("body")).select(
+    return rows.select(stem.alias("raw_id"), "value")
+
+
+def _records(text: DataFrame, tag: str, prefix: str) -> DataFrame:
+    """(raw_id, head, body): one row per element start tag, body up to the next start tag.
+
+    Start tags may be followed by any white space; longer names are other elements.
+    """
+    starts = F.filter(F.split("value", rf"<{_name(tag, prefix)}(?=[\s/>])"), lambda _, i: i > 0)
+    return text.select("raw_id", F.explode(starts).alias("body")).select(
         "raw_id", F.substring_index("body", ">", 1).alias("head"), "body"
     )
 
 
 def read_mzxml(spark: SparkSession, paths, prefix: str = "") -> DataFrame:
-    """All MS1 and MS2 scans, whatever their nesting, with decoded peaks."""
+    return mzxml_scans(_file_text(spark, paths, "scan", prefix), prefix)
+
+
+def mzxml_scans(text: DataFrame, prefix: str = "") -> DataFrame:
+    """All MS1 and MS2 scans of (raw_id, value) text, whatever their nesting, with decoded peaks.
+
+    A row of text holds whole scans, at least up to their peaks.
+    """
     p = r"<(?:[\w.-]+:)?"
-    rows = _records(spark, paths, "scan", prefix).select(
+    rows = _records(text, "scan", prefix).select(
         "raw_id",
         F.coalesce(_attribute(F.col("head"), "msLevel").try_cast("int"), F.lit(0)).alias("ms_level"),
         _attribute(F.col("head"), "num").try_cast("int").alias("scan_no"),
@@ -183,8 +197,12 @@ def _tag_value(tags: Column, accession: str, attribute: str = "value") -> Column
 
 
 def read_mzml(spark: SparkSession, paths, prefix: str = "") -> DataFrame:
-    """MS1 and MS2 spectra of mzML files; little-endian 32/64-bit arrays, zlib or plain."""
-    pieces = _records(spark, paths, "spectrum", prefix).withColumn(
+    return mzml_scans(_file_text(spark, paths, "spectrum", prefix), prefix)
+
+
+def mzml_scans(text: DataFrame, prefix: str = "") -> DataFrame:
+    """MS1 and MS2 spectra of (raw_id, value) text; little-endian 32/64-bit arrays, zlib or plain."""
+    pieces = _records(text, "spectrum", prefix).withColumn(
         "parts", F.split("body", r"<(?:[\w.-]+:)?binaryDataArray[\s>]")
     )
     cv = r"<(?:[\w.-]+:)?cvParam\s[^>]*>"

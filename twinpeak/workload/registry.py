@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evidence, models, ms1, review
+from . import evidence, models, ms1, raws, review
 
-MODULES = (evidence, ms1, review, models)
+MODULES = (evidence, ms1, review, models, raws)
 
 
 def _all() -> dict:
