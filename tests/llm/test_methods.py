@@ -41,14 +41,16 @@ def test_sets_within_the_threshold_share_a_part():
             if 100 * both < 85 * union or (both == union):
                 continue
             tried += 1
-            assert np.intersect1d(jaccard_join.part_keys(base, cuts), jaccard_join.part_keys(other, cuts)).size
+            for often in (None, np.sort(rng.permutation(base)[: n // 2]), base):
+                a, b = (jaccard_join.part_keys(x, cuts, often) for x in (base, other))
+                assert np.intersect1d(a, b).size
     assert tried > 150
 
 
 @pytest.mark.parametrize("block", [(2048, 1_000_000), (5, 1_000_000), (2048, 400)])
 def test_blocks_of_a_cluster_give_the_same_links(spark, monkeypatch, block):
-    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block[0])
-    monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", block[1])
+    for name, value in zip(("BLOCK_SETS", "BLOCK_TOKENS"), block, strict=True):
+        monkeypatch.setattr(jaccard_join, name, value)
     rng = random.Random(3)
     data = []
     for family in range(3):
@@ -65,6 +67,32 @@ def test_blocks_of_a_cluster_give_the_same_links(spark, monkeypatch, block):
     assert got == sorted(groups_by_brute_force(data))
 
 
+@pytest.mark.parametrize("trees", [(2048, 1_000_000), (3, 1_000_000), (2048, 150)])
+def test_trees_of_a_block_give_the_same_labels(monkeypatch, trees):
+    monkeypatch.setattr(jaccard_join, "TREE_SETS", trees[0])
+    monkeypatch.setattr(jaccard_join, "TREE_TOKENS", trees[1])
+    rng = np.random.default_rng(4)
+    sets = []
+    for _ in range(4):
+        base = rng.integers(0, 1 << 60, 50, dtype=np.uint64)
+        for _ in range(9):
+            keep = rng.permutation(50)[: int(rng.integers(42, 51))]
+            sets.append(np.unique(np.concatenate([base[keep], rng.integers(0, 1 << 60, int(rng.integers(0, 4)), dtype=np.uint64)])))
+    sets.sort(key=len)
+    want = np.arange(len(sets))
+    near = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b))
+    for i in range(len(sets)):
+        for j in range(i):
+            if near(sets[i], sets[j]):
+                x, y = want[i], want[j]
+                want[want == max(x, y)] = min(x, y)
+    assert (jaccard_join.linked_labels(sets, np.arange(len(sets)), len(sets), 85) == want).all()
+    half = len(sets) // 2
+    start = np.array([min(k for k in range(len(sets)) if want[k] == want[i] and (k < half) == (i < half)) for i in range(len(sets))])
+    across = jaccard_join.linked_labels(sets, start, half, 85)
+    assert len(np.unique(across)) <= len(np.unique(start)) and all(want[across[i]] == want[i] for i in range(len(sets)))
+
+
 def test_chains_follow_order_and_cut_at_gaps():
     x = np.array([0, 10, 20, 30, 15, 500, 510])
     y = np.array([100, 110, 120, 130, 5, 600, 610])

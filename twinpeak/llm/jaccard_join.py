@@ -2,10 +2,12 @@
 
 Equal shingle sets fall into classes first. Candidates are exact: by the pigeonhole rule, two sets
 within the threshold differ in at most D shingles, so when the hash range is cut into k parts they
-agree in at least k - D of them. Each set sends a key per part that it fills; sets that share a key
-fall into one cluster, and sets of different clusters can't link.
+agree in at least k - D of them, also when only some shingles are looked at. Each set sends a key
+per part that it fills; sets that share a key fall into one cluster, and sets of different clusters
+can't link. Frequent shingles stay out of the first cut, or common lines would chain clusters; a set
+that fills too few parts without them sends the keys of further cuts over all its shingles.
 
-In a cluster, a tree stands over the sets in order of size. Its nodes hold the OR of their sets'
+In a cluster, trees stand over the sets in order of size. Its nodes hold the OR of their sets'
 token bitmaps (over tokens that two sets of the cluster share) and the range of their sizes. A dual
 traversal drops a pair of nodes when the sizes or the bits they share rule out any link, and when
 all their sets are connected already; leaves are compared exactly. Clusters beyond a block's size
@@ -30,10 +32,16 @@ from .components import components
 SHINGLE, PERCENT = 4, 85
 #: A band of set sizes ends where the next begins: growth from band to band.
 BAND = 1.6
-#: Other cuts for sets that fill too few parts; the last also sends the empty parts.
-SALTS = 3
-#: A block of a cluster: sets, and shingles in them.
-BLOCK_SETS, BLOCK_TOKENS = 2048, 1_000_000
+#: Cuts: one without frequent shingles, and others over all for sets that fill too few parts; the
+#: last also sends the empty parts.
+SALTS = 4
+#: A shingle is frequent when one set in so many has it: at most this times the mean set size are.
+#: They are counted where FLUSH documents hold one LOCAL times, which decides speed, not results.
+FREQUENT, LOCAL = 2000, 4
+#: A block of a cluster, what a task holds one or two of: sets, and shingles in them.
+BLOCK_SETS, BLOCK_TOKENS = 16_384, 8_000_000
+#: What one tree stands over.
+TREE_SETS, TREE_TOKENS = 2048, 1_000_000
 LEAF = 8
 #: Documents whose keys are merged in a task before they are sent.
 FLUSH = 4000
@@ -126,12 +134,23 @@ def _bounds(k: int) -> np.ndarray:
     return np.array([(j << 64) // k for j in range(1, k)], np.uint64)
 
 
-def part_keys(tokens: np.ndarray, cuts: Cuts) -> np.ndarray:
-    """Keys of the parts of a set, in all its bands. Sets within the threshold share one."""
-    keys = []
+def part_keys(tokens: np.ndarray, cuts: Cuts, frequent: np.ndarray | None = None) -> np.ndarray:
+    """Keys of the parts of a set, in all its bands. Sets within the threshold share one.
+
+    A pair with a set that fills more than D parts of a cut agrees in a part that both fill; if
+    neither does, both go on to the next cut.
+    """
+    keys, orders = [], {}
     for g, differ, k in cuts.families(len(tokens)):
         for salt in range(SALTS):
-            order = tokens if salt == 0 else np.sort(_mix(tokens ^ np.uint64(salt)))
+            if salt not in orders:
+                if salt:
+                    orders[salt] = np.sort(_mix(tokens ^ np.uint64(salt)))
+                elif frequent is not None and len(frequent):
+                    orders[salt] = tokens[frequent[np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)] != tokens]
+                else:
+                    orders[salt] = tokens
+            order = orders[salt]
             ends = np.concatenate([np.searchsorted(order, _bounds(k)), [len(order)]])
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(order + _ONE))])
             total = sums[ends]
@@ -161,29 +180,57 @@ def _pair_batch(pairs: np.ndarray, prints: list[bytes]) -> list[tuple[bytes, byt
 
 
 def set_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """doc_id, _text_print, n_shingles and _print (set identity) of every row."""
+    """doc_id, _text_print, n_shingles and _print (set identity) of every row; and, in rows of
+    their own, _token and _times: shingles that stand out among a task's documents."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     rows = rows.withColumn("_text_print", F.xxhash64("_text"))
+    names = ["doc_id", "_text_print", "n_shingles", "_print", "_token", "_times"]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(size)
-        for batch in batches:
-            sets = [shingles(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_print(s) for s in sets], pa.binary())],
-                ["doc_id", "_text_print", "n_shingles", "_print"],
-            )
+        shingles, seen = Shingles(size), {}
 
-    return rows.mapInArrow(measure, f"doc_id {dict(rows.dtypes)['doc_id']}, _text_print long, n_shingles long, _print binary")
+        def counted(kind) -> pa.RecordBatch:
+            found, times = np.unique(np.concatenate(list(seen.values())), return_counts=True)
+            found, times = found[times >= LOCAL], times[times >= LOCAL]
+            nulls = [pa.nulls(len(found), t) for t in (kind, pa.int64(), pa.int64(), pa.binary())]
+            return pa.RecordBatch.from_arrays([*nulls, pa.array(found.view(np.int64)), pa.array(times, pa.int64())], names)
 
-
-def candidate_edges(docs: DataFrame, text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+        for batch in batches:
+            for at in range(0, batch.num_rows, FLUSH):
+                part = batch.slice(at, FLUSH)
+                sets = [shingles(t.as_py()) for t in part.column(1)]
+                prints = [set_print(s) for s in sets]
+                none = [pa.nulls(len(sets), pa.int64())] * 2
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), *none], names
+                )
+                seen.update((p, s) for p, s in zip(prints, sets, strict=True) if p)
+                if len(seen) >= FLUSH:
+                    yield counted(batch.column(0).type)
+                    seen.clear()
+        if seen:
+            yield counted(batch.column(0).type)
+
+    kind = dict(rows.dtypes)["doc_id"]
+    return rows.mapInArrow(measure, f"doc_id {kind}, _text_print long, n_shingles long, _print binary, _token long, _times long")
+
+
+def frequent_shingles(sets: DataFrame) -> np.ndarray:
+    """Sorted hashes of the shingles that one set in FREQUENT has, as far as tasks saw them often:
+    at most FREQUENT times the mean set size."""
+    floor = max(2 * LOCAL, sets.filter("_token is null").count() // FREQUENT)
+    rows = sets.filter("_token is not null").groupBy("_token").agg(F.sum("_times").alias("n")).filter(F.col("n") >= floor).select("_token")
+    return np.sort(np.array([r[0] for r in rows.collect()], np.int64).view(np.uint64))
+
+
+def candidate_edges(docs: DataFrame, frequent: np.ndarray, text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(a, b): set identities joined as stars under the first set of each shared key.
 
     A task merges its own documents' keys before it sends one owner per key, so that the rows of a
     key grow with the tasks, not with the copies. Keys travel as arrays by shuffle partition.
     """
     parts = work_partitions(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, cuts = Shingles(size), Cuts(percent)
@@ -211,7 +258,7 @@ def candidate_edges(docs: DataFrame, text_col: str = "text", size: int = SHINGLE
             for text in batch.column(0):
                 tokens = shingles(text.as_py())
                 if len(tokens) and (name := set_print(tokens)) not in sets:
-                    sets[name] = part_keys(tokens, cuts)
+                    sets[name] = part_keys(tokens, cuts, shared.value)
                 if len(sets) >= FLUSH:
                     yield flush(sets)
                     sets = {}
@@ -304,6 +351,39 @@ class Forest:
                 self.labels[self.labels == max(x, y)] = min(x, y)
 
 
+def _cut(sizes: list[int], at: int = 0) -> list[range]:
+    """Runs of sets for one tree each."""
+    runs, start, total = [], 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and (i - start >= TREE_SETS or total + n > TREE_TOKENS):
+            runs.append(range(at + start, at + i))
+            start, total = i, 0
+        total += n
+    return [*runs, range(at + start, at + len(sizes))]
+
+
+def linked_labels(sets: list[np.ndarray], labels: np.ndarray, first: int, percent: int) -> np.ndarray:
+    """Labels after all links among the sets, or only between the first ones and the others.
+
+    A tree stands over one or two runs of sets at a time, so that bitmaps stay small.
+    """
+    sizes = [len(s) for s in sets]
+    if first == len(sets):
+        runs = _cut(sizes)
+        pairs = [(a, b) for i, a in enumerate(runs) for b in runs[i:]]
+    else:
+        pairs = [(a, b) for a in _cut(sizes[:first]) for b in _cut(sizes[first:], first)]
+    for a, b in pairs:
+        own = list(a) if a == b else [*a, *b]
+        if (labels[own] == labels[own[0]]).all():
+            continue
+        forest = Forest([sets[i] for i in own], labels[own], percent)
+        forest.join((0, len(a)), (0, len(a)) if a == b else (len(a), len(own)))
+        for old, new in {(x, y) for x, y in zip(labels[own].tolist(), forest.labels.tolist(), strict=True) if x != y}:
+            labels[labels == old] = new
+    return labels
+
+
 def _grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
     """Runs of equal leading columns in sorted rows."""
     key, rows = None, []
@@ -322,38 +402,42 @@ def _link_table(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["a", "b"])
 
 
+def placed_in_blocks(clusters: DataFrame) -> DataFrame:
+    """Adds _block to (_root, _print, _n): a running count by size cuts a cluster into blocks."""
+    order = Window.partitionBy("_root").orderBy("_n", "_print")
+    before = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    block = F.greatest(F.floor((F.row_number().over(order) - 1) / BLOCK_SETS), F.floor(F.coalesce(before, F.lit(0)) / BLOCK_TOKENS))
+    return clusters.withColumn("_block", block)
+
+
 def exact_links(members: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): links that connect what is within the threshold, as stars by label.
 
-    members: _root (cluster), _print, tokens. A task holds one block, or two of one cluster.
+    members: _root (cluster), _block, _n (size), _print, tokens. A task holds one block, or two of
+    one cluster.
     """
     parts = work_partitions(members.sparkSession)
-    order = Window.partitionBy("_root").orderBy("_n", "_print")
-    # a running count of sets and shingles cuts a cluster into blocks; rows hold no tokens here
-    narrow = members.select("_root", "_print", (F.length("tokens") / 8).cast("long").alias("_n"))
-    at = F.greatest(F.floor((F.row_number().over(order) - 1) / BLOCK_SETS), F.floor((F.sum("_n").over(order) - F.col("_n")) / BLOCK_TOKENS))
-    placed = stored(narrow.withColumn("_block", at))
-    blocks = stored(placed.groupBy("_root", "_block").agg(F.min("_n").alias("_lo"), F.max("_n").alias("_hi"), F.count(F.lit(1)).alias("_sets")))
-    rows = stored(members.join(placed.select("_root", "_print", "_n", "_block"), ["_root", "_print"]))
+    blocks = stored(members.groupBy("_root", "_block").agg(F.min("_n").alias("_lo"), F.max("_n").alias("_hi")))
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in _grouped(batches, 2):
             if len(group) > 1:
-                forest = Forest([np.frombuffer(t, np.uint64) for _, _, t in group], np.arange(len(group)), percent)
-                forest.join((0, len(group)), (0, len(group)))
-                links = [(group[i][1], group[r][1]) for i, r in enumerate(forest.labels) if i != r]
+                labels = linked_labels([np.frombuffer(t, np.uint64) for _, _, t in group], np.arange(len(group)), len(group), percent)
+                links = [(group[i][1], group[r][1]) for i, r in enumerate(labels) if i != r]
                 if links:
                     yield _link_table(links)
 
-    sorted_rows = rows.select("_root", "_block", "_n", "_print", "tokens").repartition(parts, "_root", "_block").sortWithinPartitions("_root", "_block", "_n", "_print")
+    sorted_rows = members.select("_root", "_block", "_n", "_print", "tokens").repartition(parts, "_root", "_block").sortWithinPartitions("_root", "_block", "_n", "_print")
     local = stored(sorted_rows.mapInArrow(within, "a binary, b binary"))
     # blocks of one cluster meet where their sizes allow a link; most clusters have one block
     other = blocks.select("_root", F.col("_block").alias("_other"), F.col("_lo").alias("_lo2"), F.col("_hi").alias("_hi2"))
     meets = blocks.join(other, "_root").filter(f"_other > _block and 100 * _hi >= {percent} * _lo2 and 100 * _hi2 >= {percent} * _lo")
     meets = stored(meets.select("_root", "_block", "_other"))
+    if meets.isEmpty():
+        return local
     dealt = meets.select("_root", "_block", "_other", F.explode(F.array("_block", "_other")).alias("_side"))
     labels = components(local).select(F.col("node").alias("_print"), "root")
-    wide = rows.select("_root", F.col("_block").alias("_side"), "_n", "_print", "tokens").join(labels, "_print", "left")
+    wide = members.select("_root", F.col("_block").alias("_side"), "_n", "_print", "tokens").join(labels, "_print", "left")
     wide = dealt.join(wide, ["_root", "_side"])
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,10 +446,9 @@ def exact_links(members: DataFrame, percent: int = PERCENT) -> DataFrame:
             roots = [g[3] or g[2] for g in group]
             first = {r: i for i, r in reversed(list(enumerate(roots)))}
             start = np.array([first[r] for r in roots])
-            forest = Forest([np.frombuffer(g[4], np.uint64) for g in group], start, percent)
-            cut = sum(g[0] == block for g in group)
-            forest.join((0, cut), (cut, len(group)))
-            links = [(names[i], names[r]) for i, r in enumerate(forest.labels) if i != r and start[i] != r]
+            first = sum(g[0] == block for g in group)
+            labels = linked_labels([np.frombuffer(g[4], np.uint64) for g in group], start.copy(), first, percent)
+            links = [(names[i], names[r]) for i, r in enumerate(labels) if i != r and start[i] != r]
             if links:
                 yield _link_table(links)
 
@@ -381,26 +464,29 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     an empty set and link with nothing, not even with each other. Repeated rows and ids are fine;
     a null id takes its group's smallest id. Extra columns aren't read.
     """
-    sets = stored(set_table(docs, id_col, text_col, size))
+    found = stored(set_table(docs, id_col, text_col, size))
+    frequent, sets = frequent_shingles(found), found.filter("_token is null").drop("_token", "_times")
     classes = stored(
         sets.filter("_print is not null").groupBy("_print").agg(
-            F.min("doc_id").alias("_least"), F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), "_text_print")).alias("_row")
+            F.min("doc_id").alias("_least"), F.min("n_shingles").alias("_n"),
+            F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), "_text_print")).alias("_row"),
         )
     )
-    clusters = stored(components(candidate_edges(docs, text_col, size, percent)))
-    chosen = clusters.join(classes, clusters.node == classes["_print"]).select("_print", F.col("root").alias("_root"), "_row._id", "_row._text_print")
+    clusters = components(candidate_edges(docs, frequent, text_col, size, percent))
+    chosen = clusters.join(classes, clusters.node == classes["_print"]).select("_print", F.col("root").alias("_root"), "_n", "_row.*")
+    chosen = stored(placed_in_blocks(chosen))
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_text_print"), text.alias("_text"))
-    texts = texts.join(stored(chosen).hint("merge"), ["_id", "_text_print"]).select("_root", "_print", "_text")
+    texts = texts.join(chosen.hint("merge"), ["_id", "_text_print"]).dropDuplicates(["_id", "_text_print"])
+    texts = texts.select("_root", "_block", "_n", "_print", "_text")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(size)
         for batch in batches:
-            body = pa.array([shingles(t.as_py()).tobytes() for t in batch.column(2)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), body], ["_root", "_print", "tokens"])
+            body = pa.array([shingles(t.as_py()).tobytes() for t in batch.column(4)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], body], ["_root", "_block", "_n", "_print", "tokens"])
 
-    members = stored(texts.mapInArrow(tokens, "_root binary, _print binary, tokens binary"))
-    members = members.dropDuplicates(["_root", "_print"])
+    members = stored(texts.mapInArrow(tokens, "_root binary, _block long, _n long, _print binary, tokens binary"))
     linked = stored(components(exact_links(members, percent)))
     named = classes.join(linked, classes["_print"] == linked.node, "left").select("_print", "_least", F.coalesce("root", "_print").alias("_root"))
     named = stored(named)
