@@ -32,9 +32,5 @@ def frame(spark, some=None):
     return spark.createDataFrame(rows() if some is None else some, SCHEMA).repartition(3)
 
 
-def texts_of(data):
-    return [(r[0], r[1]) for r in data]
-
-
 def words(text):
     return (text or "").encode().split()
