@@ -2,11 +2,12 @@
 
 Texts are cut into units: spaces and the letters that follow them. No piece crosses from a letter
 to a space, so the best path through a text is the sum of the best paths through its units, and
-each distinct unit needs encoding once. A task lists its units in blocks and keeps texts as places
-in the list. All blocks' distinct units then become a lattice: their substrings up to the longest
-piece's length are exploded and equi-joined to the piece table (a vocabulary, of fixed size); the
-edges of a unit are grouped, and a higher-order fold over them in order of their ends is Viterbi.
-The paths go back to the blocks, where texts are put together.
+each distinct unit needs encoding once. A task lists the units of a block of texts, in buckets by
+hash, and keeps the texts as places in the list. In its bucket, each distinct unit becomes a
+lattice: its substrings up to the longest piece's length are exploded and equi-joined to the piece
+table (a vocabulary, of fixed size); the edges of a unit are grouped, and a higher-order fold over
+them in order of their ends is Viterbi. The paths go back to the blocks, where texts are put
+together. So only lists of distinct units, their paths and the compressed places move.
 
 Scores are the model file's, taken as log probabilities. A character without a piece costs the
 least score less 10 and becomes its UTF-8 bytes' pieces. Ties go to the longer last piece. A model
@@ -26,6 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,8 +36,12 @@ from .common import documents, stored, work_partitions
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Below the least score: the cost of a character without a piece.
 UNKNOWN = 10.0
+#: Buckets of units for each shuffle partition: the edges of a bucket are sorted in memory.
+FINER = 8
 #: Text that a task gathers in a block, in bytes.
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 24 << 20
+#: Texts that are packed, or put together, at once.
+CHUNK = 400
 UNITS = re.compile(" *[^ \n]+| +|\n")
 
 
@@ -82,15 +88,24 @@ def replayable(docs: DataFrame) -> DataFrame:
     return stored(docs) if "Exchange" in plan or not docs.inputFiles() else docs
 
 
+class _Places(dict):
+    """Numbers keys by first appearance."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
 class Blocks:
     """Cuts a task's texts into units, numbered by first appearance in a block.
 
-    A block's name is a hash of all it holds, so a block that is met again under the same name
-    has the same units in the same places.
+    A unit is keyed by what follows its first space; one without a space has a zero character in
+    front. A block's name is a hash of all it holds, so a block that is met again under the same
+    name has the same units in the same places.
     """
 
-    def __init__(self):
-        self.places: dict[str, int] = {}
+    def __init__(self, kind: pa.DataType):
+        self.kind, self.places = kind, _Places()
         self.rows: list[tuple] = []
         self.size, self.hash = 0, xxhash.xxh3_64()
 
@@ -99,39 +114,47 @@ class Blocks:
         if text is None:
             self.rows.append((row_id, None))
             return
-        places = self.places
-        found = UNITS.findall(" " + text) if text else []
-        codes = [places.setdefault(u, len(places)) for u in found]
-        self.rows.append((row_id, np.array(codes, np.uint32)))
+        if "  " in text or " \n" in text or "\x00" in text or text[:1] == " " or text[-1:] == " ":
+            found = [u[1:] if u[0] == " " else "\x00" + u for u in UNITS.findall(" " + text)]
+        else:
+            found = text.replace("\n", " \x00\n \x00").split(" ") if text else []
+        self.rows.append((row_id, np.fromiter(map(self.places.__getitem__, found), np.uint32, len(found))))
         self.size += len(text)
 
     @property
     def name(self) -> int:
         return int(np.int64(np.uint64(self.hash.intdigest())))
 
+    def order(self, buckets: int) -> tuple[list[list[str]], np.ndarray]:
+        """Units sorted in each bucket, and by place where a unit stands in all of these; -1 for the
+        empty rest that a line break leaves."""
+        listed: list[list[tuple[str, int]]] = [[] for _ in range(buckets)]
+        where = np.full(len(self.places), -1, np.int32)
+        for key, place in self.places.items():
+            unit = key[1:] if key[:1] == "\x00" else " " + key
+            if unit:
+                listed[xxhash.xxh3_64_intdigest(unit) % buckets].append((unit, place))
+        n = 0
+        for part in listed:
+            part.sort()
+            where[[p for _, p in part]] = np.arange(n, n + len(part))
+            n += len(part)
+        return [[u for u, _ in part] for part in listed], where
+
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Blocks]:
-    block = Blocks()
+    block = None
     for batch in batches:
+        block = block or Blocks(batch.column(0).type)
         for row_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             block.add(row_id, text.as_py())
             if block.size >= BLOCK_BYTES:
                 yield block
-                block = Blocks()
-    if block.rows:
+                block = Blocks(batch.column(0).type)
+    if block and block.rows:
         yield block
 
 
-def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block in _blocks(batches):
-        units = pa.array(list(block.places), pa.string())
-        for i in range(0, len(units), 50_000):
-            part = units.slice(i, 50_000)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(part), block.name)), pa.array(np.arange(i, i + len(part), dtype=np.int32)), part], ["_block", "_place", "_unit"]
-            )
-
-
 def _pack(codes: np.ndarray) -> bytes:
     """Places in 7-bit groups, low first: frequent units stand early and take a byte or two."""
     if not len(codes):
@@ -153,35 +176,26 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.add.reduceat((raw & 127).astype(np.int64) << (7 * shift), starts)
 
 
-def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block in _blocks(batches):
-        for i in range(0, len(block.rows), 2000):
-            part = block.rows[i : i + 2000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(part), block.name)), pa.array([r for r, _ in part]), pa.array([None if c is None else _pack(c) for _, c in part], pa.binary())],
-                ["_block", "_row", "_codes"],
-            )
-
-
 def lattice_paths(units: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """(_h, _unit), one row each, to (_h, _unit, _ids): the best path of each unit.
+    """(_bucket, _unit, _where), one row a unit, to the same with _ids: its best path.
 
-    Nothing is shuffled when the input is dealt by _h.
+    Nothing is shuffled when the input is dealt by _bucket.
     """
     pieces = F.broadcast(vocab.table(units.sparkSession))
     places = F.sequence(F.lit(0), F.length("_unit") - 1)
     lengths = F.sequence(F.lit(1), F.least(F.lit(vocab.longest), F.length("_unit") - F.col("_from")))
-    spans = units.select("_h", "_unit", F.explode(places).alias("_from")).select("_h", "_unit", "_from", F.explode(lengths).alias("_n"))
+    keys = ["_bucket", "_unit", "_where"]
+    spans = units.select(*keys, F.explode(places).alias("_from")).select(*keys, "_from", F.explode(lengths).alias("_n"))
     spans = spans.withColumn("_piece", F.expr("substring(_unit, _from + 1, _n)"))
     # a single character always makes an edge, by its bytes if it has no piece
     edges = spans.join(pieces, "_piece", "left").filter("_piece_id is not null or _n = 1").select(
-        "_h", "_unit",
+        *keys,
         F.struct(
             (F.col("_from") + F.col("_n")).alias("to"), (-F.col("_n")).alias("back"),
             F.coalesce("_piece_id", F.lit(-1)).alias("id"), F.coalesce("_score", F.lit(vocab.unknown)).alias("score"),
         ).alias("_edge"),
     )
-    grouped = edges.groupBy("_h", "_unit").agg(F.sort_array(F.collect_list("_edge")).alias("_edges"))
+    grouped = edges.groupBy("_bucket", "_unit").agg(F.sort_array(F.collect_list("_edge")).alias("_edges"), F.first("_where").alias("_where"))
 
     # state: scores of the last places (newest last), and for every place the edge that led there
     zero = F.struct(
@@ -213,7 +227,7 @@ def lattice_paths(units: DataFrame, vocab: Vocabulary) -> DataFrame:
         return F.aggregate(F.sequence(F.lit(1), F.size(path) - 1), start, step, lambda s: F.reverse(s["ids"]))
 
     path = F.aggregate("_edges", zero, fold, lambda s: s["path"])
-    found = grouped.select("_h", "_unit", F.transform(F.array(path), walk)[0].alias("_codes"))
+    found = grouped.select(*keys, F.transform(F.array(path), walk)[0].alias("_codes"))
     table = F.array(*[F.lit(i) for i in vocab.bytes_ids])
 
     def spelled(code):
@@ -224,7 +238,7 @@ def lattice_paths(units: DataFrame, vocab: Vocabulary) -> DataFrame:
         return F.when(code > 0, F.array(code)).otherwise(F.transform(F.sequence(F.lit(1), count), one))
 
     plain = F.forall("_codes", lambda c: c > 0)
-    return found.select("_h", "_unit", F.when(plain, F.col("_codes")).otherwise(F.flatten(F.transform("_codes", spelled))).alias("_ids"))
+    return found.select(*keys, F.when(plain, F.col("_codes")).otherwise(F.flatten(F.transform("_codes", spelled))).alias("_ids"))
 
 
 def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,38 +250,79 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
     vocab = vocabulary(model)
     rows = replayable(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     kind = dict(rows.dtypes)["doc_id"]
-    n = work_partitions(docs.sparkSession)
-    listed = rows.mapInArrow(_unit_rows, "_block long, _place int, _unit string").withColumn("_h", F.xxhash64("_unit")).repartition(n, "_h")
-    # the same exchange feeds the distinct units and the places that want their paths
-    paths = lattice_paths(listed.select("_h", "_unit").distinct(), vocab)
-    placed = listed.join(paths, ["_h", "_unit"])
-    books = placed.groupBy("_block").agg(F.collect_list(F.struct("_place", "_ids")).alias("_book"))
-    texts = rows.mapInArrow(_text_rows, f"_block long, _row {kind}, _codes binary")
+    n = FINER * work_partitions(docs.sparkSession)
+
+    def unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            # one text a bucket; line breaks part the units, and the empty one stands for a line break
+            parts = [(b, "\n".join("" if u == "\n" else u for u in units)) for b, units in enumerate(block.order(n)[0]) if units]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block.name] * len(parts), pa.int64()), pa.array([b for b, _ in parts], pa.int32()), pa.array([u for _, u in parts], pa.string())],
+                ["_block", "_bucket", "_units"],
+            )
+
+    def text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["_block", "_part", "_rows", "_sizes", "_body"]
+        press = zstandard.ZstdCompressor(level=3).compress
+        for block in _blocks(batches):
+            where = press(block.order(n)[1].tobytes())
+            chunks = [(-1, [], [], where)]
+            for i in range(0, len(block.rows), CHUNK):
+                part = block.rows[i : i + CHUNK]
+                full = [c for _, c in part if c is not None]
+                body = press(_pack(np.concatenate(full)) if full else b"")
+                chunks.append((i, [r for r, _ in part], [-1 if c is None else len(c) for _, c in part], body))
+            columns = list(zip(*chunks, strict=True))
+            kinds = [pa.int32(), pa.list_(block.kind), pa.list_(pa.int32()), pa.binary()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block.name] * len(chunks), pa.int64()), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names
+            )
+
+    listed = rows.mapInArrow(unit_rows, "_block long, _bucket int, _units string").repartition(n, "_bucket")
+    # a unit's places: one for each block that has it, as pairs of longs in one list
+    at = F.array("_block", F.col("_pos").cast("long"))
+    spread = listed.select("_bucket", "_block", F.posexplode(F.split("_units", "\n", -1)).alias("_pos", "_unit"))
+    units = spread.groupBy("_bucket", F.when(F.col("_unit") == "", "\n").otherwise(F.col("_unit")).alias("_unit")).agg(
+        F.flatten(F.collect_list(at)).alias("_where")
+    )
+    paths = lattice_paths(units, vocab).select("_bucket", "_where", "_ids")
+    spots = F.sequence(F.lit(0), F.size("_where") - 2, F.lit(2))
+    placed = paths.select("_bucket", "_where", "_ids", F.explode(spots).alias("_i")).select(
+        "_bucket", F.get("_where", F.col("_i")).alias("_block"),
+        F.struct(F.get("_where", F.col("_i") + 1).alias("pos"), F.col("_ids").alias("ids")).alias("_path"),
+    )
+    books = placed.groupBy("_bucket", "_block").agg(F.sort_array(F.collect_list("_path")).alias("_paths")).select(
+        "_block", "_bucket", F.transform("_paths", lambda p: F.size(p["ids"])).alias("_counts"),
+        F.flatten(F.transform("_paths", lambda p: p["ids"])).alias("_ids"),
+    )
+    texts = rows.mapInArrow(text_rows, f"_block long, _part int, _rows array<{kind}>, _sizes array<int>, _body binary")
 
     def put_together(texts: pa.Table, books: pa.Table) -> pa.Table:
-        if books.num_rows:
-            book = books.column("_book").chunk(0).flatten()
-            places, ids = book.field("_place").to_numpy(), book.field("_ids")
-            counts = np.diff(ids.offsets.to_numpy())
-            values, starts = ids.values.to_numpy(), ids.offsets.to_numpy()[:-1]
-            by_place = np.argsort(places)
-            counts, starts = counts[by_place], starts[by_place]
-        elif any(c.as_py() for c in texts.column("_codes")):
+        order = np.argsort(books.column("_bucket").to_numpy()) if books.num_rows else []
+        flat = lambda name: [books.column(name)[int(i)].values.to_numpy(zero_copy_only=False) for i in order]
+        counts, values = (np.concatenate(flat(c)) if len(order) else np.empty(0, np.int32) for c in ("_counts", "_ids"))
+        starts = np.concatenate([[0], np.cumsum(counts)])  # of one block, so 32 bits hold them
+        parts = dict(zip(texts.column("_part").to_pylist(), range(texts.num_rows), strict=True))
+        body = lambda i: zstandard.ZstdDecompressor().decompress(texts.column("_body")[i].as_py())
+        if not texts.num_rows or (where := np.frombuffer(body(parts.pop(-1)), np.int32)).max(initial=-1) != len(counts) - 1:
             raise ValueError("a block's units were not found: the input gave other rows when it was read again")
-        found, sizes = [], []
-        for packed in texts.column("_codes"):
-            packed = packed.as_py()
-            codes = _unpack(packed or b"")
-            if len(codes):
-                own = counts[codes]
-                ends = np.cumsum(own)
-                at = np.arange(ends[-1]) + np.repeat(starts[codes] - (ends - own), own)
-                found.append(values[at])
-            sizes.append(None if packed is None else int(own.sum()) if len(codes) else 0)
-        offsets = np.concatenate([[0], np.cumsum([s or 0 for s in sizes])]).astype(np.int32)
-        flat = np.concatenate(found) if found else np.empty(0, np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()), mask=pa.array([s is None for s in sizes]))
-        return pa.Table.from_arrays([texts.column("_row"), lists], ["doc_id", "ids"])
+        counts, starts = np.append(counts, 0), np.append(starts[:-1], 0)  # the last stands for no unit
+        ids, sizes, found = [], [], []
+        for i in parts.values():
+            codes, lengths = where[_unpack(body(i))], texts.column("_sizes")[i].values.to_numpy()
+            own = counts[codes]
+            ends = np.cumsum(own)
+            at = np.repeat((starts[codes] - (ends - own)).astype(np.int32), own)
+            at += np.arange(len(at), dtype=np.int32)
+            found.append(values[at])
+            edges = np.concatenate([[0], np.cumsum(np.maximum(lengths, 0))])
+            totals = np.concatenate([[0], ends])
+            sizes.append(np.where(lengths < 0, -1, totals[edges[1:]] - totals[edges[:-1]]))
+            ids.append(texts.column("_rows")[i].values)
+        sizes = np.concatenate(sizes)
+        offsets = np.concatenate([[0], np.cumsum(np.maximum(sizes, 0))]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found), pa.int32()), mask=pa.array(sizes < 0))
+        return pa.Table.from_arrays([pa.concat_arrays(ids), lists], ["doc_id", "ids"])
 
     return texts.groupBy("_block").cogroup(books.groupBy("_block")).applyInArrow(put_together, f"doc_id {kind}, ids array<int>")
 
