@@ -8,7 +8,7 @@ mean equal text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import NO_ID, documents, hot_keys, lower_ascii, numbered, stored
@@ -25,25 +25,35 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 4096) -> DataFrame:
-    """One row per row key: _blocks and _name, together a collision-free identity of the text."""
-    rows = _keyed(docs, id_col, text_col)
+def _blocks(block_chars: int) -> Column:
     cut = F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0))
-    cut = F.when(F.col("_len") == 0, F.array(F.lit(""))).otherwise(cut)
+    return F.when(F.col("_len") <= block_chars, F.array("_text")).otherwise(cut)
+
+
+def _identified(docs: DataFrame, id_col: str, text_col: str, block_chars: int) -> DataFrame:
+    """doc_id, text_sha256, _blocks and _name of each row: the last two identify its text."""
+    rows = _keyed(docs, id_col, text_col)
+    cut = _blocks(block_chars)
+    narrow = stored(rows.select("doc_id", *KEY, F.sha2("_text", 256).alias("text_sha256"), F.transform(cut, lambda b: F.xxhash64(b)).alias("_prints")))
+    hot = hot_keys(narrow.select(F.explode("_prints").alias("_print")), "_print")
     blocks = rows.select(*KEY, F.posexplode(cut).alias("_pos", "_block")).withColumn("_print", F.xxhash64("_block"))
-    hot = hot_keys(blocks, "_print")
     # a block's first place stands for it from then on
-    firsts = lambda some: some.groupBy("_print", "_block").agg(F.min(F.struct(*KEY, "_pos")).alias("_first"))
-    cold = blocks.join(F.broadcast(hot), "_print", "left_anti")
-    warm = blocks.join(F.broadcast(hot), "_print", "left_semi")
-    # hot blocks (HOT_SHARE fingerprints at most) stay where they are; of the others, each side
-    # moves once, and the join reads the grouped side where grouping left it
-    placed = stored(
-        cold.join(firsts(cold), ["_print", "_block"])
-        .unionByName(warm.join(F.broadcast(firsts(warm)), ["_print", "_block"]))
-        .select(*KEY, "_pos", "_first")
-        .distinct()
-    )
+    firsts = blocks.groupBy("_print", "_block").agg(F.min(F.struct(*KEY, "_pos")).alias("_first"))
+    # names of hot blocks (HOT_SHARE fingerprints at most) come to their rows, which then travel
+    # without content and anywhere; the join reads the grouped side where grouping left it
+    known = F.broadcast(firsts.join(F.broadcast(hot), "_print", "left_semi").withColumnRenamed("_first", "_known"))
+    found = blocks.join(known, ["_print", "_block"], "left").select(
+        *KEY, "_pos", "_known",
+        F.when(F.col("_known").isNull(), F.col("_block")).alias("_block"),
+        F.when(F.col("_known").isNull(), F.col("_print")).otherwise(F.xxhash64(*KEY, "_pos")).alias("_print"),
+    )
+    placed = found.join(firsts, ["_print", "_block"], "left").select(*KEY, "_pos", F.coalesce("_known", "_first").alias("_first"))
+    names = _names(stored(placed.distinct()))
+    return narrow.select("doc_id", *KEY, "text_sha256").join(names, KEY).select("doc_id", "text_sha256", "_blocks", "_name")
+
+
+def _names(placed: DataFrame) -> DataFrame:
+    """One row per row key: _blocks and _name, from the blocks' first places."""
     flat = placed.select(*KEY, "_pos", *[F.col(f"_first.{c}").alias(f"f{c}") for c in (*KEY, "_pos")])
     names = numbered(flat.select("f_id", "f_len", "f_hash", "f_pos").distinct(), ["f_id", "f_len", "f_hash", "f_pos"], "_name")
     level = stored(flat.join(names, ["f_id", "f_len", "f_hash", "f_pos"]).select(*KEY, "_pos", "_name"))
@@ -70,9 +80,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id share its decision, and a null id stays only where its group has no other. Extra columns
     of the input are not read. An empty table gives an empty result.
     """
-    ids = stored(identities(docs, id_col, text_col, block_chars))
-    rows = _keyed(docs, id_col, text_col).select(*KEY, "doc_id", F.sha2("_text", 256).alias("text_sha256"))
-    named = stored(rows.join(ids, KEY).select("doc_id", "text_sha256", "_blocks", "_name"))
+    named = stored(_identified(docs, id_col, text_col, block_chars))
     groups = named.groupBy("_blocks", "_name").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     return named.join(stored(groups), ["_blocks", "_name"]).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
