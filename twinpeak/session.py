@@ -40,7 +40,7 @@ def prepare(spark: SparkSession) -> SparkSession:
                         out.write(full, os.path.join("twinpeak", os.path.relpath(full, PACKAGE)))
         context.addPyFile(archive)
         context._twinpeak_shipped = True
-    if spark.conf.get("spark.checkpoint.dir", None) is None and context.master.startswith("local["):
+    if spark.conf.get("spark.checkpoint.dir", None) is None and context.master.split("[")[0] == "local":
         spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="twinpeak-shared-"))
     return spark
 
