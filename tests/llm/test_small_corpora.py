@@ -210,6 +210,17 @@ def test_quality_classifier(docs, none, good):
     assert quality_classifier.resample(none, good, 0.5).count() == 0
 
 
+def test_weights_read_whole_words(spark):
+    """Texts that differ only before the words' ends are told apart."""
+    ends = ["ing", "tion", "ment", "ness"]
+    text = lambda stem: " ".join(stem + str(i) + ends[i % 4] for i in range(80))
+    data = [(1, text("good")), (2, text("good") + " tail"), (3, text("spam")), (4, text("spam") + " tail")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    ratios = quality_classifier.log_ratios(quality_classifier.models(docs, docs.filter("doc_id = 1")))
+    weight = {r.doc_id: r.log_weight for r in quality_classifier.weights(docs, ratios).collect()}
+    assert min(weight[1], weight[2]) > max(weight[3], weight[4]) + 10
+
+
 def test_language_id(docs, none):
     net = language_id.fit(docs)
     got = {r.doc_id: r for r in language_id.predict(docs, net).collect()}

@@ -5,7 +5,7 @@ text, give each document an importance weight: the log ratio of its n-grams' pro
 both, brought to a length of `LENGTH` n-grams so that long texts don't win by size. Gumbel noise,
 seeded by id, is added, and the documents with the k highest sums are the sample.
 
-N-grams are the last three characters of a word, alone and with those of the next one.
+N-grams are whole words, alone and with the next one.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ class Grams:
         for word in (text or "").encode().split():  # splits at ASCII blanks only
             code = known.get(word)
             if code is None:
-                known[word] = code = zlib.crc32(word.decode()[-3:].encode()) % BUCKETS
+                known[word] = code = zlib.crc32(word) % BUCKETS
             codes.append(code)
         one = np.array(codes, dtype=np.int64)
         return np.concatenate([one, (one[:-1] * 31 + one[1:] * 17 + 7) % BUCKETS])
