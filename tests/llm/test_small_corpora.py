@@ -243,3 +243,19 @@ def test_sentencepiece_round_trip(docs, none):
     back = sentencepieces.decode(tokens, text_col="back").select("doc_id", "back")
     same(back, [(r[0], r[1]) for r in rows()])
     assert sentencepieces.encode(none).count() == 0
+
+
+def test_blocks_of_the_same_texts_stay_apart(spark, tmp_path):
+    """Part files of the same texts, with units or without any, and a text's own NUL after a space."""
+    data = [(1, "some words\nof a text"), (2, None), (3, "")]
+    for path, part in (("full", data), ("bare", data[1:])):
+        for i in range(2):
+            some = [(10 * i + r[0], r[1]) for r in part]
+            spark.createDataFrame(some, "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / path))
+        docs = spark.read.parquet(str(tmp_path / path))
+        assert docs.rdd.getNumPartitions() == 2
+        back = sentencepieces.decode(sentencepieces.encode(docs), text_col="back").select("doc_id", "back")
+        same(back, [(10 * i + r[0], r[1]) for i in range(2) for r in part])
+    odd = [(1, "a \x00b"), (2, "a \x00b\nb \x00"), (3, "\n\n \nb"), (4, "\x00")]
+    back = sentencepieces.decode(sentencepieces.encode(spark.createDataFrame(odd, "doc_id long, text string")), text_col="back")
+    same(back.select("doc_id", "back"), odd)

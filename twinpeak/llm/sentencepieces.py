@@ -99,25 +99,26 @@ class _Places(dict):
 class Blocks:
     """Cuts a task's texts into units, numbered by first appearance in a block.
 
-    A unit is keyed by what follows its first space; one without a space has a zero character in
-    front. A block's name is a hash of all it holds, so a block that is met again under the same
-    name has the same units in the same places.
+    A unit is keyed by what follows its first space; one without a space has a line break in front,
+    which no unit holds but the line break itself. A block's name is a hash of its partition, its
+    number there and its texts: blocks of the same texts stay apart, and a block that is met again
+    under the same name has the same units in the same places.
     """
 
-    def __init__(self, kind: pa.DataType):
+    def __init__(self, kind: pa.DataType, task: int, number: int):
         self.kind, self.places = kind, _Places()
         self.rows: list[tuple] = []
-        self.size, self.hash = 0, xxhash.xxh3_64()
+        self.size, self.hash = 0, xxhash.xxh3_64(f"{task},{number};")
 
     def add(self, row_id, text: str | None) -> None:
-        self.hash.update(b"\x00" if text is None else b"\x01" + text.encode())
+        self.hash.update(b"\xff" if text is None else text.encode() + b"\xfe")  # bytes that UTF-8 has not
         if text is None:
             self.rows.append((row_id, None))
             return
-        if "  " in text or " \n" in text or "\x00" in text or text[:1] == " " or text[-1:] == " ":
-            found = [u[1:] if u[0] == " " else "\x00" + u for u in UNITS.findall(" " + text)]
+        if "  " in text or " \n" in text or text[:1] == " " or text[-1:] == " ":
+            found = [u[1:] if u[0] == " " else "\n" + u for u in UNITS.findall(" " + text)]
         else:
-            found = text.replace("\n", " \x00\n \x00").split(" ") if text else []
+            found = text.replace("\n", " \n\n \n").split(" ") if text else []
         self.rows.append((row_id, np.fromiter(map(self.places.__getitem__, found), np.uint32, len(found))))
         self.size += len(text)
 
@@ -131,7 +132,7 @@ class Blocks:
         listed: list[list[tuple[str, int]]] = [[] for _ in range(buckets)]
         where = np.full(len(self.places), -1, np.int32)
         for key, place in self.places.items():
-            unit = key[1:] if key[:1] == "\x00" else " " + key
+            unit = key[1:] if key[:1] == "\n" else " " + key
             if unit:
                 listed[xxhash.xxh3_64_intdigest(unit) % buckets].append((unit, place))
         n = 0
@@ -143,15 +144,16 @@ class Blocks:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Blocks]:
-    block = None
+    """Blocks of (id, text, partition) rows."""
+    block, number = None, 0
     for batch in batches:
-        block = block or Blocks(batch.column(0).type)
-        for row_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for row_id, text, task in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            block = block or Blocks(batch.column(0).type, task, number)
             block.add(row_id, text.as_py())
             if block.size >= BLOCK_BYTES:
                 yield block
-                block = Blocks(batch.column(0).type)
-    if block and block.rows:
+                block, number = None, number + 1
+    if block:
         yield block
 
 
@@ -250,6 +252,7 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
     vocab = vocabulary(model)
     rows = replayable(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     kind = dict(rows.dtypes)["doc_id"]
+    rows = rows.withColumn("_task", F.spark_partition_id())
     n = FINER * work_partitions(docs.sparkSession)
 
     def unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
