@@ -25,8 +25,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of the n-gram Jaccard join (4)."""
-    return jaccard_join.keep_one(docs)
+    """One document of each group of the n-gram Jaccard join (4), by five words and 0.8."""
+    return jaccard_join.keep_one(docs, size=5, percent=80)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -101,6 +101,17 @@ def test_jaccard_join(docs, none):
     assert jaccard_join.keep_one(docs).columns == docs.columns
 
 
+def test_pipeline_joins_by_five_words_and_four_fifths(spark):
+    """Two of 95 words changed: 81 of 101 five-word shingles are shared, and 84 of 100 four-word ones."""
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(95)]
+    far = [w if i not in (30, 60) else "changed" + w for i, w in enumerate(base)]
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(far)), (3, "other words")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, None).collect()) == [1, 3]
+    assert jaccard_join.keep_one(docs).count() == 3
+
+
 def test_line_dedup(docs, none):
     found = {(r.doc_id, r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(docs).collect()}
     assert (15, "x\nunlike any other line here", 3, 1) in found

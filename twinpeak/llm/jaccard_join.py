@@ -497,12 +497,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return full.unionByName(sets.filter("_print is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "_text_print"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row of each group, with all its columns: that of the smallest id, then fingerprint.
 
     Rows without words all stay, but for repeated ones.
     """
-    groups = similar_groups(docs).withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID)))
+    groups = similar_groups(docs, size=size, percent=percent).withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID)))
     groups = stored(groups)
     full = groups.filter("n_shingles > 0").groupBy(F.coalesce("component_id", F.lit(NO_ID))).agg(F.min(F.struct("_id", "_text_print")).alias("_row"))
     stay = full.select("_row.*").unionByName(groups.filter("n_shingles = 0").select("_id", "_text_print")).distinct()
