@@ -120,6 +120,17 @@ def test_passages_of_a_shared_quote(spark):
         assert (r.start_word, r.end_word, r.other_start, r.n_matched) == (50 + r.doc_id, 120 + r.doc_id, 50, 70)
 
 
+def test_a_chain_that_fails_is_cut_at_its_gap():
+    """Two exact passages that adjoin in one text and stand 50 words apart in the other."""
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        p, q, other, head = (rng.integers(0, 1 << 60, n).astype(np.uint64) for n in (50, 50, 50, 20))
+        a, b = np.concatenate([head, p, q]), np.concatenate([p, other, q])
+        (one, x), (two, y) = substring_dedup.minimizers(a), substring_dedup.minimizers(b)
+        _, i, j = np.intersect1d(one, two, return_indices=True)
+        assert substring_dedup.passages(a, b, x[i], y[j]) == [(20, 70, 0, 50, 50), (70, 120, 100, 150, 50)]
+
+
 def test_pair_tables_equal_the_convolution():
     rng = np.random.default_rng(0)
     windows = rng.integers(0, 256, (70, language_id.SPAN)).astype(np.uint8)
