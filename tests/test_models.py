@@ -267,3 +267,13 @@ def test_preserve_mode_keeps_supplied_diagnostics(spark):
     df = spark.createDataFrame([(0, "kept", "mine")], "row_no long, ms2_diagnostic_status string, manual_notes string")
     r = compare.annotate_results(df, preserve=True).first()
     assert (r.ms2_diagnostic_status, r.manual_notes, r.manual_reviewer, r.review_row) == ("kept", "mine", "", 1)
+
+
+def test_logistic_fit_runs_every_setting(spark):
+    from twinpeak.plans.training import CONFIGS
+    from twinpeak.workload import models
+
+    got = [(r.fold, r.c, r.class_weight) for r in models.logistic_fit(spark, "/root/testdata/sf0.001").collect()]
+    want = {(c, w or "none") for c, w in CONFIGS}
+    folds = {g[0] for g in got}
+    assert folds and len(got) == len(folds) * len(want) and all({g[1:] for g in got if g[0] == f} == want for f in folds)

@@ -404,10 +404,10 @@ SCALER_SQL = sql.with_ctes(
 
 
 def logistic_fit(spark, d):
+    from ..plans.training import CONFIGS
+
     rows = durable(examples(spark, d)).withColumn("fold", F.col("batch_id").cast("string"))
-    models = modeling.fit_logistic(
-        rows.select("fold", "label", *modeling.FEATURES), [(1.0, None), (1.0, "balanced"), (0.01, None)]
-    )
+    models = modeling.fit_logistic(rows.select("fold", "label", *modeling.FEATURES), CONFIGS)
     flat = [
         (m["fold"], m["c"], m["class_weight"] or "none", m["intercept"], *m["coefficients"], m["converged"])
         for m in models
