@@ -34,7 +34,7 @@ def test_query_equals_sql(spark, con, name):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in registered()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registered()) == list(range(1, 14))
 
 
 def test_pipeline(spark):

@@ -1,6 +1,20 @@
 """Corpus queries: name -> (Spark callable, SQL text or None)."""
 
-from . import exact_dedup, jaccard_join, language_id, line_dedup, mixing, quality_classifier, quality_rules, secrets, sentencepieces, substring_dedup
+from . import (
+    alignment,
+    exact_dedup,
+    jaccard_join,
+    language_id,
+    line_dedup,
+    mixing,
+    packing,
+    quality_classifier,
+    quality_rules,
+    secrets,
+    sentencepieces,
+    substring_dedup,
+    turn_repair,
+)
 
 QUERIES = {
     "op1_sentencepiece": (sentencepieces.op1, None),
@@ -13,4 +27,7 @@ QUERIES = {
     "op8_line_dedup": (line_dedup.op8, line_dedup.SQL),
     "op9_secret_scans": (secrets.op9, secrets.SQL),
     "op10_language_id": (language_id.op10, None),
+    "op11_packing": (packing.op11, None),
+    "op12_token_alignment": (alignment.op12, None),
+    "op13_conversation_repair": (turn_repair.op13, None),
 }
