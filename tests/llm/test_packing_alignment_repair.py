@@ -41,7 +41,9 @@ def test_parts_give_the_ids_of_the_whole_text(monkeypatch):
     """Also when the tables of words are emptied all the time."""
     import sentencepiece
 
-    monkeypatch.setattr(cached_tokens, "MOST_WORDS", 500)
+    monkeypatch.setattr(cached_tokens.Table, "most", 500)
+    for kind in (cached_tokens.ByteTable, cached_tokens.PieceTable):
+        monkeypatch.setattr(kind, "most", 300)
     texts = odd_texts(5000)
     files = {n: cached_tokens.read_file(public_tokenizers.path(n)) for n in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model")}
     words, a, b = cached_tokens.WordTable(files["word_bpe_49k.json"]), cached_tokens.ByteTable(files["byte_bpe_50k.json"]), cached_tokens.PieceTable(files["piece_bpe_32k.model"])
@@ -164,10 +166,12 @@ def test_alignment_equals_plain_version(spark):
     rows = [*corpus.rows(), *((100 + i, t, None, None, 0, None, None, None, None) for i, t in enumerate(odd_texts(200) + ["▁ x", "a▁"]))]
     files = [cached_tokens.read_file(public_tokenizers.path(n)) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
     df = corpus.frame(spark, rows)
-    got = alignment.describe(alignment.align(df, *files), *files)
+    got = alignment.describe(df, *files)
     assert sorted(map(tuple, got.collect()), key=repr) == plain.alignments([(r[0], r[1]) for r in rows])
+    for r in alignment.align(df, *files).collect():
+        assert len(r.a_sizes) == len(r.b_sizes) and sum(r.a_sizes) == len(r.a_ids) and sum(r.b_sizes) == len(r.b_ids)
     empty = df.limit(0)
-    assert alignment.describe(alignment.align(empty, *files), *files).collect() == []
+    assert alignment.describe(empty, *files).collect() == []
 
 
 def test_alignment_query(spark):

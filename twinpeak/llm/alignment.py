@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 from .cached_tokens import ByteTable, PieceTable, batches, chunks_of, read_file, table
 from .common import documents, stored
 
-ALIGNED = "doc_id long, a_ids array<int>, b_ids array<int>, a_ends array<int>, b_ends array<int>, pairs binary"
+ALIGNED = "doc_id long, a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>"
+DIGESTS = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, pairs binary"
 _IDS = pa.list_(pa.int32())
-_ARROW = pa.schema(
-    [("doc_id", pa.int64()), ("a_ids", _IDS), ("b_ids", _IDS), ("a_ends", _IDS), ("b_ends", _IDS), ("pairs", pa.binary())]
-)
+_ALIGNED_TYPES = [pa.int64(), _IDS, _IDS, _IDS, _IDS]
+_DIGEST_TYPES = [pa.int64()] * 4 + [pa.string(), pa.binary()]
 _PAIRS: dict = {}
 
 
@@ -101,8 +101,9 @@ def linkable(a: ByteTable, b: PieceTable, key) -> Pairs:
     return _PAIRS[key]
 
 
-def aligner(a_file: bytes, b_file: bytes):
-    """Arrow task: (doc_id, text) to ids, group ends and the numbers of the linked pairs."""
+def aligner(a_file: bytes, b_file: bytes, schema: str, types: list, form):
+    """Arrow task: (doc_id, text) to rows; `form` makes one of a document's ids and group ends."""
+    names = [part.split()[0] for part in schema.split(", ")]
 
     def run(tables):
         a_table, b_table = table(ByteTable, a_file), table(PieceTable, b_file)
@@ -114,33 +115,52 @@ def aligner(a_file: bytes, b_file: bytes):
                 every = set().union(*parts)
                 a_table.learn(every)
                 b_table.learn(every)
-                made = [_aligned(*row, part, a_table, b_table, pairs) for row, part in zip(some, parts, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), _ARROW, strict=True)], schema=_ARROW)
+                made = [
+                    (doc_id, *form(*_aligned(text, part, a_table, b_table), pairs))
+                    for (doc_id, text), part in zip(some, parts, strict=True)
+                ]
+                columns = [pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def _aligned(doc_id, text, part, a_table, b_table, pairs):
-    whole = (" " + text).encode() if text else b""
-    a_ids, b_ids = np.frombuffer(a_table.encode(part), "<u4"), np.frombuffer(b_table.encode(part), "<u4")
-    if not text or any(b"".join(map(t.token_bytes.__getitem__, ids.tolist())) != whole for t, ids in ((a_table, a_ids), (b_table, b_ids))):
-        return doc_id, [], [], [], [], b""
+def _aligned(text, part, a_table, b_table):
+    """Ids by both tokenizers, and for each group how many of each have ended with it."""
+    a, b = a_table.encode(part), b_table.encode(part)
+    # Parts that give their bytes back give the whole text back.
+    if not text or any(not t.odd.isdisjoint(part) and not t.gives_back(ids, " " + text) for t, ids in ((a_table, a), (b_table, b))):
+        nothing = np.zeros(0, np.int64)
+        return nothing, nothing, nothing, nothing
+    a_ids, b_ids = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
     a_last, b_last = cut_places(np.cumsum(a_table.lengths[a_ids]).tolist(), np.cumsum(b_table.lengths[b_ids]).tolist())
-    numbers = pairs.number(a_ids[a_last], b_ids[b_last])
-    return doc_id, *(x.astype(np.int32) for x in (a_ids, b_ids, a_last + 1, b_last + 1)), numbers.tobytes()
+    return a_ids, b_ids, a_last + 1, b_last + 1
+
+
+def _groups(a_ids, b_ids, a_ends, b_ends, _):
+    return [x.astype(np.int32) for x in (a_ids, b_ids, np.diff(a_ends, prepend=0), np.diff(b_ends, prepend=0))]
+
+
+def _digests(a_ids, b_ids, a_ends, b_ends, pairs):
+    if len(a_ids) == 0:
+        return 0, 0, 0, "", b""
+    linked = pairs.number(a_ids[a_ends - 1], b_ids[b_ends - 1]).tobytes()
+    return len(a_ids), len(b_ids), len(a_ends), groups_digest(a_ids, b_ids, a_ends, b_ends), linked
 
 
 def align(docs: DataFrame, a_file: bytes, b_file: bytes) -> DataFrame:
-    """Per document its ids by both tokenizers and, group by group, how many of each have ended.
+    """Per document its ids by both tokenizers, and how many of each every group takes.
 
-    Group g holds a_ids[a_ends[g - 1]:a_ends[g]] and b_ids[b_ends[g - 1]:b_ends[g]]; its last tokens
-    are linked. `pairs` names the linked id pairs by their place in `Pairs`, as little-endian 32-bit
-    numbers. A null or empty text, or one that either tokenizer's bytes don't give back, has no
-    tokens. A null doc_id stays null, repeated rows give a row each, other columns are not read; an
-    empty table gives no rows. A very long text is one row's work, in time with its length.
+    The last tokens of a group are linked. A null or empty text, or one that either tokenizer's bytes
+    don't give back, has no tokens. A null doc_id stays null, repeated rows give a row each, other
+    columns are not read; an empty table gives no rows. A very long text is one row's work, in time
+    with its length.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return stored(rows.mapInArrow(aligner(a_file, b_file), ALIGNED))
+    return _texts(docs).mapInArrow(aligner(a_file, b_file, ALIGNED, _ALIGNED_TYPES, _groups), ALIGNED)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
@@ -160,8 +180,13 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
     return aligned.select("pairs").mapInArrow(count, "pair long, links long").groupBy("pair").agg(F.sum("links").alias("links"))
 
 
-def describe(aligned: DataFrame, a_file: bytes, b_file: bytes) -> DataFrame:
-    """Counts of each document, its links' counts over all documents, and a digest of its groups."""
+def describe(docs: DataFrame, a_file: bytes, b_file: bytes) -> DataFrame:
+    """Counts of each document's alignment, a digest of its groups, and its links' counts over all documents.
+
+    Only the digests and the numbers of the linked pairs (their places in `Pairs`, as little-endian
+    32-bit numbers) are kept between the two passes. Input cases are those of `align`.
+    """
+    aligned = stored(_texts(docs).mapInArrow(aligner(a_file, b_file, DIGESTS, _DIGEST_TYPES, _digests), DIGESTS))
     pairs = Pairs(ByteTable(a_file).token_bytes, PieceTable(b_file).token_bytes)
     # At most one row for each suffix of a vocabulary entry, whatever the input.
     counted = pair_counts(aligned).toArrow()
@@ -171,30 +196,17 @@ def describe(aligned: DataFrame, a_file: bytes, b_file: bytes) -> DataFrame:
     most = np.zeros(int(b_ids.max(initial=0)) + 1, np.int64)
     np.maximum.at(most, b_ids, counts)
     shared = aligned.sparkSession.sparkContext.broadcast((counts, counts == most[b_ids]))
-    schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
     def run(tables):
         counts, best = shared.value
         for batch in tables:
-            yield _described(batch, counts, best)
-
-    return aligned.mapInArrow(run, schema)
-
+            numbers = [np.frombuffer(cell.as_buffer() or b"", "<i4") for cell in batch.column("pairs")]
+            sums = ([len(x) for x in numbers], [int(best[x].sum()) for x in numbers], [int(counts[x].sum()) for x in numbers])
+            kept = batch.drop_columns(["pairs"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(x, pa.int64()) for x in sums)], [*kept.schema.names, "n_links", "n_best", "count_sum"])
 
-def _described(batch, counts, best) -> pa.RecordBatch:
-    n = batch.num_rows
-    columns = {name: batch.column(name) for name in ("a_ids", "b_ids", "a_ends", "b_ends")}
-    sizes = {name: np.diff(c.offsets.to_numpy()) for name, c in columns.items()}
-    numbers = [np.frombuffer(cell.as_buffer() or b"", "<i4") for cell in batch.column("pairs")]
-    digests = [
-        groups_digest(*(columns[name][i].values.to_numpy() for name in columns)) if sizes["a_ids"][i] else "" for i in range(n)
-    ]
-    longs = (
-        sizes["a_ids"], sizes["b_ids"], sizes["a_ends"], [len(x) for x in numbers],
-        [int(best[x].sum()) for x in numbers], [int(counts[x].sum()) for x in numbers],
-    )
-    names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
-    return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in longs), pa.array(digests, pa.string())], names)
+    made = aligned.mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, n_links long, n_best long, count_sum long")
+    return made.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
 def groups_digest(a_ids, b_ids, a_ends, b_ends) -> str:
@@ -224,4 +236,4 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     a_file, b_file = (read_file(public_tokenizers.path(name)) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
-    return describe(align(documents(spark, sf_dir), a_file, b_file), a_file, b_file)
+    return describe(documents(spark, sf_dir), a_file, b_file)

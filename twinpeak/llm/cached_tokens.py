@@ -2,7 +2,7 @@
 
 A text is cut only where its tokens must end: the file's own rules never join anything across such
 a place, so the ids of the parts, put together, are the ids of the text. A worker keeps one table
-for each file; it is emptied when it holds MOST_WORDS entries, which changes no result.
+for each file; it is emptied when it holds `most` entries, which changes no result.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 MOST_WORDS = 500_000
+#: For two tables side by side.
+MOST_OF_TWO = 200_000
 #: Texts are taken together up to this many characters, to look new words up in one call.
 TOGETHER = 1 << 20
 
@@ -64,21 +66,32 @@ def as_bytes(ids) -> bytes:
 class Table:
     """Word to the bytes of its ids (little-endian, 32 bits each)."""
 
+    most = MOST_WORDS
+
     def __init__(self):
         self.known: dict[str, bytes] = {}
+        #: Bytes of each id, where they are known, and the parts that their ids don't give back.
+        self.token_bytes: list[bytes] = []
+        self.odd: set[str] = set()
 
     def learn(self, words: set) -> None:
         fresh = words.difference(self.known)
         if not fresh:
             return
-        if len(self.known) + len(fresh) > MOST_WORDS:
+        if len(self.known) + len(fresh) > self.most:
             self.known.clear()
+            self.odd.clear()
             fresh = words
         self.add(fresh)
+        if self.token_bytes:
+            self.odd.update(w for w in fresh if not self.gives_back(self.known[w], w))
 
     def add(self, fresh) -> None:
         raise NotImplementedError
 
+    def gives_back(self, ids: bytes, text: str) -> bool:
+        return b"".join([self.token_bytes[i] for i in np.frombuffer(ids, "<u4").tolist()]) == text.encode()
+
     def encode(self, parts: list[str]) -> bytes:
         return b"".join(map(self.known.__getitem__, parts))
 
@@ -127,6 +140,8 @@ class WordTable(BpeTable):
 class ByteTable(BpeTable):
     """The byte-level file; the strings of its special tokens are plain text."""
 
+    most = MOST_OF_TWO
+
     def __init__(self, file: bytes):
         super().__init__(file, plain_specials=True)
         self.token_bytes = [_byte_level(e) for e in self.entries]
@@ -145,6 +160,8 @@ class ByteTable(BpeTable):
 class PieceTable(Table):
     """The sentencepiece file. A chunk's leading blank is the one that the library puts before a text."""
 
+    most = MOST_OF_TWO
+
     def __init__(self, file: bytes):
         import sentencepiece
 
