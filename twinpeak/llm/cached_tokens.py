@@ -16,7 +16,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 MOST_WORDS = 500_000
 #: For two tables side by side.
-MOST_OF_TWO = 200_000
+MOST_OF_TWO = 400_000
 #: Texts are taken together up to this many characters, to look new words up in one call.
 TOGETHER = 1 << 20
 
