@@ -252,6 +252,60 @@ def fold_cover(examples: DataFrame, folds: DataFrame) -> DataFrame:
     )
 
 
+ROLES = ("train", "validation", "purged")
+
+
+def role_violations(universe: DataFrame, assigned: DataFrame, keys=("fold",), roles=ROLES, key: str = "row_id") -> DataFrame:
+    """(keys…, key, kind) where roles don't partition the rows that each fold must divide.
+
+    A signed multiset difference: a fold's rows count once as to be assigned and minus once for each
+    assignment. missing: no role; repeated: one role more than once; overlapping: several roles;
+    foreign: not a row of the fold; unknown_role. NULL fold keys are a fold of their own.
+    """
+    wanted = universe.select(*keys, key, F.lit(1).alias("sign"), F.lit("").alias("role"))
+    given = assigned.select(*keys, key, F.lit(-1).alias("sign"), F.coalesce("role", F.lit("")).alias("role"))
+    counts = [F.count_if((F.col("sign") < 0) & (F.col("role") == r)).alias(f"n_{i}") for i, r in enumerate(roles)]
+    both = wanted.unionByName(given).groupBy(*keys, key).agg(
+        F.count_if(F.col("sign") > 0).alias("n_wanted"), F.sum("sign").alias("difference"), *counts,
+        F.count_if((F.col("sign") < 0) & ~F.col("role").isin(*roles)).alias("n_unknown"),
+    )
+    each = [F.col(f"n_{i}") for i in range(len(roles))]
+    several = sum((F.when(c > 0, 1).otherwise(0) for c in each[1:]), F.when(each[0] > 0, 1).otherwise(0))
+    kinds = [
+        ("missing", (F.col("n_wanted") > 0) & (F.col("difference") > 0) & (several == 0) & (F.col("n_unknown") == 0)),
+        ("repeated", F.greatest(*each, F.lit(0)) > 1), ("overlapping", several > 1), ("foreign", F.col("n_wanted") == 0),
+        ("unknown_role", F.col("n_unknown") > 0), ("universe", F.col("n_wanted") > 1),
+    ]
+    found = F.array_compact(F.array(*[F.when(test, kind) for kind, test in kinds]))
+    return both.select(*keys, key, F.explode(found).alias("kind"))
+
+
+def fold_universe(examples: DataFrame, batches: list, key: str = "row_id") -> DataFrame:
+    """(fold, row): every fold has to divide every row."""
+    return examples.select(F.explode(F.array(*[F.lit(b) for b in batches])).alias("fold"), key)
+
+
+def nested_universe(development: DataFrame, batches: list, key: str = "row_id") -> DataFrame:
+    """(outer, inner, row): inner folds divide the training rows of their outer fold, or all rows (outer NULL).
+
+    It is derived from the outer folds, not from the nested ones that it is held against.
+    """
+    kind = development.schema["batch_id"].dataType.simpleString()
+    outer = leave_one_batch_out(development, batches).where("role = 'train'").select(F.col("fold").cast(kind).alias("outer"), key)
+    parents = outer.unionByName(development.select(F.lit(None).cast(kind).alias("outer"), key))
+    inner = F.explode(F.array(*[F.lit(b).cast(kind) for b in batches])).alias("inner")
+    return parents.select("outer", inner, key).where("outer IS NULL OR inner != outer")
+
+
+def fold_output_violations(development: DataFrame, outputs: DataFrame, key: str = "row_id") -> DataFrame:
+    """(row, kind): united fold outputs must hold each row exactly once."""
+    fold = F.lit(0).alias("_all")
+    found = role_violations(
+        development.select(fold, key), outputs.select(fold, key, F.lit("validation").alias("role")), ("_all",), ("validation",), key
+    )
+    return found.drop("_all")
+
+
 # ---- logistic regression -------------------------------------------------------------
 
 

@@ -198,12 +198,20 @@ def transition_counts(rows: DataFrame) -> DataFrame:
     )
 
 
-def prediction_violations(rows: DataFrame, artifact: dict | None) -> DataFrame:
-    """Rows whose stored model fields differ from a fresh prediction (must be empty)."""
-    bare = rows.drop(*ML_FIELDS)
+def prediction_violations(rows: DataFrame, artifact: dict | None, source: DataFrame | None = None) -> DataFrame:
+    """Rows that are not a fresh prediction (must be empty), with ``violation``: unfounded or absent.
+
+    Both ways: stored rows that a prediction doesn't give, and predictions that no stored row has.
+    ``source`` is the table that was predicted; without it the stored rows' own fields are taken, and
+    a row that was lost as a whole can't show.
+    """
+    bare = (rows if source is None else source).drop(*ML_FIELDS)
     fresh = as_text(apply_model(bare, artifact))
     stored = as_text(rows).select(*[F.col(f"`{c}`") for c in fresh.columns])
-    return stored.exceptAll(fresh)
+    signed = stored.withColumn("_sign", F.lit(1)).unionByName(fresh.withColumn("_sign", F.lit(-1)))
+    counted = signed.groupBy(*[F.col(f"`{c}`") for c in fresh.columns]).agg(F.sum("_sign").alias("_sign")).where("_sign != 0")
+    kind = F.when(F.col("_sign") > 0, "unfounded").otherwise("absent").alias("violation")
+    return counted.select(*[F.col(f"`{c}`") for c in fresh.columns], kind)
 
 
 def model_id_violations(rows: DataFrame) -> DataFrame:

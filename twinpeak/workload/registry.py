@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evidence, models, ms1, raws, review
+from . import checks, evidence, models, ms1, raws, review
 
-MODULES = (evidence, ms1, review, models, raws)
+MODULES = (evidence, ms1, review, models, raws, checks)
 
 
 def _all() -> dict:
