@@ -97,14 +97,35 @@ def brute_prominence(y, i, base):
     return max(0.0, h - max(base, left, right))
 
 
-def test_prominence_equals_brute_force(spark):
+def brute_support(y, i, prominence):
+    if prominence == 0:
+        return 0
+    first = last = i
+    while first > 0 and y[first - 1] >= y[i] - prominence / 2:
+        first -= 1
+    while last < len(y) - 1 and y[last + 1] >= y[i] - prominence / 2:
+        last += 1
+    return last - first + 1
+
+
+@pytest.mark.parametrize("floor", [None, 6.0])
+def test_prominence_equals_brute_force(spark, floor):
+    """Ties, plateaus, slopes up to the borders, and traces too short to hold a maximum."""
     rng = random.Random(1)
-    for _ in range(20):
-        y = [float(rng.randrange(12)) for _ in range(60)]
-        base = statistics.median(y)
-        mx = [i for i in range(1, 59) if y[i] > y[i - 1] and y[i] >= y[i + 1]]
-        got = tr._contour(__import__("numpy").array(y), base, mx)
-        assert [g["prominence"] for g in got] == [brute_prominence(y, i, base) for i in mx]
+    many = [[float(rng.randrange(k)) - 2 for _ in range(n)] for k in (2, 4, 12, 1000) for n in (0, 1, 2, 3, 5, 60, 61) for _ in range(4)]
+    many += [[float(i) for i in range(20)], [float(-i) for i in range(20)], [1.0] * 9, [0.0, 5.0, 5.0, 5.0, 0.0, 5.0, 0.0]]
+    rows = [(n, y, statistics.median(y) if y else 0.0) for n, y in enumerate(many)]
+    df = spark.createDataFrame(rows, "n int, y array<double>, b double").repartition(4)
+    got = {r.n: r.m for r in df.select("n", tr.measured_maxima(F.col("y"), F.col("b"), floor).alias("m")).collect()}
+    found = 0
+    for n, y, base in rows:
+        want = [i for i in range(1, len(y) - 1) if y[i] > y[i - 1] and y[i] >= y[i + 1] and (floor is None or y[i] >= floor)]
+        prominences = [brute_prominence(y, i, base) for i in want]
+        assert [m.idx for m in got[n]] == want and [m.prominence for m in got[n]] == prominences
+        assert [m.support for m in got[n]] == [brute_support(y, i, p) for i, p in zip(want, prominences, strict=True)]
+        assert [m.ratio for m in got[n]] == [min(1.0, p / (y[i] - base)) if y[i] > base else 0.0 for i, p in zip(want, prominences, strict=True)]
+        found += len(want)
+    assert found > 200
 
 
 def test_candidates_before_top_k(spark):

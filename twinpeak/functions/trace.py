@@ -1,14 +1,12 @@
 """MS1 trace analysis on dense intensity arrays (one row per target trace).
 
 A trace has one value per scan of its run, so its length is fixed by the acquisition.
-Everything is array expressions except contour prominence, which needs a stack and is a
-small Arrow function.
+Everything is array expressions; the stack of contour prominence is a fold.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -139,66 +137,105 @@ def refine_apices(raw: Column, candidates: Column, radius: int) -> Column:
     )
 
 
-def _contour(values: np.ndarray, baseline: float, maxima: np.ndarray):
-    """Prominence, ratio and half-prominence support of the given maxima."""
-    n = len(values)
-
-    def side_minimum(seq):
-        lows, stack = np.empty(n), []
-        for i, v in enumerate(seq):
-            low = v
-            while stack and stack[-1][0] <= v:
-                low = min(low, stack.pop()[1])
-            stack.append((v, low))
-            lows[i] = low
-        return lows
-
-    left = side_minimum(values)
-    right = side_minimum(values[::-1])[::-1]
-    out = []
-    for i in maxima:
-        height = values[i]
-        prominence = max(0.0, height - max(baseline, left[i], right[i]))
-        above = height - baseline
-        ratio = min(1.0, prominence / above) if above > 0 else 0.0
-        support = 0
-        if prominence > 0:
-            low = values < height - prominence / 2
-            before, after = np.flatnonzero(low[:i]), np.flatnonzero(low[i + 1 :])
-            first = before[-1] + 1 if len(before) else 0
-            last = i + after[0] if len(after) else n - 1
-            support = last - first + 1
-        out.append(
-            {
-                "idx": int(i),
-                "prominence": float(prominence),
-                "ratio": float(ratio),
-                "support": int(support),
-            }
-        )
-    return out
+def _crests(y: Column) -> Column:
+    """Indices that rise from the left (or begin the trace) and are not exceeded on the right.
+
+    Whatever is higher than a value and nearest to it on one side, walking on uphill from there meets
+    one of these before the trace falls, so only they need to be on a stack.
+    """
+    def crest(i):
+        v = F.get(y, i)
+        return ((i == 0) | (v > F.get(y, i - 1))) & ((i == F.size(y) - 1) | (v >= F.get(y, i + 1)))
+
+    places = F.when(F.size(y) > 0, F.sequence(F.lit(0), F.size(y) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.filter(places, crest)
+
 
+_STACK = "array<struct<h:double,low:double,far:int>>"
 
-def contour_prominence(min_height: float | None):
-    """Arrow function (smooth, baseline) -> measured local maxima of each trace.
 
-    The only non-native step of adaptive picking. It is marked non-deterministic so the
-    optimizer keeps it as its own projection instead of inlining it into an array lambda,
-    where a Python function cannot run.
+def _reaches(crests: Column) -> Column:
+    """For each (h, low, far) in walking order: the least value and the last index before something higher.
+
+    A monotonic stack as a fold: its heights fall from bottom to top, so the entries that a crest
+    overtops are the ones not above it, and their least value and reach become the crest's.
     """
-    floor = -np.inf if min_height is None else float(min_height)
+    def step(acc, c):
+        def push(under):
+            item = F.struct(
+                c["h"].alias("h"),
+                F.coalesce(F.least(c["low"], F.array_min(F.transform(under, lambda u: u["low"]))), c["low"]).alias("low"),
+                F.when(F.size(under) > 0, F.get(under, F.lit(0))["far"]).otherwise(c["far"]).alias("far"),
+            )
+            above = F.filter(acc["stack"], lambda u: u["h"] > c["h"])
+            return let(item, lambda i: F.struct(F.array_append(above, i).alias("stack"), F.array_append(acc["out"], i).alias("out")))
 
-    def maxima(y):
-        rising = (y[1:-1] > y[:-2]) & (y[1:-1] >= y[2:]) & (y[1:-1] >= floor)
-        return np.flatnonzero(rising) + 1
+        return let(F.filter(acc["stack"], lambda u: u["h"] <= c["h"]), push)
 
-    def batch(smooth: pd.Series, baseline: pd.Series) -> pd.Series:
-        traces = [np.asarray(y, dtype=float) for y in smooth]
-        return pd.Series(
-            [_contour(y, float(b), maxima(y)) for y, b in zip(traces, baseline)], dtype=object
-        )
+    start = F.struct(F.array().cast(_STACK).alias("stack"), F.array().cast(_STACK).alias("out"))
+    return F.aggregate(crests, start, step, lambda acc: acc["out"])
+
+
+def measured_maxima(y: Column, baseline: Column, min_height: float | None) -> Column:
+    """Prominence, ratio and half-prominence support of each local maximum, in scan order."""
+    def walked(v, ids):
+        """Crests with the least value since the one before, and the first index after that one."""
+        def entry(i, k):
+            before = F.coalesce(F.get(ids, k - 1), F.lit(-1))
+            return F.struct(F.get(v, i).alias("h"), F.array_min(F.slice(v, before + 2, i - before)).alias("low"), (before + 1).alias("far"))
+
+        return F.transform(ids, entry)
+
+    def measured(v, ids, left, right):
+        n = F.size(v)
+
+        def one(i, k):
+            # The walk from the right ran over the mirrored trace.
+            from_left, from_right = F.get(left, k), F.get(right, F.size(ids) - 1 - k)
+            height = F.get(v, i)
+            prominence = F.greatest(F.lit(0.0), height - F.greatest(baseline, from_left["low"], from_right["low"]))
+
+            def parts(p):
+                above = height - baseline
+                ratio = F.when(above > 0, F.least(F.lit(1.0), p / above)).otherwise(F.lit(0.0))
+                # Both sides fall below half the prominence before something higher comes.
+                floor = height - p / 2
+                first, last = from_left["far"], n - 1 - from_right["far"]
+                down = F.reverse(F.slice(v, first + 1, i - first))
+                up = F.slice(v, i + 2, last - i)
+
+                def reach(side, most):
+                    found = F.array_position(F.transform(side, lambda x: x < floor), F.lit(True))
+                    return let(found, lambda r: F.when(r > 0, r - 1).otherwise(most))
+
+                support = F.when(p > 0, reach(down, i - first) + reach(up, last - i) + 1).otherwise(F.lit(0)).cast("int")
+                return F.struct(i.alias("idx"), p.alias("prominence"), ratio.alias("ratio"), support.alias("support"))
+
+            return let(prominence, parts)
+
+        return F.transform(ids, one)
+
+    def is_peak(v):
+        floor = F.lit(True) if min_height is None else None
+        def test(m):
+            i = m["idx"]
+            inner = (i > 0) & (i < F.size(v) - 1)
+            return inner & (floor if floor is not None else F.get(v, i) >= float(min_height))
+
+        return test
+
+    def over(v):
+        def with_ids(ids):
+            def mirrored(r):
+                back = F.transform(F.reverse(ids), lambda i: F.size(v) - 1 - i)
+                left, right = _reaches(walked(v, ids)), _reaches(walked(r, back))
+                return let(F.struct(left.alias("l"), right.alias("r")), lambda w: measured(v, ids, w["l"], w["r"]))
+
+            return let(F.reverse(v), mirrored)
+
+        return F.filter(let(_crests(v), with_ids), is_peak(v))
 
-    return F.pandas_udf(batch, PROMINENCE_TYPE).asNondeterministic()
+    return let(y, over)
 
 
 def adaptive_candidates(

@@ -138,7 +138,7 @@ def refined_peaks(traced: DataFrame, c: PeakPickSettings) -> DataFrame:
     base = base.withColumn("s", ready)
     smooth, level = F.col("s.smooth"), F.col("s.baseline")
     if c.adaptive:
-        base = base.withColumn("measured", tr.contour_prominence(c.min_height)(smooth, level))
+        base = base.withColumn("measured", tr.measured_maxima(smooth, level, c.min_height))
         accepted = tr.adaptive_candidates(
             F.col("s.smooth"), F.col("rts"), level, F.col("measured"), c
         )

@@ -83,8 +83,22 @@ def picks_sql(p: str, c: PeakPickSettings) -> str:
     SELECT n.mz, n.c, arg_max(t.pos, (t.y, -t.pos)) AS apex, max(t.y) AS it
     FROM {p}nms n JOIN tr t ON t.mz = n.mz AND t.pos BETWEEN n.c - {c.refine_radius_scans} AND n.c + {c.refine_radius_scans}
     GROUP BY n.mz, n.c) GROUP BY mz, apex),
-{p}top AS (SELECT mz, apex, it, row_number() OVER (PARTITION BY mz ORDER BY apex) AS k FROM (
-  SELECT *, row_number() OVER (PARTITION BY mz ORDER BY it DESC, c) AS rk FROM {p}ref) WHERE rk <= 2),
+""" + measured_sql(p, "it DESC, c") + f""",
+{p}call AS (
+  SELECT tm.mz, tm.target_id, b.top_y,
+    CASE WHEN b.top_y < {c.min_height} THEN 'not_evaluable' WHEN p1.mz IS NULL THEN 'ambiguous'
+         WHEN q.mz IS NULL THEN 'single_peak' ELSE 'double_peak' END AS status,
+    CASE WHEN b.top_y < {c.min_height} THEN '' WHEN p1.mz IS NULL THEN 'no_qualified_peak_candidate'
+         WHEN q.gap < {c.min_distance_scans} THEN 'close_peak_pair' ELSE '' END AS reasons,
+    p1.rt / 60 AS m1, q.rt2 / 60 AS m2, q.resolution, q.valley_ratio, q.separation_sec, q.lo, q.hi
+  FROM tm JOIN {p}base b ON b.mz = tm.mz LEFT JOIN {p}peaks p1 ON p1.mz = tm.mz AND p1.k = 1
+  LEFT JOIN {p}pair q ON q.mz = tm.mz)"""
+
+
+def measured_sql(p: str, rank: str) -> str:
+    """CTEs <p>top … <p>pair over the refined candidates <p>ref (mz, apex, it)."""
+    return f"""{p}top AS (SELECT mz, apex, it, row_number() OVER (PARTITION BY mz ORDER BY apex) AS k FROM (
+  SELECT *, row_number() OVER (PARTITION BY mz ORDER BY {rank}) AS rk FROM {p}ref) WHERE rk <= 2),
 {p}base AS (SELECT mz, median(y) AS b, max(y) AS top_y FROM tr GROUP BY mz),
 {p}noise AS (SELECT t.mz, 1.4826::DOUBLE * median(abs(t.y - b.b)) AS noise FROM tr t JOIN {p}base b ON b.mz = t.mz GROUP BY t.mz),
 {p}bounds AS (
@@ -108,16 +122,40 @@ def picks_sql(p: str, c: PeakPickSettings) -> str:
     y.rt - x.rt AS separation_sec, y.scan - x.scan AS gap,
     CASE WHEN x.width <> 0 AND y.width <> 0 AND y.rt > x.rt THEN 1.17741::DOUBLE * (y.rt - x.rt) / (x.width + y.width) END AS resolution,
     (SELECT min(t.y) FROM tr t WHERE t.mz = x.mz AND t.pos BETWEEN x.scan AND y.scan) / least(x.it, y.it) AS valley_ratio
-  FROM {p}peaks x JOIN {p}peaks y ON x.mz = y.mz AND x.k = 1 AND y.k = 2),
-{p}call AS (
-  SELECT tm.mz, tm.target_id, b.top_y,
-    CASE WHEN b.top_y < {c.min_height} THEN 'not_evaluable' WHEN p1.mz IS NULL THEN 'ambiguous'
-         WHEN q.mz IS NULL THEN 'single_peak' ELSE 'double_peak' END AS status,
-    CASE WHEN b.top_y < {c.min_height} THEN '' WHEN p1.mz IS NULL THEN 'no_qualified_peak_candidate'
-         WHEN q.gap < {c.min_distance_scans} THEN 'close_peak_pair' ELSE '' END AS reasons,
-    p1.rt / 60 AS m1, q.rt2 / 60 AS m2, q.resolution, q.valley_ratio, q.separation_sec, q.lo, q.hi
-  FROM tm JOIN {p}base b ON b.mz = tm.mz LEFT JOIN {p}peaks p1 ON p1.mz = tm.mz AND p1.k = 1
-  LEFT JOIN {p}pair q ON q.mz = tm.mz)"""
+  FROM {p}peaks x JOIN {p}peaks y ON x.mz = y.mz AND x.k = 1 AND y.k = 2)"""
+
+
+def adaptive_sql(p: str, c: PeakPickSettings) -> str:
+    """CTEs <p>sm … <p>ref of one configuration of the adaptive picker."""
+    near = f"abs(rts[x.i + 1] - rts[o.i + 1]) < {c.min_distance_sec}"
+    low = "least(ss[x.i + 1], ss[o.i + 1]) - b"
+    valley = f"CASE WHEN {low} > 0 THEN greatest(0, list_min(ss[least(x.i, o.i) + 1:greatest(x.i, o.i) + 1]) - b) / ({low}) ELSE 'inf'::DOUBLE END"
+    return smooth_sql(f"{p}sm", c.sg_window, c.sg_polyorder) + f""",
+{p}md AS (SELECT mz, median(y) AS b FROM tr GROUP BY mz),
+{p}mx AS (SELECT mz, pos, s FROM (
+  SELECT mz, pos, s, lag(s) OVER w AS s0, lead(s) OVER w AS s1 FROM {p}sm WINDOW w AS (PARTITION BY mz ORDER BY pos)) WHERE s > s0 AND s >= s1),
+{p}hi AS (SELECT m.mz, m.pos, m.s, coalesce(max(t.pos) FILTER (t.pos < m.pos AND t.s > m.s), -1) AS lh, min(t.pos) FILTER (t.pos > m.pos AND t.s > m.s) AS rh
+  FROM {p}mx m JOIN {p}sm t ON t.mz = m.mz GROUP BY ALL),
+{p}pr AS (SELECT h.mz, h.pos, h.s, d.b, greatest(0, h.s - greatest(d.b, min(t.s) FILTER (t.pos > lh AND t.pos <= h.pos),
+    min(t.s) FILTER (t.pos >= h.pos AND (rh IS NULL OR t.pos < rh)))) AS prominence
+  FROM {p}hi h JOIN {p}sm t ON t.mz = h.mz JOIN {p}md d ON d.mz = h.mz GROUP BY h.mz, h.pos, h.s, d.b),
+{p}su AS (SELECT r.mz, r.pos, r.b, r.prominence, CASE WHEN r.s > r.b THEN least(1, prominence / (r.s - r.b)) ELSE 0 END AS ratio,
+    CASE WHEN prominence > 0 THEN coalesce(min(t.pos) FILTER (t.pos > r.pos AND t.s < r.s - prominence / 2) - 1, max(t.pos))
+      - coalesce(max(t.pos) FILTER (t.pos < r.pos AND t.s < r.s - prominence / 2) + 1, 0) + 1 ELSE 0 END AS support
+  FROM {p}pr r JOIN {p}sm t ON t.mz = r.mz GROUP BY r.mz, r.pos, r.s, r.b, r.prominence),
+{p}gate AS (SELECT * FROM {p}su WHERE ratio >= {c.min_prominence_ratio}::DOUBLE AND support >= {c.min_support_scans}),
+{p}arr AS (SELECT t.mz, list(t.s ORDER BY t.pos) AS ss, list(t.rt ORDER BY t.pos) AS rts FROM {p}sm t GROUP BY t.mz),
+{p}acc AS (SELECT mz, unnest(list_reduce(cand, lambda acc, y: CASE WHEN len(list_filter(acc, lambda o: list_bool_or(list_transform(y, lambda x: {near}
+      AND {valley} > {c.close_peak_max_valley_ratio}::DOUBLE)))) > 0 THEN acc ELSE list_concat(acc, y) END)).i AS c
+  FROM (SELECT g.mz, g.b, a.ss, a.rts, list([{{'i': g.pos}}] ORDER BY g.prominence DESC, g.pos) AS cand
+    FROM {p}gate g JOIN {p}arr a ON a.mz = g.mz GROUP BY g.mz, g.b, a.ss, a.rts)),
+{p}nb AS (SELECT mz, c, lag(c) OVER w AS c0, lead(c) OVER w AS c1 FROM {p}acc WINDOW w AS (PARTITION BY mz ORDER BY c)),
+{p}va AS (SELECT n.mz, n.c, n.c1, arg_min(t.pos, (t.s, t.pos)) AS v FROM {p}nb n JOIN {p}sm t ON t.mz = n.mz AND t.pos > n.c AND t.pos < n.c1 GROUP BY ALL),
+{p}ba AS (SELECT n.mz, n.c, greatest(n.c - {c.refine_radius_scans}, 0, coalesce(l.v + 1, 0)) AS lo, least(n.c + {c.refine_radius_scans}, coalesce(r.v, n.c + {c.refine_radius_scans})) AS hi
+  FROM {p}nb n LEFT JOIN {p}va l ON l.mz = n.mz AND l.c1 = n.c LEFT JOIN {p}va r ON r.mz = n.mz AND r.c = n.c),
+{p}ap AS (SELECT b.mz, b.c, coalesce(arg_max(t.pos, (t.y, -t.pos)), b.c) AS apex FROM {p}ba b LEFT JOIN tr t ON t.mz = b.mz AND t.pos BETWEEN b.lo AND b.hi GROUP BY b.mz, b.c),
+{p}ref AS (SELECT a.mz, a.c, a.apex, t.y AS it, u.prominence, u.ratio, u.support FROM {p}ap a JOIN tr t ON t.mz = a.mz AND t.pos = a.apex
+  JOIN {p}su u ON u.mz = a.mz AND u.pos = a.c)"""
 
 
 def max_eic(spark, d):
@@ -247,6 +285,26 @@ def adaptive_candidates(spark, d):
     )
 
 
+ADAPTIVE_CANDIDATES_SQL = sql.with_ctes(
+    M1, adaptive_sql("", ADAPTIVE),
+    select="""SELECT r.mz, CAST(r.apex AS INT) AS scan, a.rt, round(r.it, 2) AS it, round(r.prominence, 6) AS prominence,
+    round(r.ratio, 6) AS prominence_ratio, CAST(r.support AS INT) AS support_scans FROM ref r JOIN axis a ON a.pos = r.apex""",
+)
+ADAPTIVE_CALLS_SQL = sql.with_ctes(
+    M1, adaptive_sql("", ADAPTIVE), measured_sql("", "prominence DESC, apex"),
+    "nc AS (SELECT mz, count(*) AS n FROM ref GROUP BY mz)",
+    "np AS (SELECT mz, count(*) AS n FROM peaks GROUP BY mz)",
+    "jd AS (SELECT b.mz, b.b, b.top_y, coalesce(nc.n, 0) AS n, coalesce(np.n, 0) AS peaks, q.* EXCLUDE (mz) FROM base b"
+    " LEFT JOIN nc ON nc.mz = b.mz LEFT JOIN np ON np.mz = b.mz LEFT JOIN pair q ON q.mz = b.mz)",
+    select=f"""SELECT mz, CASE WHEN n = 0 AND top_y <= b THEN 'no_signal' ELSE 'detected' END AS signal_status,
+    CASE WHEN n = 0 AND top_y <= b THEN 'not_evaluable' WHEN n = 0 THEN 'ambiguous' WHEN peaks < 2 THEN 'single_peak'
+      WHEN lo / nullif(hi, 0) >= 0 THEN 'double_peak' ELSE 'ambiguous' END AS chromatographic_status,
+    CASE WHEN n = 0 AND top_y <= b THEN '' ELSE concat_ws(';', CASE WHEN n = 0 THEN 'no_qualified_peak_candidate' END, 'absolute_height_disabled',
+      CASE WHEN peaks = 2 AND separation_sec <= {2 * ADAPTIVE.min_distance_sec} THEN 'close_peak_pair' END) END AS review_reasons,
+    round(resolution, 6) AS resolution, round(valley_ratio, 6) AS valley_ratio, CAST(peaks AS INT) AS peaks, CAST(n AS INT) AS n_candidates FROM jd""",
+)
+
+
 def background(spark, d):
     run, targets = run_and_targets(spark, d)
     rows = ms1.traces(targets, run, 3.0).join(targets, ["raw_id", "mz"])
@@ -404,8 +462,8 @@ QUERIES = {
     "ms1_refined_candidates": (refined_candidates, REFINED_SQL),
     "ms1_picked_peaks": (picked_peaks, PICKED_SQL),
     "ms1_annotate": (annotate, ANNOTATE_SQL),
-    "ms1_adaptive_calls": (adaptive_calls, None),
-    "ms1_adaptive_candidates": (adaptive_candidates, None),
+    "ms1_adaptive_calls": (adaptive_calls, ADAPTIVE_CALLS_SQL),
+    "ms1_adaptive_candidates": (adaptive_candidates, ADAPTIVE_CANDIDATES_SQL),
     "ms1_background": (background, BACKGROUND_SQL),
     "ms1_review_diagnostics": (review_diagnostics, REVIEW_SQL),
     "ms1_review_views": (review_views, REVIEW_VIEWS_SQL),
