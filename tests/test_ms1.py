@@ -178,3 +178,40 @@ def test_settings_from_two_sections():
         PeakPickSettings(sg_window=4)
     with pytest.raises(ValueError):
         PeakPickSettings.from_json('{"unknown": 1}')
+
+
+@pytest.mark.parametrize("adaptive", [False, True])
+def test_all_settings_in_one_job_equal_one_job_a_setting(spark, adaptive):
+    """Cells, metrics and the best setting against picks of each setting judged call by call."""
+    from twinpeak.plans import tuning
+
+    rng = random.Random(6)
+    rows = []
+    for n in range(40):
+        y = [rng.random() * 300 for _ in range(120)]
+        for centre in rng.sample(range(10, 110), rng.choice([0, 1, 2, 2, 3])):
+            top, wide = rng.choice([900.0, 4000.0, 60_000.0]), rng.choice([2, 4, 7])
+            for k in range(-9, 10):
+                y[centre + k] += top * 2.0 ** (-((k / wide) ** 2))
+        rows.append(("r", float(n), [float(i) * 3 for i in range(120)], y, n))
+    traces = spark.createDataFrame(rows, "raw_id string, mz double, rts array<double>, y array<double>, n int").repartition(3)
+    targets = traces.select("raw_id", "mz", F.when(F.col("n") % 7 != 0, F.col("n") / 10).alias("peak1"), F.when(F.col("n") % 7 > 2, F.col("n") / 10 + 0.15).alias("peak2"))
+    traces = traces.drop("n")
+    core = [PeakPickSettings(**{**c.__dict__, "min_height": c.min_height and c.min_height / 100}) for c in tuning.core_settings(adaptive)]
+    core = rng.sample(core, 6)
+    quality = tuning.ADAPTIVE_QUALITY if adaptive else tuning.LEGACY_QUALITY
+    grid = tuning.grid_metrics(tuning.quality_cells(targets.join(tuning.picked_grid(traces, core), ["raw_id", "mz"]), quality, 2.0), quality, adaptive)
+    got = {(r["core"]["order"], r["order"]): r.asDict() for r in grid.collect()}
+    names, best = [c for c in grid.columns if c not in ("core", "order")], None
+    for i, c in enumerate(core):
+        judged = tuning.with_quality(tuning.reviewed_rows(targets, traces, c), quality)
+        judged = tuning.rt_aware_metrics(judged, 2.0) if adaptive else tuning.two_class_metrics(judged)
+        for r in judged.collect():
+            assert {n: got[i, r.order][n] for n in names} == {n: r[n] for n in names}
+            order = tuning.ADAPTIVE_ORDER if adaptive else tuning.LEGACY_ORDER
+            last = (c.min_support_scans or 0) if adaptive else c.min_distance_scans
+            key = (*[r[n] for n in order], -c.sg_window, -last, -i, -r.order)
+            best = (key, (i, r.order)) if best is None or (key, (i, r.order)) > best else best
+    assert len(got) == len(core) * (16 if adaptive else 48)
+    first = tuning.best_setting(grid, adaptive).first()
+    assert (first.core.order, first["order"]) == best[1]

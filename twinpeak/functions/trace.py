@@ -81,23 +81,33 @@ def mad(values: Column, centre: Column) -> Column:
     return median(F.transform(values, lambda v: F.abs(v - centre)))
 
 
+def _number(value) -> Column:
+    """A setting: a number, or a column when one job runs many settings."""
+    return value if isinstance(value, Column) else F.lit(value)
+
+
+def above_floor(value: Column, floor) -> Column:
+    """No floor (None, or NULL in a column) lets everything pass."""
+    return F.lit(True) if floor is None else F.coalesce(value >= _number(floor), F.lit(True))
+
+
 def _interior(y: Column) -> Column:
     return F.when(F.size(y) >= 3, F.sequence(F.lit(1), F.size(y) - 2)).otherwise(
         F.array().cast("array<int>")
     )
 
 
-def local_maxima(y: Column, min_height: float | None) -> Column:
+def local_maxima(y: Column, min_height) -> Column:
     """Interior indices rising from the left and not exceeded on the right."""
     def rising(i):
         v = F.get(y, i)
         peak = (v > F.get(y, i - 1)) & (v >= F.get(y, i + 1))
-        return peak if min_height is None else peak & (v >= float(min_height))
+        return peak & above_floor(v, min_height)
 
     return F.filter(_interior(y), rising)
 
 
-def suppress_by_distance(y: Column, candidates: Column, min_distance: int) -> Column:
+def suppress_by_distance(y: Column, candidates: Column, min_distance) -> Column:
     """Keep higher peaks first (earlier on ties) at least ``min_distance`` scans apart."""
     ranked = F.sort_array(
         F.transform(candidates, lambda i: F.struct((-F.get(y, i)).alias("h"), i.alias("i")))
@@ -106,7 +116,7 @@ def suppress_by_distance(y: Column, candidates: Column, min_distance: int) -> Co
         ranked,
         F.array().cast("array<int>"),
         lambda acc, c: F.when(
-            F.forall(acc, lambda o: F.abs(o - c["i"]) >= min_distance), F.array_append(acc, c["i"])
+            F.forall(acc, lambda o: F.abs(o - c["i"]) >= _number(min_distance)), F.array_append(acc, c["i"])
         ).otherwise(acc),
     )
     return F.sort_array(kept)
@@ -176,7 +186,7 @@ def _reaches(crests: Column) -> Column:
     return F.aggregate(crests, start, step, lambda acc: acc["out"])
 
 
-def measured_maxima(y: Column, baseline: Column, min_height: float | None) -> Column:
+def measured_maxima(y: Column, baseline: Column, min_height) -> Column:
     """Prominence, ratio and half-prominence support of each local maximum, in scan order."""
     def walked(v, ids):
         """Crests with the least value since the one before, and the first index after that one."""
@@ -216,11 +226,9 @@ def measured_maxima(y: Column, baseline: Column, min_height: float | None) -> Co
         return F.transform(ids, one)
 
     def is_peak(v):
-        floor = F.lit(True) if min_height is None else None
         def test(m):
             i = m["idx"]
-            inner = (i > 0) & (i < F.size(v) - 1)
-            return inner & (floor if floor is not None else F.get(v, i) >= float(min_height))
+            return (i > 0) & (i < F.size(v) - 1) & above_floor(F.get(v, i), min_height)
 
         return test
 
@@ -245,9 +253,9 @@ def adaptive_candidates(
     def passes(m):
         ok = F.lit(True)
         if c.min_prominence_ratio is not None:
-            ok = ok & (m["ratio"] >= float(c.min_prominence_ratio))
+            ok = ok & (m["ratio"] >= _number(c.min_prominence_ratio))
         if c.min_support_scans is not None:
-            ok = ok & (m["support"] >= int(c.min_support_scans))
+            ok = ok & (m["support"] >= _number(c.min_support_scans))
         return ok
 
     def rank(m):
@@ -268,8 +276,8 @@ def adaptive_candidates(
 
     def too_close(a, b):
         if c.min_distance_sec is not None:
-            return F.abs(F.get(rts, a) - F.get(rts, b)) < float(c.min_distance_sec)
-        return F.abs(a - b) < int(c.min_distance_scans)
+            return F.abs(F.get(rts, a) - F.get(rts, b)) < _number(c.min_distance_sec)
+        return F.abs(a - b) < _number(c.min_distance_scans)
 
     def valley_ratio(a, b):
         left, right = F.least(a, b), F.greatest(a, b)
@@ -283,7 +291,7 @@ def adaptive_candidates(
         if c.close_peak_max_valley_ratio is None:
             clash = F.exists(acc, lambda o: too_close(m["idx"], o["idx"]))
         else:
-            limit = float(c.close_peak_max_valley_ratio)
+            limit = _number(c.close_peak_max_valley_ratio)
             clash = F.exists(
                 acc,
                 lambda o: too_close(m["idx"], o["idx"])
@@ -466,12 +474,12 @@ def pick_result(
         return F.array_compact(F.array(*[F.when(cond, F.lit(code)) for cond, code in rules]))
 
     none = F.array().cast("array<string>")
-    no_floor = F.lit(c.min_height is None)
+    no_floor = F.lit(True) if c.min_height is None else _number(c.min_height).isNull()
     a, b = F.get(peaks, F.lit(0)), F.get(peaks, F.lit(1))
     if c.min_distance_sec is not None:
-        close = quality["separation_sec"] <= 2 * float(c.min_distance_sec)
+        close = quality["separation_sec"] <= 2 * _number(c.min_distance_sec)
     else:
-        close = F.abs(b["scan"] - a["scan"]) < int(c.min_distance_scans)
+        close = F.abs(b["scan"] - a["scan"]) < _number(c.min_distance_scans)
     shallow = (
         F.lit(False)
         if c.max_valley_ratio is None

@@ -119,26 +119,34 @@ def densify(points: Column, scans: Column) -> Column:
 def _eligible(c: PeakPickSettings) -> Column:
     y = F.col("y")
     ok = (F.size(y) >= c.min_scan_points) & (F.size(y) == F.size("rts"))
-    if c.min_height is not None:
-        ok = ok & (F.array_max(y) >= float(c.min_height))
-    return F.coalesce(ok, F.lit(False))
+    return F.coalesce(ok & tr.above_floor(F.array_max(y), c.min_height), F.lit(False))
+
+
+def smoothed(y: Column, window: int, polyorder: int) -> Column:
+    return F.struct(tr.savgol(y, window, polyorder).alias("smooth"), tr.median(y).alias("baseline"))
 
 
 def refined_peaks(traced: DataFrame, c: PeakPickSettings) -> DataFrame:
-    """Add ``smooth``, ``baseline``, ``eligible`` and every refined candidate."""
+    """Add ``smooth``, ``baseline``, ``eligible`` and every refined candidate.
+
+    Columns ``s`` of both and ``measured`` of all maxima, where there are any, are taken as they are:
+    many settings share a smoothing.
+    """
     base = traced.withColumn("eligible", _eligible(c))
     empty = F.array().cast("array<double>")
     ready = F.when(
         F.col("eligible"),
-        F.struct(
-            tr.savgol(F.col("y"), c.sg_window, c.sg_polyorder).alias("smooth"),
-            tr.median(F.col("y")).alias("baseline"),
-        ),
+        F.col("s") if "s" in traced.columns else smoothed(F.col("y"), c.sg_window, c.sg_polyorder),
     ).otherwise(F.struct(empty.alias("smooth"), F.lit(0.0).alias("baseline")))
     base = base.withColumn("s", ready)
     smooth, level = F.col("s.smooth"), F.col("s.baseline")
     if c.adaptive:
-        base = base.withColumn("measured", tr.measured_maxima(smooth, level, c.min_height))
+        if "measured" in traced.columns:
+            # Measured for all settings of one smoothing: a floor only takes maxima away.
+            high = F.filter("measured", lambda m: tr.above_floor(F.get(smooth, m["idx"]), c.min_height))
+            base = base.withColumn("measured", F.when(F.col("eligible"), high).otherwise(F.slice("measured", 1, 0)))
+        else:
+            base = base.withColumn("measured", tr.measured_maxima(smooth, level, c.min_height))
         accepted = tr.adaptive_candidates(
             F.col("s.smooth"), F.col("rts"), level, F.col("measured"), c
         )
@@ -175,7 +183,7 @@ def pick_peaks(traced: DataFrame, c: PeakPickSettings = PeakPickSettings()) -> D
         )
 
     called = refined.withColumn("call", let(F.col("refined"), call))
-    keep = [n for n in traced.columns]
+    keep = [n for n in traced.columns if n not in ("s", "measured")]
     return called.select(
         *keep,
         "eligible",

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..functions import trace as tr
 from ..operators import ms1, ms1_review
 from ..params import PeakPickSettings
+from ..plans import tuning
+from ..session import durable
 from ..sources import projections as proj
 from . import sqltext as sql
 from .evidence import r6, unnest
@@ -475,25 +479,46 @@ QUERIES = {
 # ---- tuning --------------------------------------------------------------------------
 
 
-def _tuned_rows(spark, d, config):
-    run, targets = run_and_targets(spark, d)
+def _reviewed(targets):
     k = F.col("target_id")
-    reviewed = targets.select(
+    return targets.select(
         "*", ((k % 250) / F.lit(10.0)).alias("peak1"),
         F.when(k % 4 != 0, (k % 250) / F.lit(10.0) + F.lit(0.15)).alias("peak2"),
     )
-    from ..plans import tuning
 
-    rows = tuning.reviewed_rows(reviewed, ms1.traces(targets, run, 3.0), config)
-    return tuning.with_quality(rows, tuning.LEGACY_QUALITY), tuning
+
+#: The whole detection grid; its heights are a tenth, as the prices that stand for intensities are lower.
+DETECTION = [replace(c, min_height=c.min_height / 10) for c in tuning.core_settings(False)]
+_SETTING = ("sg_window", "min_height", "min_distance_scans")
+_QUALITY = ("max_valley_ratio", "min_resolution", "min_second_peak_ratio")
+
+
+def _grid_rows(spark, d):
+    """Reviewed targets with their calls under every detection setting."""
+    run, targets = run_and_targets(spark, d)
+    calls = tuning.picked_grid(durable(ms1.traces(targets, run, 3.0)), DETECTION)
+    return _reviewed(targets).join(calls, ["raw_id", "mz"])
+
+
+def _grid_metrics(spark, d, adaptive):
+    cells = tuning.quality_cells(_grid_rows(spark, d), tuning.LEGACY_QUALITY, 2.0)
+    rows = tuning.grid_metrics(cells, tuning.LEGACY_QUALITY, adaptive)
+    return rows.select(*[F.col(f"core.{n}").alias(n) for n in _SETTING], *[c for c in rows.columns if c not in ("core", "order")])
 
 
 def tune_two_class(spark, d):
-    rows, tuning = _tuned_rows(spark, d, LEGACY)
-    return tuning.two_class_metrics(rows).select(
-        "max_valley_ratio", "min_resolution", "min_second_peak_ratio", "tp", "fp", "tn", "fn",
-        r6("balanced_accuracy"), r6("precision"),
-    )
+    """All 36 detection by all 48 quality settings."""
+    return _grid_metrics(spark, d, False).select(*_SETTING, *_QUALITY, "tp", "fp", "tn", "fn", r6("balanced_accuracy"), r6("precision"))
+
+
+def _grid_sql() -> str:
+    """Every setting's calls, and their union <call>."""
+    parts = [picks_sql(f"g{i}_", c) for i, c in enumerate(DETECTION)]
+    calls = [
+        f"SELECT {c.sg_window} AS sg_window, {c.min_height}::DOUBLE AS min_height, {c.min_distance_scans} AS min_distance_scans, * FROM g{i}_call"
+        for i, c in enumerate(DETECTION)
+    ]
+    return ",\n".join(p.strip() for p in parts) + ",\ncall AS (" + " UNION ALL ".join(calls) + ")"
 
 
 _TUNE = """
@@ -505,55 +530,66 @@ tq AS (SELECT c.*, qg.v, qg.r, qg.s, c.target_id % 4 <> 0 AS truth, (c.target_id
   FROM call c CROSS JOIN qg)
 """
 TUNE_SQL = sql.with_ctes(
-    M1, picks_sql("", LEGACY), _TUNE,
-    """tm2 AS (SELECT v, r, s, count(*) FILTER (dbl AND truth) AS tp, count(*) FILTER (dbl AND NOT truth) AS fp,
-      count(*) FILTER (NOT dbl AND NOT truth) AS tn, count(*) FILTER (NOT dbl AND truth) AS fn FROM tq GROUP BY v, r, s)""",
-    select="""SELECT v AS max_valley_ratio, r AS min_resolution, s AS min_second_peak_ratio, tp, fp, tn, fn,
+    M1, _grid_sql(), _TUNE,
+    """tm2 AS (SELECT sg_window, min_height, min_distance_scans, v, r, s, count(*) FILTER (dbl AND truth) AS tp, count(*) FILTER (dbl AND NOT truth) AS fp,
+      count(*) FILTER (NOT dbl AND NOT truth) AS tn, count(*) FILTER (NOT dbl AND truth) AS fn FROM tq GROUP BY ALL)""",
+    select="""SELECT sg_window, min_height, min_distance_scans, v AS max_valley_ratio, r AS min_resolution, s AS min_second_peak_ratio, tp, fp, tn, fn,
     round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS balanced_accuracy,
     round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 6) AS precision FROM tm2""",
 )
 
 
 def tune_rt_aware(spark, d):
-    rows, tuning = _tuned_rows(spark, d, LEGACY)
-    return tuning.rt_aware_metrics(rows, 2.0).select(
-        "max_valley_ratio", "min_resolution", "min_second_peak_ratio", "rows", "correct", "mislocalized",
-        "close_double_rows", r6("macro_recall"), r6("double_peak_recall"),
+    """All 36 detection by all 48 quality settings."""
+    return _grid_metrics(spark, d, True).select(
+        *_SETTING, *_QUALITY, "rows", "correct", "mislocalized", "close_double_rows", r6("macro_recall"), r6("double_peak_recall"),
     )
 
 
 TUNE_RT_SQL = sql.with_ctes(
-    M1, picks_sql("", LEGACY), _TUNE,
+    M1, _grid_sql(), _TUNE,
     """tj AS (SELECT *, CASE WHEN truth THEN 'double_peak' ELSE 'single_peak' END AS t,
       CASE WHEN dbl THEN 'double_peak' WHEN status = 'single_peak' THEN 'single_peak' WHEN m1 IS NULL THEN 'no_peak' ELSE 'ambiguous' END AS c,
       least(greatest(abs(m1 - p1), abs(m2 - p2)), greatest(abs(m1 - p2), abs(m2 - p1))) <= 2.0 AS both_ok, abs(m1 - p1) <= 2.0 AS one_ok FROM tq)""",
     "tk AS (SELECT *, t = c AND CASE WHEN truth THEN both_ok ELSE one_ok END AS ok FROM tj)",
-    select="""SELECT v AS max_valley_ratio, r AS min_resolution, s AS min_second_peak_ratio, count(*) AS rows, count(*) FILTER (ok) AS correct,
+    select="""SELECT sg_window, min_height, min_distance_scans, v AS max_valley_ratio, r AS min_resolution, s AS min_second_peak_ratio, count(*) AS rows, count(*) FILTER (ok) AS correct,
     count(*) FILTER (t = c AND NOT ok) AS mislocalized, count(*) FILTER (truth AND abs(p2 - p1) * 60 <= 12.0) AS close_double_rows,
     round((count(*) FILTER (ok AND truth) / count(*) FILTER (truth) + count(*) FILTER (ok AND NOT truth) / count(*) FILTER (NOT truth)) / 2, 6) AS macro_recall,
-    round(count(*) FILTER (ok AND truth) / count(*) FILTER (truth), 6) AS double_peak_recall FROM tk GROUP BY v, r, s""",
+    round(count(*) FILTER (ok AND truth) / count(*) FILTER (truth), 6) AS double_peak_recall FROM tk GROUP BY sg_window, min_height, min_distance_scans, v, r, s""",
 )
 
 
 def tune_rt_error(spark, d):
-    rows, tuning = _tuned_rows(spark, d, LEGACY)
-    chosen = rows.where("q.max_valley_ratio = 1.0 AND q.min_resolution = 0.0 AND q.min_second_peak_ratio = 0.05")
-    out = tuning.rt_error_summary(chosen)
-    return out.select(
-        "positive_rows", "predicted_double_rows", F.coalesce("both_rt_within_0_1_min", F.lit(0)).alias("within"),
+    """RT errors of every detection setting's doubles, at one quality setting."""
+    rows = _grid_rows(spark, d).withColumn("q", F.struct(F.lit(1.0).alias("max_valley_ratio"), F.lit(0.0).alias("min_resolution"), F.lit(0.05).alias("min_second_peak_ratio")))
+    return tuning.rt_error_summary(rows.select("*", *[F.col(f"core.{n}").alias(n) for n in _SETTING]), _SETTING).select(
+        *_SETTING, "positive_rows", "predicted_double_rows", F.coalesce("both_rt_within_0_1_min", F.lit(0)).alias("within"),
         r6("median_worst_rt_error_min"), r6("p90_worst_rt_error_min"),
     )
 
 
 TUNE_ERROR_SQL = sql.with_ctes(
-    M1, picks_sql("", LEGACY), _TUNE,
-    """te AS (SELECT list(greatest(abs(m1 - p1), abs(m2 - p2)) ORDER BY greatest(abs(m1 - p1), abs(m2 - p2))) FILTER (dbl) AS e, count(*) AS n
-      FROM tq WHERE truth AND v = 1.0 AND r = 0.0 AND s = 0.05::DOUBLE)""",
-    select="""SELECT n AS positive_rows, CAST(len(e) AS BIGINT) AS predicted_double_rows,
-    CAST(len(list_filter(e, lambda x: x <= 0.1::DOUBLE)) AS BIGINT) AS within,
+    M1, _grid_sql(), _TUNE,
+    """te AS (SELECT list(greatest(abs(m1 - p1), abs(m2 - p2)) ORDER BY greatest(abs(m1 - p1), abs(m2 - p2))) FILTER (dbl) AS e, count(*) AS n,
+      sg_window, min_height, min_distance_scans FROM tq WHERE truth AND v = 1.0 AND r = 0.0 AND s = 0.05::DOUBLE GROUP BY ALL)""",
+    select="""SELECT sg_window, min_height, min_distance_scans, n AS positive_rows, CAST(coalesce(len(e), 0) AS BIGINT) AS predicted_double_rows,
+    CAST(coalesce(len(list_filter(e, lambda x: x <= 0.1::DOUBLE)), 0) AS BIGINT) AS within,
     round(e[len(e) // 2 + 1], 6) AS median_worst_rt_error_min, round(e[CAST(floor(0.9::DOUBLE * (len(e) - 1)) AS INT) + 1], 6) AS p90_worst_rt_error_min FROM te""",
 )
+
+
+def tune_adaptive(spark, d):
+    """All 216 settings of the adaptive picker by all 16 quality settings."""
+    run, targets = run_and_targets(spark, d)
+    core = [replace(c, min_height=c.min_height and c.min_height / 10) for c in tuning.core_settings(True)]
+    calls = tuning.picked_grid(durable(ms1.traces(targets, run, 3.0)), core)
+    cells = tuning.quality_cells(_reviewed(targets).join(calls, ["raw_id", "mz"]), tuning.ADAPTIVE_QUALITY, 2.0)
+    rows = tuning.grid_metrics(cells, tuning.ADAPTIVE_QUALITY, True)
+    return rows.select(F.col("core.order").alias("setting"), "core.*", *[c for c in rows.columns if c not in ("core", "order")]).drop("order")
+
+
 QUERIES |= {
+    "tune_adaptive": (tune_adaptive, None),
     "tune_two_class": (tune_two_class, TUNE_SQL),
     "tune_rt_aware": (tune_rt_aware, TUNE_RT_SQL),
     "tune_rt_error": (tune_rt_error, TUNE_ERROR_SQL),
