@@ -123,9 +123,7 @@ def main(argv=None, spark=None) -> dict:
         table = tables.read_table(spark, args.peaklist)
         columns = (args.mz_column, args.peak_a_column, args.peak_b_column)
         targets = tables.to_targets(table, jobs.stem(args.raw[0]), *columns)
-        rows = []
-        for variant in jobs.sweep_settings():
-            rows += [r.asDict() for r in jobs.sensitivity_sweep(targets, run, [variant]).collect()]
+        rows = [r.asDict() for r in jobs.sensitivity_sweep(targets, run, jobs.sweep_settings()).collect()]
         sinks.write_json({"variants": rows}, args.output)
         return {"variants": len({(r["varied_parameter"], r["varied_value"]) for r in rows})}
     if name == "tune":

@@ -53,6 +53,11 @@ CANDIDATE_TYPE = "array<struct<err:double,neg:double,i:int,j:int>>"
 _TAGGED_TYPE = "array<struct<mz:double,it:double,k:int,side:int>>"
 
 
+def number(value) -> Column:
+    """A setting: a number, or a column when one plan runs many settings."""
+    return value if isinstance(value, Column) else F.lit(float(value))
+
+
 def candidate_matches(a: Column, b: Column, tol: float, unit: str) -> Column:
     """All in-tolerance peak pairs, ordered by the greedy rule.
 
@@ -69,7 +74,7 @@ def candidate_matches(a: Column, b: Column, tol: float, unit: str) -> Column:
         )
 
     def within(x, y):
-        allowed = F.lit(float(tol)) if unit == "Da" else (x["mz"] + y["mz"]) / 2 * float(tol) / 1e6
+        allowed = number(tol) if unit == "Da" else (x["mz"] + y["mz"]) / 2 * number(tol) / 1e6
         return F.abs(x["mz"] - y["mz"]) <= allowed
 
     def pair(x, y):
@@ -217,7 +222,7 @@ def similarity(
     """
     if unit not in ("Da", "ppm"):
         raise ValueError("fragment tolerance unit must be 'Da' or 'ppm'")
-    if not (tol >= 0 and math.isfinite(tol)):
+    if not isinstance(tol, Column) and not (tol >= 0 and math.isfinite(tol)):
         raise ValueError("fragment tolerance must be finite and non-negative")
     if not 0 <= min_relative <= 1:
         raise ValueError("min_relative must be between 0 and 1")

@@ -255,7 +255,7 @@ def _fragment_stats(s: ExtractionSettings) -> Column:
         )
         kept = F.filter(
             eligible,
-            lambda g: F.coalesce(correlate(g) > float(s.min_fragment_correlation), F.lit(False)),
+            lambda g: F.coalesce(correlate(g) > spectra.number(s.min_fragment_correlation), F.lit(False)),
         )
         return F.when(
             ~xic.is_constant(ctx["x"]),
@@ -291,6 +291,14 @@ def _fragment_stats(s: ExtractionSettings) -> Column:
 
 def side_evidence(traces: DataFrame, run: Ms2Run, s: ExtractionSettings) -> DataFrame:
     """One row per (row_id, side) with summary, counts, spectrum and quality flags."""
+    return judged_sides(fragment_points(traces, run, s), s)
+
+
+def fragment_points(traces: DataFrame, run: Ms2Run, s: ExtractionSettings) -> DataFrame:
+    """Each side's trace and its candidate fragments' points, before any of them is judged.
+
+    Depends on the traces, the consensus scans and the fragment tolerance only.
+    """
     tol, unit = s.fragment_eic_tolerance
     centres = candidate_centres(traces, run, s)
     none = F.lit(None).cast("double")
@@ -338,7 +346,7 @@ def side_evidence(traces: DataFrame, run: Ms2Run, s: ExtractionSettings) -> Data
         F.first("side_row", ignorenulls=True).alias("side_row"),
     )
     frag = F.when(F.col("idx") >= 0, F.struct("idx", "centre", "top", "pts"))
-    gathered = (
+    return (
         frags.groupBy("row_id", "side")
         .agg(
             F.sort_array(F.collect_list(frag)).alias("frags"),
@@ -346,6 +354,10 @@ def side_evidence(traces: DataFrame, run: Ms2Run, s: ExtractionSettings) -> Data
         )
         .select("row_id", "side", "frags", "r.trace", "r.chosen", "r.f", "r.n_centres")
     )
+
+
+def judged_sides(gathered: DataFrame, s: ExtractionSettings) -> DataFrame:
+    """Summary, spectrum of the co-eluting fragments and quality flags of each side."""
     scored = gathered.select(
         "row_id",
         "side",
@@ -407,8 +419,19 @@ def analyze_pairs(
 
     ``targets``: row_id (unique), raw_id, mz, peak_a_rt, peak_b_rt and any extra columns.
     """
+    evidence = extract_window(targets, run, settings)
+    return compared_pairs(targets, evidence, settings, thresholds, issue_thresholds)
+
+
+def compared_pairs(
+    targets: DataFrame,
+    evidence: DataFrame,
+    settings: ExtractionSettings,
+    thresholds: PairThresholds = PairThresholds(),
+    issue_thresholds: PairThresholds = PairThresholds(),
+) -> DataFrame:
+    """The result table from both sides' evidence: comparison, diagnosis and statuses."""
     s = settings
-    evidence = extract_window(targets, run, s)
     pivot = evidence.groupBy("row_id").agg(
         F.first("f", ignorenulls=True).alias("f"),
         *[

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import time
+from dataclasses import fields, replace
+from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -269,27 +271,60 @@ def sweep_settings(base: ExtractionSettings = ExtractionSettings(), grid: dict =
     return out
 
 
+#: Parameters that the sweep knows a stage for.
+SWEPT = (*SWEEP, "precursor_eic_mz_tol_unit", "fragment_eic_mz_tol_unit", "mz_tol_unit")
+
+
+def _trace_key(s: ExtractionSettings) -> tuple:
+    """What the sides and precursor traces depend on."""
+    return s.rt_unit, s.rt_half_window_sec, s.dia_iso_win, s.precursor_tolerance
+
+
+def _point_key(s: ExtractionSettings) -> tuple:
+    """What the candidate fragments' points depend on besides."""
+    return *_trace_key(s), s.consensus_scans, s.fragment_eic_tolerance
+
+
 def sensitivity_sweep(targets: DataFrame, run: dia.Ms2Run, variants: list[tuple]) -> DataFrame:
     """(parameter, value, status, rows, both_spectra) for every variant.
 
-    Each variant is its own branch over the same stored run tables.
+    Variants form a tree by the stage at which they first differ: those of equal windows and precursor
+    tolerance share their traces, and those of equal consensus and fragment tolerance the fragment
+    points too; both are stored once. What is left, the correlation and the comparison's tolerance,
+    goes with the row key, so that one plan judges and compares the rows of all variants.
     """
-    frames = []
-    for name, value, settings in variants:
-        results = analyze.analyze_pairs(targets, run, settings)
-        both = (F.size("peak_a_spectrum") > 0) & (F.size("peak_b_spectrum") > 0)
-        frames.append(
-            results.groupBy("enantiomer_pair_status")
-            .agg(F.count("*").alias("rows"), F.count_if(both).alias("both_ms2_spectra"))
-            .select(
-                F.lit(name).alias("varied_parameter"), F.lit(float(value)).alias("varied_value"),
-                "enantiomer_pair_status", "rows", "both_ms2_spectra",
-            )
+    base = {f.name: getattr(variants[0][2], f.name) for f in fields(variants[0][2])}
+    if any(getattr(s, n) != v for _, _, s in variants for n, v in base.items() if n not in SWEPT):
+        raise ValueError(f"variants of one sweep may differ in {', '.join(SWEPT)} only")
+    # The run is read by every branch; its tables are aggregated once.
+    run = replace(run, **{f.name: durable(getattr(run, f.name)) for f in fields(run) if isinstance(getattr(run, f.name), DataFrame)})
+    traces, points, judged = {}, {}, None
+    keys = [
+        F.struct(F.lit(n).alias("variant"), F.lit(s.min_fragment_correlation).alias("correlation"), F.lit(s.fragment_mz_tol).alias("tolerance"), F.col("row_id"))
+        for n, (_, _, s) in enumerate(variants)
+    ]
+    for key, (_, _, settings) in zip(keys, variants, strict=True):
+        at, point = _trace_key(settings), _point_key(settings)
+        if at not in traces:
+            traces[at] = durable(analyze.precursor_traces(analyze.routed_sides(targets, run, settings), run, settings))
+        if point not in points:
+            points[point] = durable(analyze.fragment_points(traces[at], run, settings))
+        some = points[point].withColumn("row_id", key)
+        judged = some if judged is None else judged.unionByName(some)
+    each = SimpleNamespace(**base | {"min_fragment_correlation": F.col("row_id.correlation"), "fragment_mz_tol": F.col("row_id.tolerance")})
+    copies = targets.withColumn("row_id", F.explode(F.array(*keys)))
+    results = analyze.compared_pairs(copies, analyze.judged_sides(judged, each), each)
+    both = (F.size("peak_a_spectrum") > 0) & (F.size("peak_b_spectrum") > 0)
+    names = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(v)).alias("value")) for n, v, _ in variants])
+    return (
+        results.groupBy(F.col("row_id.variant").alias("variant"), "enantiomer_pair_status")
+        .agg(F.count("*").alias("rows"), F.count_if(both).alias("both_ms2_spectra"))
+        .withColumn("named", names[F.col("variant")])
+        .select(
+            F.col("named.name").alias("varied_parameter"), F.col("named.value").alias("varied_value"),
+            "enantiomer_pair_status", "rows", "both_ms2_spectra",
         )
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out
+    )
 
 
 # ---- review products -----------------------------------------------------------------

@@ -566,26 +566,46 @@ QUERIES = {
 
 
 def sensitivity_sweep(spark, d):
-    from ..plans.jobs import sensitivity_sweep as sweep
+    """Every value of every swept parameter."""
+    from ..plans import jobs
 
-    variants = [
-        ("min_fragment_correlation", v, SETTINGS.varied(min_fragment_correlation=v)) for v in (0.5, 0.9)
-    ]
-    return sweep(proj.targets(spark, d), ms2_run(spark, d), variants).select(
-        "varied_value", "enantiomer_pair_status", "rows", "both_ms2_spectra"
-    )
+    return jobs.sensitivity_sweep(proj.targets(spark, d), ms2_run(spark, d), jobs.sweep_settings(SETTINGS))
 
 
-def _sweep_sql(value: float) -> str:
-    ctes = [c.replace("r > 0.9::DOUBLE", f"r > {value}::DOUBLE") for c in sql.ANALYZE_CTES]
+def _sweep_sql(name: str, value: float, s: ExtractionSettings) -> str:
+    """The analysis with one variant's numbers in place of the usual ones."""
+    ppm = "10.0::DOUBLE / 1000000.0::DOUBLE"
+    swaps = {
+        sql.SIDES: [
+            (ppm, f"{s.precursor_tolerance[0]}::DOUBLE / 1000000.0::DOUBLE"),
+            ("least(60.0::DOUBLE,", f"least({s.rt_half_window_sec}::DOUBLE,"), ("WHERE rn <= 1)", f"WHERE rn <= {s.consensus_scans})"),
+        ],
+        sql.FRAGMENTS: [
+            (ppm, f"{s.fragment_eic_tolerance[0]}::DOUBLE / 1000000.0::DOUBLE"), ("r > 0.9::DOUBLE", f"r > {s.min_fragment_correlation}::DOUBLE"),
+        ],
+        sql.ANALYZE: [("<= 0.01::DOUBLE)", f"<= {s.fragment_mz_tol}::DOUBLE)")],
+    }
+    ctes = []
+    for part in sql.ANALYZE_CTES:
+        for old, new in swaps.get(part, []):
+            if part.count(old) < 1:
+                raise ValueError(f"{old} is no part of the analysis text")
+            part = part.replace(old, new)
+        ctes.append(part)
     return sql.with_ctes(
         *ctes,
-        select=f"""SELECT {value}::DOUBLE AS varied_value, status AS enantiomer_pair_status, count(*) AS rows,
+        select=f"""SELECT '{name}' AS varied_parameter, {value}::DOUBLE AS varied_value, status AS enantiomer_pair_status, count(*) AS rows,
         count(*) FILTER (kept_a > 0 AND kept_b > 0) AS both_ms2_spectra FROM final GROUP BY status""",
     )
 
 
-SWEEP_SQL = f"SELECT * FROM ({_sweep_sql(0.5)}) UNION ALL SELECT * FROM ({_sweep_sql(0.9)})"
+def _whole_sweep_sql() -> str:
+    from ..plans.jobs import sweep_settings
+
+    return " UNION ALL ".join(f"SELECT * FROM ({_sweep_sql(*v)})" for v in sweep_settings(SETTINGS))
+
+
+SWEEP_SQL = _whole_sweep_sql()
 
 
 def two_stage_analysis(spark, d):
