@@ -53,7 +53,7 @@ CANDIDATE_TYPE = "array<struct<err:double,neg:double,i:int,j:int>>"
 _TAGGED_TYPE = "array<struct<mz:double,it:double,k:int,side:int>>"
 
 
-def number(value) -> Column:
+def setting(value) -> Column:
     """A setting: a number, or a column when one plan runs many settings."""
     return value if isinstance(value, Column) else F.lit(float(value))
 
@@ -74,7 +74,7 @@ def candidate_matches(a: Column, b: Column, tol: float, unit: str) -> Column:
         )
 
     def within(x, y):
-        allowed = number(tol) if unit == "Da" else (x["mz"] + y["mz"]) / 2 * number(tol) / 1e6
+        allowed = setting(tol) if unit == "Da" else (x["mz"] + y["mz"]) / 2 * setting(tol) / 1e6
         return F.abs(x["mz"] - y["mz"]) <= allowed
 
     def pair(x, y):

@@ -255,7 +255,7 @@ def _fragment_stats(s: ExtractionSettings) -> Column:
         )
         kept = F.filter(
             eligible,
-            lambda g: F.coalesce(correlate(g) > spectra.number(s.min_fragment_correlation), F.lit(False)),
+            lambda g: F.coalesce(correlate(g) > spectra.setting(s.min_fragment_correlation), F.lit(False)),
         )
         return F.when(
             ~xic.is_constant(ctx["x"]),
