@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,13 +33,41 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Folders of the tables that the step under way has stored, if it is one of `settled`.
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Cut lineage with a Parquet table in the shared folder, so lost executors lose nothing."""
     path = f"{shared_folder(df.sparkSession)}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (passing := _passing.get()) is not None:
+        passing.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What `make` returns, stored; then the tables that it stored on the way are deleted, and the
+    driver's heap is swept, which frees the shuffle files behind them.
+
+    Nothing else may read those tables. The result is a table of its own, so a lost executor never
+    asks for them again.
+    """
+    inner: list[str] = []
+    token = _passing.set(inner)
+    try:
+        found = make()
+    finally:
+        _passing.reset(token)
+    found = stored(found)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in map(jvm.org.apache.hadoop.fs.Path, inner):
+        path.getFileSystem(conf).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
+    return found
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, carried, documents, stored, work_partitions
+from .common import NO_ID, carried, documents, settled, stored, work_partitions
 from .components import components
 
 #: Words of a shingle, and the threshold as percent of the union.
@@ -472,7 +472,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), "_text_print")).alias("_row"),
         )
     )
-    clusters = components(candidate_edges(docs, frequent, text_col, size, percent))
+    # the keys take more room than the texts: they go before the texts are dealt
+    clusters = settled(docs.sparkSession, lambda: components(candidate_edges(docs, frequent, text_col, size, percent)))
     chosen = clusters.join(classes, clusters.node == classes["_print"]).select("_print", F.col("root").alias("_root"), "_n", "_row.*")
     chosen = stored(placed_in_blocks(chosen))
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -502,8 +503,8 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Da
 
     Rows without words all stay, but for repeated ones.
     """
-    groups = similar_groups(docs, size=size, percent=percent).withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    groups = stored(groups)
+    grouped = lambda: similar_groups(docs, size=size, percent=percent).withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID)))
+    groups = settled(docs.sparkSession, grouped)
     full = groups.filter("n_shingles > 0").groupBy(F.coalesce("component_id", F.lit(NO_ID))).agg(F.min(F.struct("_id", "_text_print")).alias("_row"))
     stay = full.select("_row.*").unionByName(groups.filter("n_shingles = 0").select("_id", "_text_print")).distinct()
     keyed = carried(docs, _id=F.coalesce("doc_id", F.lit(NO_ID)), _text_print=F.xxhash64(F.coalesce("text", F.lit(""))))
