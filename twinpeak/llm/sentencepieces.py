@@ -126,21 +126,24 @@ class Blocks:
     def name(self) -> int:
         return int(np.int64(np.uint64(self.hash.intdigest())))
 
-    def order(self, buckets: int) -> tuple[list[list[str]], np.ndarray]:
-        """Units sorted in each bucket, and by place where a unit stands in all of these; -1 for the
-        empty rest that a line break leaves."""
-        listed: list[list[tuple[str, int]]] = [[] for _ in range(buckets)]
-        where = np.full(len(self.places), -1, np.int32)
-        for key, place in self.places.items():
-            unit = key[1:] if key[:1] == "\n" else " " + key
-            if unit:
-                listed[xxhash.xxh3_64_intdigest(unit) % buckets].append((unit, place))
-        n = 0
-        for part in listed:
-            part.sort()
-            where[[p for _, p in part]] = np.arange(n, n + len(part))
+    def order(self, buckets: int) -> tuple[list[str | None], np.ndarray]:
+        """Each bucket's units, sorted and joined by line breaks (an empty one stands for a line
+        break; None: no unit), and by place where a unit stands in all of these; -1 for the empty
+        rest that a line break leaves."""
+        keys = list(self.places)
+        to = np.fromiter((xxhash.xxh3_64_intdigest(_unit(k)) % buckets for k in keys), np.int32, len(keys))
+        where, listed, n = np.full(len(keys), -1, np.int32), [], 0
+        # a bucket at a time, so that only its units exist beside the keys
+        for places in np.split(np.argsort(to, kind="stable"), np.cumsum(np.bincount(to, minlength=buckets))[:-1]):
+            part = sorted((unit, place) for place in places.tolist() if (unit := _unit(keys[place])))
+            where[[place for _, place in part]] = np.arange(n, n + len(part))
             n += len(part)
-        return [[u for u, _ in part] for part in listed], where
+            listed.append("\n".join("" if unit == "\n" else unit for unit, _ in part) if part else None)
+        return listed, where
+
+
+def _unit(key: str) -> str:
+    return key[1:] if key[:1] == "\n" else " " + key
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Blocks]:
@@ -255,21 +258,22 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
     rows = rows.withColumn("_task", F.spark_partition_id())
     n = FINER * work_partitions(docs.sparkSession)
 
+    # one block at a time: neither function holds on to a block while the next one is gathered
     def unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches):
-            # one text a bucket; line breaks part the units, and the empty one stands for a line break
-            parts = [(b, "\n".join("" if u == "\n" else u for u in units)) for b, units in enumerate(block.order(n)[0]) if units]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block.name] * len(parts), pa.int64()), pa.array([b for b, _ in parts], pa.int32()), pa.array([u for _, u in parts], pa.string())],
-                ["_block", "_bucket", "_units"],
-            )
+        def listing(block: Blocks) -> pa.RecordBatch:
+            parts = [(b, units) for b, units in enumerate(block.order(n)[0]) if units is not None]
+            columns = ([block.name] * len(parts), [b for b, _ in parts], [units for _, units in parts])
+            kinds = (pa.int64(), pa.int32(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["_block", "_bucket", "_units"])
+
+        return map(listing, _blocks(batches))
 
     def text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["_block", "_part", "_rows", "_sizes", "_body"]
         press = zstandard.ZstdCompressor(level=3).compress
-        for block in _blocks(batches):
-            where = press(block.order(n)[1].tobytes())
-            chunks = [(-1, [], [], where)]
+
+        def packed(block: Blocks) -> pa.RecordBatch:
+            chunks = [(-1, [], [], press(block.order(n)[1].tobytes()))]
             for i in range(0, len(block.rows), CHUNK):
                 part = block.rows[i : i + CHUNK]
                 full = [c for _, c in part if c is not None]
@@ -277,10 +281,12 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
                 chunks.append((i, [r for r, _ in part], [-1 if c is None else len(c) for _, c in part], body))
             columns = list(zip(*chunks, strict=True))
             kinds = [pa.int32(), pa.list_(block.kind), pa.list_(pa.int32()), pa.binary()]
-            yield pa.RecordBatch.from_arrays(
+            return pa.RecordBatch.from_arrays(
                 [pa.array([block.name] * len(chunks), pa.int64()), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names
             )
 
+        return map(packed, _blocks(batches))
+
     listed = rows.mapInArrow(unit_rows, "_block long, _bucket int, _units string").repartition(n, "_bucket")
     # a unit's places: one for each block that has it, as pairs of longs in one list
     at = F.array("_block", F.col("_pos").cast("long"))
