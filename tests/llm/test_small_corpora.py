@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 import sys
 from collections import Counter, defaultdict
@@ -212,6 +213,27 @@ def test_quality_rules(docs, none, good):
     assert quality_rules.judge(docs, good.limit(0)).count() == len(rows())
 
 
+def test_quality_scores(docs, good):
+    trusted = {r.doc_id for r in good.collect()} - {None}
+    buckets, seen, liked = quality_rules.BUCKETS, Counter(), Counter()
+
+    def grams(text):
+        codes = [int(hashlib.md5(w).hexdigest()[:4], 16) for w in words(text or "")]
+        return codes + [(a * 40503 + b * 9973) % buckets + buckets for a, b in zip(codes, codes[1:])]
+
+    for r in docs.select("doc_id", "text").collect():
+        seen.update(grams(r.text))
+        liked.update(grams(r.text) if r.doc_id in trusted else [])
+    share, a = liked.total() / seen.total(), quality_rules.SMOOTHING
+    ratio = {g: math.log((liked[g] + a) / (n * share + a)) for g, n in seen.items()}
+    want = {hash(r.text): [ratio[g] for g in grams(r.text)] for r in docs.select("text").collect()}
+    means = sorted(round(sum(x) / len(x), 9) for x in want.values() if x)
+    judged = quality_rules.judge(docs, good)
+    assert sorted({round(r.score, 9) for r in judged.collect() if r.score is not None}) == sorted(set(means))
+    for r in quality_rules.judge(docs, good.limit(0)).collect():
+        assert r.score in (None, 0.0) and r.kept == (not r.base_failed)
+
+
 def test_quality_classifier(docs, none, good):
     got = quality_classifier.resample(docs, good, 0.5).collect()
     assert len(got) == len(rows()) and sum(r.kept for r in got) == len(rows()) // 2
