@@ -24,7 +24,6 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -344,15 +343,27 @@ def decode(tokens: DataFrame, model: str = MODEL, ids_col: str = "ids", text_col
     """
     vocab = vocabulary(model)
 
-    @F.pandas_udf("string")
-    def spell(ids: pd.Series) -> pd.Series:
-        spelled = [b""] * vocab.size
+    @F.arrow_udf("string")
+    def spell(ids: pa.Array) -> pa.Array:
+        spelled = [b""] * (vocab.size + 1)  # the last stands for ids outside
         for i, p in zip(vocab.ids, vocab.pieces, strict=True):
             spelled[i] = p.encode()
         for b, i in enumerate(vocab.bytes_ids):
             spelled[i] = bytes([b])
-        join = lambda row: b"".join([spelled[i] for i in row if 0 <= i < vocab.size]).decode("utf-8", "replace")
-        return ids.map(lambda row: None if row is None else join(row)[1:])
+        table, lengths = pa.array(spelled, pa.large_binary()), np.array([len(x) for x in spelled], np.int64)
+        texts = []
+        for at in range(0, len(ids), CHUNK):
+            part = ids.slice(at, CHUNK)
+            codes = part.flatten().fill_null(vocab.size).to_numpy(zero_copy_only=False)
+            codes = np.where((codes < 0) | (codes > vocab.size), vocab.size, codes)
+            data = table.take(pa.array(codes)).buffers()[2]
+            data = data.to_pybytes() if data else b""
+            ends = np.concatenate([[0], np.cumsum(lengths[codes])])
+            counts = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            edges = ends[np.concatenate([[0], np.cumsum(counts)])].tolist()
+            rows = zip(part.is_null().to_pylist(), edges, edges[1:])
+            texts.append(pa.array([None if null else data[x:y].decode("utf-8", "replace")[1:] for null, x, y in rows], pa.string()))
+        return pa.concat_arrays(texts) if texts else pa.array([], pa.string())
 
     return tokens.withColumn(text_col, spell(F.col(ids_col)))
 
