@@ -176,3 +176,11 @@ def test_literal_marks_survive(spark):
 def test_a_stored_table_needs_a_shared_folder(spark):
     df = stored(spark.range(3))
     assert df.count() == 3 and df.inputFiles()[0].startswith(("file:", "/"))
+
+
+def test_decode_of_odd_ids(spark):
+    vocab = sentencepieces.vocabulary()
+    text = sentencepieces.encode(spark.createDataFrame([(1, "plain text")], "doc_id long, text string")).first().ids
+    odd = [(1, text), (2, None), (3, []), (4, [-1, *text, None, vocab.size, 2**31 - 1]), (5, [vocab.bytes_ids[32], vocab.bytes_ids[255]])]
+    back = sentencepieces.decode(spark.createDataFrame(odd, "doc_id long, ids array<int>"))
+    assert {r.doc_id: r.text for r in back.collect()} == {1: "plain text", 2: None, 3: "", 4: "plain text", 5: "�"}
