@@ -19,7 +19,7 @@ A unit costs time with the square of its length (an unbroken word of 100,000 let
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -245,11 +245,12 @@ def lattice_paths(units: DataFrame, vocab: Vocabulary) -> DataFrame:
     return found.select(*keys, F.when(plain, F.col("_codes")).otherwise(F.flatten(F.transform("_codes", spelled))).alias("_ids"))
 
 
-def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text", decoded: str | None = None) -> DataFrame:
     """One row per input row: doc_id, ids (array of int).
 
-    Null text gives null ids, empty text none. Repeated rows and ids and null ids are fine, and
-    extra columns aren't read. Empty tables give no rows.
+    With `decoded`, the ids are also decoded again, in the worker that has them at hand, and that
+    text is a further column of this name. Null text gives null ids, empty text none. Repeated rows
+    and ids and null ids are fine, and extra columns aren't read. Empty tables give no rows.
     """
     vocab = vocabulary(model)
     rows = replayable(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
@@ -315,42 +316,35 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
         if not texts.num_rows or (where := np.frombuffer(body(parts.pop(-1)), np.int32)).max(initial=-1) != len(counts) - 1:
             raise ValueError("a block's units were not found: the input gave other rows when it was read again")
         counts, starts = np.append(counts, 0), np.append(starts[:-1], 0)  # the last stands for no unit
-        ids, sizes, found = [], [], []
+        spell = speller(vocab) if decoded else None
+        done = []
         for i in parts.values():
             codes, lengths = where[_unpack(body(i))], texts.column("_sizes")[i].values.to_numpy()
             own = counts[codes]
             ends = np.cumsum(own)
             at = np.repeat((starts[codes] - (ends - own)).astype(np.int32), own)
             at += np.arange(len(at), dtype=np.int32)
-            found.append(values[at])
             edges = np.concatenate([[0], np.cumsum(np.maximum(lengths, 0))])
-            totals = np.concatenate([[0], ends])
-            sizes.append(np.where(lengths < 0, -1, totals[edges[1:]] - totals[edges[:-1]]))
-            ids.append(texts.column("_rows")[i].values)
-        sizes = np.concatenate(sizes)
-        offsets = np.concatenate([[0], np.cumsum(np.maximum(sizes, 0))]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found), pa.int32()), mask=pa.array(sizes < 0))
-        return pa.Table.from_arrays([pa.concat_arrays(ids), lists], ["doc_id", "ids"])
+            offsets = np.concatenate([[0], ends])[edges].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[at], pa.int32()), mask=pa.array(lengths < 0))
+            row = [texts.column("_rows")[i].values, lists] + ([spell(lists)] if spell else [])
+            done.append(pa.RecordBatch.from_arrays(row, ["doc_id", "ids"] + ([decoded] if spell else [])))
+        return pa.Table.from_batches(done)
 
-    return texts.groupBy("_block").cogroup(books.groupBy("_block")).applyInArrow(put_together, f"doc_id {kind}, ids array<int>")
+    schema = f"doc_id {kind}, ids array<int>" + (f", `{decoded}` string" if decoded else "")
+    return texts.groupBy("_block").cogroup(books.groupBy("_block")).applyInArrow(put_together, schema)
 
 
-def decode(tokens: DataFrame, model: str = MODEL, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
-    """The input with the ids' text as a further column; null ids give null.
+def speller(vocab: Vocabulary) -> Callable[[pa.Array], pa.Array]:
+    """A function from lists of ids to their texts."""
+    spelled = [b""] * (vocab.size + 1)  # the last stands for ids outside
+    for i, p in zip(vocab.ids, vocab.pieces, strict=True):
+        spelled[i] = p.encode()
+    for b, i in enumerate(vocab.bytes_ids):
+        spelled[i] = bytes([b])
+    table, lengths = pa.array(spelled, pa.large_binary()), np.array([len(x) for x in spelled], np.int64)
 
-    Byte pieces that aren't UTF-8 together become replacement characters; ids outside the
-    vocabulary and control pieces give nothing.
-    """
-    vocab = vocabulary(model)
-
-    @F.arrow_udf("string")
     def spell(ids: pa.Array) -> pa.Array:
-        spelled = [b""] * (vocab.size + 1)  # the last stands for ids outside
-        for i, p in zip(vocab.ids, vocab.pieces, strict=True):
-            spelled[i] = p.encode()
-        for b, i in enumerate(vocab.bytes_ids):
-            spelled[i] = bytes([b])
-        table, lengths = pa.array(spelled, pa.large_binary()), np.array([len(x) for x in spelled], np.int64)
         texts = []
         for at in range(0, len(ids), CHUNK):
             part = ids.slice(at, CHUNK)
@@ -365,10 +359,25 @@ def decode(tokens: DataFrame, model: str = MODEL, ids_col: str = "ids", text_col
             texts.append(pa.array([None if null else data[x:y].decode("utf-8", "replace")[1:] for null, x, y in rows], pa.string()))
         return pa.concat_arrays(texts) if texts else pa.array([], pa.string())
 
+    return spell
+
+
+def decode(tokens: DataFrame, model: str = MODEL, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
+    """The input with the ids' text as a further column; null ids give null.
+
+    Byte pieces that aren't UTF-8 together become replacement characters; ids outside the
+    vocabulary and control pieces give nothing.
+    """
+    vocab = vocabulary(model)
+
+    @F.arrow_udf("string")
+    def spell(ids: pa.Array) -> pa.Array:
+        return speller(vocab)(ids)
+
     return tokens.withColumn(text_col, spell(F.col(ids_col)))
 
 
 def op1(spark, sf_dir):
     """Whole texts to ids and back: doc_id, n_tokens, ids, and a hash of the decoded text."""
-    found = decode(encode(documents(spark, sf_dir)))
+    found = encode(documents(spark, sf_dir), decoded="text")
     return found.select("doc_id", F.size("ids").alias("n_tokens"), "ids", F.sha2("text", 256).alias("text_sha256"))
