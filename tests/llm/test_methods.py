@@ -131,6 +131,45 @@ def test_a_chain_that_fails_is_cut_at_its_gap():
         assert substring_dedup.passages(a, b, x[i], y[j]) == [(20, 70, 0, 50, 50), (70, 120, 100, 150, 50)]
 
 
+def test_passages_that_overlap_are_both_found():
+    """Two exact passages of 60 words that share 10 in one text and stand apart in the other."""
+    for seed in range(50):
+        rng = np.random.default_rng(seed)
+        a, head, other, tail = (rng.integers(0, 1 << 60, n).astype(np.uint64) for n in (110, 30, 120, 30))
+        b = np.concatenate([head, a[:60], other, a[50:], tail])
+        (one, x), (two, y) = substring_dedup.minimizers(a), substring_dedup.minimizers(b)
+        _, i, j = np.intersect1d(one, two, return_indices=True)
+        assert substring_dedup.passages(a, b, x[i], y[j]) == [(0, 60, 30, 90, 60), (50, 110, 210, 270, 60)]
+
+
+def test_passages_whose_first_holders_are_others(spark):
+    """Halves of a passage stand in two earlier documents; the two that share all of it still meet."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    data = []
+    for case in range(20):
+        quote, at = [word() for _ in range(60)], 10 * case
+        for i, part in enumerate((quote[:30], quote[30:], quote, quote, quote)):
+            data.append((at + i, " ".join([word() for _ in range(40)] + part + [word() for _ in range(40)])))
+    data += [data[-1], data[-2]]
+    got = substring_dedup.repeated_passages(spark.createDataFrame(data, "doc_id long, text string").repartition(7)).collect()
+    whole = {r.doc_id for r in got if (r.start_word, r.end_word, r.other_start, r.other_end) == (40, 100, 40, 100)}
+    assert whole == {10 * case + i for case in range(20) for i in (3, 4)}
+    assert all(r.other_id < r.doc_id and r.doc_id // 10 == r.other_id // 10 for r in got)
+    assert len(got) == len(set(got))
+
+
+def test_the_holder_before_across_partitions(spark):
+    """A seed of most rows, others of few, and repeated rows, against a plain walk in order."""
+    rng = random.Random(1)
+    rows = [(0 if rng.random() < 0.6 else rng.randrange(1, 40), rng.randrange(500), 7, rng.randrange(3)) for _ in range(900)]
+    rows = [r for r in {r[:2]: r for r in rows}.values() for _ in range(rng.choice((1, 1, 3)))]
+    got = substring_dedup._before(spark.createDataFrame(rows, "_seed long, _id long, _print long, _at int")).collect()
+    pairs = {(r._seed, r._id, r._before._id) for r in got if r._id != r._before._id}
+    plain = sorted({r[:2] for r in rows})
+    assert pairs == {(s, i, j) for (t, j), (s, i) in zip(plain, plain[1:]) if s == t}
+
+
 def test_pair_tables_equal_the_convolution():
     rng = np.random.default_rng(0)
     windows = rng.integers(0, 256, (70, language_id.SPAN)).astype(np.uint8)
@@ -178,6 +217,15 @@ def test_a_stored_table_needs_a_shared_folder(spark):
     assert df.count() == 3 and df.inputFiles()[0].startswith(("file:", "/"))
 
 
+def test_decoding_beside_encoding_equals_decoding_after(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "\n"), (None, "漢字 🙂\x00")], "doc_id long, text string"))
+    both = {r.doc_id: (r.ids, r.back) for r in sentencepieces.encode(docs, decoded="back").collect()}
+    after = {r.doc_id: (r.ids, r.back) for r in sentencepieces.decode(sentencepieces.encode(docs), text_col="back").collect()}
+    assert both == after
+    assert {i: back for i, (_, back) in both.items()} == {r.doc_id: r.text for r in docs.collect()}
+
+
 def test_decode_of_odd_ids(spark):
     vocab = sentencepieces.vocabulary()
     text = sentencepieces.encode(spark.createDataFrame([(1, "plain text")], "doc_id long, text string")).first().ids
