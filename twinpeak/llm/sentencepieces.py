@@ -104,53 +104,66 @@ class Blocks:
     under the same name has the same units in the same places.
     """
 
-    def __init__(self, kind: pa.DataType, task: int, number: int):
-        self.kind, self.places = kind, _Places()
+    def __init__(self, kind: pa.DataType, task: int, number: int, listing: bool):
+        self.kind, self.listing = kind, listing
+        self.places: dict | set = set() if listing else _Places()
         self.rows: list[tuple] = []
         self.size, self.hash = 0, xxhash.xxh3_64(f"{task},{number};")
 
     def add(self, row_id, text: str | None) -> None:
         self.hash.update(b"\xff" if text is None else text.encode() + b"\xfe")  # bytes that UTF-8 has not
         if text is None:
-            self.rows.append((row_id, None))
+            if not self.listing:
+                self.rows.append((row_id, None))
             return
         if "  " in text or " \n" in text or text[:1] == " " or text[-1:] == " ":
             found = [u[1:] if u[0] == " " else "\n" + u for u in UNITS.findall(" " + text)]
         else:
             found = text.replace("\n", " \n\n \n").split(" ") if text else []
-        self.rows.append((row_id, np.fromiter(map(self.places.__getitem__, found), np.uint32, len(found))))
         self.size += len(text)
+        if self.listing:
+            self.places.update(found)
+        else:
+            self.rows.append((row_id, np.fromiter(map(self.places.__getitem__, found), np.uint32, len(found))))
 
     @property
     def name(self) -> int:
         return int(np.int64(np.uint64(self.hash.intdigest())))
 
-    def order(self, buckets: int) -> tuple[list[str | None], np.ndarray]:
-        """Each bucket's units, sorted and joined by line breaks (an empty one stands for a line
-        break; None: no unit), and by place where a unit stands in all of these; -1 for the empty
-        rest that a line break leaves."""
-        keys = list(self.places)
-        to = np.fromiter((xxhash.xxh3_64_intdigest(_unit(k)) % buckets for k in keys), np.int32, len(keys))
-        where, listed, n = np.full(len(keys), -1, np.int32), [], 0
-        # a bucket at a time, so that only its units exist beside the keys
-        for places in np.split(np.argsort(to, kind="stable"), np.cumsum(np.bincount(to, minlength=buckets))[:-1]):
-            part = sorted((unit, place) for place in places.tolist() if (unit := _unit(keys[place])))
-            where[[place for _, place in part]] = np.arange(n, n + len(part))
-            n += len(part)
-            listed.append("\n".join("" if unit == "\n" else unit for unit, _ in part) if part else None)
-        return listed, where
-
-
-def _unit(key: str) -> str:
-    return key[1:] if key[:1] == "\n" else " " + key
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Blocks]:
-    """Blocks of (id, text, partition) rows."""
+    def dealt(self, buckets: int) -> Iterator[tuple[int, list[str], list[int]]]:
+        """(bucket, its keys in order, their numbers) of each bucket that has any; the empty rest
+        that a line break leaves is none."""
+        keys = [k for k in self.places if k != "\n"]
+        numbers = np.arange(len(keys))
+        if not self.listing and "\n" in self.places:
+            numbers += numbers >= self.places["\n"]
+        to = (np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys)) % np.uint64(buckets)).astype(np.int64)
+        spots = np.split(np.argsort(to, kind="stable"), np.cumsum(np.bincount(to, minlength=buckets))[:-1])
+        for bucket, part in enumerate(spots):
+            if len(part):
+                order = sorted(part.tolist(), key=keys.__getitem__)
+                yield bucket, [keys[i] for i in order], numbers[order]
+
+    def units(self, buckets: int) -> Iterator[tuple[int, str]]:
+        """Each bucket's units, sorted by key and joined by line breaks; an empty one stands for a line break."""
+        for bucket, keys, _ in self.dealt(buckets):
+            yield bucket, "\n".join([k[1:].rstrip("\n") if k[:1] == "\n" else " " + k for k in keys])
+
+    def where(self, buckets: int) -> np.ndarray:
+        """By a unit's number, its place in all of `units`; -1 for the empty rest."""
+        where, n = np.full(len(self.places), -1, np.int32), 0
+        for _, _, numbers in self.dealt(buckets):
+            where[numbers] = np.arange(n, n + len(numbers))
+            n += len(numbers)
+        return where
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], listing: bool) -> Iterator[Blocks]:
+    """Blocks of (id, text, partition) rows; when `listing`, with distinct units only, not the rows."""
     block, number = None, 0
     for batch in batches:
         for row_id, text, task in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-            block = block or Blocks(batch.column(0).type, task, number)
+            block = block or Blocks(batch.column(0).type, task, number, listing)
             block.add(row_id, text.as_py())
             if block.size >= BLOCK_BYTES:
                 yield block
@@ -261,19 +274,19 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
     # one block at a time: neither function holds on to a block while the next one is gathered
     def unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def listing(block: Blocks) -> pa.RecordBatch:
-            parts = [(b, units) for b, units in enumerate(block.order(n)[0]) if units is not None]
+            parts = list(block.units(n))
             columns = ([block.name] * len(parts), [b for b, _ in parts], [units for _, units in parts])
             kinds = (pa.int64(), pa.int32(), pa.string())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["_block", "_bucket", "_units"])
 
-        return map(listing, _blocks(batches))
+        return map(listing, _blocks(batches, True))
 
     def text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["_block", "_part", "_rows", "_sizes", "_body"]
         press = zstandard.ZstdCompressor(level=3).compress
 
         def packed(block: Blocks) -> pa.RecordBatch:
-            chunks = [(-1, [], [], press(block.order(n)[1].tobytes()))]
+            chunks = [(-1, [], [], press(block.where(n).tobytes()))]
             for i in range(0, len(block.rows), CHUNK):
                 part = block.rows[i : i + CHUNK]
                 full = [c for _, c in part if c is not None]
@@ -285,7 +298,7 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
                 [pa.array([block.name] * len(chunks), pa.int64()), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names
             )
 
-        return map(packed, _blocks(batches))
+        return map(packed, _blocks(batches, False))
 
     listed = rows.mapInArrow(unit_rows, "_block long, _bucket int, _units string").repartition(n, "_bucket")
     # a unit's places: one for each block that has it, as pairs of longs in one list
