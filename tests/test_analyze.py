@@ -322,3 +322,18 @@ def test_two_raw_files_give_labelled_ordered_rows(spark, tmp_path):
     jobs.analyze_files(spark, table, [first, second], out, ExtractionSettings(rt_half_window_sec=8.0))
     rows = tables.read_table(spark, out).orderBy("row_no").collect()
     assert [(r["raw_file"], r["Compound_ID"]) for r in rows] == [("run_A01", "A"), ("run_A01", "B"), ("run_B01", "A"), ("run_B01", "B")]
+
+
+def test_patterns_are_read_once_and_scans_numbered_in_many_tasks(spark):
+    """The reader's filter holds no pattern, and places run on over the parts of one raw file."""
+    spectrum = "<scan num='{0}' msLevel='{1}' retentionTime='PT{0}S'><precursorMz>300</precursorMz><peaks precision='32'></peaks></scan>"
+    texts = [("r", spectrum.format(n, 1 + n % 2)) for n in range(40)] + [("q", spectrum.format(7, 1))]
+    scans = rawscans.mzxml_scans(spark.createDataFrame(texts, "raw_id string, value string"))
+    plan = scans._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "regexp" in line]
+    first = rawscans.ms1_scans(scans)
+    window = first._jdf.queryExecution().optimizedPlan().toString()
+    assert "_part" in window
+    assert sorted((r.raw_id, r.scan_no, r.scan) for r in first.collect()) == [("q", 7, 0)] + [("r", 2 * n, n) for n in range(20)]
+    second = rawscans.ms2_scans(scans)
+    assert sorted((r.scan_no, r.scan) for r in second.collect()) == [(2 * n + 1, n) for n in range(20)]

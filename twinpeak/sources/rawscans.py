@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import functools
 import zlib
 
 import numpy as np
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import duration_seconds, number
+from ..session import durable, work_partitions
 
 # XML attributes summarised for acquisition provenance.
 ATTRIBUTES = ("msLevel", "collisionEnergy", "activationMethod", "windowWideness")
@@ -150,6 +152,15 @@ def _records(text: DataFrame, tag: str, prefix: str) -> DataFrame:
     )
 
 
+def _once(rows: DataFrame, *columns) -> DataFrame:
+    """``rows.select(*columns)``, each worked out once a row.
+
+    An outer generator, because a filter on a plain projection is pushed below it with a copy of
+    every pattern that it reads.
+    """
+    return rows.select(F.inline_outer(F.array(F.struct(*columns))))
+
+
 def read_mzxml(spark: SparkSession, paths, prefix: str = "") -> DataFrame:
     return mzxml_scans(_file_text(spark, paths, "scan", prefix), prefix)
 
@@ -160,17 +171,30 @@ def mzxml_scans(text: DataFrame, prefix: str = "") -> DataFrame:
     A row of text holds whole scans, at least up to their peaks.
     """
     p = r"<(?:[\w.-]+:)?"
-    rows = _records(text, "scan", prefix).select(
+    found = _once(
+        _records(text, "scan", prefix),
         "raw_id",
-        F.coalesce(_attribute(F.col("head"), "msLevel").try_cast("int"), F.lit(0)).alias("ms_level"),
-        _attribute(F.col("head"), "num").try_cast("int").alias("scan_no"),
-        duration_seconds(F.coalesce(_attribute(F.col("head"), "retentionTime"), F.lit(""))).alias("rt"),
+        _attribute(F.col("head"), "msLevel").alias("ms_level"),
+        _attribute(F.col("head"), "num").alias("scan_no"),
+        F.coalesce(_attribute(F.col("head"), "retentionTime"), F.lit("")).alias("rt"),
         F.regexp_extract("body", p + r"precursorMz\b([^>]*)>", 1).alias("pre_head"),
-        number(F.regexp_extract("body", p + r"precursorMz\b[^>]*>([^<]*)<", 1)).alias("win"),
+        F.regexp_extract("body", p + r"precursorMz\b[^>]*>([^<]*)<", 1).alias("win"),
         F.regexp_extract("body", p + r"peaks\b([^>]*)>", 1).alias("peaks_head"),
         F.regexp_extract("body", p + r"peaks\b[^>/]*>([^<]*)<", 1).alias("payload"),
         F.col("body").rlike(p + r"peaks\b").alias("has_peaks"),
     )
+    rows = _once(
+        found,
+        "raw_id",
+        F.coalesce(F.col("ms_level").try_cast("int"), F.lit(0)).alias("ms_level"),
+        F.col("scan_no").try_cast("int").alias("scan_no"),
+        duration_seconds(F.col("rt")).alias("rt"),
+        "pre_head",
+        number(F.col("win")).alias("win"),
+        "peaks_head",
+        "payload",
+        "has_peaks",
+    )
     kept = rows.where(
         F.col("has_peaks")
         & F.col("rt").isNotNull()
@@ -207,44 +231,41 @@ def mzml_scans(text: DataFrame, prefix: str = "") -> DataFrame:
     )
     cv = r"<(?:[\w.-]+:)?cvParam\s[^>]*>"
     tags = F.regexp_extract_all(F.element_at("parts", 1), F.lit(cv), F.lit(0))
-    rows = pieces.withColumn("tags", tags).select(
+    value = lambda name, attribute="value": _tag_value(F.col("tags"), CV[name], attribute)
+    found = _once(
+        _once(pieces, "raw_id", "head", "parts", tags.alias("tags")),
         "raw_id",
-        _tag_value(F.col("tags"), CV["ms_level"]).try_cast("int").alias("ms_level"),
-        _attribute(F.col("head"), "index").try_cast("int").alias("scan_no"),
-        (
-            number(_tag_value(F.col("tags"), CV["scan_time"]))
-            * F.when(
-                _tag_value(F.col("tags"), CV["scan_time"], "unitAccession") == CV["minute_unit"], 60.0
-            ).otherwise(1.0)
-        ).alias("rt"),
-        number(
-            F.coalesce(
-                _tag_value(F.col("tags"), CV["isolation_target"]),
-                _tag_value(F.col("tags"), CV["selected_ion"]),
-            )
-        ).alias("win"),
-        number(_tag_value(F.col("tags"), CV["lower_offset"])).alias("below"),
-        number(_tag_value(F.col("tags"), CV["upper_offset"])).alias("above"),
+        value("ms_level").alias("ms_level"),
+        _attribute(F.col("head"), "index").alias("scan_no"),
+        value("scan_time").alias("rt"),
+        value("scan_time", "unitAccession").alias("unit"),
+        F.coalesce(value("isolation_target"), value("selected_ion")).alias("win"),
+        value("lower_offset").alias("below"),
+        value("upper_offset").alias("above"),
         F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))).alias("arrays"),
     )
 
     def array_of(kind):
-        return F.element_at(
-            F.filter("arrays", lambda a: F.contains(a, F.lit(f'"{CV[kind]}"'))), -1
+        return F.try_element_at(
+            F.filter("arrays", lambda a: F.contains(a, F.lit(f'"{CV[kind]}"'))), F.lit(-1)
         )
 
-    def has(kind):
-        return F.exists("arrays", lambda a: F.contains(a, F.lit(f'"{CV[kind]}"')))
-
-    ok = (
+    rows = _once(
+        found,
+        "raw_id",
+        F.col("ms_level").try_cast("int").alias("ms_level"),
+        F.col("scan_no").try_cast("int").alias("scan_no"),
+        (number(F.col("rt")) * F.when(F.col("unit") == CV["minute_unit"], 60.0).otherwise(1.0)).alias("rt"),
+        *[number(F.col(n)).alias(n) for n in ("win", "below", "above")],
+        array_of("mz_array").alias("mz_xml"),
+        array_of("intensity_array").alias("it_xml"),
+    )
+    kept = rows.where(
         F.col("rt").isNotNull()
-        & has("mz_array")
-        & has("intensity_array")
+        & F.col("mz_xml").isNotNull()
+        & F.col("it_xml").isNotNull()
         & ((F.col("ms_level") == 1) | ((F.col("ms_level") == 2) & F.col("win").isNotNull()))
     )
-    kept = rows.where(ok).select(
-        "*", array_of("mz_array").alias("mz_xml"), array_of("intensity_array").alias("it_xml")
-    )
 
     def inputs(name):
         xml = F.col(name)
@@ -304,16 +325,32 @@ def read_raw(spark: SparkSession, paths: list[str], on_error: str = "fail", pref
     return scans
 
 
+def _numbered(scans: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Add ``scan``: places from 0 in each group's order, however many scans a group has.
+
+    Range partitions are counted each on its own; what lies before one is a sum over the partitions
+    that hold a part of the group. Equal keys share a partition.
+    """
+    # Cut twice: drawing the ranges reads the scans, and the parts must be the same in every pass.
+    ranged = durable(scans).repartitionByRange(work_partitions(scans.sparkSession), *by, *order)
+    ranged = durable(ranged.withColumn("_part", F.spark_partition_id()))
+    before = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    keys = [F.col(f"s.{b}").eqNullSafe(F.col(f"r.{b}")) for b in (*by, "_part")]
+    starts = ranged.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
+    starts = starts.select(*by, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")).alias("s")
+    place = F.row_number().over(W.partitionBy("_part", *by).orderBy(*order)) - 1
+    placed = ranged.withColumn("_place", place).alias("r").join(starts, functools.reduce(Column.__and__, keys))
+    return placed.select(*[F.col(f"r.{c}") for c in scans.columns], (F.col("_start") + F.col("_place")).cast("int").alias("scan"))
+
+
 def ms2_scans(scans: DataFrame) -> DataFrame:
     """MS2 scans numbered from 0 by RT inside each isolation window."""
-    order = W.partitionBy("raw_id", "win").orderBy("rt", "scan_no")
-    return scans.where("ms_level = 2").withColumn("scan", F.row_number().over(order) - 1)
+    return _numbered(scans.where("ms_level = 2"), ["raw_id", "win"], ["rt", "scan_no"])
 
 
 def ms1_scans(scans: DataFrame) -> DataFrame:
     """MS1 scans numbered from 0 in acquisition order."""
-    order = W.partitionBy("raw_id").orderBy("scan_no", "rt")
-    return scans.where("ms_level = 1").withColumn("scan", F.row_number().over(order) - 1)
+    return _numbered(scans.where("ms_level = 1"), ["raw_id"], ["scan_no", "rt"])
 
 
 def store_scans(scans: DataFrame, path: str) -> None:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import work_partitions
 from ..sources import projections as proj
 from ..sources import rawscans
 
@@ -35,21 +36,26 @@ def encoded(values: pd.Series, wide: pd.Series, big: pd.Series, packed: pd.Serie
 
 
 def _scans(spark, d) -> DataFrame:
-    """One row per order: k, its sorted peaks, and how the scan is written."""
-    line = proj.table(spark, d, "lineitem")
+    """One row per order: k, its sorted peaks, and how the scan is written.
+
+    Lines are dealt by the chunk that their scan goes to, so that no later step moves them again.
+    """
+    k, chunk = F.col("l_orderkey").alias("k"), F.floor(F.col("l_orderkey") / CHUNK).alias("chunk")
+    line = proj.table(spark, d, "lineitem").select(k, chunk, "l_partkey", "l_linenumber", "l_quantity")
+    line = line.repartition(work_partitions(spark), "chunk")
     mz = 100.0 + F.col("l_partkey") % 1500 + F.col("l_linenumber") / 8.0
-    peaks = F.array_sort(F.collect_list(F.struct(mz.alias("mz"), F.col("l_quantity").cast("double").alias("it"))))
+    peaks = F.sort_array(F.collect_list(F.struct(mz.alias("mz"), F.col("l_quantity").cast("double").alias("it"))))
     k = F.col("k")
-    return line.groupBy(F.col("l_orderkey").alias("k")).agg(peaks.alias("peaks")).select(
-        "k", "peaks", (k % 3 != 0).alias("wide"), (k % 5 < 2).alias("packed"),
+    return line.groupBy("chunk", "k").agg(peaks.alias("peaks")).select(
+        "chunk", "k", "peaks", (k % 3 != 0).alias("wide"), (k % 5 < 2).alias("packed"),
         F.when(k % 4 == 0, 1).otherwise(2).alias("level"), (300.0 + 10.0 * (k % 7)).alias("win"),
     )
 
 
 def _texts(scans: DataFrame, scan: Column) -> DataFrame:
     """Scans joined to rows of CHUNK scans each: a fixed number of items a list."""
-    numbered = scans.select(F.floor(F.col("k") / CHUNK).alias("chunk"), F.struct("k", scan.alias("xml")).alias("s"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["xml"]), "\n")
+    numbered = scans.select("chunk", F.struct("k", scan.alias("xml")).alias("s"))
+    joined = F.array_join(F.sort_array(F.collect_list("s"))["xml"], "\n")
     return numbered.groupBy("chunk").agg(joined.alias("value")).select(F.lit("run").alias("raw_id"), "value")
 
 
