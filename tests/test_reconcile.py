@@ -101,3 +101,14 @@ def test_predictions_are_compared_both_ways(spark):
     bad = made.where("Compound_ID != '2'").withColumn("ml_model_id", F.when(F.col("Compound_ID") == "4", "other").otherwise(F.col("ml_model_id")))
     got = sorted((r.Compound_ID, r.violation) for r in shadow.prediction_violations(bad, None, source).collect())
     assert got == [("2", "absent"), ("4", "absent"), ("4", "unfounded")]
+
+
+def test_digests_are_moved_once_for_counts_and_leaves(spark):
+    df = spark.range(50).select(F.col("id").alias("k"), (F.col("id") % 2).alias("b"))
+    for depth in (1, 2, 3):
+        leaves = hashtree.row_digests(df, ["k"], ("b",), depth).groupBy("b", "prefix").agg(F.collect_list("digest").alias("d"))
+        plan = leaves._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 1, plan
+        plain = {r.digest for r in hashtree.row_digests(df, ["k"], ("b",)).collect()}
+        found = leaves.collect()
+        assert {d for r in found for d in r.d} == plain and all(d.startswith(r.prefix) for r in found for d in r.d)

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import durable, work_partitions
 from .reconcile import fingerprint, text
 
 #: Distinct rows that a leaf holds about.
@@ -29,17 +29,28 @@ def depth_for(rows: int) -> int:
     return max(1, math.ceil(math.log(max(1, rows / PER_LEAF), 16)))
 
 
-def row_digests(table: DataFrame, fields: list[str], by=()) -> DataFrame:
-    """(by…, digest, n): distinct rows of each group, with how often they occur."""
-    digest = fingerprint([text(F.col(f"`{f}`")) for f in fields]).alias("digest")
-    return table.select(*by, digest).groupBy(*by, "digest").agg(F.count("*").alias("n"))
+def row_digests(table: DataFrame, fields: list[str], by=(), depth: int | None = None) -> DataFrame:
+    """(by…, digest, n): distinct rows of each group, with how often they occur.
+
+    With a depth also ``prefix``: digests are dealt by their leaf, in bytes, and not moved again for the tree.
+    """
+    digest = fingerprint([text(F.col(f"`{f}`")) for f in fields])
+    if depth is None:
+        return table.select(*by, digest.alias("digest")).groupBy(*by, "digest").agg(F.count("*").alias("n"))
+    packed = table.select(*by, F.unhex(digest).alias("packed"))
+    dealt = packed.withColumn("prefix", F.substring(F.lower(F.hex(F.substring("packed", 1, (depth + 1) // 2))), 1, depth))
+    dealt = dealt.repartition(work_partitions(table.sparkSession), *by, "prefix")
+    counted = dealt.groupBy(*by, "prefix", "packed").agg(F.count("*").alias("n"))
+    return counted.select(*by, "prefix", F.lower(F.hex("packed")).alias("digest"), "n")
 
 
 def tree(digests: DataFrame, depth: int, by=()) -> DataFrame:
     """(by…, level, prefix, hash) of every node; level 0 is the root."""
+    if "prefix" not in digests.columns:
+        digests = digests.withColumn("prefix", F.substring("digest", 1, depth))
     cell = F.concat("digest", F.lit(":"), F.col("n").cast("string"))
     joined = lambda cells: F.sha2(F.array_join(F.array_sort(F.collect_list(cells)), ","), 256).alias("hash")
-    level = digests.groupBy(*by, F.substring("digest", 1, depth).alias("prefix")).agg(joined(cell))
+    level = digests.groupBy(*by, "prefix").agg(joined(cell))
     level = durable(level)
     nodes = level.withColumn("level", F.lit(depth))
     for up in range(depth - 1, -1, -1):
@@ -53,7 +64,7 @@ def table_digest(table: DataFrame, fields: list[str], by=(), depth: int | None =
     """(by…, sha256): one digest of each group's rows."""
     if depth is None:
         depth = depth_for(table.count())
-    roots = tree(row_digests(table, fields, by), depth, by).where("level = 0")
+    roots = tree(row_digests(table, fields, by, depth), depth, by).where("level = 0")
     return roots.select(*by, F.col("hash").alias("sha256"))
 
 
