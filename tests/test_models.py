@@ -277,3 +277,12 @@ def test_logistic_fit_runs_every_setting(spark):
     want = {(c, w or "none") for c, w in CONFIGS}
     folds = {g[0] for g in got}
     assert folds and len(got) == len(folds) * len(want) and all({g[1:] for g in got if g[0] == f} == want for f in folds)
+
+
+def test_pairs_are_compared_once_whatever_reads_the_scores(spark):
+    from twinpeak.workload import models
+
+    rows = models.scored(spark, "/root/testdata/sf0.001").where(F.col("score").isNotNull())
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("lambda" in line and "greatest" not in line for line in plan.splitlines() if "Filter" in line) == 0
+    assert sum("near" in line for line in plan.splitlines()) == 1

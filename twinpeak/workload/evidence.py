@@ -35,10 +35,18 @@ def ms2_run(spark: SparkSession, d: str) -> dia.Ms2Run:
     return dia.run_from_peaks(proj.ms2_peaks(spark, d))
 
 
+def compared(pairs: DataFrame) -> DataFrame:
+    """The pairs with ``sim``, worked out once a row.
+
+    An outer generator, because a filter on a score would be pushed below a plain projection with a
+    copy of the comparison for every field that it reads.
+    """
+    sim = spectra.similarity(F.col("peaks_a"), F.col("peaks_b"))
+    return pairs.select("*", F.explode_outer(F.array(sim)).alias("sim"))
+
+
 def scored_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return proj.spectrum_pairs(spark, d).select(
-        "a", "b", "same", spectra.similarity(F.col("peaks_a"), F.col("peaks_b")).alias("sim")
-    )
+    return compared(proj.spectrum_pairs(spark, d)).select("a", "b", "same", "sim")
 
 
 def analyzed(spark: SparkSession, d: str, **changes) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions import spectra
 from ..operators import modeling, scoring, shadow
 from ..session import durable
 from . import sqltext as sql
-from .evidence import r6, scored_pairs
+from .evidence import compared, r6, scored_pairs
 
 RULE = {
     "min_cosine": 0.5,
@@ -448,15 +448,14 @@ def _text_rows(spark, d):
         )
         return body
 
-    pairs = proj.spectrum_pairs(spark, d)
-    sim = spectra.similarity(F.col("peaks_a"), F.col("peaks_b"))
+    pairs = compared(proj.spectrum_pairs(spark, d))
     a, b = F.col("a"), F.col("b")
     empty = F.lit("")
     return pairs.select(
         (a * 10 + (b - a)).alias("row_id"),
         F.when(a % 17 == 0, empty).otherwise(text(F.col("peaks_a"))).alias("peak_a_MS2"),
         F.when(b % 19 == 0, empty).when(a % 23 == 0, "junk").otherwise(text(F.col("peaks_b"))).alias("peak_b_MS2"),
-        rules.pair_status(sim)["status"].alias("ps"),
+        rules.pair_status(F.col("sim"))["status"].alias("ps"),
     ).select(
         "row_id", "peak_a_MS2", "peak_b_MS2",
         rules.lookup(
