@@ -5,7 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from twinpeak.operators import hashtree, modeling, reconcile, shadow
+from twinpeak.operators import compare, hashtree, modeling, reconcile, shadow
 from twinpeak.workload import checks
 
 SF = "/root/testdata/sf0.001"
@@ -112,3 +112,14 @@ def test_digests_are_moved_once_for_counts_and_leaves(spark):
         plain = {r.digest for r in hashtree.row_digests(df, ["k"], ("b",)).collect()}
         found = leaves.collect()
         assert {d for r in found for d in r.d} == plain and all(d.startswith(r.prefix) for r in found for d in r.d)
+
+
+def test_a_run_summary_moves_compared_cells_only(spark, monkeypatch):
+    from twinpeak.sources import projections as proj
+
+    base, cand = (proj.result_rows(spark, "/root/testdata/sf0.001", v) for v in (0, 1))
+    whole = compare.compare_runs(base, cand)[1].first()
+    stored, plain = [], compare.durable
+    monkeypatch.setattr(compare, "durable", lambda df: stored.append(df.schema["base"].dataType.names) or plain(df))
+    assert compare.run_summary(base, cand).first() == whole
+    assert stored == [[c for c in base.columns if c in (*compare.KEY_COLUMNS, "row_no", *compare.COMPARED_COLUMNS)]]

@@ -130,6 +130,14 @@ def pair_runs(baseline: DataFrame, candidate: DataFrame, order: str = "row_no")
     return b.join(c, ["h", "key", "occurrence"], "full").select("base", "cand")
 
 
+# The cells that tell whether a matched row changed.
+COMPARED_COLUMNS = ("ms2_diagnostic_status", "peak_a_MS2", "peak_b_MS2")
+
+
+def _queued(status_changes_only: bool) -> Column:
+    return F.col("matched") & (F.col("status_changed") | (F.lit(not status_changes_only) & F.col("evidence_changed")))
+
+
 def _changes(paired: DataFrame) -> DataFrame:
     base, cand = text_of(paired, "base"), text_of(paired, "cand")
 
@@ -201,8 +209,7 @@ def compare_runs(
     # Cut once: queue and summary both read it, and the change flags become plain columns
     # instead of long expressions the optimizer would derive constraints from.
     changed = durable(_changes(pair_runs(baseline, candidate, order)))
-    hit = F.col("matched")
-    queued = hit & (F.col("status_changed") | (F.lit(not status_changes_only) & F.col("evidence_changed")))
+    queued = _queued(status_changes_only)
     cand_num, base_num = number_of(changed, "cand"), number_of(changed, "base")
     cand, base = text_of(changed, "cand"), text_of(changed, "base")
     flags = review_flags(cand_num)
@@ -234,7 +241,12 @@ def compare_runs(
             *[base(c).alias(f"comparison_baseline_{c}") for c in SCORE_COLUMNS],
         )
     )
-    summary = changed.agg(
+    return queue, _summary(changed, queued)
+
+
+def _summary(changed: DataFrame, queued: Column) -> DataFrame:
+    hit = F.col("matched")
+    return changed.agg(
         F.count_if(hit).alias("matched_rows"),
         F.count_if(F.col("cand").isNull()).alias("baseline_only_rows"),
         F.count_if(F.col("base").isNull()).alias("candidate_only_rows"),
@@ -242,7 +254,17 @@ def compare_runs(
         F.count_if(hit & F.col("evidence_changed")).alias("spectrum_changed_rows"),
         F.count_if(queued).alias("queued_rows"),
     )
-    return queue, summary
+
+
+def run_summary(
+    baseline: DataFrame, candidate: DataFrame, status_changes_only: bool = False, order: str = "row_no"
+) -> DataFrame:
+    """The summary of ``compare_runs`` alone: only keys and compared cells are moved and stored."""
+    read = (*KEY_COLUMNS, order, *COMPARED_COLUMNS)
+    sides = [df.select(*[F.col(f"`{c}`") for c in df.columns if c in read]) for df in (baseline, candidate)]
+    # Cut, as there: the optimizer would derive constraints from the flags.
+    changed = durable(_changes(pair_runs(*sides, order)))
+    return _summary(changed, _queued(status_changes_only))
 
 
 def similarity_from_text(num, text) -> Column:

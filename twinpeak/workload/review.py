@@ -82,7 +82,7 @@ def run_comparison_summary(spark, d):
     # Each run measured some targets at another m/z, so rows stay unmatched on both sides.
     base, cand = _runs(spark, d)
     moved = lambda df, mz: df.withColumn("MZ", F.when(F.col("MZ") == mz, mz + ".5").otherwise(F.col("MZ")))
-    return compare.compare_runs(moved(base, "281"), moved(cand, "282"))[1]
+    return compare.run_summary(moved(base, "281"), moved(cand, "282"))
 
 
 RUN_SUMMARY_SQL = sql.with_ctes(
