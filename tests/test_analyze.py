@@ -337,3 +337,17 @@ def test_patterns_are_read_once_and_scans_numbered_in_many_tasks(spark):
     assert sorted((r.raw_id, r.scan_no, r.scan) for r in first.collect()) == [("q", 7, 0)] + [("r", 2 * n, n) for n in range(20)]
     second = rawscans.ms2_scans(scans)
     assert sorted((r.scan_no, r.scan) for r in second.collect()) == [(2 * n + 1, n) for n in range(20)]
+
+
+def test_sweep_analyses_equal_targets_once(spark, monkeypatch):
+    """Targets of equal m/z and times are one analysed row, counted as often as they come."""
+    run = run_of(spark, two_peak_scans())
+    targets = spark.createDataFrame([(n, "r", 300.0 - 5 * (n % 2), 1.0, 2.0) for n in range(10)], TARGET)
+    seen, plain = [], analyze.routed_sides
+    monkeypatch.setattr(analyze, "routed_sides", lambda t, *a: seen.append(t.count()) or plain(t, *a))
+    rows = jobs.sensitivity_sweep(targets, run, jobs.sweep_settings()[:2]).collect()
+    assert set(seen) == {2}
+    totals = {}
+    for r in rows:
+        totals[r.varied_value] = totals.get(r.varied_value, 0) + r.rows
+    assert set(totals.values()) == {10}

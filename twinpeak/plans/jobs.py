@@ -292,12 +292,15 @@ def sensitivity_sweep(targets: DataFrame, run: dia.Ms2Run, variants: list[tuple]
     tolerance share their traces, and those of equal consensus and fragment tolerance the fragment
     points too; both are stored once. What is left, the correlation and the comparison's tolerance,
     goes with the row key, so that one plan judges and compares the rows of all variants.
+    Targets of equal m/z and times have equal evidence: one of them stands for all, with their number.
     """
     base = {f.name: getattr(variants[0][2], f.name) for f in fields(variants[0][2])}
     if any(getattr(s, n) != v for _, _, s in variants for n, v in base.items() if n not in SWEPT):
         raise ValueError(f"variants of one sweep may differ in {', '.join(SWEPT)} only")
     # The run is read by every branch; its tables are aggregated once.
     run = replace(run, **{f.name: durable(getattr(run, f.name)) for f in fields(run) if isinstance(getattr(run, f.name), DataFrame)})
+    alike = targets.groupBy("raw_id", "mz", "peak_a_rt", "peak_b_rt")
+    targets = durable(alike.agg(F.min("row_id").alias("row_id"), F.count("*").alias("n_targets")))
     traces, points, judged = {}, {}, None
     keys = [
         F.struct(F.lit(n).alias("variant"), F.lit(s.min_fragment_correlation).alias("correlation"), F.lit(s.fragment_mz_tol).alias("tolerance"), F.col("row_id"))
@@ -318,7 +321,7 @@ def sensitivity_sweep(targets: DataFrame, run: dia.Ms2Run, variants: list[tuple]
     names = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(v)).alias("value")) for n, v, _ in variants])
     return (
         results.groupBy(F.col("row_id.variant").alias("variant"), "enantiomer_pair_status")
-        .agg(F.count("*").alias("rows"), F.count_if(both).alias("both_ms2_spectra"))
+        .agg(F.sum("n_targets").alias("rows"), F.sum(F.when(both, F.col("n_targets")).otherwise(0)).alias("both_ms2_spectra"))
         .withColumn("named", names[F.col("variant")])
         .select(
             F.col("named.name").alias("varied_parameter"), F.col("named.value").alias("varied_value"),
