@@ -159,6 +159,48 @@ def test_passages_whose_first_holders_are_others(spark):
     assert len(got) == len(set(got))
 
 
+def test_passages_whose_first_and_last_holders_are_others(spark):
+    """The halves of a passage stand alone both before and between the two documents that share all of it."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    data = []
+    for case in range(12):
+        quote, at = [word() for _ in range(60)], 10 * case
+        for i, part in enumerate((quote[:30], quote[30:], quote, quote[:30], quote[30:], quote)):
+            data.append((at + i, " ".join([word() for _ in range(40)] + part + [word() for _ in range(40)])))
+    data += [data[-1], data[5]]
+    got = substring_dedup.repeated_passages(spark.createDataFrame(data, "doc_id long, text string").repartition(7)).collect()
+    assert sorted((r.doc_id, r.start_word, r.end_word, r.other_id, r.other_start, r.other_end, r.n_matched) for r in got) == [
+        (10 * case + 5, 40, 100, 10 * case + 2, 40, 100, 60) for case in range(12)
+    ]
+
+
+def test_an_equal_passage_is_found_whoever_holds_its_seeds(spark):
+    """Parts of a passage stand in many other documents, in twos too, before and between the two that share all of it."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    data, pairs = [], []
+    for case in range(8):
+        quote, at = [word() for _ in range(50 + case)], 100 * case
+        parts = [quote[i : i + 40] for i in (0, 5, 10)] + [quote[:20] + [word() for _ in range(20)] + quote[30:]]
+        for i, part in enumerate([*parts, *parts, quote, *parts, *parts, quote]):
+            data.append((at + i, " ".join([word() for _ in range(40)] + part + [word() for _ in range(40)])))
+        pairs.append((at + 17, 40, 90 + case, at + 8, 40, 90 + case, 50 + case))
+    got = substring_dedup.repeated_passages(spark.createDataFrame(data, "doc_id long, text string").repartition(7)).collect()
+    found = {(r.doc_id, r.start_word, r.end_word, r.other_id, r.other_start, r.other_end, r.n_matched) for r in got}
+    covered = lambda p: any(f[0] == p[0] and f[1] <= p[1] and p[2] <= f[2] for f in found)
+    assert all(map(covered, pairs)) and len(found) == len(got)
+
+
+def test_span_hashes_tell_stretches_apart():
+    words = np.random.default_rng(2).integers(0, 3, 400).astype(np.uint64)
+    for k in (1, 2, 6, 35, 50):
+        plain = [tuple(words[i : i + k]) for i in range(len(words) - k + 1)]
+        hashes = substring_dedup.span_hashes(words, k).tolist()
+        assert len(hashes) == len(plain) and len(set(zip(plain, hashes))) == len(set(plain)) == len(set(hashes))
+    assert len(substring_dedup.span_hashes(words[:30], 50)) == 0 == len(substring_dedup.run_places(words[:49])[1])
+
+
 def test_the_holder_before_across_partitions(spark):
     """A seed of most rows, others of few, and repeated rows, against a plain walk in order."""
     rng = random.Random(1)

@@ -3,8 +3,10 @@
 Seeds are k-mers of words, thinned to minimizers: of each run of `WINDOW` k-mers the one with the
 smallest hash, so an equal stretch of WINDOW + K - 1 words always shares one. Every seed that two
 documents share is matched with the seed's first document; those that no passage covers then are
-matched again, with the document before in the seed's order. The matches of a pair of documents are
-chained: a chain keeps order in both texts and weighs its seeds less the cost of its gaps, found by
+matched again, with the document before in the seed's order, and what is left after that in twos, with
+the first document that holds both. Last, every stretch of LEAST_WORDS words that lies in no passage is
+matched with the first document that holds it whole; as that one gives the passage, no other holder is
+needed, and no equal passage is lost. The matches of a pair of documents are chained: a chain keeps order in both texts and weighs its seeds less the cost of its gaps, found by
 a Fenwick tree of prefix maxima. Good chains are aligned word by word from end to end and grown
 outwards, which gives the passage on both sides.
 """
@@ -19,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, documents, stored, work_partitions
+from .common import NO_ID, documents, settled, stored, work_partitions
 from .jaccard_join import _mix
 
 #: Words of a seed, and seeds out of which one is taken.
@@ -31,6 +33,10 @@ GAP_COST, GAP_MOST = 0.2, 60
 #: Words that the seeds of a pair of documents must span in both; those of an equal passage of
 #: LEAST_WORDS span LEAST_WORDS - K - 2 * (WINDOW - 1) at least.
 LEAST_SPAN = LEAST_WORDS - K - 2 * (WINDOW - 1)
+#: Words of a run; of each stretch of LEAST_WORDS words one run, that with the smallest hash, is taken.
+RUN = LEAST_WORDS - WINDOW + 1
+#: A chain that spans LEAST_SPAN has two seeds between LEAST_SPAN and this many words apart.
+MOST_APART = LEAST_SPAN + GAP_MOST + K
 #: Alignments of gaps stay within this many words of the straight line.
 BAND = 12
 WORD_MEMORY = 1 << 18
@@ -80,6 +86,23 @@ def minimizers(words: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.
     return _mix(found + times * np.uint64(0xBF58476D1CE4E5B9)), places
 
 
+def span_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all stretches of k words, by doubling."""
+    h, width = _mix(words), 1
+    while width < k and len(h):
+        step = min(width, k - width)
+        h, width = _mix(h[: max(0, len(h) - step)] * np.uint64(0x9E3779B97F4A7C15) + h[step:]), width + step
+    return h
+
+
+def run_places(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all runs, place of the run that is taken in each stretch of LEAST_WORDS words)."""
+    h = span_hashes(words, RUN)
+    if len(h) < WINDOW:
+        return h, np.empty(0, np.int64)
+    return h, np.arange(len(h) - WINDOW + 1) + np.lib.stride_tricks.sliding_window_view(h, WINDOW).argmin(1)
+
+
 class Fenwick:
     """Prefix maxima of (score, item)."""
 
@@ -166,13 +189,11 @@ def matched(a: np.ndarray, b: np.ndarray) -> int:
 
 def _grow(a: np.ndarray, b: np.ndarray) -> int:
     """How many words two sequences start with in common, over single differing words."""
-    n, misses, end = min(len(a), len(b)), 0, 0
-    for i in range(n):
-        if a[i] == b[i]:
-            end, misses = i + 1, 0
-        elif (misses := misses + 1) > 1:
-            break
-    return end
+    n = min(len(a), len(b))
+    differ = a[:n] != b[:n]
+    twice = np.flatnonzero(differ[:-1] & differ[1:])
+    same = np.flatnonzero(~differ[: twice[0] if len(twice) else n])
+    return int(same[-1]) + 1 if len(same) else 0
 
 
 def _passage(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, chain: list[int], k: int) -> tuple[int, int, int, int, int] | None:
@@ -231,23 +252,32 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def seed_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_seed, _id, _print, _at: the minimizers of every whole text."""
+    """_seed, _id, _print, _at, _run: the minimizers of every whole text, and its runs, each once; the
+    place of one that the text repeats is -1."""
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            found = [minimizers(words(t.as_py())) for t in batch.column(2)]
+            found = []
+            for t in batch.column(2):
+                codes = words(t.as_py())
+                h, places = run_places(codes)
+                places = np.unique(places)
+                runs, first, times = np.unique(h[places], return_index=True, return_counts=True)
+                places = np.where(times == 1, places[first], -1)
+                short = minimizers(codes)
+                found.append((np.concatenate([short[0], runs]), np.concatenate([short[1], places]), np.arange(len(short[1]) + len(places)) >= len(short[1])))
             if not found:
                 continue
-            counts = [len(p) for _, p in found]
+            counts = [len(p) for _, p, _ in found]
             pick = np.repeat(np.arange(len(found)), counts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([h for h, _ in found]).view(np.int64)), batch.column(0).take(pa.array(pick)),
-                 batch.column(1).take(pa.array(pick)), pa.array(np.concatenate([p for _, p in found]), pa.int32())],
-                ["_seed", "_id", "_print", "_at"],
+                [pa.array(np.concatenate([h for h, _, _ in found]).view(np.int64)), batch.column(0).take(pa.array(pick)),
+                 batch.column(1).take(pa.array(pick)), pa.array(np.concatenate([p for _, p, _ in found]), pa.int32()), pa.array(np.concatenate([r for _, _, r in found]))],
+                ["_seed", "_id", "_print", "_at", "_run"],
             )
 
-    return _rows(docs, id_col, text_col).mapInArrow(seeds, "_seed long, _id long, _print long, _at int")
+    return _rows(docs, id_col, text_col).mapInArrow(seeds, "_seed long, _id long, _print long, _at int, _run boolean")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -257,25 +287,31 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Texts are cut at ASCII blanks and A-Z lower-cased. Each seed is matched with the first document
     that holds it, so a passage of many documents gives one pair per later document, and never
     pairs among all. Where that leaves a seed outside every passage, as when the first document holds
-    a part only, it is matched with its holder just before, by id. Null and short texts have no passage; repeated rows are one document; a null
+    a part only, it is matched with its holder just before, by id, and if that gives no passage
+    either, with the first that also holds a second seed near it. Of every stretch of LEAST_WORDS words
+    that an earlier document holds, a passage covers the whole, whoever else holds its seeds.
+    Null and short texts have no passage; repeated rows are one document; a null
     id is given back as null. Extra columns aren't read.
     """
-    seeds = stored(seed_table(docs, id_col, text_col))
-    # seeds of one document only go first, by sums that fit in two numbers a seed
-    code = F.xxhash64("_id", "_print")
-    repeated = stored(seeds.groupBy("_seed").agg(F.min(code).alias("_x"), F.max(code).alias("_y")).filter("_x != _y").select("_seed"))
-    seeds = stored(seeds.join(repeated.hint("merge"), "_seed"))
+    spark, source = docs.sparkSession, (docs, id_col, text_col)
+    seeds = stored(seed_table(*source))
+    runs = settled(spark, lambda: _repeated(seeds.filter("_run").drop("_run")))
+    seeds = settled(spark, lambda: _repeated(seeds.filter("not _run").drop("_run")))
     firsts = stored(seeds.groupBy("_seed").agg(F.min(F.struct("_id", "_print", "_at")).alias("_first")))
     matches = seeds.join(firsts, "_seed").select("_id", "_print", "_at", *_other("_first"), F.lit(True).alias("_new"))
-    found = stored(_aligned(matches, docs, id_col, text_col))
+    found = settled(spark, lambda: _aligned(matches, *source))
 
-    covers = found.groupBy("_id", "_print").agg(F.collect_list(F.struct("start_word", "end_word")).alias("_covers"))
-    covered = F.exists("_covers", lambda c: (c["start_word"] <= F.col("_at")) & (F.col("_at") + K <= c["end_word"]))
-    open_ = _before(seeds).join(covers, ["_id", "_print"], "left").filter(F.coalesce(~covered, F.lit(True)))
     # a pair whose matches were all tried with the first documents isn't tried again
     new = (F.col("_before._id") != F.col("_first._id")) | (F.col("_before._print") != F.col("_first._print"))
-    again = open_.join(firsts, "_seed").select("_id", "_print", "_at", *_other("_before"), new.alias("_new"))
-    found = found.unionByName(stored(_aligned(again, docs, id_col, text_col)))
+    open_ = settled(spark, lambda: _uncovered(_before(seeds), found).join(firsts, "_seed").withColumn("_new", new))
+    again = open_.select("_id", "_print", "_at", *_other("_before"), "_new")
+    second = settled(spark, lambda: _aligned(again, *source))
+
+    # a seed with one earlier holder has been matched with it
+    left = _uncovered(open_.filter("_new"), second).select("_seed", "_id", "_print", "_at").distinct()
+    third = settled(spark, lambda: _matched_anew(*_twos(seeds, left), *source))
+    found = found.unionByName(second).unionByName(third)
+    found = found.unionByName(settled(spark, lambda: _matched_anew(*_stretches(runs, found, *source), *source)))
 
     back = lambda c, as_: F.when(F.col(c) != NO_ID, F.col(c)).alias(as_)
     plain = ["start_word", "end_word"], ["other_start", "other_end", "n_matched"]
@@ -286,6 +322,106 @@ def _other(holder: str) -> list:
     return [F.col(f"{holder}._id").alias("_id0"), F.col(f"{holder}._print").alias("_print0"), F.col(f"{holder}._at").alias("_at0")]
 
 
+def _uncovered(seeds: DataFrame, found: DataFrame) -> DataFrame:
+    """The seeds that lie in no found passage of their document."""
+    covers = found.groupBy("_id", "_print").agg(F.collect_list(F.struct("start_word", "end_word")).alias("_covers"))
+    covered = F.exists("_covers", lambda c: (c["start_word"] <= F.col("_at")) & (F.col("_at") + K <= c["end_word"]))
+    return seeds.join(covers, ["_id", "_print"], "left").filter(F.coalesce(~covered, F.lit(True))).drop("_covers")
+
+
+def _repeated(seeds: DataFrame) -> DataFrame:
+    """The seeds that two documents at least hold."""
+    # seeds of one document only go first, by sums that fit in two numbers a seed
+    code = F.xxhash64("_id", "_print")
+    repeated = stored(seeds.groupBy("_seed").agg(F.min(code).alias("_x"), F.max(code).alias("_y")).filter("_x != _y").select("_seed"))
+    return seeds.join(repeated.hint("merge"), "_seed")
+
+
+def _with_first(keyed: DataFrame, step: int) -> tuple[DataFrame, DataFrame]:
+    """Open places (_id, _print, _at, _end) that an earlier document holds too, and their matches with
+    its seeds at the start and `step` words before the end.
+
+    `keyed` has _key, _id, _print, _at, _end and _open; only the first holder of a key is matched.
+    """
+    keyed = stored(keyed)
+    firsts = keyed.groupBy("_key").agg(F.min(F.struct("_id", "_print", "_at", "_end")).alias("_first"))
+    open_ = keyed.filter("_open").join(firsts.hint("merge"), "_key").filter("_first._id != _id or _first._print != _print")
+    open_ = stored(open_.select("_id", "_print", "_at", "_end", "_first"))
+    ends = F.array(
+        F.struct("_at", F.col("_first._at").alias("_at0")),
+        F.struct((F.col("_end") - step).alias("_at"), (F.col("_first._end") - step).alias("_at0")),
+    )
+    matches = open_.select("_id", "_print", *_other("_first")[:2], F.inline(ends)).withColumn("_new", F.lit(True))
+    return open_.select("_id", "_print", "_at", "_end"), matches
+
+
+def _matched_anew(open_: DataFrame, matches: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Passages of the matches that hold an open place; the others were found before."""
+    places = open_.groupBy("_id", "_print").agg(F.collect_set(F.struct("_at", "_end")).alias("_places"))
+    holds = F.exists("_places", lambda p: (F.col("start_word") <= p["_at"]) & (p["_end"] <= F.col("end_word")))
+    return _aligned(matches, docs, id_col, text_col).join(places, ["_id", "_print"]).filter(holds).drop("_places")
+
+
+def _twos(seeds: DataFrame, open_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Open seeds and their matches in twos: with a second seed LEAST_SPAN to MOST_APART words on or back."""
+    open_ = stored(open_)
+    wanted = open_.select("_seed").distinct().withColumn("_wanted", F.lit(True))
+    holder = ["_id", "_print"]
+    rows = seeds.join(wanted, "_seed", "left").join(open_.withColumn("_open", F.lit(True)), ["_seed", *holder, "_at"], "left")
+    near = Window.partitionBy(*holder).orderBy("_at").rangeBetween(LEAST_SPAN, MOST_APART)
+    twos = rows.withColumn("_next", F.collect_list(F.struct("_seed", "_at", "_wanted", "_open")).over(near))
+    twos = twos.withColumn("_next", F.explode("_next")).filter("_wanted or _next._wanted")
+    _, matches = _with_first(
+        twos.select(
+            F.xxhash64("_seed", "_next._seed").alias("_key"), *holder, "_at", (F.col("_next._at") + K).alias("_end"),
+            F.coalesce(F.col("_open") | F.col("_next._open"), "_open", "_next._open", F.lit(False)).alias("_open"),
+        ), K,
+    )
+    return open_.select(*holder, "_at", (F.col("_at") + K).alias("_end")), matches
+
+
+def _stretches(runs: DataFrame, found: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Stretches of LEAST_WORDS words in no passage that an earlier document holds too, and their matches.
+
+    Two equal stretches take the same run. A run is of no use if all its open places are in its first
+    document; one passage around all stretches that may take it closes a run that its text doesn't repeat.
+    """
+    holder = ["_id", "_print"]
+    covers = stored(found.groupBy(*holder).agg(F.collect_list(F.struct("start_word", "end_word")).alias("_covers")))
+    around = (F.col("_at") >= 0) & F.exists("_covers", lambda c: (c["start_word"] <= F.greatest(F.col("_at") - WINDOW + 1, F.lit(0))) & (F.col("_at") + LEAST_WORDS <= c["end_word"]))
+    runs = stored(runs.join(covers, holder, "left").select("_seed", *holder, F.coalesce(~around, F.lit(True)).alias("_open")))
+    useful = runs.groupBy("_seed").agg(
+        F.min("_id").alias("_low"), F.max(F.when(F.col("_open"), F.col("_id"))).alias("_high"),
+        F.min("_print").alias("_x"), F.max("_print").alias("_y"),
+    ).filter("_high > _low or (_high = _low and _x != _y)")
+    used = runs.join(useful.select("_seed").hint("merge"), "_seed").groupBy(*holder).agg(F.collect_set("_seed").alias("_runs"))
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            parts = []
+            for n, (text, used_, covers_) in enumerate(zip(batch.column(2), batch.column(3), batch.column(4), strict=True)):
+                codes = words(text.as_py())
+                h, taken = run_places(codes)
+                places = np.flatnonzero(np.isin(h[taken], used_.values.to_numpy().view(np.uint64)))
+                open_ = np.ones(len(taken), bool)
+                for c in covers_.as_py() or ():
+                    open_[c["start_word"] : max(0, c["end_word"] - LEAST_WORDS + 1)] = False
+                parts.append((span_hashes(codes, LEAST_WORDS)[places], np.full(len(places), n), places, open_[places]))
+            if parts:
+                key, pick, at, open_ = (np.concatenate(c) for c in zip(*parts, strict=True))
+                pick = pa.array(pick)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key.view(np.int64)), batch.column(0).take(pick), batch.column(1).take(pick), pa.array(at, pa.int32()),
+                     pa.array(at + LEAST_WORDS, pa.int32()), pa.array(open_)],
+                    ["_key", "_id", "_print", "_at", "_end", "_open"],
+                )
+
+    texts = _rows(docs, id_col, text_col).join(stored(used), holder).join(covers, holder, "left")
+    texts = texts.select(*holder, "_text", "_runs", "_covers")
+    return _with_first(texts.mapInArrow(stretches, "_key long, _id long, _print long, _at int, _end int, _open boolean"), K)
+
+
 def _before(seeds: DataFrame) -> DataFrame:
     """The seeds with _before, the holder ahead of each in its seed's order; those without one go.
 
