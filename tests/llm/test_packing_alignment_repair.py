@@ -236,3 +236,19 @@ def test_repair_query(spark):
     got = QUERIES["op13_conversation_repair"][0](spark, SF)
     assert got.columns == ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
     assert sorted(map(tuple, got.collect()), key=repr) == plain.repairs(rows)
+
+
+def test_words_that_differ_in_case_are_encoded_once(monkeypatch):
+    import public_tokenizers
+
+    from twinpeak.llm import cached_tokens
+
+    words = cached_tokens.WordTable(cached_tokens.read_file(public_tokenizers.path("word_bpe_49k.json")))
+    taken, encode = [], cached_tokens.WordTable.split_lower
+    monkeypatch.setattr(cached_tokens.WordTable, "split_lower", lambda self, some: taken.extend(some) or encode(self, some))
+    letters = "AaÀàÞþÖöØøÿß"
+    fresh = {a + b for a in letters for b in letters} | {"Straße", "STRASSE", "strasse"}
+    words.learn(fresh)
+    assert sorted(taken) == sorted({w.lower() for w in fresh})
+    for word in fresh:
+        assert words.known[word] == cached_tokens.as_bytes(words.tokenizer.encode(word, add_special_tokens=False).ids)

@@ -105,6 +105,8 @@ class BpeTable(Table):
         super().__init__()
         self.tokenizer = Tokenizer.from_buffer(file)
         self.tokenizer.encode_special_tokens = plain_specials
+        # Words come here once, so the file's own table would be filled for nothing.
+        self.tokenizer.model._resize_cache(0)
         vocabulary = self.tokenizer.get_vocab()
         self.entries = [""] * (max(vocabulary.values()) + 1)
         for entry, number in vocabulary.items():
@@ -131,6 +133,13 @@ class WordTable(BpeTable):
         return _LATIN.fullmatch(word) is not None
 
     def split(self, words: list[str]) -> list[bytes]:
+        """Words that differ in case only are encoded once."""
+        lower = [w.lower() for w in words]
+        fresh = list(dict.fromkeys(lower))
+        made = dict(zip(fresh, self.split_lower(fresh), strict=True))
+        return [made[w] for w in lower]
+
+    def split_lower(self, words: list[str]) -> list[bytes]:
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)
         flat = ids.tobytes()
