@@ -292,3 +292,11 @@ def test_blocks_of_the_same_texts_stay_apart(spark, tmp_path):
     odd = [(1, "a \x00b"), (2, "a \x00b\nb \x00"), (3, "\n\n \nb"), (4, "\x00")]
     back = sentencepieces.decode(sentencepieces.encode(spark.createDataFrame(odd, "doc_id long, text string")), text_col="back")
     same(back.select("doc_id", "back"), odd)
+
+
+def test_words_are_hashed_once_for_counts_and_scores(spark):
+    docs = spark.createDataFrame([(1, "One two  one"), (None, None), (2, " ")], "doc_id long, text string")
+    code = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:4], 16)
+    assert {r.doc_id: r._codes for r in quality_rules.word_codes(docs).collect()} == {1: [code(w) for w in ("One", "two", "one")], None: [], 2: []}
+    judged = quality_rules.judge(docs, docs.filter("doc_id = 1").select("doc_id"))
+    assert "md5" not in judged._jdf.queryExecution().optimizedPlan().toString().lower()

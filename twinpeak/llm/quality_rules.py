@@ -85,27 +85,33 @@ def base_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def _buckets(rows: DataFrame, words: Column, *keep: str) -> DataFrame:
-    """A row for each n-gram: the kept columns and _bucket."""
+def word_codes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, _print, _codes: each row's words as buckets. Stored, so that no word is hashed twice;
+    a code takes less room than its word, also in the exchange that brings the trusted ids to it."""
 
     def code(word):
         return F.conv(F.substring(F.md5(word.cast("binary")), 1, 4), 16, 10).cast("int")
 
-    coded = rows.select(*keep, F.transform(words, code).alias("_codes"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return stored(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("_print"), F.transform(split_words(text), code).alias("_codes")))
+
+
+def _buckets(coded: DataFrame, *keep: str) -> DataFrame:
+    """A row for each n-gram: the kept columns and _bucket."""
     pairs = F.arrays_zip(F.col("_codes").alias("_a"), F.slice("_codes", F.lit(2), F.size("_codes")).alias("_b"))
     both = F.array(F.col("_a"), ((F.col("_a").cast("long") * 40503 + F.col("_b") * 9973) % BUCKETS + BUCKETS).cast("int"))
     return coded.select(*keep, F.inline(pairs)).select(*keep, F.explode(both).alias("_bucket")).filter("_bucket is not null")
 
 
-def bucket_ratios(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bucket_ratios(coded: DataFrame, good: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """_bucket, _ratio: log of target over corpus probability; at most 2 * BUCKETS rows.
 
     `good` holds the ids of the trusted rows. Both counts come from one pass over the corpus, and
     the trusted ids are merged in at every size, as they grow with it.
     """
     trusted = good.select(F.col(id_col).alias("_id"), F.lit(1).alias("_good")).distinct()
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(trusted.hint("merge"), "_id", "left")
-    counts = _buckets(rows.withColumn("_words", split_words(F.col("_text"))), F.col("_words"), "_good").groupBy("_bucket").agg(
+    rows = coded.select(F.col("doc_id").alias("_id"), "_codes").join(trusted.hint("merge"), "_id", "left")
+    counts = _buckets(rows, "_good").groupBy("_bucket").agg(
         F.count(F.lit(1)).alias("_all"), F.count("_good").alias("_target")
     )
     counts = stored(counts)
@@ -122,11 +128,10 @@ def judge(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: st
     score is 0, and the base rules alone decide. Repeated rows share a score; null ids and extra columns are fine.
     """
     base = base_measures(docs, id_col, text_col).drop("_words").withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_print"), split_words(text).alias("_words"))
-    ratios = stored(bucket_ratios(docs, good, id_col, text_col))
+    coded = word_codes(docs, id_col, text_col)
+    ratios = stored(bucket_ratios(coded, good, id_col))
     scores = (
-        _buckets(rows, F.col("_words"), "_id", "_print")
+        _buckets(coded.withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID))), "_id", "_print")
         .join(F.broadcast(ratios), "_bucket")  # a fixed number of rows
         .groupBy("_id", "_print")
         .agg(F.avg("_ratio").alias("score"))
