@@ -283,20 +283,46 @@ def apex_edge_distance(row, side: str) -> Column:
     )
 
 
-def ms2_views(text, num) -> Column:
-    """Every review folder one MS2 row belongs to.
+#: The text cells that name the review folders of an MS2 row.
+VIEW_TEXTS = (
+    "ms2_diagnostic_status", "ms2_review_priority", "ms2_issue_codes", "source_machine_id",
+    "source_pool_id", "source_machine_label", "comparison_review_tier", "comparison_change_level",
+    "ml_diagnostic_status", "ml_abstention_reason", "ml_model_id", "ml_review_flags",
+    "ms1_reference_status",
+)
+
+
+def view_facts(text, num) -> dict[str, Column]:
+    """All that the review folders of an MS2 row depend on; few rows differ in these values.
 
-    ``text(name)`` gives a text column ('' when absent) and ``num(name)`` a lenient
-    double; the result is an ordered distinct array.
+    ``text(name)`` gives a text column ('' when absent) and ``num(name)`` a lenient double.
     """
-    folder = folder_component
+    edge = F.least(apex_edge_distance(num, "peak_a"), apex_edge_distance(num, "peak_b")) <= 1.0
+    sparse = (num("ms2_cosine") >= 0.7) & (num("ms2_matched_peaks") < 6)
+    return {name: text(name) for name in VIEW_TEXTS} | {
+        "available": spectrum_availability(text("peak_a_MS2"), text("peak_b_MS2")),
+        "sparse": F.coalesce(sparse, F.lit(False)),
+        "edge": F.coalesce(edge, F.lit(False)),
+        "close": F.coalesce(num("rt_separation_sec") <= 20, F.lit(False)),
+        "attrition": attrition_below(num),
+    }
+
+
+def ms2_views(text, num) -> Column:
+    """Every review folder one MS2 row belongs to, as an ordered distinct array."""
+    return views_of(view_facts(text, num))
+
+
+def views_of(facts: dict[str, Column]) -> Column:
+    """Every review folder of a row with these facts, as an ordered distinct array."""
+    folder, text = folder_component, facts.__getitem__
 
     def path(prefix, c):
         return F.concat(F.lit(prefix + "/"), c)
 
     raw_status = text("ms2_diagnostic_status")
     status, priority = folder(raw_status), folder(text("ms2_review_priority"), "unassigned")
-    available = spectrum_availability(text("peak_a_MS2"), text("peak_b_MS2"))
+    available, sparse, edge = facts["available"], facts["sparse"], facts["edge"]
     issues = F.filter(F.split(text("ms2_issue_codes"), ";"), lambda c: c != "")
 
     def has(code):
@@ -312,13 +338,6 @@ def ms2_views(text, num) -> Column:
     label = F.when(text("source_machine_label") == "", "UNLABELLED").otherwise(
         text("source_machine_label")
     )
-    sparse = F.coalesce(
-        (num("ms2_cosine") >= 0.7) & (num("ms2_matched_peaks") < 6), F.lit(False)
-    )
-    edge = F.coalesce(
-        F.least(apex_edge_distance(num, "peak_a"), apex_edge_distance(num, "peak_b")) <= 1.0,
-        F.lit(False),
-    )
     tier, level = F.trim(text("comparison_review_tier")), F.trim(text("comparison_change_level"))
     ml, reason = F.trim(text("ml_diagnostic_status")), F.trim(text("ml_abstention_reason"))
     model = F.when(text("ml_model_id") == "", "UNTRAINED").otherwise(F.trim(text("ml_model_id")))
@@ -347,11 +366,9 @@ def ms2_views(text, num) -> Column:
         queue(has("TOO_FEW_MATCHED_FRAGMENTS"), "low_matched_fragments"),
         queue(has("LOW_EXPLAINED_INTENSITY"), "low_explained_intensity"),
         queue(has("ASYMMETRIC_UNMATCHED_INTENSITY"), "asymmetric_unmatched_intensity"),
-        queue(
-            F.coalesce(num("rt_separation_sec") <= 20, F.lit(False)), "close_rt_pair_le20s"
-        ),
+        queue(facts["close"], "close_rt_pair_le20s"),
         queue(sparse, "high_similarity_but_sparse_lt6_matches"),
-        queue(attrition_below(num), "extreme_fragment_attrition_lt5pct"),
+        queue(facts["attrition"], "extreme_fragment_attrition_lt5pct"),
         queue(edge, "apex_near_rt_window_edge"),
         when(
             (text("ms1_reference_status") == "supplied_double_peak")

@@ -203,9 +203,14 @@ COVERAGE_SQL = sql.with_ctes(
 
 def ms2_views(spark, d):
     rows, num = compare.with_numbers(_annotated(spark, d), compare.VIEW_NUMBERS)
-    views = rules.ms2_views(compare.text_of(rows), num)
-    return unnest(rows, ["row_no"], views).groupBy(F.col("p").alias("view")).agg(
-        F.count("*").alias("rows"), F.sum("row_no").cast("bigint").alias("id_sum")
+    facts = rules.view_facts(compare.text_of(rows), num)
+    # Folders are named once for all rows with the same facts, which are few.
+    alike = rows.select("row_no", *[c.alias(name) for name, c in facts.items()]).groupBy(*facts).agg(
+        F.count("*").alias("n"), F.sum("row_no").alias("ids")
+    )
+    views = rules.views_of({name: F.col(name) for name in facts})
+    return unnest(alike, ["n", "ids"], views).groupBy(F.col("p").alias("view")).agg(
+        F.sum("n").alias("rows"), F.sum("ids").cast("bigint").alias("id_sum")
     )
 
 
