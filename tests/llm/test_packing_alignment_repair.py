@@ -252,3 +252,15 @@ def test_words_that_differ_in_case_are_encoded_once(monkeypatch):
     assert sorted(taken) == sorted({w.lower() for w in fresh})
     for word in fresh:
         assert words.known[word] == cached_tokens.as_bytes(words.tokenizer.encode(word, add_special_tokens=False).ids)
+
+
+def test_letters_are_encoded_without_the_rules_of_the_file():
+    rng = random.Random(6)
+    letters = "aAbezZÀàÉéÞþÖöØøÿß"
+    made = {"".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) for _ in range(2000)}
+    for kind, name, blank in ((cached_tokens.WordTable, "word_bpe_49k.json", ""), (cached_tokens.ByteTable, "byte_bpe_50k.json", " ")):
+        words, whole = kind(cached_tokens.read_file(public_tokenizers.path(name))), tokenizer(name)
+        words.tokenizer.pre_tokenizer = None
+        words.learn({blank + w for w in made})
+        for word in made:
+            assert words.known[blank + word] == cached_tokens.as_bytes(whole.encode(blank + word, add_special_tokens=False).ids)

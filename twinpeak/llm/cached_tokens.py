@@ -7,8 +7,10 @@ for each file; it is emptied when it holds `most` entries, which changes no resu
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -63,6 +65,12 @@ def as_bytes(ids) -> bytes:
     return np.asarray(ids, "<u4").tobytes()
 
 
+def slices(data: bytes, stops: np.ndarray) -> list[bytes]:
+    """The parts of the data that end at the stops."""
+    stops = stops.tolist()
+    return [data[x:y] for x, y in zip([0, *stops[:-1]], stops)]
+
+
 class Table:
     """Word to the bytes of its ids (little-endian, 32 bits each)."""
 
@@ -100,13 +108,16 @@ class BpeTable(Table):
     """A byte-pair file. `lead` tells by an id whether it begins a joined word, `end` whether it ends one."""
 
     def __init__(self, file: bytes, plain_specials: bool):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
         self.tokenizer = Tokenizer.from_buffer(file)
         self.tokenizer.encode_special_tokens = plain_specials
         # Words come here once, so the file's own table would be filled for nothing.
         self.tokenizer.model._resize_cache(0)
+        # The same merges for joined words, whose rules of the file are applied here: they are cut at blanks only.
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         vocabulary = self.tokenizer.get_vocab()
         self.entries = [""] * (max(vocabulary.values()) + 1)
         for entry, number in vocabulary.items():
@@ -122,6 +133,11 @@ class BpeTable(Table):
         for word, made in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.known[word] = as_bytes(made.ids)
 
+    def joined_ids(self, text: str) -> np.ndarray:
+        """Ids of words of Latin letters between single blanks; a line break stands for a blank that is encoded."""
+        spelled = codecs.charmap_decode(text.encode(), "strict", _SPELLED)[0]
+        return np.array(self.letters.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, "<u4")
+
 
 class WordTable(BpeTable):
     """The file with word ends: white space is dropped and letters are lower-cased."""
@@ -140,10 +156,8 @@ class WordTable(BpeTable):
         return [made[w] for w in lower]
 
     def split_lower(self, words: list[str]) -> list[bytes]:
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)
-        flat = ids.tobytes()
-        return [flat[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
+        ids = self.joined_ids(" ".join(words))
+        return slices(ids.tobytes(), 4 * (np.flatnonzero(self.ends[ids]) + 1))
 
 
 class ByteTable(BpeTable):
@@ -160,10 +174,8 @@ class ByteTable(BpeTable):
         return word[0] == " " and _LATIN.fullmatch(word) is not None
 
     def split(self, words: list[str]) -> list[bytes]:
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        starts = 4 * np.flatnonzero(self.leads[ids])
-        flat = ids.tobytes()
-        return [flat[a:b] for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(flat)], strict=True)]
+        ids = self.joined_ids("".join(words).replace(" ", " \n")[1:])
+        return slices(ids.tobytes(), 4 * np.append(np.flatnonzero(self.leads[ids])[1:], len(ids)))
 
 
 class PieceTable(Table):
@@ -188,8 +200,9 @@ class PieceTable(Table):
     def add(self, fresh) -> None:
         fresh = list(fresh)
         blank, tails = [w for w in fresh if w[0] == " "], [w for w in fresh if w[0] != " "]
-        for word, ids in zip(blank, self.processor.encode([w[1:] for w in blank], num_threads=1), strict=True):
-            self.known[word] = as_bytes(ids)
+        found = self.processor.encode([w[1:] for w in blank], num_threads=1)
+        stops = 4 * np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        self.known.update(zip(blank, slices(as_bytes(list(chain.from_iterable(found))), stops), strict=True))
         # No piece spans a letter and a stop, so the first piece here is the letter's.
         for word, ids in zip(tails, self.processor.encode(["a" + w for w in tails], num_threads=1), strict=True):
             self.known[word] = as_bytes(ids[1:])
@@ -211,6 +224,8 @@ def _letters() -> dict[str, int]:
 
 
 _LETTERS = _letters()
+#: By byte, how the byte-level entries spell it; blanks stay, and line breaks become the blanks' letter.
+_SPELLED = "".join(sorted(_LETTERS, key=_LETTERS.__getitem__)).replace("Ġ", " ").replace("Ċ", "Ġ")
 
 
 def table(kind: type, file: bytes) -> Table:
