@@ -264,3 +264,24 @@ def test_letters_are_encoded_without_the_rules_of_the_file():
         words.learn({blank + w for w in made})
         for word in made:
             assert words.known[blank + word] == cached_tokens.as_bytes(whole.encode(blank + word, add_special_tokens=False).ids)
+
+
+def test_equal_chunks_are_aligned_once(monkeypatch):
+    """Over all texts together, and with the groups of the whole texts."""
+    files = [cached_tokens.read_file(public_tokenizers.path(n)) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    texts = [(i, t) for i, t in enumerate(["Alignment unbelievably", "Unbelievably odd words, unbelievably", "", None, *odd_texts(60)])]
+    taken, runs = [], alignment.diagonal_runs
+    monkeypatch.setattr(alignment, "diagonal_runs", lambda a, b: taken.append(len(a)) or runs(a, b))
+    monkeypatch.setattr(alignment.GroupTable, "most", 40)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pylist([{"doc_id": i, "text": t} for i, t in texts[:4] * 20])
+    got = [r for b in alignment.digester(*files)([batch]) for r in b.to_pylist()]
+    assert len(taken) == 1 and taken[0] < got[0]["n_a"] + 20 and len(got) == 80
+    batch = pa.RecordBatch.from_pylist([{"doc_id": i, "text": t} for i, t in texts])
+    for some in (1 << 20, 100):
+        monkeypatch.setattr(cached_tokens, "TOGETHER", some)
+        got = [r for b in alignment.digester(*files)([batch]) for r in b.to_pylist()]
+        assert [(r["doc_id"], r["n_a"], r["n_b"], r["n_groups"], r["groups_sha256"]) for r in got] == [
+            (r[0], r[1], r[2], r[3], r[7]) for r in sorted(plain.alignments(texts))
+        ]

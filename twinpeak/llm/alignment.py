@@ -6,6 +6,9 @@ compared and the whole one-to-one stretch is jumped. At the first unequal end th
 resolved locally: the token that ends first is passed until both end together, which sets the new
 shift. Only equal ends are cuts, so a text's cuts are all the places where both tokenizers end.
 
+Both end at the end of every chunk of a text (see `cached_tokens`), so for the counts and digests each
+worker aligns the new distinct chunks of a batch, as one text, and puts the texts together from them.
+
 A and B tokens that end together hold the same bytes before that place, so one is a suffix of the
 other. All id pairs that can ever be linked are therefore known from the two vocabularies alone: at
 most one for each suffix of a vocabulary entry. That list is the proven bound of what is counted,
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cached_tokens import ByteTable, PieceTable, batches, chunks_of, read_file, table
+from .cached_tokens import MOST_OF_TWO, ByteTable, PieceTable, Table, batches, chunks_of, read_file, slices, table
 from .common import documents, stored
 
 ALIGNED = "doc_id long, a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>"
@@ -29,7 +32,7 @@ DIGESTS = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string,
 _IDS = pa.list_(pa.int32())
 _ALIGNED_TYPES = [pa.int64(), _IDS, _IDS, _IDS, _IDS]
 _DIGEST_TYPES = [pa.int64()] * 4 + [pa.string(), pa.binary()]
-_PAIRS: dict = {}
+_GROUPS: dict = {}
 
 
 def diagonal_runs(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
@@ -94,33 +97,89 @@ def _by_bytes(entries: list[bytes]) -> dict[bytes, list[int]]:
     return found
 
 
-def linkable(a: ByteTable, b: PieceTable, key) -> Pairs:
-    """This worker's list of pairs; it depends on the two vocabularies only."""
-    if key not in _PAIRS:
-        _PAIRS[key] = Pairs(a.token_bytes, b.token_bytes)
-    return _PAIRS[key]
+class GroupTable(Table):
+    """Chunk to its groups: (their part of the digest's text, numbers of the linked pairs, how many A and B tokens).
 
+    Both tokenizers end at the end of a chunk, so the groups of the chunks, put together, are those of the text.
+    """
 
-def aligner(a_file: bytes, b_file: bytes, schema: str, types: list, form):
-    """Arrow task: (doc_id, text) to rows; `form` makes one of a document's ids and group ends."""
+    most = MOST_OF_TWO
+
+    def __init__(self, a_table: ByteTable, b_table: PieceTable):
+        super().__init__()
+        self.a, self.b = a_table, b_table
+        self.pairs = Pairs(a_table.token_bytes, b_table.token_bytes)
+
+    def add(self, fresh) -> None:
+        """The fresh chunks are aligned as one text; those whose bytes don't come back are left out of it."""
+        for t in (self.a, self.b):
+            t.learn(fresh)
+        odd = fresh & (self.a.odd | self.b.odd)
+        self.odd |= odd
+        self.known.update(dict.fromkeys(odd))
+        words = list(fresh - odd)
+        a, b = ([t.known[w] for w in words] for t in (self.a, self.b))
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) // 4 for x in (a, b))
+        # They are kept here in their final form.
+        for t in (self.a, self.b):
+            t.known.clear()
+            t.odd.clear()
+        a_ids, b_ids = (np.frombuffer(b"".join(x), "<u4") for x in (a, b))
+        if not words:
+            return
+        a_ends, b_ends = group_ends(a_ids, b_ids, self.a, self.b)
+        spelled, sizes = _spelled(a_ids, b_ids, a_ends, b_ends)
+        spelled = "".join(spelled).encode()
+        linked = self.pairs.number(a_ids[a_ends - 1], b_ids[b_ends - 1]).tobytes()
+        a_stops, b_stops = np.cumsum(n_a), np.cumsum(n_b)
+        texts = slices(spelled, np.cumsum(sizes)[a_stops + b_stops - 1])
+        links = slices(linked, 4 * np.searchsorted(a_ends, a_stops, "right"))
+        self.known.update(zip(words, zip(texts, links, n_a.tolist(), n_b.tolist(), strict=True), strict=True))
+
+
+def group_table(a_file: bytes, b_file: bytes) -> GroupTable:
+    """This worker's table of two files."""
+    key = (hash(a_file), hash(b_file))
+    if key not in _GROUPS:
+        _GROUPS[key] = GroupTable(table(ByteTable, a_file), table(PieceTable, b_file))
+    return _GROUPS[key]
+
+
+def _chunked(tables):
+    """Lists of (doc_id, text, chunks of the text)."""
+    for batch in tables:
+        rows = zip(batch.column("doc_id"), batch.column("text"), strict=True)
+        for some in batches(((i.as_py(), t.as_py() or "") for i, t in rows), lambda row: len(row[1]) + 64):
+            yield [(doc_id, text, chunks_of(" " + text) if text else []) for doc_id, text in some]
+
+
+def _rows(made: list[tuple], schema: str, types: list) -> pa.RecordBatch:
     names = [part.split()[0] for part in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)], names)
+
+
+def aligner(a_file: bytes, b_file: bytes):
+    """Arrow task: (doc_id, text) to the rows of `align`."""
 
     def run(tables):
         a_table, b_table = table(ByteTable, a_file), table(PieceTable, b_file)
-        pairs = linkable(a_table, b_table, (hash(a_file), hash(b_file)))
-        for batch in tables:
-            rows = zip(batch.column("doc_id"), batch.column("text"), strict=True)
-            for some in batches(((i.as_py(), t.as_py() or "") for i, t in rows), lambda row: len(row[1]) + 64):
-                parts = [chunks_of(" " + text) if text else [] for _, text in some]
-                every = set().union(*parts)
-                a_table.learn(every)
-                b_table.learn(every)
-                made = [
-                    (doc_id, *form(*_aligned(text, part, a_table, b_table), pairs))
-                    for (doc_id, text), part in zip(some, parts, strict=True)
-                ]
-                columns = [pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names)
+        for some in _chunked(tables):
+            every = set().union(*(part for _, _, part in some))
+            a_table.learn(every)
+            b_table.learn(every)
+            yield _rows([(i, *_groups(*_aligned(text, part, a_table, b_table))) for i, text, part in some], ALIGNED, _ALIGNED_TYPES)
+
+    return run
+
+
+def digester(a_file: bytes, b_file: bytes):
+    """Arrow task: (doc_id, text) to rows of DIGESTS; every distinct chunk is aligned once."""
+
+    def run(tables):
+        groups = group_table(a_file, b_file)
+        for some in _chunked(tables):
+            groups.learn(set().union(*(part for _, _, part in some)))
+            yield _rows([(i, *_digests(text, part, groups)) for i, text, part in some], DIGESTS, _DIGEST_TYPES)
 
     return run
 
@@ -133,19 +192,34 @@ def _aligned(text, part, a_table, b_table):
         nothing = np.zeros(0, np.int64)
         return nothing, nothing, nothing, nothing
     a_ids, b_ids = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    return a_ids, b_ids, *group_ends(a_ids, b_ids, a_table, b_table)
+
+
+def group_ends(a_ids, b_ids, a_table, b_table):
+    """For each group how many A and B tokens have ended with it."""
     a_last, b_last = cut_places(np.cumsum(a_table.lengths[a_ids]).tolist(), np.cumsum(b_table.lengths[b_ids]).tolist())
-    return a_ids, b_ids, a_last + 1, b_last + 1
+    return a_last + 1, b_last + 1
 
 
-def _groups(a_ids, b_ids, a_ends, b_ends, _):
+def _groups(a_ids, b_ids, a_ends, b_ends):
     return [x.astype(np.int32) for x in (a_ids, b_ids, np.diff(a_ends, prepend=0), np.diff(b_ends, prepend=0))]
 
 
-def _digests(a_ids, b_ids, a_ends, b_ends, pairs):
-    if len(a_ids) == 0:
+def _digests(text, part, groups):
+    if not part:
         return 0, 0, 0, "", b""
-    linked = pairs.number(a_ids[a_ends - 1], b_ids[b_ends - 1]).tobytes()
-    return len(a_ids), len(b_ids), len(a_ends), groups_digest(a_ids, b_ids, a_ends, b_ends), linked
+    if not groups.odd.isdisjoint(part):
+        every = set(part)
+        groups.a.learn(every)
+        groups.b.learn(every)
+        a_ids, b_ids, a_ends, b_ends = _aligned(text, part, groups.a, groups.b)
+        if len(a_ids) == 0:
+            return 0, 0, 0, "", b""
+        linked = groups.pairs.number(a_ids[a_ends - 1], b_ids[b_ends - 1]).tobytes()
+        return len(a_ids), len(b_ids), len(a_ends), groups_digest(a_ids, b_ids, a_ends, b_ends), linked
+    texts, links, n_a, n_b = zip(*map(groups.known.__getitem__, part), strict=True)
+    linked = b"".join(links)
+    return sum(n_a), sum(n_b), len(linked) // 4, hashlib.sha256(b"".join(texts)[:-1]).hexdigest(), linked
 
 
 def align(docs: DataFrame, a_file: bytes, b_file: bytes) -> DataFrame:
@@ -156,7 +230,7 @@ def align(docs: DataFrame, a_file: bytes, b_file: bytes) -> DataFrame:
     columns are not read; an empty table gives no rows. A very long text is one row's work, in time
     with its length.
     """
-    return _texts(docs).mapInArrow(aligner(a_file, b_file, ALIGNED, _ALIGNED_TYPES, _groups), ALIGNED)
+    return _texts(docs).mapInArrow(aligner(a_file, b_file), ALIGNED)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -186,7 +260,7 @@ def describe(docs: DataFrame, a_file: bytes, b_file: bytes) -> DataFrame:
     Only the digests and the numbers of the linked pairs (their places in `Pairs`, as little-endian
     32-bit numbers) are kept between the two passes. Input cases are those of `align`.
     """
-    aligned = stored(_texts(docs).mapInArrow(aligner(a_file, b_file, DIGESTS, _DIGEST_TYPES, _digests), DIGESTS))
+    aligned = stored(_texts(docs).mapInArrow(digester(a_file, b_file), DIGESTS))
     pairs = Pairs(ByteTable(a_file).token_bytes, PieceTable(b_file).token_bytes)
     # At most one row for each suffix of a vocabulary entry, whatever the input.
     counted = pair_counts(aligned).toArrow()
@@ -211,15 +285,21 @@ def describe(docs: DataFrame, a_file: bytes, b_file: bytes) -> DataFrame:
 
 def groups_digest(a_ids, b_ids, a_ends, b_ends) -> str:
     """SHA-256 of `a1,a2|b1;a3|b2,b3`."""
+    return hashlib.sha256("".join(_spelled(a_ids, b_ids, a_ends, b_ends)[0])[:-1].encode()).hexdigest()
+
+
+def _spelled(a_ids, b_ids, a_ends, b_ends) -> tuple[list[str], np.ndarray]:
+    """The parts of `a1,a2|b1;a3|b2,b3;`, a token each, and their lengths."""
     words = _numerals(int(max(a_ids.max(), b_ids.max())) + 1)
     a_sizes, b_sizes = np.diff(a_ends, prepend=0), np.diff(b_ends, prepend=0)
-    out = np.empty(len(a_ids) + len(b_ids), object)
+    out, ids = np.empty(len(a_ids) + len(b_ids), object), np.empty(len(a_ids) + len(b_ids), np.int64)
     # A token stands after all A tokens and all groups' B tokens before it; each brings what follows it.
     a_at = np.arange(len(a_ids)) + np.repeat(b_ends - b_sizes, a_sizes)
     b_at = np.arange(len(b_ids)) + np.repeat(a_ends, b_sizes)
     out[a_at], out[b_at] = words[0][a_ids], words[0][b_ids]
     out[a_at[a_ends - 1]], out[b_at[b_ends - 1]] = words[1][a_ids[a_ends - 1]], words[2][b_ids[b_ends - 1]]
-    return hashlib.sha256("".join(out.tolist())[:-1].encode()).hexdigest()
+    ids[a_at], ids[b_at] = a_ids, b_ids
+    return out.tolist(), np.searchsorted(10 ** np.arange(1, 10), ids, "right") + 2
 
 
 def _numerals(most: int) -> list[np.ndarray]:

@@ -92,11 +92,24 @@ class Table:
             fresh = words
         self.add(fresh)
         if self.token_bytes:
-            self.odd.update(w for w in fresh if not self.gives_back(self.known[w], w))
+            self.odd.update(self.not_given_back(list(fresh)))
 
     def add(self, fresh) -> None:
         raise NotImplementedError
 
+    def not_given_back(self, words: list[str]) -> list[str]:
+        """Words of another length than their ids' bytes; the others are compared in one go, or each if that fails."""
+        found = [self.known[w] for w in words]
+        sizes = np.cumsum(self.lengths[np.frombuffer(b"".join(found), "<u4")])
+        stops = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) // 4
+        made = np.diff(np.concatenate([[0], sizes])[stops], prepend=0)
+        same = (made == np.fromiter(map(len, map(str.encode, words)), np.int64, len(words))).tolist()
+        odd = [w for w, s in zip(words, same, strict=True) if not s]
+        rest = [w for w, s in zip(words, same, strict=True) if s]
+        if not self.gives_back(self.encode(rest), "".join(rest)):
+            odd += [w for w in rest if not self.gives_back(self.known[w], w)]
+        return odd
+
     def gives_back(self, ids: bytes, text: str) -> bool:
         return b"".join([self.token_bytes[i] for i in np.frombuffer(ids, "<u4").tolist()]) == text.encode()
 
