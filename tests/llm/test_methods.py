@@ -274,3 +274,30 @@ def test_decode_of_odd_ids(spark):
     odd = [(1, text), (2, None), (3, []), (4, [-1, *text, None, vocab.size, 2**31 - 1]), (5, [vocab.bytes_ids[32], vocab.bytes_ids[255]])]
     back = sentencepieces.decode(spark.createDataFrame(odd, "doc_id long, ids array<int>"))
     assert {r.doc_id: r.text for r in back.collect()} == {1: "plain text", 2: None, 3: "", 4: "plain text", 5: "�"}
+
+
+def test_seeds_of_texts_together_are_those_of_each():
+    rng = np.random.default_rng(11)
+    k, window, stretch = substring_dedup.K, substring_dedup.WINDOW, substring_dedup.LEAST_WORDS
+    texts = [rng.integers(0, most, n).astype(np.uint64) for n in (0, 5, 6, 9, 20, 21, 22, 49, 50, 51, 300, 0, 700) for most in (1, 2, 6, 1000)]
+    sizes, both = np.array(list(map(len, texts))), np.concatenate(texts)
+    seeds, runs = substring_dedup.minimizers_of(both, sizes), substring_dedup.runs_of(both, sizes)
+    for i, words in enumerate(texts):
+        h = substring_dedup.span_hashes(words, substring_dedup.RUN).tolist()
+        taken = [min(range(j, j + window), key=lambda x: (h[x], x)) for j in range(len(words) - stretch + 1)]
+        hashes = [h[x] for x in sorted(set(taken))]
+        assert sorted(zip(*(c[runs[0] == i].tolist() for c in runs[1:]), strict=True)) == sorted(
+            {(h[x], x if hashes.count(h[x]) == 1 else -1) for x in taken}
+        )
+        alone, places = substring_dedup.minimizers(words)
+        assert list(zip(alone, places, strict=True)) == list(zip(*(c[seeds[0] == i] for c in seeds[1:]), strict=True))
+        grams = [tuple(words[j : j + k]) for j in range(len(words) - k + 1)]
+        assert set(places.tolist()) <= set(range(len(grams))) and len(set(alone.tolist())) == len(alone)
+        for j in range(max(0, len(grams) - window + 1)):
+            assert any(j <= p < j + window for p in places)
+    assert len(substring_dedup.smallest(np.arange(3), 16)) == 0
+    keys = rng.integers(0, 4, 200)
+    for width in (1, 2, 5, 16):
+        for last in (False, True):
+            want = [min(range(j, j + width), key=lambda x: (keys[x], -x if last else x)) for j in range(200 - width + 1)]
+            assert substring_dedup.smallest(keys, width, last).tolist() == want

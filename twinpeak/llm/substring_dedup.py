@@ -40,50 +40,85 @@ MOST_APART = LEAST_SPAN + GAP_MOST + K
 #: Alignments of gaps stay within this many words of the straight line.
 BAND = 12
 WORD_MEMORY = 1 << 18
+#: Words of the texts whose seeds are found together.
+TOGETHER = 1 << 15
+
+
+class _Codes(dict):
+    """Hashes of words, made when a word is first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = code = xxhash.xxh3_64_intdigest(word)
+        return code
 
 
 class Words:
     """64-bit word hashes of a text; A-Z are lower-cased, words end at ASCII blanks."""
 
     def __init__(self):
-        self.known: dict[bytes, int] = {}
+        self.known = _Codes()
 
     def __call__(self, text: str | None) -> np.ndarray:
         if len(self.known) > WORD_MEMORY:
             self.known.clear()
-        known, codes = self.known, []
-        for w in (text or "").encode().lower().split():
-            code = known.get(w)
-            if code is None:
-                known[w] = code = xxhash.xxh3_64_intdigest(w)
-            codes.append(code)
-        return np.array(codes, np.uint64)
+        words = (text or "").encode().lower().split()
+        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
 
 
-def minimizers(words: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(seed hashes, places of their first words).
+def smallest(keys: np.ndarray, width: int, last: bool = False) -> np.ndarray:
+    """Place of the smallest key of each stretch of that width, the first or last of equal ones, by doubling."""
+    at, reach = np.arange(len(keys)), 1
+    while reach < width and len(at):
+        step = min(reach, width - reach)
+        left, right = keys[: max(0, len(keys) - step)], keys[step:]
+        at = np.where(right <= left if last else right < left, at[step:], at[: len(left)])
+        keys, reach = np.minimum(left, right), reach + step
+    return at
+
+
+def _places(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By place in texts that are put together: the text, and the place there."""
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    return text, np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _changes(values: np.ndarray) -> np.ndarray:
+    return np.concatenate([[True], values[1:] != values[:-1]])[: len(values)]
+
+
+def minimizers_of(words: np.ndarray, sizes: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, seed hash, place of its first word) of texts of these sizes, put together.
 
     Of equal smallest hashes, as in a run of one word, that at a multiple of the window is taken. A
     seed that a text repeats counts its occurrences, so the first meets the first, and so on.
     """
-    n = len(words) - k + 1
-    if n < 1:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    n = max(0, len(words) - k + 1)
     h = np.zeros(n, np.uint64)
     for j in range(k):
         h = h * np.uint64(0x9E3779B97F4A7C15) + words[j : j + n]
     h = _mix(h)
-    width = min(window, n)
-    keys = (h | np.uint64(1)) - (np.arange(n) % window == 0).astype(np.uint64)
-    spans = np.lib.stride_tricks.sliding_window_view(keys, width)
-    places = np.unique(np.arange(len(spans)) + width - 1 - spans[:, ::-1].argmin(1))
-    found = h[places]
-    order = np.argsort(found, kind="stable")
-    same = np.concatenate([[False], np.diff(found[order]) == 0])
-    start = np.maximum.accumulate(np.where(same, 0, np.arange(len(found))))
+    text, place = _places(sizes)
+    keys = (h | np.uint64(1)) - (place[:n] % window == 0).astype(np.uint64)
+    places = smallest(keys, window, last=True)
+    within = place[: len(places)] + window + k - 1 <= sizes[text[: len(places)]]
+    places = places[within]
+    places = places[_changes(places)]
+    short = np.flatnonzero((sizes >= k) & (sizes < window + k - 1))
+    if len(short):
+        starts, seeds = (np.cumsum(sizes) - sizes)[short].tolist(), (sizes[short] - k + 1).tolist()
+        places = np.sort(np.concatenate([places, [x + m - 1 - keys[x : x + m][::-1].argmin() for x, m in zip(starts, seeds, strict=True)]]))
+    found, text, place = h[places], text[places], place[places]
+    order = np.lexsort((found, text))
+    fresh = _changes(found[order]) | _changes(text[order])
+    start = np.maximum.accumulate(np.where(fresh, np.arange(len(found)), 0))
     times = np.empty(len(found), np.uint64)
     times[order] = (np.arange(len(found)) - start).astype(np.uint64)
-    return _mix(found + times * np.uint64(0xBF58476D1CE4E5B9)), places
+    return text, _mix(found + times * np.uint64(0xBF58476D1CE4E5B9)), place
+
+
+def minimizers(words: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """(seed hashes, places of their first words) of one text."""
+    return minimizers_of(words, np.array([len(words)]), k, window)[1:]
 
 
 def span_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -98,9 +133,22 @@ def span_hashes(words: np.ndarray, k: int) -> np.ndarray:
 def run_places(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all runs, place of the run that is taken in each stretch of LEAST_WORDS words)."""
     h = span_hashes(words, RUN)
-    if len(h) < WINDOW:
-        return h, np.empty(0, np.int64)
-    return h, np.arange(len(h) - WINDOW + 1) + np.lib.stride_tricks.sliding_window_view(h, WINDOW).argmin(1)
+    return h, smallest(h, WINDOW)
+
+
+def runs_of(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, place) of the runs that are taken in texts of these sizes, put together, each once a
+    text; the place of one that its text repeats is -1."""
+    h, places = run_places(words)
+    text, place = _places(sizes)
+    places = places[place[: len(places)] + LEAST_WORDS <= sizes[text[: len(places)]]]
+    places = places[_changes(places)]
+    found, text, place = h[places], text[places], place[places]
+    order = np.lexsort((found, text))
+    first = np.flatnonzero(_changes(found[order]) | _changes(text[order]))
+    times = np.diff(first, append=len(order))
+    first = order[first]
+    return text[first], found[first], np.where(times == 1, place[first], -1)
 
 
 class Fenwick:
@@ -257,26 +305,27 @@ def seed_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for batch in batches:
-            found = []
-            for t in batch.column(2):
-                codes = words(t.as_py())
-                h, places = run_places(codes)
-                places = np.unique(places)
-                runs, first, times = np.unique(h[places], return_index=True, return_counts=True)
-                places = np.where(times == 1, places[first], -1)
-                short = minimizers(codes)
-                found.append((np.concatenate([short[0], runs]), np.concatenate([short[1], places]), np.arange(len(short[1]) + len(places)) >= len(short[1])))
-            if not found:
-                continue
-            counts = [len(p) for _, p, _ in found]
-            pick = np.repeat(np.arange(len(found)), counts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([h for h, _, _ in found]).view(np.int64)), batch.column(0).take(pa.array(pick)),
-                 batch.column(1).take(pa.array(pick)), pa.array(np.concatenate([p for _, p, _ in found]), pa.int32()), pa.array(np.concatenate([r for _, _, r in found]))],
+
+        def rows(batch: pa.RecordBatch, start: int, codes: list[np.ndarray]) -> pa.RecordBatch:
+            both, sizes = np.concatenate(codes), np.array(list(map(len, codes)))
+            short, runs = minimizers_of(both, sizes), runs_of(both, sizes)
+            text, seed, place = (np.concatenate(c) for c in zip(short, runs, strict=True))
+            pick = pa.array(start + text)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(seed.view(np.int64)), batch.column(0).take(pick), batch.column(1).take(pick), pa.array(place, pa.int32()),
+                 pa.array(np.arange(len(seed)) >= len(short[0]))],
                 ["_seed", "_id", "_print", "_at", "_run"],
             )
 
+        for batch in batches:
+            codes, size = [], 0
+            for n, t in enumerate(batch.column(2), 1):
+                codes.append(words(t.as_py()))
+                size += len(codes[-1])
+                if size >= TOGETHER or n == batch.num_rows:
+                    yield rows(batch, n - len(codes), codes)
+                    codes, size = [], 0
+
     return _rows(docs, id_col, text_col).mapInArrow(seeds, "_seed long, _id long, _print long, _at int, _run boolean")
 
 
