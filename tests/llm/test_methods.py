@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import random
 import sys
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -93,6 +94,49 @@ def test_trees_of_a_block_give_the_same_labels(monkeypatch, trees):
     assert len(np.unique(across)) <= len(np.unique(start)) and all(want[across[i]] == want[i] for i in range(len(sets)))
 
 
+def chained_sets(n, size):
+    """Sets that share a half with each neighbour, and near copies of every 20th."""
+    rng = np.random.default_rng(7)
+    new = lambda k: rng.integers(0, 1 << 63, k, dtype=np.uint64)
+    halves = [new(size // 2) for _ in range(n + 1)]
+    sets = [np.unique(np.concatenate(halves[i : i + 2])) for i in range(n)]
+    copies = [(sets[i], np.concatenate([sets[i][2:], new(2)])) for i in range(0, n, 20)]
+    sets = sorted([*sets, *(np.sort(c) for _, c in copies)], key=lambda s: (len(s), s.tobytes()))
+    at = {s.tobytes(): i for i, s in enumerate(sets)}
+    want = np.arange(len(sets))
+    for a, b in copies:
+        x, y = sorted((at[a.tobytes()], at[np.sort(b).tobytes()]))
+        want[y] = x
+    return sets, want
+
+
+def test_trees_over_many_shared_tokens_take_little_memory():
+    sets, want = chained_sets(2900, 480)
+    tracemalloc.start()
+    labels = jaccard_join.linked_labels(sets, np.arange(len(sets)), len(sets), 85)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (labels == want).all()
+    assert most < 120e6
+
+
+@pytest.mark.parametrize("room", [1, 600, 4000])
+def test_halved_runs_give_the_same_labels(monkeypatch, room):
+    monkeypatch.setattr(jaccard_join, "TREE_BYTES", room)
+    sets, want = chained_sets(90, 60)
+    n, made, own = len(sets), [], jaccard_join.Forest.__init__
+
+    def noted(self, *args):
+        own(self, *args)
+        made.append(self.bits)
+
+    monkeypatch.setattr(jaccard_join.Forest, "__init__", noted)
+    assert (jaccard_join.linked_labels(sets, np.arange(n), n, 85) == want).all()
+    assert all(len(bits) <= 2 or bits.nbytes <= room for bits in made)
+    across = jaccard_join.linked_labels(sets, np.arange(n), n // 2, 85)
+    assert (across == np.where((want < n // 2) & (np.arange(n) >= n // 2), want, np.arange(n))).all()
+
+
 def test_chains_follow_order_and_cut_at_gaps():
     x = np.array([0, 10, 20, 30, 15, 500, 510])
     y = np.array([100, 110, 120, 130, 5, 600, 610])

@@ -10,8 +10,9 @@ that fills too few parts without them sends the keys of further cuts over all it
 In a cluster, trees stand over the sets in order of size. Its nodes hold the OR of their sets'
 token bitmaps (over tokens that two sets of the cluster share) and the range of their sizes. A dual
 traversal drops a pair of nodes when the sizes or the bits they share rule out any link, and when
-all their sets are connected already; leaves are compared exactly. Clusters beyond a block's size
-are cut into blocks, joined in themselves and then with each other.
+all their sets are connected already; leaves are compared exactly. Runs of sets whose bitmaps would
+take too much memory are halved until they fit. Clusters beyond a block's size are cut into blocks,
+joined in themselves and then with each other.
 """
 
 from __future__ import annotations
@@ -40,8 +41,9 @@ SALTS = 4
 FREQUENT, LOCAL = 2000, 4
 #: A block of a cluster, what a task holds one or two of: sets, and shingles in them.
 BLOCK_SETS, BLOCK_TOKENS = 16_384, 8_000_000
-#: What one tree stands over.
-TREE_SETS, TREE_TOKENS = 2048, 1_000_000
+#: What one tree stands over, and the room of the bitmaps of a pair of trees.
+TREE_SETS, TREE_TOKENS = 2048, 500_000
+TREE_BYTES = 32 << 20
 LEAF = 8
 #: Documents whose keys are merged in a task before they are sent.
 FLUSH = 4000
@@ -285,21 +287,34 @@ def candidate_edges(docs: DataFrame, frequent: np.ndarray, text_col: str = "text
     return sent.filter("part is null").select("a", "b").unionByName(far).distinct()
 
 
+def shared_places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
+    """(owner, place) of each token that two of the sets share, by token, and how many places there are."""
+    tokens = np.concatenate(sets)
+    order = np.argsort(tokens, kind="stable").astype(np.uint32)
+    tokens = tokens[order]
+    same = tokens[1:] == tokens[:-1]
+    shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    head = np.concatenate([[True], ~same])[shared]
+    ends = np.cumsum([len(s) for s in sets])
+    owner = np.searchsorted(ends, order[shared], side="right").astype(np.int32)
+    return owner, np.cumsum(head, dtype=np.int32) - 1, int(head.sum())
+
+
+def bitmap_bytes(sets: int, places: int) -> int:
+    return sets * max(1, -(-places // 64)) * 8
+
+
 class Forest:
-    """Exact links among the sets of one or two blocks, as connected labels."""
+    """Exact links among the sets of one or two runs, as connected labels.
 
-    def __init__(self, sets: list[np.ndarray], labels: np.ndarray, percent: int = PERCENT):
-        self.percent = percent
-        self.sizes = np.array([len(s) for s in sets], np.int64)
+    owner, place: from `shared_places` of the sets.
+    """
+
+    def __init__(self, sizes: np.ndarray, labels: np.ndarray, owner: np.ndarray, place: np.ndarray, places: int, percent: int = PERCENT):
+        self.percent, self.sizes = percent, sizes
         self.labels = labels.copy()
-        tokens, at = np.unique(np.concatenate(sets), return_inverse=True)
-        shared = np.bincount(at, minlength=len(tokens)) > 1
-        place = np.where(shared, np.cumsum(shared) - 1, -1)[at]
-        owner = np.repeat(np.arange(len(sets)), self.sizes)
-        width = max(1, -(-int(shared.sum()) // 64))
-        self.bits = np.zeros((len(sets), width), np.uint64)
-        keep = place >= 0
-        np.bitwise_or.at(self.bits, (owner[keep], place[keep] >> 6), np.uint64(1) << (place[keep] & 63).astype(np.uint64))
+        self.bits = np.zeros((len(sizes), max(1, -(-places // 64))), np.uint64)
+        np.bitwise_or.at(self.bits, (owner, place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
         self.nodes: dict[tuple[int, int], tuple[np.ndarray, int, int]] = {}
 
     def node(self, lo: int, hi: int) -> tuple[np.ndarray, int, int]:
@@ -365,30 +380,50 @@ def _cut(sizes: list[int], at: int = 0) -> list[range]:
 def linked_labels(sets: list[np.ndarray], labels: np.ndarray, first: int, percent: int) -> np.ndarray:
     """Labels after all links among the sets, or only between the first ones and the others.
 
-    A tree stands over one or two runs of sets at a time, so that bitmaps stay small.
+    A tree stands over one or two runs of sets at a time, and runs are halved until their bitmaps
+    take TREE_BYTES at most, so that memory doesn't grow with sets times the tokens they share.
     """
-    sizes = [len(s) for s in sets]
+    sizes = np.array([len(s) for s in sets], np.int64)
     if first == len(sets):
-        runs = _cut(sizes)
+        runs = _cut(sizes.tolist())
         pairs = [(a, b) for i, a in enumerate(runs) for b in runs[i:]]
     else:
-        pairs = [(a, b) for a in _cut(sizes[:first]) for b in _cut(sizes[first:], first)]
-    for a, b in pairs:
+        pairs = [(a, b) for a in _cut(sizes[:first].tolist()) for b in _cut(sizes[first:].tolist(), first)]
+    pairs.reverse()
+    while pairs:
+        a, b = pairs.pop()
         own = list(a) if a == b else [*a, *b]
         if (labels[own] == labels[own[0]]).all():
             continue
-        forest = Forest([sets[i] for i in own], labels[own], percent)
+        owner, place, places = shared_places([sets[i] for i in own])
+        if bitmap_bytes(len(own), places) > TREE_BYTES and max(len(a), len(b)) > 1:
+            del owner, place
+            pairs += _halved(a, b)
+            continue
+        forest = Forest(sizes[own], labels[own], owner, place, places, percent)
+        del owner, place
         forest.join((0, len(a)), (0, len(a)) if a == b else (len(a), len(own)))
         for old, new in {(x, y) for x, y in zip(labels[own].tolist(), forest.labels.tolist(), strict=True) if x != y}:
             labels[labels == old] = new
     return labels
 
 
+def _halved(a: range, b: range) -> list[tuple[range, range]]:
+    """The pairs of runs that cover a pair of runs, the longer one or both of them halved."""
+    if a == b:
+        mid = len(a) // 2
+        return [(a[:mid], a[mid:]), (a[mid:], a[mid:]), (a[:mid], a[:mid])]
+    if len(a) >= len(b):
+        return [(a[len(a) // 2 :], b), (a[: len(a) // 2], b)]
+    return [(a, b[len(b) // 2 :]), (a, b[: len(b) // 2])]
+
+
 def _grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
     """Runs of equal leading columns in sorted rows."""
     key, rows = None, []
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for row in zip(*batch.columns, strict=True):
+            row = tuple(v.as_py() for v in row)
             if row[:n_keys] != key:
                 if rows:
                     yield key, rows
