@@ -9,6 +9,7 @@ import tracemalloc
 
 import numpy as np
 import pytest
+import xxhash
 
 sys.path.insert(0, os.path.dirname(__file__))
 
@@ -345,3 +346,37 @@ def test_seeds_of_texts_together_are_those_of_each():
         for last in (False, True):
             want = [min(range(j, j + width), key=lambda x: (keys[x], -x if last else x)) for j in range(200 - width + 1)]
             assert substring_dedup.smallest(keys, width, last).tolist() == want
+
+
+def test_words_hashed_together_have_the_hashes_of_the_library():
+    rng = random.Random(2)
+    texts = [b"", b" \t\n", b"One two\x0bTHREE\x0c", "é È 漢字 𝄞".encode()]
+    texts += [bytes(rng.choice(b"abXYZ\xc3\xa9\x00\xff0123  \n\r") for _ in range(n)) for n in range(1, 200)]
+    texts += [bytes(rng.choice(b"abcdXYZ\xc3\x00\xff") for _ in range(n)) for n in range(1, 60) for _ in range(9)]
+    codes, sizes = substring_dedup.word_codes(texts)
+    assert sizes.tolist() == [len(t.split()) for t in texts]
+    assert codes.tolist() == [xxhash.xxh3_64_intdigest(w) for t in texts for w in t.lower().split()]
+    assert [len(c) for c in substring_dedup.word_codes([b""])] == [0, 1]
+
+
+@pytest.mark.parametrize("chunk", [1, 1 << 18])
+def test_seeds_of_two_documents_at_least(spark, monkeypatch, chunk):
+    """Repeated rows are one document; equal ids with other texts are two."""
+    monkeypatch.setattr(substring_dedup, "CHUNK", chunk)
+    monkeypatch.setattr(substring_dedup, "TOGETHER", 300)
+    rng = random.Random(4)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    common, twice = text(90), text(70)
+    data = [(i, text(40 + i) + " " + common) for i in range(9)] + [(3, common), (None, twice), (20, twice + " end"), (21, None), (22, "")]
+    data += [(30, lone := text(120)), (30, lone), (30, lone)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    got = substring_dedup.repeated_seeds(df).collect()
+    rows, holders = [], {}
+    for i, t in data:
+        codes, sizes = substring_dedup.word_codes([(t or "").encode()])
+        for run, (_, seeds, places) in enumerate((substring_dedup.minimizers_of(codes, sizes), substring_dedup.runs_of(codes, sizes))):
+            for seed, place in zip(seeds.view(np.int64).tolist(), places.tolist(), strict=True):
+                rows.append((seed, substring_dedup.NO_ID if i is None else i, place, bool(run)))
+                holders.setdefault((seed, bool(run)), set()).add((i, t))
+    want = [r for r in rows if len(holders[r[0], r[3]]) > 1]
+    assert len(want) > 100 and sorted((r._seed, r._id, r._at, r._run) for r in got) == sorted(want)

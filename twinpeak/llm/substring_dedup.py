@@ -18,11 +18,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NO_ID, documents, settled, stored, work_partitions
-from .jaccard_join import _mix
+from .jaccard_join import _grouped, _mix
 
 #: Words of a seed, and seeds out of which one is taken.
 K, WINDOW = 6, 16
@@ -39,30 +40,80 @@ RUN = LEAST_WORDS - WINDOW + 1
 MOST_APART = LEAST_SPAN + GAP_MOST + K
 #: Alignments of gaps stay within this many words of the straight line.
 BAND = 12
-WORD_MEMORY = 1 << 18
-#: Words of the texts whose seeds are found together.
-TOGETHER = 1 << 15
+#: Bytes of the texts whose words are hashed together.
+TOGETHER = 200_000
+#: Seeds that travel in one row, and what each shuffle partition's range of them is cut into.
+CHUNK, BUCKETS = 1 << 18, 2
 
 
-class _Codes(dict):
-    """Hashes of words, made when a word is first asked for."""
+_BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+#: The numbers of XXH3 that words of up to 16 bytes need, with seed 0.
+_FLIPS = [np.uint64(x) for x in (0x87275A9B, 0xC73AB174C5ECD5A2, 0x6782737BEA4239B9, 0xAF56BC3B0996523A)]
+_P2, _P3, _PM, _PX = (np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x165667919E3779F9, 0x9FB21C651E98DF25))
+_LOW = np.uint64(0xFFFFFFFF)
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = code = xxhash.xxh3_64_intdigest(word)
-        return code
 
+def _turned(h: np.ndarray, by: int) -> np.ndarray:
+    return (h << np.uint64(by)) | (h >> np.uint64(64 - by))
 
-class Words:
-    """64-bit word hashes of a text; A-Z are lower-cased, words end at ASCII blanks."""
 
-    def __init__(self):
-        self.known = _Codes()
+def _shifted(h: np.ndarray, by: int) -> np.ndarray:
+    return h ^ (h >> np.uint64(by))
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        if len(self.known) > WORD_MEMORY:
-            self.known.clear()
-        words = (text or "").encode().lower().split()
-        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+
+def _folded(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Both halves of the 128-bit product, by exclusive or."""
+    half = np.uint64(32)
+    low, x, y = (a & _LOW) * (b & _LOW), (a >> half) * (b & _LOW), (a & _LOW) * (b >> half)
+    middle = (low >> half) + (x & _LOW) + y
+    return ((a >> half) * (b >> half) + (x >> half) + (middle >> half)) ^ (a * b)
+
+
+def word_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """XXH3 hashes of the words of texts put together, and the number of words of each text; A-Z are
+    lower-cased, words end at ASCII blanks. Words of up to 16 bytes are hashed all at once."""
+    body = b" ".join([b" " * 7, *texts, b" " * 8]).lower()
+    data = np.frombuffer(body, np.uint8)
+    blank = _BLANK[data]
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    start, end = edges[::2], edges[1::2]
+    sizes = np.diff(np.searchsorted(start, np.cumsum([8, *[len(t) + 1 for t in texts]])))
+    eight = np.ndarray((len(data) - 7,), "<u8", body, strides=(1,))
+    length, codes = end - start, np.empty(len(start), np.uint64)
+
+    at = np.flatnonzero(length <= 3)
+    x, n = start[at], length[at]
+    first, middle, last = (data[i].astype(np.uint64) for i in (x, x + (n >> 1), x + n - 1))
+    h = ((first << np.uint64(16)) | (middle << np.uint64(24)) | last | (n.astype(np.uint64) << np.uint64(8))) ^ _FLIPS[0]
+    codes[at] = _shifted(_shifted(_shifted(h, 33) * _P2, 29) * _P3, 32)
+
+    at = np.flatnonzero((length > 3) & (length <= 8))
+    h = ((eight[end[at] - 4] & _LOW) + (eight[start[at]] << np.uint64(32))) ^ _FLIPS[1]
+    h = (h ^ _turned(h, 49) ^ _turned(h, 24)) * _PX
+    codes[at] = _shifted((h ^ ((h >> np.uint64(35)) + length[at].astype(np.uint64))) * _PX, 28)
+
+    at = np.flatnonzero((length > 8) & (length <= 16))
+    low, high = eight[start[at]] ^ _FLIPS[2], eight[end[at] - 8] ^ _FLIPS[3]
+    codes[at] = _shifted(_shifted(length[at].astype(np.uint64) + low.byteswap() + high + _folded(low, high), 37) * _PM, 32)
+
+    for i in np.flatnonzero(length > 16).tolist():
+        codes[i] = xxhash.xxh3_64_intdigest(body[start[i] : end[i]])
+    return codes, sizes
+
+
+def hashed_together(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the first text, word hashes, words of each) of runs of texts of about TOGETHER bytes."""
+    some, size = [], 0
+    for n, text in enumerate(texts, 1):
+        some.append((text.as_py() or "").encode())
+        size += len(some[-1])
+        if size >= TOGETHER or n == len(texts):
+            yield n - len(some), *word_codes(some)
+            some, size = [], 0
+
+
+def _each(words: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    return np.split(words, np.cumsum(sizes)[:-1])
 
 
 def smallest(keys: np.ndarray, width: int, last: bool = False) -> np.ndarray:
@@ -299,34 +350,115 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_print"), text.alias("_text"))
 
 
-def seed_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_seed, _id, _print, _at, _run: the minimizers of every whole text, and its runs, each once; the
-    place of one that the text repeats is -1."""
+def seed_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The minimizers of every whole text, and its runs, each once, with place -1 if the text repeats it.
+
+    A row holds those of many texts as arrays: the texts' _ids and _prints, and, minimizers first (_short
+    of them), each one's _text, _seed and _at.
+    """
+    names = ["_chunk", "_short", "_ids", "_prints", "_text", "_seed", "_at"]
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-
-        def rows(batch: pa.RecordBatch, start: int, codes: list[np.ndarray]) -> pa.RecordBatch:
-            both, sizes = np.concatenate(codes), np.array(list(map(len, codes)))
-            short, runs = minimizers_of(both, sizes), runs_of(both, sizes)
-            text, seed, place = (np.concatenate(c) for c in zip(short, runs, strict=True))
-            pick = pa.array(start + text)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(seed.view(np.int64)), batch.column(0).take(pick), batch.column(1).take(pick), pa.array(place, pa.int32()),
-                 pa.array(np.arange(len(seed)) >= len(short[0]))],
-                ["_seed", "_id", "_print", "_at", "_run"],
-            )
+        chunk = TaskContext.get().partitionId() << 32
+        ids, prints, short, runs = [], [], [], []
+
+        def row() -> pa.RecordBatch:
+            columns = [np.array(ids, np.int64), np.array(prints, np.int64), *(np.concatenate(c) for c in zip(*short, *runs, strict=True))]
+            head = [pa.array([chunk], pa.int64()), pa.array([sum(len(x[0]) for x in short)], pa.int64())]
+            return pa.RecordBatch.from_arrays([*head, *(pa.array([c.tobytes()], pa.binary()) for c in columns)], names)
+
+        for batch in batches:
+            for at, words, sizes in hashed_together(batch.column(2)):
+                for (text, seed, place), held in ((minimizers_of(words, sizes), short), (runs_of(words, sizes), runs)):
+                    held.append(((text + len(ids)).astype(np.uint32), seed, place.astype(np.int32)))
+                for kept, column in ((ids, 0), (prints, 1)):
+                    kept += batch.column(column).slice(at, len(sizes)).to_pylist()
+                if sum(len(x[0]) for x in short + runs) >= CHUNK:
+                    yield row()
+                    ids, prints, short, runs, chunk = [], [], [], [], chunk + 1
+        if ids:
+            yield row()
+
+    return _rows(docs, id_col, text_col).mapInArrow(seeds, "_chunk long, _short long, _ids binary, _prints binary, _text binary, _seed binary, _at binary")
+
+
+class _Chunk:
+    """A row of `seed_chunks`, its distinct seeds in order (runs are marked, to stay apart), the hash of the
+    document that holds each, 0 if several do, and each seed's place among the distinct ones."""
+
+    def __init__(self, short: int, *bodies: bytes):
+        kinds = np.int64, np.int64, np.uint32, np.uint64, np.int32
+        self.ids, self.prints, self.text, self.seed, self.at = (np.frombuffer(b, k) for b, k in zip(bodies, kinds, strict=True))
+        self.run = np.arange(len(self.seed)) >= short
+        keys = np.where(self.run, self.seed ^ np.uint64(0xBF58476D1CE4E5B9), self.seed)
+        order = np.argsort(keys)
+        keys = keys[order]
+        head = _changes(keys)
+        self.keys = keys[head]
+        self.place = np.empty(len(keys), np.int64)
+        self.place[order] = np.cumsum(head) - 1
+        holder = _mix(_mix(self.ids.view(np.uint64)) + self.prints.view(np.uint64)) | np.uint64(1)
+        self.holders = _one_of_each(holder[self.text[order]], head)
+
+
+def _one_of_each(values: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """The value of each run of places that begins at a head, 0 if it has several or a 0."""
+    if not len(values):
+        return values
+    starts = np.flatnonzero(head)
+    low, high = np.minimum.reduceat(values, starts), np.maximum.reduceat(values, starts)
+    return np.where(low == high, low, np.uint64(0))
+
+
+def repeated_seeds(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """_seed, _id, _print, _at, _run: the seeds and runs that two documents at least hold.
+
+    A chunk sends each of its distinct seeds once, by ranges of their hashes, so that a frequent one
+    costs a place for each chunk; a task meets one range at a time, and marks go back to the chunks.
+    """
+    parts = work_partitions(docs.sparkSession)
+    bounds = np.array([(j << 64) // (parts * BUCKETS) for j in range(1, parts * BUCKETS)], np.uint64)
+    chunks = stored(seed_chunks(docs, id_col, text_col))
+    body = ["_short", "_ids", "_prints", "_text", "_seed", "_at"]
 
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, *row in zip(*batch.columns, strict=True):
+                held = _Chunk(*(c.as_py() for c in row))
+                ends = [0, *np.searchsorted(held.keys, bounds).tolist(), len(held.keys)]
+                sent = [(j, held.keys[x:y].tobytes(), held.holders[x:y].tobytes()) for j, (x, y) in enumerate(zip(ends, ends[1:], strict=False)) if y > x]
+                if sent:
+                    j, keys, holders = (list(c) for c in zip(*sent, strict=True))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(j, pa.int32()), pa.array([chunk.as_py()] * len(j), pa.int64()), pa.array(keys, pa.binary()), pa.array(holders, pa.binary())],
+                        ["_bucket", "_chunk", "_keys", "_holders"],
+                    )
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (bucket,), rows in _grouped(batches, 1):
+            names, keys, holders = zip(*rows, strict=True)
+            ends = np.cumsum([len(k) // 8 for k in keys])
+            keys, holders = (np.frombuffer(b"".join(c), np.uint64) for c in (keys, holders))
+            order = np.argsort(keys)
+            head = _changes(keys[order])
+            marks = np.empty(len(keys), bool)
+            marks[order] = (_one_of_each(holders[order], head) == 0)[np.cumsum(head) - 1]
+            marks = pa.array([m.tobytes() for m in np.split(marks, ends[:-1])], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([bucket] * len(names), pa.int32()), marks], ["_chunk", "_bucket", "_marks"])
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes, size = [], 0
-            for n, t in enumerate(batch.column(2), 1):
-                codes.append(words(t.as_py()))
-                size += len(codes[-1])
-                if size >= TOGETHER or n == batch.num_rows:
-                    yield rows(batch, n - len(codes), codes)
-                    codes, size = [], 0
+            for marks, *row in zip(*batch.columns, strict=True):
+                held = _Chunk(*(c.as_py() for c in row))
+                stay = np.flatnonzero(np.frombuffer(b"".join(marks.values.field(1).to_pylist()), bool)[held.place])
+                text = held.text[stay]
+                columns = held.seed.view(np.int64)[stay], held.ids[text], held.prints[text], held.at[stay], held.run[stay]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["_seed", "_id", "_print", "_at", "_run"])
 
-    return _rows(docs, id_col, text_col).mapInArrow(seeds, "_seed long, _id long, _print long, _at int, _run boolean")
+    sent = chunks.select("_chunk", *body).mapInArrow(send, "_bucket int, _chunk long, _keys binary, _holders binary")
+    marks = sent.repartition(parts, "_bucket").sortWithinPartitions("_bucket").mapInArrow(meet, "_chunk long, _bucket int, _marks binary")
+    marks = marks.groupBy("_chunk").agg(F.sort_array(F.collect_list(F.struct("_bucket", "_marks"))).alias("_marks"))
+    return chunks.join(stored(marks), "_chunk").select("_marks", *body).mapInArrow(kept, "_seed long, _id long, _print long, _at int, _run boolean")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -343,9 +475,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     id is given back as null. Extra columns aren't read.
     """
     spark, source = docs.sparkSession, (docs, id_col, text_col)
-    seeds = stored(seed_table(*source))
-    runs = settled(spark, lambda: _repeated(seeds.filter("_run").drop("_run")))
-    seeds = settled(spark, lambda: _repeated(seeds.filter("not _run").drop("_run")))
+    repeated = settled(spark, lambda: repeated_seeds(*source))
+    runs, seeds = (repeated.filter(kind).drop("_run") for kind in ("_run", "not _run"))
     firsts = stored(seeds.groupBy("_seed").agg(F.min(F.struct("_id", "_print", "_at")).alias("_first")))
     matches = seeds.join(firsts, "_seed").select("_id", "_print", "_at", *_other("_first"), F.lit(True).alias("_new"))
     found = settled(spark, lambda: _aligned(matches, *source))
@@ -378,14 +509,6 @@ def _uncovered(seeds: DataFrame, found: DataFrame) -> DataFrame:
     return seeds.join(covers, ["_id", "_print"], "left").filter(F.coalesce(~covered, F.lit(True))).drop("_covers")
 
 
-def _repeated(seeds: DataFrame) -> DataFrame:
-    """The seeds that two documents at least hold."""
-    # seeds of one document only go first, by sums that fit in two numbers a seed
-    code = F.xxhash64("_id", "_print")
-    repeated = stored(seeds.groupBy("_seed").agg(F.min(code).alias("_x"), F.max(code).alias("_y")).filter("_x != _y").select("_seed"))
-    return seeds.join(repeated.hint("merge"), "_seed")
-
-
 def _with_first(keyed: DataFrame, step: int) -> tuple[DataFrame, DataFrame]:
     """Open places (_id, _print, _at, _end) that an earlier document holds too, and their matches with
     its seeds at the start and `step` words before the end.
@@ -446,11 +569,10 @@ def _stretches(runs: DataFrame, found: DataFrame, docs: DataFrame, id_col: str,
     used = runs.join(useful.select("_seed").hint("merge"), "_seed").groupBy(*holder).agg(F.collect_set("_seed").alias("_runs"))
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for batch in batches:
             parts = []
-            for n, (text, used_, covers_) in enumerate(zip(batch.column(2), batch.column(3), batch.column(4), strict=True)):
-                codes = words(text.as_py())
+            texts = (x for _, words, sizes in hashed_together(batch.column(2)) for x in _each(words, sizes))
+            for n, (codes, used_, covers_) in enumerate(zip(texts, batch.column(3), batch.column(4), strict=True)):
                 h, taken = run_places(codes)
                 places = np.flatnonzero(np.isin(h[taken], used_.values.to_numpy().view(np.uint64)))
                 open_ = np.ones(len(taken), bool)
@@ -501,9 +623,9 @@ def _aligned(matches: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
     used = packed.select("_id", "_print").unionByName(packed.select(F.col("_id0").alias("_id"), F.col("_print0").alias("_print"))).distinct()
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for batch in batches:
-            body = pa.array([words(t.as_py()).astype(np.uint32).tobytes() for t in batch.column(2)], pa.binary())
+            texts = (x for _, words, sizes in hashed_together(batch.column(2)) for x in _each(words, sizes))
+            body = pa.array([x.astype(np.uint32).tobytes() for x in texts], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), body], ["_id", "_print", "_words"])
 
     texts = _rows(docs, id_col, text_col).join(stored(used), ["_id", "_print"], "left_semi").dropDuplicates(["_id", "_print"])
