@@ -49,6 +49,68 @@ def test_sets_within_the_threshold_share_a_part():
     assert tried > 150
 
 
+def test_sets_at_80_percent_share_a_part():
+    rng, cuts = np.random.default_rng(2), jaccard_join.Cuts(80)
+    for n in [*range(1, 40), 64, 128, 300, 1000]:
+        for _ in range(12):
+            base = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            drop = int(rng.integers(0, n // 5 + 1))
+            add = n - drop  # what the threshold leaves room for
+            while 100 * (n - drop) < 80 * (n + add):
+                add -= 1
+            if add < 0:
+                continue
+            other = np.unique(np.concatenate([base[drop:], rng.integers(0, 1 << 63, add, dtype=np.uint64)]))
+            if not drop and not add:
+                continue
+            for often in (None, np.sort(rng.permutation(base)[: n // 2])):
+                a, b = (jaccard_join.part_keys(x, cuts, often) for x in (base, other))
+                assert np.intersect1d(a, b).size
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_texts_with_a_phrase_in_common_are_no_candidates(percent):
+    """Sets that share single shingles with many others mustn't chain into one cluster."""
+    rng, cuts = np.random.default_rng(5), jaccard_join.Cuts(percent)
+    common = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    keys, owners = [], []
+    for i in range(1500):
+        n = int(rng.integers(250, 700))
+        own = np.unique(np.concatenate([rng.integers(0, 1 << 63, n, dtype=np.uint64), rng.choice(common, 20)]))
+        keys.append(jaccard_join.part_keys(own, cuts))
+        owners.append(np.full(len(keys[-1]), i))
+    _, _, pairs = jaccard_join._stars(np.concatenate(keys), np.concatenate(owners))
+    assert len(pairs) < 40
+
+
+@pytest.mark.parametrize("room", [1 << 20, 500])
+def test_candidates_are_joined_by_every_shared_key(spark, monkeypatch, room):
+    """Keys are dealt over tasks and met in ranges; the stars reach all sets with a key in common."""
+    monkeypatch.setattr(jaccard_join, "MEET_KEYS", room)
+    monkeypatch.setattr(jaccard_join, "FLUSH", 7)
+    rng = random.Random(8)
+    texts = []
+    for family in range(40):
+        base = [f"w{family}x{i}" for i in range(90)]
+        texts += [" ".join(w if rng.random() > 0.02 else f"e{rng.randrange(10**6)}" for w in base) for _ in range(3)]
+    found = components(jaccard_join.candidate_edges(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5), np.empty(0, np.uint64)))
+    got = {r.node: r.root for r in found.collect()}
+    shingles, cuts, least = jaccard_join.Shingles(), jaccard_join.Cuts(), {}
+    names = [jaccard_join.set_name(jaccard_join.set_print(shingles(t))) for t in texts]
+    keys = [set(jaccard_join.part_keys(shingles(t), cuts).tolist()) for t in texts]
+    for i in range(len(texts)):
+        least[i] = i
+        for j in range(i):
+            if keys[i] & keys[j] and least[i] != least[j]:
+                low, high = sorted((least[i], least[j]))
+                least = {k: low if v == high else v for k, v in least.items()}
+    want = {}
+    for i, v in least.items():
+        want.setdefault(v, set()).add(names[i])
+    want = {n: min(group) for group in want.values() if len(group) > 1 for n in group}
+    assert want and got == want
+
+
 @pytest.mark.parametrize("block", [(2048, 1_000_000), (5, 1_000_000), (2048, 400)])
 def test_blocks_of_a_cluster_give_the_same_links(spark, monkeypatch, block):
     for name, value in zip(("BLOCK_SETS", "BLOCK_TOKENS"), block, strict=True):

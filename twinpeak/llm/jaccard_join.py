@@ -3,16 +3,19 @@
 Equal shingle sets fall into classes first. Candidates are exact: by the pigeonhole rule, two sets
 within the threshold differ in at most D shingles, so when the hash range is cut into k parts they
 agree in at least k - D of them, also when only some shingles are looked at. Each set sends a key
-per part that it fills; sets that share a key fall into one cluster, and sets of different clusters
-can't link. Frequent shingles stay out of the first cut, or common lines would chain clusters; a set
-that fills too few parts without them sends the keys of further cuts over all its shingles.
+per part that holds two of its shingles or more; sets that share a key fall into one cluster, and
+sets of different clusters can't link. Parts of one shingle would join any two texts with a phrase
+in common, which in a large corpus chains most of it into one cluster; only so many of them are
+sent, by the shingle's hash, as a set needs to have more than D. Frequent shingles stay out of the
+first cut for the same reason; a set that fills too few parts without them sends the keys of further
+cuts over all its shingles.
 
 In a cluster, trees stand over the sets in order of size. Its nodes hold the OR of their sets'
 token bitmaps (over tokens that two sets of the cluster share) and the range of their sizes. A dual
 traversal drops a pair of nodes when the sizes or the bits they share rule out any link, and when
 all their sets are connected already; leaves are compared exactly. Runs of sets whose bitmaps would
 take too much memory are halved until they fit. Clusters beyond a block's size are cut into blocks,
-joined in themselves and then with each other.
+joined in themselves, then with the next ones, and then with all others that are not connected yet.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NO_ID, carried, documents, settled, stored, work_partitions
@@ -32,7 +35,7 @@ from .components import components
 #: Words of a shingle, and the threshold as percent of the union.
 SHINGLE, PERCENT = 4, 85
 #: A band of set sizes ends where the next begins: growth from band to band.
-BAND = 1.6
+BAND = 1.25
 #: Cuts: one without frequent shingles, and others over all for sets that fill too few parts; the
 #: last also sends the empty parts.
 SALTS = 4
@@ -40,14 +43,22 @@ SALTS = 4
 #: They are counted where FLUSH documents hold one LOCAL times, which decides speed, not results.
 FREQUENT, LOCAL = 2000, 4
 #: A block of a cluster, what a task holds one or two of: sets, and shingles in them.
-BLOCK_SETS, BLOCK_TOKENS = 16_384, 8_000_000
+BLOCK_SETS, BLOCK_TOKENS = 16_384, 2_000_000
 #: What one tree stands over, and the room of the bitmaps of a pair of trees.
 TREE_SETS, TREE_TOKENS = 2048, 500_000
 TREE_BYTES = 32 << 20
 LEAF = 8
-#: Documents whose keys are merged in a task before they are sent.
-FLUSH = 4000
-WORD_MEMORY = 1 << 18
+#: Documents whose keys are merged in a task before they are sent, and how many shingles or keys
+#: a task holds for that at most, but for the last document's.
+FLUSH, FLUSH_ITEMS = 4000, 1 << 20
+#: Keys whose owners are looked for at once, about.
+MEET_KEYS = 1 << 20
+WORD_MEMORY = 1 << 16
+#: Shares of the parts with one shingle that are sent, in sixteenths by the shingle's hash.
+SINGLES = (0, 1, 2, 4, 8, 16)
+#: Bytes of a set's identity that name it among candidates: 56 bits, so a long holds them. Two sets
+#: of one name only make a cluster larger.
+NAME_BYTES = 7
 
 _ONE, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -110,11 +121,14 @@ class Cuts:
         partner = 100 * most // self.percent
         # |x ^ y| <= (|x| + |y|) * (100 - percent) / (100 + percent)
         differ = (most + partner) * (100 - self.percent) // (100 + self.percent)
-        k = differ + 1
-        fill = lambda k: k * (1 - np.exp(-self.lows[g] / k))
-        while differ and fill(k) - 3 * np.sqrt(k - fill(k)) < differ + 1 and k < 2 * self.lows[g] + 2:
-            k += 1
-        return most, differ, k
+        low = self.lows[g]
+        k = np.arange(differ + 1, max(differ + 1, 2 * low + 2) + 1)
+        empty = np.exp(-low / k)
+        filled, rich = k * (1 - empty), k * (1 - empty) - low * empty  # one shingle or more, two or more
+        enough = lambda n: n - 3 * np.sqrt(n * (1 - n / k)) >= differ + 1
+        first = lambda fits: int(np.argmax(fits)) if fits.any() else len(k) - 1
+        at = first(enough(rich)) if enough(rich).any() else max(int(np.argmax(rich)), first(enough(filled)))
+        return most, differ, int(k[at])
 
     @lru_cache(maxsize=1 << 16)  # noqa: B019
     def families(self, n: int) -> tuple[tuple[int, int, int], ...]:
@@ -139,8 +153,10 @@ def _bounds(k: int) -> np.ndarray:
 def part_keys(tokens: np.ndarray, cuts: Cuts, frequent: np.ndarray | None = None) -> np.ndarray:
     """Keys of the parts of a set, in all its bands. Sets within the threshold share one.
 
-    A pair with a set that fills more than D parts of a cut agrees in a part that both fill; if
-    neither does, both go on to the next cut.
+    A set sends the parts with two shingles or more, and the least share of those with one that
+    makes more than D parts. What share a part needs is seen from its content alone, so of a pair
+    the set with the smaller share agrees with the other one in a part that both send. A set that
+    fills D parts or fewer sends them all and goes on to the next cut; if both do, they meet there.
     """
     keys, orders = [], {}
     for g, differ, k in cuts.families(len(tokens)):
@@ -157,9 +173,18 @@ def part_keys(tokens: np.ndarray, cuts: Cuts, frequent: np.ndarray | None = None
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(order + _ONE))])
             total = sums[ends]
             total[1:] -= sums[ends[:-1]]
-            filled = np.diff(ends, prepend=0) > 0
+            held = np.diff(ends, prepend=0)
+            filled = held > 0
             safe = filled.sum() > differ
-            send = np.flatnonzero(filled if safe or salt < SALTS - 1 else np.ones(k, bool))
+            if safe:
+                send = np.flatnonzero(held > 1)
+                if len(send) <= differ:
+                    single = np.flatnonzero(held == 1)
+                    share = _mix(total[single] ^ _TWO) >> np.uint64(60)  # the part's sum is of its one shingle
+                    chosen = next(c for c in (single[share < n] for n in SINGLES) if len(send) + len(c) > differ)
+                    send = np.concatenate([send, chosen])
+            else:
+                send = np.flatnonzero(filled if salt < SALTS - 1 else np.ones(k, bool))
             place = (send + (g << 40) + (salt << 36)).astype(np.uint64)
             keys.append(_mix(total[send] ^ _mix(place * _TWO + _ONE)))
             if safe:
@@ -177,8 +202,13 @@ def _stars(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[head], owners[head], pairs
 
 
-def _pair_batch(pairs: np.ndarray, prints: list[bytes]) -> list[tuple[bytes, bytes]]:
-    return [(prints[a], prints[b]) for a, b in pairs]
+def set_name(name: bytes) -> int:
+    """A set's name among candidates, from its identity; `node_name` is the same in Spark."""
+    return int.from_bytes(name[:NAME_BYTES], "big")
+
+
+def node_name(name: Column) -> Column:
+    return F.conv(F.hex(F.substring(name, 1, NAME_BYTES)), 16, 10).cast("long")
 
 
 def set_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
@@ -189,7 +219,7 @@ def set_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     names = ["doc_id", "_text_print", "n_shingles", "_print", "_token", "_times"]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, seen = Shingles(size), {}
+        shingles, seen, held = Shingles(size), {}, 0
 
         def counted(kind) -> pa.RecordBatch:
             found, times = np.unique(np.concatenate(list(seen.values())), return_counts=True)
@@ -206,10 +236,14 @@ def set_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), *none], names
                 )
-                seen.update((p, s) for p, s in zip(prints, sets, strict=True) if p)
-                if len(seen) >= FLUSH:
-                    yield counted(batch.column(0).type)
-                    seen.clear()
+                for name, tokens in zip(prints, sets, strict=True):
+                    if name and name not in seen:
+                        seen[name], held = tokens, held + len(tokens)
+                        if len(seen) >= FLUSH or held >= FLUSH_ITEMS:
+                            yield counted(batch.column(0).type)
+                            seen.clear()
+                            held = 0
+                del sets
         if seen:
             yield counted(batch.column(0).type)
 
@@ -226,10 +260,11 @@ def frequent_shingles(sets: DataFrame) -> np.ndarray:
 
 
 def candidate_edges(docs: DataFrame, frequent: np.ndarray, text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(a, b): set identities joined as stars under the first set of each shared key.
+    """(a, b): names of sets joined as stars under the first set of each shared key.
 
     A task merges its own documents' keys before it sends one owner per key, so that the rows of a
-    key grow with the tasks, not with the copies. Keys travel as arrays by shuffle partition.
+    key grow with the tasks, not with the copies. Keys travel as arrays, dealt one shuffle partition
+    a task; the stars that a task has found itself travel with them.
     """
     parts = work_partitions(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
@@ -237,54 +272,68 @@ def candidate_edges(docs: DataFrame, frequent: np.ndarray, text_col: str = "text
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, cuts = Shingles(size), Cuts(percent)
 
-        def flush(sets: dict[bytes, np.ndarray]) -> pa.RecordBatch:
-            prints = sorted(sets)
-            owners = np.repeat(np.arange(len(prints)), [len(sets[p]) for p in prints])
-            keys, firsts, pairs = _stars(np.concatenate([sets[p] for p in prints]), owners)
+        def flush(sets: dict[int, np.ndarray]) -> pa.RecordBatch:
+            names = np.array(sorted(sets), np.int64)
+            keys, firsts, pairs = _stars(np.concatenate([sets[n] for n in names.tolist()]), np.repeat(np.arange(len(names)), [len(sets[n]) for n in names.tolist()]))
             to = (keys % np.uint64(parts)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             ends = np.cumsum(np.bincount(to, minlength=parts))
-            rows = [(None, None, a, b) for a, b in _pair_batch(pairs, prints)]
+            rows = [(int(pairs[0, 0]) % parts, None, names[pairs].tobytes())] if len(pairs) else []
             for p, own in enumerate(np.split(order, ends[:-1])):
                 if len(own):
                     used, local = np.unique(firsts[own], return_inverse=True)
-                    body = keys[own].tobytes() + local.astype(np.uint32).tobytes()
-                    rows.append((p, body, b"".join(prints[u] for u in used), None))
-            columns = zip(*rows, strict=True) if rows else [[]] * 4
+                    rows.append((p, keys[own].tobytes() + local.astype(np.uint32).tobytes(), names[used].tobytes()))
+            columns = zip(*rows, strict=True) if rows else [[]] * 3
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["part", "body", "a", "b"]
+                [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "body", "names"]
             )
 
-        sets: dict[bytes, np.ndarray] = {}
+        sets: dict[int, np.ndarray] = {}
+        held = 0
         for batch in batches:
             for text in batch.column(0):
                 tokens = shingles(text.as_py())
-                if len(tokens) and (name := set_print(tokens)) not in sets:
+                if len(tokens) and (name := set_name(set_print(tokens))) not in sets:
                     sets[name] = part_keys(tokens, cuts, shared.value)
-                if len(sets) >= FLUSH:
+                    held += len(sets[name])
+                if len(sets) >= FLUSH or held >= FLUSH_ITEMS:
                     yield flush(sets)
-                    sets = {}
+                    sets, held = {}, 0
         if sets:
             yield flush(sets)
 
+    def edges(pairs: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, owners, prints = [], [], []
+        keys, owners, names, n = [], [], [], 0
         for batch in batches:
-            for body, names in zip(batch.column(1), batch.column(2), strict=True):
-                raw, names = body.as_py(), names.as_py()
-                n = len(raw) // 12
-                keys.append(np.frombuffer(raw, np.uint64, n))
-                owners.append(np.frombuffer(raw, np.uint32, n, 8 * n).astype(np.int64) + len(prints))
-                prints += [names[i : i + 16] for i in range(0, len(names), 16)]
+            for body, own in zip(batch.column(1), batch.column(2), strict=True):
+                raw, own = body.as_py(), np.frombuffer(own.as_py(), np.int64)
+                if raw is None:
+                    yield edges(own.reshape(-1, 2))
+                    continue
+                m = len(raw) // 12
+                keys.append(np.frombuffer(raw, np.uint64, m))
+                owners.append(np.frombuffer(raw, np.uint32, m, 8 * m) + np.uint32(n))
+                names.append(own)
+                n += len(own)
         if keys:
-            ids, named = np.unique(np.array(prints, object), return_inverse=True)
-            _, _, pairs = _stars(np.concatenate(keys), named[np.concatenate(owners)])
-            found = _pair_batch(pairs, list(ids))
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["a", "b"])
-
-    sent = stored(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text")).mapInArrow(send, "part int, body binary, a binary, b binary"))
-    far = sent.filter("part is not null").select("part", "body", "a").repartition(parts, "part").mapInArrow(meet, "a binary, b binary")
-    return sent.filter("part is null").select("a", "b").unionByName(far).distinct()
+            ids, named = np.unique(np.concatenate(names), return_inverse=True)
+            names.clear()
+            owner = named.astype(np.uint32)[np.concatenate(owners)]
+            owners.clear()
+            key = np.concatenate(keys)
+            keys.clear()
+            # ranges of keys, by their high bits
+            bits = max(0, (len(key) // MEET_KEYS).bit_length())
+            to = (key >> np.uint64(64 - bits)).astype(np.uint16) if bits else np.zeros(len(key), np.uint16)
+            for i in range(1 << bits):
+                own = to == i
+                yield edges(ids[_stars(key[own], owner[own])[2]])
+
+    sent = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text")).mapInArrow(send, "part int, body binary, names binary")
+    return sent.repartitionById(parts, "part").mapInArrow(meet, "a long, b long").distinct()
 
 
 def shared_places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
@@ -470,9 +519,27 @@ def exact_links(members: DataFrame, percent: int = PERCENT) -> DataFrame:
     meets = stored(meets.select("_root", "_block", "_other"))
     if meets.isEmpty():
         return local
+    # neighbours go first: where that connects all sets of two blocks, these needn't meet
+    near = F.col("_other") == F.col("_block") + 1
+    found = stored(_met(members, meets.filter(near), components(local), percent))
+    labels = stored(components(local.unionByName(found)))
+    named = members.join(labels, members["_print"] == labels["node"], "left").select("_root", "_block", F.coalesce("root", "_print").alias("_label"))
+    ends = stored(named.groupBy("_root", "_block").agg(F.min("_label").alias("_from"), F.max("_label").alias("_to")))
+    far = meets.filter(~near).join(ends, ["_root", "_block"]).withColumnsRenamed({"_from": "_from1", "_to": "_to1"})
+    far = far.join(ends.withColumnRenamed("_block", "_other"), ["_root", "_other"])
+    far = stored(far.filter("_from1 != _to1 or _from != _to or _from1 != _from").select("_root", "_block", "_other"))
+    found = local.unionByName(found)
+    return found if far.isEmpty() else found.unionByName(_met(members, far, labels, percent))
+
+
+def _met(members: DataFrame, meets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between the sets of two blocks of a cluster that `labels` (node, root) doesn't connect.
+
+    There are more tasks than pairs of blocks, so that few tasks get several."""
+    parts = max(work_partitions(members.sparkSession), 2 * meets.count())
     dealt = meets.select("_root", "_block", "_other", F.explode(F.array("_block", "_other")).alias("_side"))
-    labels = components(local).select(F.col("node").alias("_print"), "root")
-    wide = members.select("_root", F.col("_block").alias("_side"), "_n", "_print", "tokens").join(labels, "_print", "left")
+    wide = members.select("_root", F.col("_block").alias("_side"), "_n", "_print", "tokens")
+    wide = wide.join(labels.select(F.col("node").alias("_print"), "root"), "_print", "left")
     wide = dealt.join(wide, ["_root", "_side"])
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -489,7 +556,7 @@ def exact_links(members: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     keys = ["_root", "_block", "_other"]
     paired = wide.select(*keys, "_side", "_n", "_print", "root", "tokens").repartition(parts, *keys).sortWithinPartitions(*keys, "_side", "_n", "_print")
-    return local.unionByName(paired.mapInArrow(across, "a binary, b binary"))
+    return paired.mapInArrow(across, "a binary, b binary")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -509,7 +576,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     # the keys take more room than the texts: they go before the texts are dealt
     clusters = settled(docs.sparkSession, lambda: components(candidate_edges(docs, frequent, text_col, size, percent)))
-    chosen = clusters.join(classes, clusters.node == classes["_print"]).select("_print", F.col("root").alias("_root"), "_n", "_row.*")
+    chosen = clusters.join(classes, clusters.node == node_name(classes["_print"])).select("_print", F.col("root").alias("_root"), "_n", "_row.*")
     chosen = stored(placed_in_blocks(chosen))
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_text_print"), text.alias("_text"))
@@ -522,7 +589,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             body = pa.array([shingles(t.as_py()).tobytes() for t in batch.column(4)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], body], ["_root", "_block", "_n", "_print", "tokens"])
 
-    members = stored(texts.mapInArrow(tokens, "_root binary, _block long, _n long, _print binary, tokens binary"))
+    members = stored(texts.mapInArrow(tokens, "_root long, _block long, _n long, _print binary, tokens binary"))
     linked = stored(components(exact_links(members, percent)))
     named = classes.join(linked, classes["_print"] == linked.node, "left").select("_print", "_least", F.coalesce("root", "_print").alias("_root"))
     named = stored(named)
